@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tabforge.plans import data_queries
+from tabforge.plans import data_queries, prep_queries
 
-FLAGSHIP = "split_exact"
-_PARTS = (data_queries,)
-QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
-ORACLES = {name: q for part in _PARTS for name, q in part.ORACLES.items()}
+FLAGSHIP = "strategy_v1"
+_PARTS = (data_queries, prep_queries)
+QUERIES = {name: q for part in _PARTS for name, q in part.catalogue.queries.items()}
+ORACLES = {name: q for part in _PARTS for name, q in part.catalogue.oracles.items()}

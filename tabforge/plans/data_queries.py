@@ -19,23 +19,11 @@ from tabforge.plans.frames import (
     table,
     u_sql,
 )
+from tabforge.plans.registry import Catalogue, rounded, union_sql
 from tabforge.spec import Constraint
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(name: str, oracle: str | None = None):
-    def register(function):
-        QUERIES[name] = function
-        if oracle:
-            ORACLES[name] = oracle
-        return function
-
-    return register
-
-
-def union_sql(items, template: str) -> str:
-    return " UNION ALL ".join(template.format(c=c) for c in items)
+catalogue = Catalogue()
+query = catalogue.query
 
 
 # --- profiles -------------------------------------------------------------------------------
@@ -75,10 +63,6 @@ _DESCRIBE_SQL = """SELECT '{c}' AS column_name, count({c}) AS count, round(avg({
   round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c}), 6) AS max FROM frame_nulls"""
 
 
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
-
-
 @query("describe_numeric", f"WITH {NULLS_CTE} " + union_sql(_DESCRIBED, _DESCRIBE_SQL))
 def describe_numeric(spark: SparkSession, sf: str) -> DataFrame:
     described = profile.describe(frame_nulls(spark, sf), _DESCRIBED)
