@@ -1,0 +1,196 @@
+"""Gradient boosting with L1 and L2 penalties, one aggregation per tree level.
+
+Tasks turn their rows into gradient sums per (node, feature, bin); Spark adds the
+sums up and the driver, which sees at most nodes x features x bins numbers, picks
+the splits. Rows never move. Every few trees the running prediction is written to
+the shared folder, so a pass only evaluates the trees grown since then.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tabforge.session import materialise
+
+REWRITE_EVERY = 10
+_HASH, _MARGIN = "__hash", "__margin"
+
+
+def bin_edges(df: DataFrame, features: Sequence[str], bins: int) -> list[np.ndarray]:
+    """Distinct approximate quantiles of each feature; candidates for cut points."""
+    marks = [i / bins for i in range(1, bins)]
+    row = df.agg(*[F.percentile_approx(f, marks, 10_000).alias(f"q{i}") for i, f in enumerate(features)]).first()
+    return [np.unique(np.array(row[f"q{i}"] or [], dtype=float)) for i in range(len(features))]
+
+
+def walk(x: np.ndarray, tree: dict, levels: int) -> np.ndarray:
+    """Index of the node each row reaches after ``levels`` steps (children of i: 2i+1, 2i+2)."""
+    feature, cut = np.asarray(tree["feature"]), np.asarray(tree["cut"])
+    node = np.zeros(len(x), dtype=np.int64)
+    rows = np.arange(len(x))
+    for _ in range(levels):
+        inner = feature[node] >= 0
+        right = x[rows, np.maximum(feature[node], 0)] > cut[node]
+        node = np.where(inner, 2 * node + 1 + right, node)
+    return node
+
+
+def margins(x: np.ndarray, trees: Sequence[dict], depth: int) -> np.ndarray:
+    total = np.zeros(len(x))
+    for tree in trees:
+        total += np.asarray(tree["value"])[walk(x, tree, depth)]
+    return total
+
+
+def _sampled(hashes: np.ndarray, tree: int, seed: int, share: float) -> np.ndarray:
+    """Rows of a tree: a mix of the row's hash and the tree number, equal on every retry."""
+    if share >= 1.0:
+        return np.ones(len(hashes), dtype=bool)
+    salt = np.uint64((0x9E3779B97F4A7C15 * (tree + 1) + seed) % 2**64)
+    mixed = hashes.astype(np.uint64) ^ salt
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (mixed >> np.uint64(11)) / float(2**53) < share
+
+
+def _soft(g, alpha: float):
+    return np.sign(g) * np.maximum(np.abs(g) - alpha, 0.0)
+
+
+def _level_sums(df, features, target, edges, grown, tree, level, number, config) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and row sums by (node of this level, feature, bin)."""
+    width = max(len(e) for e in edges) + 1
+    nodes, p, depth = 2**level, len(features), config["max_depth"]
+    shape = nodes * p * width
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gradients, counts = np.zeros(shape), np.zeros(shape)
+        for pdf in batches:
+            keep = _sampled(pdf[_HASH].to_numpy(), number, config["random_state"], config["subsample"])
+            pdf = pdf[keep]
+            x = pdf[features].to_numpy(dtype=float)
+            residual = pdf[_MARGIN].to_numpy() + margins(x, grown, depth) - pdf[target].to_numpy()
+            here = walk(x, tree, level) - (nodes - 1)
+            active = here >= 0
+            x, residual, here = x[active], residual[active], here[active]
+            for i in range(p):
+                slot = (here * p + i) * width + np.searchsorted(edges[i], x[:, i], side="left")
+                gradients += np.bincount(slot, weights=residual, minlength=shape)
+                counts += np.bincount(slot, minlength=shape)
+        used = np.flatnonzero(counts)
+        yield pd.DataFrame({"slot": used, "g": gradients[used], "h": counts[used]})
+
+    rows = (
+        df.mapInPandas(partial, "slot long, g double, h double")
+        .groupBy("slot")
+        .agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+        .collect()
+    )
+    g, h = np.zeros(shape), np.zeros(shape)
+    for row in rows:
+        g[row["slot"]], h[row["slot"]] = row["g"], row["h"]
+    return g.reshape(nodes, p, width), h.reshape(nodes, p, width)
+
+
+def _split_level(tree, level, g, h, edges, allowed, config) -> bool:
+    """Writes the best split of every node of a level and the values of its children."""
+    alpha, lam, rate = config["reg_alpha"], config["reg_lambda"], config["learning_rate"]
+
+    def score(gradient, weight):
+        return _soft(gradient, alpha) ** 2 / (weight + lam)
+
+    def leaf(gradient, weight):
+        return float(-rate * _soft(gradient, alpha) / (weight + lam))
+
+    grew = False
+    for node in range(2**level):
+        here = 2**level - 1 + node
+        total_g, total_h = g[node, 0].sum(), h[node, 0].sum()
+        if total_h == 0:
+            continue
+        if level == 0:
+            tree["value"][0] = leaf(total_g, total_h)
+        best = None
+        for i in allowed:
+            left_g, left_h = np.cumsum(g[node, i])[: len(edges[i])], np.cumsum(h[node, i])[: len(edges[i])]
+            right_g, right_h = total_g - left_g, total_h - left_h
+            gain = 0.5 * (score(left_g, left_h) + score(right_g, right_h) - score(total_g, total_h))
+            gain = np.where((left_h >= 1) & (right_h >= 1), gain, -np.inf)
+            if len(gain) and (best is None or gain.max() > best[0]):
+                at = int(gain.argmax())
+                best = (gain[at], i, at, left_g[at], left_h[at], right_g[at], right_h[at])
+        if best is None or not best[0] > 1e-6:
+            continue
+        grew = True
+        tree["feature"][here], tree["cut"][here] = best[1], float(edges[best[1]][best[2]])
+        tree["gain"][here] = float(best[0])
+        tree["value"][2 * here + 1] = leaf(best[3], best[4])
+        tree["value"][2 * here + 2] = leaf(best[5], best[6])
+    return grew
+
+
+def fit(df: DataFrame, key: str, features: Sequence[str], target: str, config: dict) -> dict:
+    """Grows the trees; returns plain numbers: base score, trees and the features' names."""
+    features, p = list(features), len(features)
+    base = float(df.agg(F.avg(target)).first()[0])
+    rows = materialise(
+        df.select(
+            F.xxhash64(key).alias(_HASH),
+            *[F.col(f).cast("double").alias(f) for f in features],
+            F.col(target).cast("double").alias(target),
+            F.lit(base).alias(_MARGIN),
+        ),
+        "boost",
+    )
+    edges = bin_edges(rows, features, config.get("max_bins", 64))
+    random = np.random.RandomState(config["random_state"])
+    depth, trees, pending = config["max_depth"], [], []
+    for number in range(config["n_estimators"]):
+        picked = max(1, int(round(p * config["colsample_bytree"])))
+        allowed = sorted(random.choice(p, picked, replace=False).tolist())
+        size = 2 ** (depth + 1) - 1
+        tree = {"feature": [-1] * size, "cut": [0.0] * size, "value": [0.0] * size, "gain": [0.0] * size}
+        for level in range(depth):
+            sums = _level_sums(rows, features, target, edges, pending, tree, level, number, config)
+            if not _split_level(tree, level, *sums, edges, allowed, config):
+                break
+        trees.append(tree)
+        pending.append(tree)
+        if len(pending) == REWRITE_EVERY and number + 1 < config["n_estimators"]:
+            moved = rows.withColumn(
+                _MARGIN, F.col(_MARGIN) + _margin_column(features, pending, depth)
+            )
+            rows, pending = materialise(moved, "boost"), []
+    return {"base": base, "depth": depth, "features": features, "trees": trees}
+
+
+def _margin_column(features: Sequence[str], trees: list[dict], depth: int) -> Column:
+    @F.pandas_udf("double")
+    def total(*columns: pd.Series) -> pd.Series:
+        x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+        return pd.Series(margins(x, trees, depth))
+
+    return total(*[F.col(f).cast("double") for f in features])
+
+
+def prediction(model: dict) -> Column:
+    """Predicted value from the feature columns."""
+    return F.lit(model["base"]) + _margin_column(model["features"], model["trees"], model["depth"])
+
+
+def importance(model: dict) -> list[float]:
+    """Mean gain of the splits on each feature, as shares of one."""
+    features = model["features"]
+    gain, used = np.zeros(len(features)), np.zeros(len(features))
+    for tree in model["trees"]:
+        for feature, value in zip(tree["feature"], tree["gain"], strict=True):
+            if feature >= 0:
+                gain[feature] += value
+                used[feature] += 1
+    mean = np.divide(gain, used, out=np.zeros_like(gain), where=used > 0)
+    return (mean / mean.sum() if mean.sum() else mean).tolist()

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +32,7 @@ class _Search:
     below: int
     size: int
     exact_count: bool
+    within: tuple[tuple[str, float], ...] = ()
 
     @property
     def done(self) -> bool:
@@ -61,8 +62,6 @@ class ColumnSummary:
 class OrderStatistics:
     summaries: dict[str, ColumnSummary]
     values: dict[tuple[str, int], float]
-    counts: dict[tuple[str, int], int] = field(default_factory=dict)
-    below: dict[tuple[str, int], int] = field(default_factory=dict)
 
 
 def summarise(df: DataFrame, columns: Sequence[str]) -> dict[str, ColumnSummary]:
@@ -100,23 +99,31 @@ def _slice_index(name: str, low, high, slices: int, integral: bool) -> Column:
     return F.least(F.floor(share * slices), F.lit(slices - 1)).cast("bigint")
 
 
+def _bracket(search: _Search) -> tuple:
+    return (search.column, search.low, search.high, search.within)
+
+
 def _count_slices(df: DataFrame, brackets: list[tuple], integral: bool) -> dict[int, list[tuple]]:
-    """Rows, min and max per slice of every bracket ``(column, low, high)``, in one job."""
+    """Rows, min and max per slice of every bracket, in one job.
+
+    Brackets of one column never overlap, so a row enters at most one per column.
+    """
     slices = max(64, min(MAX_SLICES if integral else 4096, MAX_RESULT_ROWS // len(brackets)))
-    entries = []
-    for i, (name, low, high) in enumerate(brackets):
+    chains: dict[str, Column] = {}
+    for i, (name, low, high, within) in enumerate(brackets):
         inside = F.col(name).between(F.lit(low), F.lit(high))
+        for other, value in within:
+            inside = inside & (F.col(other) == F.lit(value))
         index = _slice_index(name, low, high, slices, integral)
-        entries.append(
-            F.when(inside, F.struct(F.lit(i).alias("b"), index.alias("s"), F.col(name).alias("v")))
-        )
-    if len(entries) == 1:
-        name, low, high = brackets[0]
-        flat = df.where(F.col(name).between(F.lit(low), F.lit(high))).select(entries[0].alias("e"))
+        entry = F.struct(F.lit(i).alias("b"), index.alias("s"), F.col(name).alias("v"))
+        chains[name] = chains[name].when(inside, entry) if name in chains else F.when(inside, entry)
+    if len(chains) == 1:
+        flat = df.select(next(iter(chains.values())).alias("e"))
     else:
-        flat = df.select(F.explode(F.array(*entries)).alias("e")).where("e is not null")
+        flat = df.select(F.explode(F.array(*chains.values())).alias("e"))
     rows = (
-        flat.select("e.*")
+        flat.where("e is not null")
+        .select("e.*")
         .groupBy("b", "s")
         .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         .collect()
@@ -127,46 +134,45 @@ def _count_slices(df: DataFrame, brackets: list[tuple], integral: bool) -> dict[
     return result
 
 
+def _narrow(df: DataFrame, searches: list[_Search], integral: bool) -> None:
+    """Runs rounds until every search is done."""
+    while open_searches := [s for s in searches if not s.done]:
+        brackets = sorted({_bracket(s) for s in open_searches})
+        counted = _count_slices(df, brackets, integral)
+        where = {b: counted[i] for i, b in enumerate(brackets)}
+        for s in open_searches:
+            below = s.below
+            for n, low, high in where[_bracket(s)]:
+                if s.rank < below + n:
+                    s.low, s.high, s.below, s.size = low, high, below, n
+                    break
+                below += n
+
+
+def _is_integral(df: DataFrame, columns: Sequence[str]) -> bool:
+    kinds = dict(df.dtypes)
+    return all(kinds[c] in ("bigint", "int", "smallint", "tinyint") for c in columns)
+
+
 def order_statistics(
-    df: DataFrame,
-    ranks: Callable[[str, ColumnSummary], Iterable[int]],
-    columns: Sequence[str],
-    exact_count: bool = False,
-    summaries: dict[str, ColumnSummary] | None = None,
+    df: DataFrame, ranks: Callable[[str, ColumnSummary], Iterable[int]], columns: Sequence[str]
 ) -> OrderStatistics:
     """Values at 0-based ranks of the non-null values of each column.
 
     ``ranks(column, summary)`` names the wanted ranks once the counts are known.
-    With ``exact_count`` the number of rows at or below each value is returned too.
     """
-    kinds = dict(df.dtypes)
-    integral = all(kinds[c] in ("bigint", "int", "smallint", "tinyint") for c in columns)
+    integral = _is_integral(df, columns)
     cast = "bigint" if integral else "double"
     base = df.select(*[_clean(F.col(c).cast(cast), integral).alias(c) for c in columns])
-    summaries = summaries or summarise(base, columns)
+    summaries = summarise(base, columns)
     searches = [
-        _Search(c, r, summaries[c].low, summaries[c].high, 0, summaries[c].count, exact_count)
+        _Search(c, r, summaries[c].low, summaries[c].high, 0, summaries[c].count, False)
         for c in columns
         for r in sorted(set(ranks(c, summaries[c])))
         if 0 <= r < summaries[c].count
     ]
-    while open_searches := [s for s in searches if not s.done]:
-        brackets = sorted({(s.column, s.low, s.high) for s in open_searches})
-        counted = _count_slices(base, brackets, integral)
-        where = {b: counted[i] for i, b in enumerate(brackets)}
-        for s in open_searches:
-            below = s.below
-            for n, low, high in where[(s.column, s.low, s.high)]:
-                if s.rank < below + n:
-                    s.low, s.high, s.below, s.size = low, high, below, n
-                    break
-                below += n
-    return OrderStatistics(
-        summaries,
-        {(s.column, s.rank): s.value for s in searches},
-        {(s.column, s.rank): s.below + s.size for s in searches},
-        {(s.column, s.rank): s.below for s in searches},
-    )
+    _narrow(base, searches, integral)
+    return OrderStatistics(summaries, {(s.column, s.rank): s.value for s in searches})
 
 
 def interpolation_ranks(count: int, probability: float) -> tuple[int, int, float]:
@@ -204,33 +210,43 @@ def rank_cuts(
     order: Sequence[str],
     sizes: Sequence[int],
     total: int,
-    bounds: tuple[int, int] | None = None,
+    bounds: dict[str, tuple[int, int]] | None = None,
 ) -> list[Column]:
     """One predicate per size ``m`` that holds for exactly the first ``m`` rows in ``order``.
 
     The order columns are numbers, and unique taken together. Where a cut falls
-    among rows sharing the first column, those rows are cut by the next one.
-    ``bounds`` are known limits of the first column; they save the pass that finds them.
+    among rows sharing the first column, those rows are cut by the next one; all
+    cuts go through one column together. ``bounds`` are known limits of columns
+    and save the pass that finds them.
     """
-    first, rest = order[0], list(order[1:])
-    known = {first: ColumnSummary(total, 0, *bounds, None, None)} if bounds else None
-    stats = order_statistics(
-        df, lambda *_: [m - 1 for m in sizes if 0 < m < total], [first], True, known
-    )
-    predicates = []
-    for m in sizes:
-        if m <= 0 or m >= total:
-            predicates.append(F.lit(m > 0))
-            continue
-        value = stats.values[first, m - 1]
-        column = F.col(first)
-        reached, below = stats.counts[first, m - 1], stats.below[first, m - 1]
-        if reached == m:
-            predicates.append(column <= F.lit(value))
-            continue
-        if not rest:
-            raise ValueError(f"{reached - below} rows share {first}={value} at a cut; order by a unique key")
-        tied = df.where(column == F.lit(value))
-        (inner,) = rank_cuts(tied, rest, [m - below], reached - below)
-        predicates.append((column < F.lit(value)) | ((column == F.lit(value)) & inner))
-    return predicates
+    limits = dict(bounds or {})
+    if unknown := [c for c in order if c not in limits]:
+        limits.update({c: (s.low, s.high) for c, s in summarise(df, unknown).items()})
+    predicates: dict[int, Column] = {m: F.lit(m > 0) for m in sizes if m <= 0 or m >= total}
+    # Size of a cut -> rows wanted among those equal in ``within``, and how many there are.
+    pending = {m: (m, total, ()) for m in sizes if m not in predicates}
+    for column in order:
+        searches = {
+            m: _Search(column, wanted - 1, *limits[column], 0, available, True, within)
+            for m, (wanted, available, within) in pending.items()
+        }
+        _narrow(df, list(searches.values()), _is_integral(df, [column]))
+        for m, search in searches.items():
+            wanted, _, within = pending.pop(m)
+            if search.below + search.size == wanted:
+                predicates[m] = _first_rows(within, column, search.value)
+            else:
+                pending[m] = (wanted - search.below, search.size, (*within, (column, search.value)))
+        if not pending:
+            break
+    for _, available, within in pending.values():
+        raise ValueError(f"{available} rows share {dict(within)} at a cut; order by a unique key")
+    return [predicates[m] for m in sizes]
+
+
+def _first_rows(within: tuple, column: str, value) -> Column:
+    """Rows up to ``value`` in lexicographic order."""
+    predicate = F.col(column) <= F.lit(value)
+    for name, tied in reversed(within):
+        predicate = (F.col(name) < F.lit(tied)) | ((F.col(name) == F.lit(tied)) & predicate)
+    return predicate

@@ -18,11 +18,12 @@ from tabforge.operators.order_stats import rank_cuts
 from tabforge.spec import CHAMPION_WEIGHT, CV_SPLITS, SEED, TEST_SIZE
 
 _RANK = "__rank"
+_RANK_BOUNDS = {_RANK: (0, 2**RANK_BITS - 1)}
 
 
 def _shuffled_cuts(df: DataFrame, key: str, tag: str, sizes: Sequence[int], total: int) -> list[Column]:
     ranked = df.select(rank_hash(F.col(key), tag).alias(_RANK))
-    return rank_cuts(ranked, [_RANK], sizes, total, bounds=(0, 2**RANK_BITS - 1))
+    return rank_cuts(ranked, [_RANK], sizes, total, _RANK_BOUNDS)
 
 
 def train_test_split(
@@ -74,7 +75,7 @@ def kfold(
         cuts = _shuffled_cuts(df, key, tag, ends, total)
     else:
         columns = [*(order or ()), _RANK]
-        cuts = rank_cuts(ranked.select(*columns), columns, ends, total)
+        cuts = rank_cuts(ranked.select(*columns), columns, ends, total, _RANK_BOUNDS)
     return ranked.withColumn("fold", _bands(cuts)).drop(_RANK)
 
 
@@ -103,7 +104,7 @@ def prefix_segments(
     ends = sorted({*stops[1:-1], *train_ends.values()} - {0, total})
     ranked = df.withColumn(_RANK, rank_hash(F.col(key), ":order"))
     columns = [*order, _RANK]
-    cuts = rank_cuts(ranked.select(*columns), columns, ends, total)
+    cuts = rank_cuts(ranked.select(*columns), columns, ends, total, _RANK_BOUNDS)
     bounds = [0, *ends, total]
     plan = []
     for (fold, size), end in train_ends.items():
