@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from tabforge.plans import data_queries, model_queries, prep_queries
+from tabforge.plans import (
+    data_queries,
+    model_queries,
+    prep_queries,
+    run_queries,
+    serving_queries,
+)
 
 FLAGSHIP = "strategy_v1"
-_PARTS = (data_queries, prep_queries, model_queries)
+_PARTS = (data_queries, prep_queries, model_queries, run_queries, serving_queries)
 QUERIES = {name: q for part in _PARTS for name, q in part.catalogue.queries.items()}
 ORACLES = {name: q for part in _PARTS for name, q in part.catalogue.oracles.items()}

@@ -33,17 +33,14 @@ def long_form(runs: DataFrame) -> DataFrame:
         if column not in runs.columns:
             continue
         named = prefixed(F.coalesce(F.col(column).cast("map<string,string>"), empty), prefix)
-        entries.append(
-            F.transform(
-                F.map_entries(named),
-                lambda e, kind=kind: F.struct(
-                    F.lit(kind).alias("kind"), e["key"].alias("key"), e["value"].alias("value")
-                ),
-            )
-        )
+        entries.append(F.transform(F.map_entries(named), _entry(kind)))
     return runs.select("run_id", F.inline(F.concat(*entries))).where("value is not null")
 
 
+def _entry(kind: str):
+    return lambda e: F.struct(F.lit(kind).alias("kind"), e["key"].alias("key"), e["value"].alias("value"))
+
+
 def append(log_path: str, entries: DataFrame) -> None:
     """Adds rows (run_id, kind, key, value) with the current time."""
     now = F.lit(datetime.now(timezone.utc))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabforge.operators import validate
 from tabforge.operators.scoring import range_warnings, route_and_score
 from tabforge.session import scratch_path
+from tabforge.sources.files import children
 from tabforge.spec import CHAMPION_WEIGHT, Constraint
 
 
@@ -53,8 +54,6 @@ def run_snapshots(stream: DataFrame, path: str) -> str:
 
 
 def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    from tabforge.sources.files import children
-
     return spark.read.parquet(children(spark, path)[-1])
 
 
@@ -71,11 +70,14 @@ def windowed_counts(
     return grouped.agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), *labels, "n")
 
 
-def windowed_drift(warnings: DataFrame, ts: str, width: str, delay: str = "10 minutes") -> DataFrame:
-    """Distinct drifting features per window, without a distinct aggregate, which streams refuse."""
-    per_feature = warnings.withWatermark(ts, delay).groupBy(F.window(ts, width).alias("w"), "feature").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+def windowed_drift(warned: DataFrame, ts: str, width: str, delay: str = "10 minutes") -> DataFrame:
+    """Distinct drifting features per window, without a distinct aggregate, which streams refuse.
+
+    The watermark follows all rows, not only those with a warning, so a quiet hour
+    does not hold back the windows before it.
+    """
+    hits = warned.withWatermark(ts, delay).select(ts, F.explode("warnings.feature").alias("feature"))
+    per_feature = hits.groupBy(F.window(ts, width).alias("w"), "feature").agg(F.count(F.lit(1)).alias("n"))
     return per_feature.groupBy("w").agg(F.count(F.lit(1)).alias("features_in_drift")).select(
         F.col("w.start").alias("window_start"), "features_in_drift"
     )
