@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,15 @@ def uniform(key: Column, tag: str = "") -> Column:
     return _leading_hex(F.concat(key.cast("string"), F.lit(tag)), 8) / F.lit(4294967296.0)
 
 
+def hash_below(key: Column, tag: str, share: float) -> Column:
+    """``uniform(key, tag) < share``, decided on the hexadecimal digits themselves."""
+    limit = math.ceil(share * 2**32)
+    if limit >= 2**32:
+        return F.lit(True)
+    digits = F.substring(F.md5(F.concat(key.cast("string"), F.lit(tag))), 1, 8)
+    return digits < F.lit(f"{limit:08x}")
+
+
 def rank_hash(key: Column, tag: str = "") -> Column:
     """A 60-bit integer from md5(key + tag); ordering by it is a seeded shuffle."""
     return _leading_hex(F.concat(key.cast("string"), F.lit(tag)), 15)

@@ -13,17 +13,19 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.functions.hashing import RANK_BITS, rank_hash, uniform
+from tabforge.functions.hashing import RANK_BITS, hash_below, rank_hash, uniform
 from tabforge.operators.order_stats import rank_cuts
+from tabforge.session import materialise
 from tabforge.spec import CHAMPION_WEIGHT, CV_SPLITS, SEED, TEST_SIZE
 
 _RANK = "__rank"
 _RANK_BOUNDS = {_RANK: (0, 2**RANK_BITS - 1)}
 
 
-def _shuffled_cuts(df: DataFrame, key: str, tag: str, sizes: Sequence[int], total: int) -> list[Column]:
-    ranked = df.select(rank_hash(F.col(key), tag).alias(_RANK))
-    return rank_cuts(ranked, [_RANK], sizes, total, _RANK_BOUNDS)
+def _ordered(df: DataFrame, key: str, tag: str, order: Sequence[str] = ()) -> tuple[DataFrame, int]:
+    """The order columns and the key's hash, written once, since cutting takes several passes."""
+    ranked = materialise(df.select(*order, rank_hash(F.col(key), tag).alias(_RANK)), "ranks")
+    return ranked, ranked.count()
 
 
 def train_test_split(
@@ -31,8 +33,8 @@ def train_test_split(
 ) -> DataFrame:
     """Adds ``split``: the ceil(n * test_size) rows of lowest seeded hash are 'test'."""
     tag = f":split:{seed}"
-    total = df.count()
-    (is_test,) = _shuffled_cuts(df, key, tag, [math.ceil(total * test_size)], total)
+    ranked, total = _ordered(df, key, tag)
+    (is_test,) = rank_cuts(ranked, [_RANK], [math.ceil(total * test_size)], total, _RANK_BOUNDS)
     return (
         df.withColumn(_RANK, rank_hash(F.col(key), tag))
         .withColumn("split", F.when(is_test, "test").otherwise("train"))
@@ -67,16 +69,13 @@ def kfold(
 
     ``order`` are numeric columns; the key's hash settles rows they do not tell apart.
     """
-    total = df.count()
-    ends = np.cumsum(fold_sizes(total, k))[:-1].tolist()
     tag = f":fold:{seed}" if shuffle else ":order"
-    ranked = df.withColumn(_RANK, rank_hash(F.col(key), tag))
-    if shuffle:
-        cuts = _shuffled_cuts(df, key, tag, ends, total)
-    else:
-        columns = [*(order or ()), _RANK]
-        cuts = rank_cuts(ranked.select(*columns), columns, ends, total, _RANK_BOUNDS)
-    return ranked.withColumn("fold", _bands(cuts)).drop(_RANK)
+    columns = [] if shuffle else list(order or ())
+    ranked, total = _ordered(df, key, tag, columns)
+    ends = np.cumsum(fold_sizes(total, k))[:-1].tolist()
+    cuts = rank_cuts(ranked, [*columns, _RANK], ends, total, _RANK_BOUNDS)
+    labelled = df.withColumn(_RANK, rank_hash(F.col(key), tag))
+    return labelled.withColumn("fold", _bands(cuts)).drop(_RANK)
 
 
 def prefix_sizes(total: int, k: int, fractions: Sequence[float]) -> list[int]:
@@ -93,7 +92,7 @@ def prefix_segments(
     Returns the rows with ``segment`` and a plan ``{fold, size, train, test}`` listing
     segment numbers. All folds and sizes are then served by one pass over the data.
     """
-    total = df.count()
+    ranked, total = _ordered(df, key, ":order", order)
     sizes = prefix_sizes(total, k, fractions)
     stops = [0, *np.cumsum(fold_sizes(total, k)).tolist()]
     train_ends = {}
@@ -102,9 +101,7 @@ def prefix_segments(
         for size in sizes:
             train_ends[fold, size] = size if size <= start else size + stop - start
     ends = sorted({*stops[1:-1], *train_ends.values()} - {0, total})
-    ranked = df.withColumn(_RANK, rank_hash(F.col(key), ":order"))
-    columns = [*order, _RANK]
-    cuts = rank_cuts(ranked.select(*columns), columns, ends, total, _RANK_BOUNDS)
+    cuts = rank_cuts(ranked, [*order, _RANK], ends, total, _RANK_BOUNDS)
     bounds = [0, *ends, total]
     plan = []
     for (fold, size), end in train_ends.items():
@@ -118,7 +115,8 @@ def prefix_segments(
                 "test": [i for i, (a, b) in runs if a >= start and b <= stop],
             }
         )
-    return ranked.withColumn("segment", _bands(cuts)).drop(_RANK), plan
+    labelled = df.withColumn(_RANK, rank_hash(F.col(key), ":order"))
+    return labelled.withColumn("segment", _bands(cuts)).drop(_RANK), plan
 
 
 def route(
@@ -136,7 +134,7 @@ def route(
         return F.lit("champion")
     if not champion:
         return F.lit("challenger")
-    return F.when(uniform(key, tag) < F.lit(weight), "champion").otherwise("challenger")
+    return F.when(hash_below(key, tag, weight), "champion").otherwise("challenger")
 
 
 def check_weight(weight: float) -> float:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabforge.functions.hashing import fingerprint, uniform
+from tabforge.functions.hashing import fingerprint, hash_below
 from tabforge.operators import profile, split, validate
 from tabforge.plans.frames import (
     FRAME,
@@ -20,6 +20,7 @@ from tabforge.plans.frames import (
     u_sql,
 )
 from tabforge.plans.registry import Catalogue, rounded, union_sql
+from tabforge.session import materialise
 from tabforge.spec import Constraint
 
 catalogue = Catalogue()
@@ -65,7 +66,8 @@ _DESCRIBE_SQL = """SELECT '{c}' AS column_name, count({c}) AS count, round(avg({
 
 @query("describe_numeric", f"WITH {NULLS_CTE} " + union_sql(_DESCRIBED, _DESCRIBE_SQL))
 def describe_numeric(spark: SparkSession, sf: str) -> DataFrame:
-    described = profile.describe(frame_nulls(spark, sf), _DESCRIBED)
+    rows = materialise(frame_nulls(spark, sf).select(*_DESCRIBED), "described")
+    described = profile.describe(rows, _DESCRIBED)
     return rounded(described, "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
@@ -177,11 +179,11 @@ def raw_requests(spark: SparkSession, sf: str) -> DataFrame:
     return events.select(
         "event_id",
         F.floor(key / 7).alias("batch_id"),
-        F.when(uniform(key, ":text") < 0.01, F.lit("not_a_number"))
-        .when(uniform(key, ":null") < 0.01, F.lit(None))
+        F.when(hash_below(key, ":text", 0.01), F.lit("not_a_number"))
+        .when(hash_below(key, ":null", 0.01), F.lit(None))
         .otherwise(F.format_string("%.2f", "value"))
         .alias("amount"),
-        F.when(uniform(key, ":half") < 0.01, F.concat(k, F.lit(".5"))).otherwise(k).alias("k"),
+        F.when(hash_below(key, ":half", 0.01), F.concat(k, F.lit(".5"))).otherwise(k).alias("k"),
         F.col("user_id").cast("string").alias("user"),
     )
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabforge.functions.hashing import uniform
+from tabforge.functions.hashing import hash_below, uniform
+from tabforge.session import spread
 from tabforge.spec import FeatureSpec
 
 FRAME = FeatureSpec(
@@ -37,7 +38,8 @@ def _row_key() -> Column:
 def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineitem with its part: a key, six features and a target that depends on them."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
-    joined = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    lines = spread(table(spark, sf_dir, "lineitem"))
+    joined = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
     keyed = joined.select(
         _row_key().alias("row_key"),
         "l_orderkey",
@@ -82,7 +84,7 @@ def frame_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frame with each feature NULL in one row out of twenty."""
     return frame(spark, sf_dir).withColumns(
         {
-            f: F.when(uniform(F.col("row_key"), f":null:{f}") >= 0.05, F.col(f))
+            f: F.when(~hash_below(F.col("row_key"), f":null:{f}", 0.05), F.col(f))
             for f in FRAME.features
         }
     )
@@ -103,7 +105,7 @@ def part_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
 
     def gap(name: str, value: Column) -> Column:
-        return F.when(uniform(key, f":null:{name}") >= 0.05, value).alias(name)
+        return F.when(~hash_below(key, f":null:{name}", 0.05), value).alias(name)
 
     return part.select(
         "p_partkey",

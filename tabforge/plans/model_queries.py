@@ -22,6 +22,7 @@ from tabforge.plans.frames import (
     split_sql,
     table,
 )
+from tabforge.plans.prep_queries import parted
 from tabforge.plans.registry import Catalogue, rounded
 from tabforge.spec import FeatureSpec
 
@@ -174,8 +175,8 @@ def cv_forest(spark: SparkSession, sf: str) -> DataFrame:
 
 def fit_and_score(spark: SparkSession, sf: str, strategy: str, model: str, **params) -> DataFrame:
     """Train and test metrics of a model fitted on the training side of the split."""
-    parted = train_test_split(frame_nulls(spark, sf), "row_key")
-    prepared = create_strategy(strategy, FRAME).fit(parted.where("split = 'train'")).transform(parted)
+    rows = parted(spark, sf)
+    prepared = create_strategy(strategy, FRAME).fit(rows.where("split = 'train'")).transform(rows)
     fitted = create_model(model, FRAME, **params).fit(prepared.where("split = 'train'"))
     return metrics.regression_metrics(fitted.transform(prepared), "y", "prediction", ["split"])
 

@@ -22,6 +22,7 @@ from tabforge.plans.frames import (
     split_sql,
 )
 from tabforge.plans.registry import Catalogue, rounded
+from tabforge.session import materialise
 
 catalogue = Catalogue()
 query = catalogue.query
@@ -34,8 +35,10 @@ def _each(template: str, columns=FEATURES) -> str:
     return ", ".join(template.format(c=c) for c in columns)
 
 
-def _parted(spark: SparkSession, sf: str) -> DataFrame:
-    return train_test_split(frame_nulls(spark, sf), "row_key")
+def parted(spark: SparkSession, sf: str) -> DataFrame:
+    """The split rows, written once: fitting reads them several times."""
+    rows = frame_nulls(spark, sf).select("row_key", *FRAME.columns)
+    return materialise(train_test_split(rows, "row_key"), "parted")
 
 
 @query(
@@ -44,9 +47,9 @@ def _parted(spark: SparkSession, sf: str) -> DataFrame:
     SELECT row_key, {_each('round(coalesce({c}, med_{c}), 6) AS {c}')} FROM parted, med""",
 )
 def impute_median(spark: SparkSession, sf: str) -> DataFrame:
-    parted = _parted(spark, sf)
-    medians = impute.MedianFit(parted.where("split = 'train'"), FEATURES).medians
-    return parted.select("row_key", *[F.round(impute.filled(f, m), 6).alias(f) for f, m in medians.items()])
+    rows = parted(spark, sf)
+    medians = impute.MedianFit(rows.where("split = 'train'"), FEATURES).medians
+    return rows.select("row_key", *[F.round(impute.filled(f, m), 6).alias(f) for f, m in medians.items()])
 
 
 @query(
@@ -62,9 +65,9 @@ def impute_median(spark: SparkSession, sf: str) -> DataFrame:
     FROM parted, m_is_open, m_l_quantity, m_p_size""",
 )
 def impute_mode(spark: SparkSession, sf: str) -> DataFrame:
-    parted = _parted(spark, sf)
-    found = impute.modes(parted.where("split = 'train'"), ["is_open", "l_quantity", "p_size"])
-    return parted.select("row_key", *[impute.filled(f, m).alias(f) for f, m in found.items()])
+    rows = parted(spark, sf)
+    found = impute.modes(rows.where("split = 'train'"), ["is_open", "l_quantity", "p_size"])
+    return rows.select("row_key", *[impute.filled(f, m).alias(f) for f, m in found.items()])
 
 
 @query(
@@ -103,9 +106,9 @@ def scale_robust(spark: SparkSession, sf: str) -> DataFrame:
 
 def _run_strategy(name: str, spark: SparkSession, sf: str) -> DataFrame:
     """Fits on the training rows only, then transforms both sides of the split."""
-    parted = _parted(spark, sf)
-    model = create_strategy(name, FRAME).fit(parted.where("split = 'train'"))
-    return rounded(model.transform(parted).select("row_key", "split", *FEATURES), *FEATURES)
+    rows = parted(spark, sf)
+    model = create_strategy(name, FRAME).fit(rows.where("split = 'train'"))
+    return rounded(model.transform(rows).select("row_key", "split", *FEATURES), *FEATURES)
 
 
 @query(
@@ -181,9 +184,9 @@ _PARTS_SPLIT = f"""{PARTS_CTE}, parted AS (
     SELECT p_partkey, split, {_each('round(({c} - m_{c}) / s_{c}, 6) AS {c}', PARTS.features)} FROM full_rows, s""",
 )
 def strategy_v2(spark: SparkSession, sf: str) -> DataFrame:
-    parted = train_test_split(part_nulls(spark, sf), "p_partkey")
-    model = create_strategy("v2_knn", PARTS).fit(parted.where("split = 'train'"))
-    return rounded(model.transform(parted), *PARTS.features)
+    rows = materialise(train_test_split(part_nulls(spark, sf), "p_partkey"), "parted")
+    model = create_strategy("v2_knn", PARTS).fit(rows.where("split = 'train'"))
+    return rounded(model.transform(rows), *PARTS.features)
 
 
 @query("strategy_v2_frame")
