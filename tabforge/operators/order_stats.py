@@ -92,8 +92,9 @@ def _clean(col: Column, integral: bool) -> Column:
 
 def _slice_index(name: str, low, high, slices: int, integral: bool) -> Column:
     if integral:
+        # Dividing before subtracting keeps full-range integers from overflowing.
         width = (int(high) - int(low)) // slices + 1
-        return F.expr(f"(`{name}` - {int(low)}L) div {width}L")
+        return F.expr(f"`{name}` div {width}L - {int(low)}L div {width}L")
     # Halving first keeps the width finite for ranges up to the largest double.
     share = (F.col(name) / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)
     return F.least(F.floor(share * slices), F.lit(slices - 1)).cast("bigint")

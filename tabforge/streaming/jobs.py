@@ -74,9 +74,15 @@ def windowed_drift(warned: DataFrame, ts: str, width: str, delay: str = "10 minu
     """Distinct drifting features per window, without a distinct aggregate, which streams refuse.
 
     The watermark follows all rows, not only those with a warning, so a quiet hour
-    does not hold back the windows before it.
+    does not hold back the windows before it. That is why rows without warnings are
+    dropped after the explode: Spark would move a plain explode's filter ahead of
+    the watermark.
     """
-    hits = warned.withWatermark(ts, delay).select(ts, F.explode("warnings.feature").alias("feature"))
+    hits = (
+        warned.withWatermark(ts, delay)
+        .select(ts, F.explode_outer("warnings.feature").alias("feature"))
+        .where("feature is not null")
+    )
     per_feature = hits.groupBy(F.window(ts, width).alias("w"), "feature").agg(F.count(F.lit(1)).alias("n"))
     return per_feature.groupBy("w").agg(F.count(F.lit(1)).alias("features_in_drift")).select(
         F.col("w.start").alias("window_start"), "features_in_drift"
