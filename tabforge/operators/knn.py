@@ -7,31 +7,32 @@ which makes the result independent of how the data is laid out.
 
 * Copies are folded first. Donors with the same vector give the same value, so at
   most ``k`` of them count; receivers with the same vector get the same answer.
-* Donors are put into grid cells along the features of largest variance. The table
-  of cells has a fixed maximum size and holds the box around each cell's donors.
-* A receiver bounds its k-th distance from the boxes alone and visits only cells
-  that may hold something closer. Nothing else can be among its neighbours.
-* A visit is a (cell, donor chunk, receiver chunk) unit. Chunks are sized from
-  counts, so a crowded cell becomes many units instead of one long task.
+* For each target feature the donors are put into grid cells of about equal sides
+  along the other features. The table of cells has a fixed maximum size and holds
+  the box around each cell's donors.
+* A receiver first searches its home cells, which gives a bound on its k-th
+  distance, and then only those other cells whose box comes closer than that.
+* Cells are searched in units of bounded size. A crowded cell is cut into chunks of
+  donors and blocks of receivers; small cells share a unit.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from tabforge.session import materialise
 
-CELL_LIMIT = 4096
-CHUNK_ROWS = 20_000
-_KEY, _CELL, _CHUNK, _BLOCK, _WEIGHT = "__vector", "__cell", "__chunk", "__block", "__weight"
+CELL_LIMIT = 2048
+UNIT_ROWS = 20_000
+_MARKS = 256
+_KEY, _WEIGHT = "__vector", "__weight"
 
 
 @dataclass
@@ -41,271 +42,322 @@ class KnnState:
     features: list[str]
     k: int
     means: list[float | None]
-    grid: list[int]
-    edges: list[list[float]]
+    grids: list[list[tuple[int, list[float]]]]
     cells: list[dict]
     donors: DataFrame | None = None
+    known: DataFrame | None = None
 
     def plain(self) -> dict:
-        """Everything but the donor table, ready for JSON."""
-        return {f.name: getattr(self, f.name) for f in fields(self) if f.name != "donors"}
+        """Everything but the tables, ready for JSON."""
+        return {f.name: getattr(self, f.name) for f in fields(self) if f.name not in ("donors", "known")}
 
 
 def _vector_key(features: Sequence[str]) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("~")) for f in features])
 
 
-def _cell_code(features: Sequence[str], grid: Sequence[int], edges: Sequence[Sequence[float]]) -> Column:
+def _cell_code(features: Sequence[str], grid: Sequence[tuple[int, list[float]]]) -> Column:
     code = F.lit(0)
-    for dim, cuts in zip(grid, edges, strict=True):
-        col = F.col(features[dim])
-        bin_ = F.lit(1)
+    for dim, cuts in grid:
+        place = F.lit(1)
         for cut in cuts:
-            bin_ = bin_ + (col > F.lit(cut)).cast("int")
-        code = code * F.lit(len(cuts) + 2) + F.coalesce(bin_, F.lit(0))
-    return code
+            place = place + (F.col(features[dim]) > F.lit(cut)).cast("int")
+        code = code * F.lit(len(cuts) + 2) + F.coalesce(place, F.lit(0))
+    return code.cast("int")
+
+
+def _grid(target: int, marks: list[list[float]], limit: int) -> list[tuple[int, list[float]]]:
+    """Cut points along every feature but the target, with sides of about equal length."""
+    lengths = {i: m[-13] - m[12] or m[-1] - m[0] for i, m in enumerate(marks) if i != target and m}
+    lengths = {i: length for i, length in lengths.items() if length > 0}
+
+    def bins(side: float) -> dict[int, int]:
+        counts = {i: min(_MARKS, math.ceil(length / side)) for i, length in lengths.items()}
+        return {i: n for i, n in counts.items() if n > 1}
+
+    side = max(lengths.values(), default=1.0)
+    for _ in range(100):
+        smaller = bins(side * 0.9)
+        if math.prod(n + 1 for n in smaller.values()) > limit:
+            break
+        side *= 0.9
+    grid = []
+    for i, n in sorted(bins(side).items()):
+        picked = {marks[i][min(_MARKS - 2, round(_MARKS * b / n) - 1)] for b in range(1, n)}
+        grid.append((i, sorted(picked)))
+    return grid
+
+
+def _targets(features: Sequence[str]) -> Column:
+    """Array of (target, cell) for the features a donor can give."""
+    entries = [
+        F.when(F.col(f).isNotNull(), F.struct(F.lit(i).alias("target"), F.col(f"__cell{i}").alias("cell")))
+        for i, f in enumerate(features)
+    ]
+    return F.array_compact(F.array(*entries))
 
 
 def fit(train: DataFrame, features: Sequence[str], k: int = 5) -> KnnState:
     """Folds the training rows into weighted donors and describes the cells they fall into."""
     features = list(features)
     rows = train.select(*[F.col(f).cast("double").alias(f) for f in features])
-    weighted = rows.groupBy(*features).agg(F.least(F.count(F.lit(1)), F.lit(k)).alias(_WEIGHT))
-    quarter_marks = [i / 16 for i in range(1, 16)]
+    shares = [i / _MARKS for i in range(1, _MARKS)]
     profile = rows.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.avg(f).alias(f"mean{i}") for i, f in enumerate(features)],
-        *[F.var_pop(f).alias(f"var{i}") for i, f in enumerate(features)],
-        *[F.percentile_approx(f, quarter_marks, 1000).alias(f"cuts{i}") for i, f in enumerate(features)],
+        *[F.percentile_approx(f, shares, 2000).alias(f"marks{i}") for i, f in enumerate(features)],
     ).first()
-    variances = [profile[f"var{i}"] or 0.0 for i in range(len(features))]
-    grid = sorted(range(len(features)), key=lambda i: -variances[i])[:4]
-    cells_wanted = min(CELL_LIMIT, max(1, profile["n"] // 64))
-    per_dim = max(2, min(16, int(cells_wanted ** (1 / len(grid)) + 1e-9)))
-    edges = []
-    for dim in grid:
-        marks = profile[f"cuts{dim}"] or []
-        bins = per_dim - 1
-        picked = [marks[min(14, round(16 * b / bins) - 1)] for b in range(1, bins)] if marks else []
-        edges.append(sorted(set(picked)))
-    donors = materialise(weighted.withColumn(_CELL, _cell_code(features, grid, edges)), "donors")
-    described = donors.groupBy(_CELL).agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.min(f).alias(f"lo{i}") for i, f in enumerate(features)],
-        *[F.max(f).alias(f"hi{i}") for i, f in enumerate(features)],
-        *[F.count(f).alias(f"have{i}") for i, f in enumerate(features)],
-        *[
-            F.sum(F.when(F.col(f).isNotNull(), F.col(_WEIGHT)).otherwise(0)).alias(f"weight{i}")
-            for i, f in enumerate(features)
-        ],
+    marks = [profile[f"marks{i}"] or [] for i in range(len(features))]
+    limit = min(CELL_LIMIT, max(1, profile["n"] // 64))
+    grids = [_grid(i, marks, limit) for i in range(len(features))]
+    weighted = rows.groupBy(*features).agg(F.least(F.count(F.lit(1)), F.lit(k)).alias(_WEIGHT))
+    codes = {f"__cell{i}": _cell_code(features, grid) for i, grid in enumerate(grids)}
+    donors = materialise(weighted.withColumns(codes), "donors")
+    described = (
+        donors.select(*features, _WEIGHT, F.inline(_targets(features)))
+        .groupBy("target", "cell")
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.sum(_WEIGHT).alias("weight"),
+            *[F.min(f).alias(f"lo{i}") for i, f in enumerate(features)],
+            *[F.max(f).alias(f"hi{i}") for i, f in enumerate(features)],
+            *[F.count(f).alias(f"have{i}") for i, f in enumerate(features)],
+        )
     )
-    cells = [r.asDict() for r in described.orderBy(_CELL).collect()]
-    means = [profile[f"mean{i}"] for i in range(len(features))]
-    return KnnState(features, k, means, grid, edges, cells, donors)
+    cells = [r.asDict() for r in described.orderBy("target", "cell").collect()]
+    return KnnState(features, k, [profile[f"mean{i}"] for i in range(len(features))], grids, cells, donors)
 
 
 class _Boxes:
-    """The cell table as arrays, for bounding distances of a block of receivers."""
+    """The cells of one target as arrays, for bounding the distances of many receivers."""
 
     def __init__(self, cells: list[dict], p: int):
         def column(name):
-            return np.array(
-                [[np.nan if c[f"{name}{i}"] is None else c[f"{name}{i}"] for i in range(p)] for c in cells],
-                dtype=float,
-            ).reshape(len(cells), p)
-
-        self.ids = np.array([c[_CELL] for c in cells])
-        self.low, self.high, self.weight = column("lo"), column("hi"), column("weight")
-        have, rows = column("have"), np.array([[c["rows"]] for c in cells], dtype=float)
+            rows = [[np.nan if c[f"{name}{i}"] is None else c[f"{name}{i}"] for i in range(p)] for c in cells]
+            return np.array(rows, dtype=float).reshape(len(cells), p)
+
+        self.ids = np.array([c["cell"] for c in cells])
+        self.weight = np.array([c["weight"] for c in cells], dtype=float)
+        rows = np.array([[c["rows"]] for c in cells], dtype=float).reshape(-1, 1)
+        self.low, self.high, have = column("lo"), column("hi"), column("have")
         self.always, self.maybe = have == rows, have > 0
-        self.chunks = np.array([-(-c["rows"] // CHUNK_ROWS) for c in cells])
         self.p = p
 
-    def visits(self, x: np.ndarray, k: int) -> np.ndarray:
-        """Boolean receivers x cells x features: may the cell hold a neighbour giving the feature."""
+    def bounds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances no donor of a cell can be nearer or farther than."""
         seen = ~np.isnan(x)
-        shape = (len(x), len(self.ids))
-        near, far = np.zeros(shape), np.zeros(shape)
-        sure, most = np.zeros(shape), np.zeros(shape)
+        near, far = np.zeros((len(x), len(self.ids))), np.zeros((len(x), len(self.ids)))
+        sure, most = np.zeros_like(near), np.zeros_like(near)
         for i in range(self.p):
-            both = seen[:, i : i + 1] & self.maybe[:, i]
-            certain = seen[:, i : i + 1] & self.always[:, i]
-            under = self.low[:, i] - x[:, i : i + 1]
-            over = x[:, i : i + 1] - self.high[:, i]
+            rows = np.flatnonzero(seen[:, i])
+            if not len(rows):
+                continue
+            under = self.low[:, i] - x[rows, i : i + 1]
+            over = x[rows, i : i + 1] - self.high[:, i]
             gap = np.maximum(np.maximum(under, over), 0.0)
             reach = np.maximum(np.abs(under), np.abs(over))
-            near += np.where(certain, gap * gap, 0.0)
-            far += np.where(both, reach * reach, 0.0)
-            sure += certain
-            most += both
+            near[rows] += np.where(self.always[:, i], gap * gap, 0.0)
+            far[rows] += np.where(self.maybe[:, i], reach * reach, 0.0)
+            sure[rows] += self.always[:, i]
+            most[rows] += self.maybe[:, i]
         with np.errstate(divide="ignore", invalid="ignore"):
             lower = np.where(most > 0, near * self.p / most, np.inf)
             upper = np.where(sure > 0, far * self.p / sure, np.inf)
-        result = np.zeros((*shape, self.p), dtype=bool)
-        order = np.argsort(upper, axis=1)
-        sorted_upper = np.take_along_axis(upper, order, axis=1)
-        for i in range(self.p):
-            needy = ~seen[:, i]
-            if not needy.any():
-                continue
-            reached = np.cumsum(self.weight[:, i][order], axis=1) >= k
-            first = np.argmax(reached, axis=1)
-            limit = np.where(
-                reached.any(axis=1), sorted_upper[np.arange(len(x)), first], np.inf
-            )
-            limit = limit * (1 + 1e-9) + 1e-12
-            result[:, :, i] = (
-                needy[:, None] & (self.weight[:, i] > 0) & (lower <= limit[:, None]) & (most > 0)
-            )
-        return result
+        return lower, upper
+
+    def homes(self, lower: np.ndarray, upper: np.ndarray, k: int) -> np.ndarray:
+        """The nearest cells that together hold ``k`` donors."""
+        usable = np.isfinite(lower)
+        order = np.lexsort((upper, lower), axis=1)
+        weight = np.where(np.take_along_axis(usable, order, axis=1), self.weight[order], 0.0)
+        before = np.cumsum(weight, axis=1) - weight
+        chosen = np.zeros_like(usable)
+        np.put_along_axis(chosen, order, (before < k) & (weight > 0), axis=1)
+        return chosen
+
 
+def _visits(state: KnnState, rest: bool):
+    """mapInPandas function: receivers -> (vector, target, cell) to search.
 
-def _visit_rows(state: KnnState):
-    """mapInPandas function: receivers -> one row per (receiver, cell, donor chunk) to visit."""
-    cells, features, k = state.cells, state.features, state.k
+    First the home cells; with ``rest`` the other cells that may hold something at
+    least as close as the ``limit`` found at home for that target.
+    """
+    cells, names, k = state.cells, state.features, state.k
+    p = len(names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        boxes = _Boxes(cells, len(features))
+        boxes = [_Boxes([c for c in cells if c["target"] == i], p) for i in range(p)]
         for pdf in batches:
-            for start in range(0, len(pdf), 256):
-                part = pdf.iloc[start : start + 256].reset_index(drop=True)
-                needed = boxes.visits(part[features].to_numpy(dtype=float), k)
-                who, where = np.nonzero(needed.any(axis=2))
-                if not len(who):
-                    continue
-                bits = (needed[who, where] * (1 << np.arange(len(features)))).sum(axis=1)
-                repeat = boxes.chunks[where]
-                out = part.iloc[np.repeat(who, repeat)].reset_index(drop=True)
-                out[_CELL] = np.repeat(boxes.ids[where], repeat)
-                out["__need"] = np.repeat(bits, repeat)
-                offsets = np.arange(len(out)) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-                out[_CHUNK] = offsets
-                yield out
+            x = pdf[names].to_numpy(dtype=float)
+            wanted = pdf["target"].to_numpy() if rest else None
+            for i, box in enumerate(boxes):
+                rows = np.flatnonzero(wanted == i if rest else np.isnan(x[:, i]))
+                for start in range(0, len(rows) if len(box.ids) else 0, 256):
+                    part = rows[start : start + 256]
+                    lower, upper = box.bounds(x[part])
+                    chosen = box.homes(lower, upper, k)
+                    if rest:
+                        limit = pdf["limit"].to_numpy()[part] * (1 + 1e-9) + 1e-12
+                        chosen = ~chosen & (lower <= limit[:, None]) & np.isfinite(lower)
+                    who, where = np.nonzero(chosen)
+                    if len(who):
+                        out = pdf.iloc[part[who]][[*names, _KEY]].reset_index(drop=True)
+                        yield out.assign(target=np.int32(i), cell=box.ids[where].astype("int32"))
 
     return run
 
 
-def nearest(
-    receivers: np.ndarray, need: np.ndarray, donors: np.ndarray, weights: np.ndarray, k: int
-) -> Iterator[tuple[int, int, float, float, int]]:
-    """The closest donors of one unit: (receiver, feature, squared distance, value, weight)."""
+def nearest(x: np.ndarray, target: int, donors: np.ndarray, weights: np.ndarray, k: int) -> Iterator[tuple]:
+    """Closest donors of receivers ``x``: (receiver, squared distance, value, weight).
+
+    ``donors`` come sorted by the value they give, which settles equal distances.
+    """
     p = donors.shape[1]
-    for feature in range(p):
-        asking = np.flatnonzero((need >> feature) & 1)
-        giving = np.flatnonzero(~np.isnan(donors[:, feature]))
-        if not len(asking) or not len(giving):
-            continue
-        giving = giving[np.argsort(donors[giving, feature], kind="stable")]
-        pool, value, weight = donors[giving], donors[giving, feature], weights[giving]
-        for start in range(0, len(asking), 64):
-            block = asking[start : start + 64]
-            total = np.zeros((len(block), len(pool)))
-            common = np.zeros((len(block), len(pool)))
-            for i in range(p):
-                gap = receivers[block, i][:, None] - pool[:, i]
+    kth = min(k, len(donors)) - 1
+    for start in range(0, len(x), 64):
+        block = x[start : start + 64]
+        total, common = np.zeros((len(block), len(donors))), np.zeros((len(block), len(donors)))
+        for i in range(p):
+            if i != target:
+                gap = block[:, i][:, None] - donors[:, i]
                 known = ~np.isnan(gap)
                 total += np.where(known, gap * gap, 0.0)
                 common += known
-            with np.errstate(divide="ignore", invalid="ignore"):
-                distance = np.where(common > 0, total * p / common, np.inf)
-            kth = min(k, len(pool)) - 1
-            limits = np.partition(distance, kth, axis=1)[:, kth]
-            for row, receiver in enumerate(block):
-                if not np.isfinite(distance[row]).any():
-                    continue
-                close = np.flatnonzero((distance[row] <= limits[row]) & np.isfinite(distance[row]))
-                close = close[np.argsort(distance[row, close], kind="stable")]
-                before = np.cumsum(weight[close]) - weight[close]
-                for j in close[before < k]:
-                    yield int(receiver), feature, distance[row, j], value[j], int(weight[j])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            distance = np.where(common > 0, total * p / common, np.inf)
+        limits = np.partition(distance, kth, axis=1)[:, kth]
+        for row in range(len(block)):
+            close = np.flatnonzero((distance[row] <= limits[row]) & np.isfinite(distance[row]))
+            close = close[np.argsort(distance[row, close], kind="stable")]
+            before = np.cumsum(weights[close]) - weights[close]
+            for j in close[before < k]:
+                yield start + row, distance[row, j], donors[j, target], int(weights[j])
+
 
+_FOUND = f"{_KEY} string, target int, distance double, value double, weight long"
 
-_FOUND = "__vector string, feature int, distance double, value double, weight long"
 
+def _search_unit(names: list[str], k: int):
+    """cogroup function: receivers and donors of the cells of one unit."""
+    columns = [_KEY, "target", "distance", "value", "weight"]
 
-def _search_unit(features: list[str], k: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = [_KEY, "feature", "distance", "value", "weight"]
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=columns)
-        found = list(
-            nearest(
-                left[features].to_numpy(dtype=float),
-                left["__need"].to_numpy(),
-                right[features].to_numpy(dtype=float),
-                right[_WEIGHT].to_numpy(),
+        found = []
+        pools = dict(list(right.groupby(["target", "cell"], sort=False)))
+        for (target, cell), askers in left.groupby(["target", "cell"], sort=False):
+            pool = pools.get((target, cell))
+            if pool is None:
+                continue
+            pool = pool.sort_values(names[target], kind="stable")
+            keys = askers[_KEY].to_numpy()
+            hits = nearest(
+                askers[names].to_numpy(dtype=float),
+                int(target),
+                pool[names].to_numpy(dtype=float),
+                pool[_WEIGHT].to_numpy(),
                 k,
             )
-        )
-        keys = left[_KEY].to_numpy()
-        return pd.DataFrame([(keys[f[0]], *f[1:]) for f in found], columns=columns)
+            found.extend((keys[i], target, d, v, w) for i, d, v, w in hits)
+        return pd.DataFrame(found, columns=columns)
 
     return run
 
 
-def _lookup(spark: SparkSession, values: dict[int, int], name: str) -> DataFrame:
-    """Cell -> number, at most ``CELL_LIMIT`` rows, so always small enough to broadcast."""
-    return F.broadcast(spark.createDataFrame(list(values.items()), f"{_CELL} int, {name} int"))
+def _units(state: KnnState, visits: DataFrame) -> DataFrame:
+    """(target, cell) -> unit, donor chunks, receiver blocks. At most one row per cell, so broadcast."""
+    rows = {(c["target"], c["cell"]): c["rows"] for c in state.cells}
+    crowd = visits.groupBy("target", "cell").count().orderBy("target", "cell").collect()
+    table, unit, filled = [], 0, 0
+    for r in crowd:
+        donors, askers = rows[r["target"], r["cell"]], r["count"]
+        chunks, blocks = -(-donors // UNIT_ROWS), -(-askers // UNIT_ROWS)
+        if chunks > 1 or blocks > 1 or filled + donors + askers > UNIT_ROWS:
+            unit, filled = unit + 1, 0
+        table.append((r["target"], r["cell"], unit, chunks, blocks))
+        filled += donors + askers
+    schema = "target int, cell int, unit int, chunks int, blocks bigint"
+    return F.broadcast(visits.sparkSession.createDataFrame(table, schema))
+
+
+def _search(state: KnnState, visits: DataFrame) -> DataFrame:
+    """Up to ``k`` closest donors per visit."""
+    names = state.features
+    visits = materialise(visits, "visits")
+    units = _units(state, visits)
+    left = (
+        visits.join(units, ["target", "cell"])
+        .withColumn("block", F.pmod(F.xxhash64(_KEY), F.col("blocks")))
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    )
+    right = (
+        state.donors.select(*names, _WEIGHT, F.inline(_targets(names)))
+        .join(units, ["target", "cell"])
+        .withColumn("chunk", F.pmod(F.xxhash64(*names), F.col("chunks")).cast("int"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    )
+    by = ["unit", "chunk", "block"]
+    renewed = [F.col(c).alias(c) for c in by]  # both sides took ``unit`` from one table
+    return (
+        left.select(*names, _KEY, "target", "cell", *by)
+        .groupBy(*by)
+        .cogroup(right.select(*names, _WEIGHT, "target", "cell", *renewed).groupBy(*by))
+        .applyInPandas(_search_unit(names, state.k), _FOUND)
+    )
+
+
+def _running_weight() -> Column:
+    """Donors counted so far, nearest first, for one receiver and target; a few rows per visited cell."""
+    order = Window.partitionBy(_KEY, "target").orderBy("distance", "value")
+    return F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
 def imputed_cells(incomplete: DataFrame, state: KnnState) -> DataFrame:
     """One row per distinct incomplete vector with the value of each missing feature."""
-    spark, features = incomplete.sparkSession, state.features
-    receivers = incomplete.select(
-        *[F.col(f).cast("double").alias(f) for f in features]
-    ).distinct().withColumn(_KEY, _vector_key(features))
-    schema = T.StructType(
-        [*receivers.schema.fields]
-        + [
-            T.StructField(_CELL, T.IntegerType()),
-            T.StructField("__need", T.LongType()),
-            T.StructField(_CHUNK, T.LongType()),
-        ]
-    )
-    visits = materialise(receivers.mapInPandas(_visit_rows(state), schema), "visits")
-    crowds = visits.where(F.col(_CHUNK) == 0).groupBy(_CELL).count().collect()
-    blocks = {r[_CELL]: -(-r["count"] // CHUNK_ROWS) for r in crowds} or {0: 1}
-    chunks = {c[_CELL]: -(-c["rows"] // CHUNK_ROWS) for c in state.cells}
-    left = visits.join(_lookup(spark, blocks, "__n"), _CELL).withColumn(
-        _BLOCK, F.pmod(F.xxhash64(_KEY), F.col("__n")).cast("int")
-    )
-    right = (
-        state.donors.join(_lookup(spark, blocks, "__n"), _CELL)
-        .join(_lookup(spark, chunks, "__c"), _CELL)
-        .withColumn(_CHUNK, F.pmod(F.xxhash64(*features), F.col("__c")))
-        .withColumn(_BLOCK, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    names, k = state.features, state.k
+    vectors = [F.col(f).cast("double").alias(f) for f in names]
+    receivers = incomplete.select(*vectors).distinct().withColumn(_KEY, _vector_key(names))
+    if state.known is not None:
+        receivers = receivers.join(state.known, _KEY, "left_anti")
+    receivers = materialise(receivers, "receivers")
+    visit = ", ".join(f"`{f}` double" for f in names) + f", {_KEY} string, target int, cell int"
+    home = materialise(_search(state, receivers.mapInPandas(_visits(state, False), visit)), "home")
+    reached = home.withColumn("reached", _running_weight()).groupBy(_KEY, "target").agg(
+        F.coalesce(F.min(F.when(F.col("reached") >= k, F.col("distance"))), F.lit(float("inf"))).alias("limit")
     )
-    unit = [_CELL, _CHUNK, _BLOCK]
-    found = (
-        left.select(*features, _KEY, "__need", *unit)
-        .groupBy(*unit)
-        .cogroup(right.select(*features, _WEIGHT, *unit).groupBy(*unit))
-        .applyInPandas(_search_unit(features, state.k), _FOUND)
+    open_ = receivers.join(reached, _KEY)
+    rest = _search(state, open_.mapInPandas(_visits(state, True), visit))
+    counted = home.unionByName(rest).withColumn("reached", _running_weight())
+    taken = F.least(F.col("weight"), F.lit(k) - (F.col("reached") - F.col("weight")))
+    means = (
+        counted.withColumn("taken", taken)
+        .where("taken > 0")
+        .groupBy(_KEY, "target")
+        .agg((F.sum(F.col("value") * F.col("taken")) / F.sum("taken")).alias("mean"))
     )
-    ranked = Window.partitionBy(_KEY, "feature").orderBy("distance", "value")
-    before = F.sum("weight").over(ranked.rowsBetween(Window.unboundedPreceding, -1))
-    taken = F.least(F.col("weight"), F.lit(state.k) - F.coalesce(before, F.lit(0)))
-    chosen = found.withColumn("taken", taken).where("taken > 0")
-    means = chosen.groupBy(_KEY, "feature").agg(
-        (F.sum(F.col("value") * F.col("taken")) / F.sum("taken")).alias("mean")
-    )
-    return means.groupBy(_KEY).agg(
-        *[F.max(F.when(F.col("feature") == i, F.col("mean"))).alias(f"__new{i}") for i in range(len(features))]
+    wide = means.groupBy(_KEY).agg(
+        *[F.max(F.when(F.col("target") == i, F.col("mean"))).alias(f"__new{i}") for i in range(len(names))]
     )
+    return wide if state.known is None else wide.unionByName(state.known)
+
+
+def remember(train: DataFrame, state: KnnState) -> None:
+    """Keeps the answers for the training rows, so that transforming them searches only new vectors."""
+    gaps = " OR ".join(f"`{f}` IS NULL" for f in state.features)
+    state.known = materialise(imputed_cells(train.where(gaps), state), "known")
 
 
 def impute(df: DataFrame, state: KnnState) -> DataFrame:
     """Fills the features of ``df``; rows without gaps never enter the search or its joins."""
-    features = state.features
-    typed = df.withColumns({f: F.col(f).cast("double") for f in features})
-    gaps = " OR ".join(f"`{f}` IS NULL" for f in features)
+    names = state.features
+    typed = df.withColumns({f: F.col(f).cast("double") for f in names})
+    gaps = " OR ".join(f"`{f}` IS NULL" for f in names)
     incomplete = typed.where(gaps)
     cells = imputed_cells(incomplete, state)
-    filled = incomplete.withColumn(_KEY, _vector_key(features)).join(cells, _KEY, "left")
+    filled = incomplete.withColumn(_KEY, _vector_key(names)).join(cells, _KEY, "left")
     filled = filled.withColumns(
         {
             f: F.coalesce(F.col(f), F.col(f"__new{i}"), F.lit(state.means[i]).cast("double"))
-            for i, f in enumerate(features)
+            for i, f in enumerate(names)
         }
     )
     return typed.where(f"NOT ({gaps})").unionByName(filled.select(*typed.columns))

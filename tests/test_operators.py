@@ -180,7 +180,7 @@ def test_knn_matches_brute_force(spark, n, gaps, copies):
 
 def test_knn_with_small_chunks(spark, monkeypatch):
     """Crowded cells split into many units must not change the answer."""
-    monkeypatch.setattr(knn, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(knn, "UNIT_ROWS", 7)
     test_knn_matches_brute_force(spark, 400, 0.1, 0)
 
 
