@@ -166,13 +166,15 @@ class _Boxes:
         return lower, upper
 
     def homes(self, lower: np.ndarray, upper: np.ndarray, k: int) -> np.ndarray:
-        """The nearest cells that together hold ``k`` donors."""
-        usable = np.isfinite(lower)
-        order = np.lexsort((upper, lower), axis=1)
-        weight = np.where(np.take_along_axis(usable, order, axis=1), self.weight[order], 0.0)
+        """A few of the nearest cells that together hold ``k`` donors, where there are that many."""
+        chosen = np.zeros(lower.shape, dtype=bool)
+        cells = np.argpartition(lower, min(k, lower.shape[1]) - 1, axis=1)[:, :k]
+        near, far = np.take_along_axis(lower, cells, axis=1), np.take_along_axis(upper, cells, axis=1)
+        cells = np.take_along_axis(cells, np.lexsort((far, near), axis=1), axis=1)
+        usable = np.isfinite(np.take_along_axis(lower, cells, axis=1))
+        weight = np.where(usable, self.weight[cells], 0.0)
         before = np.cumsum(weight, axis=1) - weight
-        chosen = np.zeros_like(usable)
-        np.put_along_axis(chosen, order, (before < k) & (weight > 0), axis=1)
+        np.put_along_axis(chosen, cells, (before < k) & usable, axis=1)
         return chosen
 
 
@@ -184,6 +186,7 @@ def _visits(state: KnnState, rest: bool):
     """
     cells, names, k = state.cells, state.features, state.k
     p = len(names)
+    columns = [*names, _KEY, "limit", "target", "cell"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         boxes = [_Boxes([c for c in cells if c["target"] == i], p) for i in range(p)]
@@ -201,14 +204,14 @@ def _visits(state: KnnState, rest: bool):
                         chosen = ~chosen & (lower <= limit[:, None]) & np.isfinite(lower)
                     who, where = np.nonzero(chosen)
                     if len(who):
-                        out = pdf.iloc[part[who]][[*names, _KEY]].reset_index(drop=True)
-                        yield out.assign(target=np.int32(i), cell=box.ids[where].astype("int32"))
+                        out = pdf.iloc[part[who]].reset_index(drop=True)
+                        yield out.assign(target=np.int32(i), cell=box.ids[where].astype("int32"))[columns]
 
     return run
 
 
-def nearest(x: np.ndarray, target: int, donors: np.ndarray, weights: np.ndarray, k: int) -> Iterator[tuple]:
-    """Closest donors of receivers ``x``: (receiver, squared distance, value, weight).
+def nearest(x, limit, target: int, donors, weights, k: int) -> Iterator[tuple]:
+    """Closest donors of receivers ``x`` within ``limit``: (receiver, squared distance, value, weight).
 
     ``donors`` come sorted by the value they give, which settles equal distances.
     """
@@ -225,9 +228,10 @@ def nearest(x: np.ndarray, target: int, donors: np.ndarray, weights: np.ndarray,
                 common += known
         with np.errstate(divide="ignore", invalid="ignore"):
             distance = np.where(common > 0, total * p / common, np.inf)
-        limits = np.partition(distance, kth, axis=1)[:, kth]
-        for row in range(len(block)):
-            close = np.flatnonzero((distance[row] <= limits[row]) & np.isfinite(distance[row]))
+        within = (distance <= limit[start : start + 64, None]) & np.isfinite(distance)
+        for row in np.flatnonzero(within.any(axis=1)):
+            farthest = np.partition(distance[row], kth)[kth]
+            close = np.flatnonzero(within[row] & (distance[row] <= farthest))
             close = close[np.argsort(distance[row, close], kind="stable")]
             before = np.cumsum(weights[close]) - weights[close]
             for j in close[before < k]:
@@ -252,6 +256,7 @@ def _search_unit(names: list[str], k: int):
             keys = askers[_KEY].to_numpy()
             hits = nearest(
                 askers[names].to_numpy(dtype=float),
+                askers["limit"].to_numpy(),
                 int(target),
                 pool[names].to_numpy(dtype=float),
                 pool[_WEIGHT].to_numpy(),
@@ -263,8 +268,11 @@ def _search_unit(names: list[str], k: int):
     return run
 
 
-def _units(state: KnnState, visits: DataFrame) -> DataFrame:
-    """(target, cell) -> unit, donor chunks, receiver blocks. At most one row per cell, so broadcast."""
+def _units(state: KnnState, visits: DataFrame) -> tuple[DataFrame, int]:
+    """(target, cell) -> unit, donor chunks, receiver blocks, and how many units there are.
+
+    At most one row per cell, and the number of cells is bounded, so it is broadcast.
+    """
     rows = {(c["target"], c["cell"]): c["rows"] for c in state.cells}
     crowd = visits.groupBy("target", "cell").count().orderBy("target", "cell").collect()
     table, unit, filled = [], 0, 0
@@ -276,14 +284,14 @@ def _units(state: KnnState, visits: DataFrame) -> DataFrame:
         table.append((r["target"], r["cell"], unit, chunks, blocks))
         filled += donors + askers
     schema = "target int, cell int, unit int, chunks int, blocks bigint"
-    return F.broadcast(visits.sparkSession.createDataFrame(table, schema))
+    return F.broadcast(visits.sparkSession.createDataFrame(table, schema)), unit + 1
 
 
 def _search(state: KnnState, visits: DataFrame) -> DataFrame:
     """Up to ``k`` closest donors per visit."""
     names = state.features
     visits = materialise(visits, "visits")
-    units = _units(state, visits)
+    units, count = _units(state, visits)
     left = (
         visits.join(units, ["target", "cell"])
         .withColumn("block", F.pmod(F.xxhash64(_KEY), F.col("blocks")))
@@ -295,12 +303,15 @@ def _search(state: KnnState, visits: DataFrame) -> DataFrame:
         .withColumn("chunk", F.pmod(F.xxhash64(*names), F.col("chunks")).cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     )
+    # A fixed number of tasks: small inputs would be merged into few, but the work is in the search.
+    tasks = max(visits.sparkSession.sparkContext.defaultParallelism, min(count, 4096))
     by = ["unit", "chunk", "block"]
     renewed = [F.col(c).alias(c) for c in by]  # both sides took ``unit`` from one table
+    asking = left.select(*names, _KEY, "limit", "target", "cell", *by).repartition(tasks, *by)
+    giving = right.select(*names, _WEIGHT, "target", "cell", *renewed).repartition(tasks, *by)
     return (
-        left.select(*names, _KEY, "target", "cell", *by)
-        .groupBy(*by)
-        .cogroup(right.select(*names, _WEIGHT, "target", "cell", *renewed).groupBy(*by))
+        asking.groupBy(*by)
+        .cogroup(giving.groupBy(*by))
         .applyInPandas(_search_unit(names, state.k), _FOUND)
     )
 
@@ -318,14 +329,17 @@ def imputed_cells(incomplete: DataFrame, state: KnnState) -> DataFrame:
     receivers = incomplete.select(*vectors).distinct().withColumn(_KEY, _vector_key(names))
     if state.known is not None:
         receivers = receivers.join(state.known, _KEY, "left_anti")
-    receivers = materialise(receivers, "receivers")
-    visit = ", ".join(f"`{f}` double" for f in names) + f", {_KEY} string, target int, cell int"
-    home = materialise(_search(state, receivers.mapInPandas(_visits(state, False), visit)), "home")
+    receivers = materialise(receivers.withColumn("limit", F.lit(float("inf"))), "receivers")
+    # Bounding is heavy per row, so tasks are sized by rows, not by bytes.
+    tasks = max(receivers.sparkSession.sparkContext.defaultParallelism, receivers.count() // UNIT_ROWS)
+    visit = ", ".join(f"`{f}` double" for f in names) + f", {_KEY} string, limit double, target int, cell int"
+    asking = receivers.repartition(tasks, _KEY)
+    home = materialise(_search(state, asking.mapInPandas(_visits(state, False), visit)), "home")
     reached = home.withColumn("reached", _running_weight()).groupBy(_KEY, "target").agg(
         F.coalesce(F.min(F.when(F.col("reached") >= k, F.col("distance"))), F.lit(float("inf"))).alias("limit")
     )
-    open_ = receivers.join(reached, _KEY)
-    rest = _search(state, open_.mapInPandas(_visits(state, True), visit))
+    bounded = asking.drop("limit").join(reached.repartition(tasks, _KEY), _KEY)
+    rest = _search(state, bounded.mapInPandas(_visits(state, True), visit))
     counted = home.unionByName(rest).withColumn("reached", _running_weight())
     taken = F.least(F.col("weight"), F.lit(k) - (F.col("reached") - F.col("weight")))
     means = (
