@@ -31,6 +31,7 @@ from tabforge.session import materialise
 
 CELL_LIMIT = 2048
 UNIT_ROWS = 20_000
+PACK_ROWS = 4_000
 _MARKS = 256
 _KEY, _WEIGHT = "__vector", "__weight"
 
@@ -279,7 +280,7 @@ def _units(state: KnnState, visits: DataFrame) -> tuple[DataFrame, int]:
     for r in crowd:
         donors, askers = rows[r["target"], r["cell"]], r["count"]
         chunks, blocks = -(-donors // UNIT_ROWS), -(-askers // UNIT_ROWS)
-        if chunks > 1 or blocks > 1 or filled + donors + askers > UNIT_ROWS:
+        if chunks > 1 or blocks > 1 or filled + donors + askers > PACK_ROWS:
             unit, filled = unit + 1, 0
         table.append((r["target"], r["cell"], unit, chunks, blocks))
         filled += donors + askers

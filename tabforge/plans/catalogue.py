@@ -10,7 +10,7 @@ from tabforge.plans import (
     serving_queries,
 )
 
-FLAGSHIP = "strategy_v1"
+FLAGSHIP = "train_linear"
 _PARTS = (data_queries, prep_queries, model_queries, run_queries, serving_queries)
 QUERIES = {name: q for part in _PARTS for name, q in part.catalogue.queries.items()}
 ORACLES = {name: q for part in _PARTS for name, q in part.catalogue.oracles.items()}

@@ -392,7 +392,8 @@ def route_rows(spark: SparkSession, sf: str) -> DataFrame:
 )
 def route_share(spark: SparkSession, sf: str) -> DataFrame:
     configured = split.effective_split(True, True, 0.7)
-    routed = route_rows(spark, sf).join(table(spark, sf, "events").select("event_id", "event_type"), "event_id")
+    served = split.route(F.col("event_id"), weight=0.7).alias("served_by")
+    routed = table(spark, sf, "events").select("event_type", served)
     n = F.count(F.lit(1))
     return routed.groupBy("event_type").agg(
         n.alias("n"),

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from tabforge.operators import metrics, resample
 from tabforge.operators.models import create_model, importance_table
 from tabforge.operators.split import train_test_split
@@ -46,10 +44,7 @@ def regression_metrics(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {SCORED_CTE} SELECT is_open, p_size, count(*) AS n, {METRICS_SQL} FROM scored GROUP BY is_open, p_size",
 )
 def metrics_by_group(spark: SparkSession, sf: str) -> DataFrame:
-    rows = scored(spark, sf)
-    by = ["is_open", "p_size"]
-    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return metrics.regression_metrics(rows, "y", "prediction", by).join(counts, by)
+    return metrics.regression_metrics(scored(spark, sf), "y", "prediction", ["is_open", "p_size"], count="n")
 
 
 _SPLIT_SCORED = f"{SCORED_CTE}, {split_sql('scored')}"
