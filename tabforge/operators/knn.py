@@ -305,7 +305,7 @@ def _search(state: KnnState, visits: DataFrame) -> DataFrame:
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     )
     # A fixed number of tasks: small inputs would be merged into few, but the work is in the search.
-    tasks = max(visits.sparkSession.sparkContext.defaultParallelism, min(count, 4096))
+    tasks = max(visits.sparkSession.sparkContext.defaultParallelism, min(count // 4, 4096))
     by = ["unit", "chunk", "block"]
     renewed = [F.col(c).alias(c) for c in by]  # both sides took ``unit`` from one table
     asking = left.select(*names, _KEY, "limit", "target", "cell", *by).repartition(tasks, *by)
@@ -340,7 +340,7 @@ def imputed_cells(incomplete: DataFrame, state: KnnState) -> DataFrame:
         F.coalesce(F.min(F.when(F.col("reached") >= k, F.col("distance"))), F.lit(float("inf"))).alias("limit")
     )
     bounded = asking.drop("limit").join(reached.repartition(tasks, _KEY), _KEY)
-    rest = _search(state, bounded.mapInPandas(_visits(state, True), visit))
+    rest = materialise(_search(state, bounded.mapInPandas(_visits(state, True), visit)), "rest")
     counted = home.unionByName(rest).withColumn("reached", _running_weight())
     taken = F.least(F.col("weight"), F.lit(k) - (F.col("reached") - F.col("weight")))
     means = (
