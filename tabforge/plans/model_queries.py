@@ -22,6 +22,7 @@ from tabforge.plans.frames import (
 )
 from tabforge.plans.prep_queries import parted
 from tabforge.plans.registry import Catalogue, rounded
+from tabforge.session import materialise
 from tabforge.spec import FeatureSpec
 
 catalogue = Catalogue()
@@ -86,7 +87,7 @@ _SLOPE = "covar_pop(y, l_quantity) * count(*) / (var_pop(l_quantity) * count(*)
     SELECT row_key, round(my + b * (l_quantity - mx), 4) AS prediction FROM frame, fit""",
 )
 def ridge_one_feature(spark: SparkSession, sf: str) -> DataFrame:
-    rows = frame(spark, sf).select("row_key", "l_quantity", "y")
+    rows = materialise(frame(spark, sf).select("row_key", "l_quantity", "y"), "ridge")
     fitted = create_model("linear", ONE, alpha=1.0).fit(rows)
     return rounded(fitted.transform(rows).select("row_key", "prediction"), "prediction", digits=4)
 
@@ -209,5 +210,6 @@ def importance_topn(spark: SparkSession, sf: str) -> DataFrame:
     SELECT 'l_quantity' AS feature, round(b / b, 6) AS importance, 1 AS rank FROM fit""",
 )
 def linear_importance(spark: SparkSession, sf: str) -> DataFrame:
-    fitted = create_model("linear", ONE).fit(frame(spark, sf).select("row_key", "l_quantity", "y"))
+    rows = materialise(frame(spark, sf).select("row_key", "l_quantity", "y"), "ridge")
+    fitted = create_model("linear", ONE).fit(rows)
     return rounded(importance_table(spark, fitted), "importance")
