@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.frames import text_hash, unused
+from tabforge.llm.frames import restrict, row_key, text_hash
 from tabforge.llm.words import PLAIN_WORD, Words, batches, roll, split
 from tabforge.session import materialise
 
@@ -262,11 +262,10 @@ def hits(spans) -> F.Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+def clean(
+    docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options
+) -> DataFrame:
     """The rows of ``docs`` that contain no window of the benchmark."""
     found = find(docs, benchmark, id_column, text_column, **options).where(F.size("spans") > 0)
-    found = found.select(F.col("doc_id").alias("_found"), F.col("text_hash").alias("_found_hash")).distinct()
-    own = unused(docs, "text_hash")
-    rows = docs.withColumn(own, text_hash(text_column))
-    on = rows[id_column].eqNullSafe(found["_found"]) & (rows[own] == found["_found_hash"])
-    return rows.join(found, on, "left_anti").drop(own)
+    keys = found.select(row_key("doc_id", F.col("text_hash")).alias("key"))
+    return restrict(docs, row_key(id_column, text_hash(text_column)), keys, "left_anti")

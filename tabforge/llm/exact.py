@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.frames import unused
+from tabforge.llm.frames import restrict, row_key
 from tabforge.session import materialise
 
 
@@ -67,8 +67,6 @@ def mark_copies(
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of equal texts the one with the largest id, once."""
     marks = mark_copies(docs, id_column, text_column).where("kept")
-    keep = marks.select(F.col(id_column).alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = unused(docs, "sha256")
-    rows = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text_column), F.lit("")), 256))
-    on = rows[id_column].eqNullSafe(keep["_keep"]) & (rows[sha] == keep["_sha"])
-    return rows.join(keep, on, "left_semi").dropDuplicates([id_column, sha]).drop(sha)
+    keys = marks.select(row_key(id_column, F.col("text_sha256")).alias("key"))
+    own = row_key(id_column, F.sha2(F.coalesce(F.col(text_column), F.lit("")), 256))
+    return restrict(docs, own, keys, "left_semi", once=True)

@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabforge.llm import decontaminate, exact, nearcopies, packing, substrings, tokenfiles, urlfilter
+from tabforge.llm import (
+    decontaminate,
+    exact,
+    nearcopies,
+    packing,
+    personal,
+    quality,
+    substrings,
+    tokenfiles,
+    toxicity,
+    urlfilter,
+)
 from tabforge.plans.registry import Catalogue
 
 catalogue = Catalogue()
@@ -51,6 +62,22 @@ def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), rules, ["page_id"])
 
 
+@query("op2_personal_data")
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = personal.find(docs, personal.fit(docs))
+    counts = [
+        F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}")
+        for kind in personal.KINDS
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(personal.written("base"), 256).alias("base_sha256"),
+        personal.written("spans").alias("spans"),
+    )
+
+
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
@@ -87,6 +114,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_quality")
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs))
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 w AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS win
@@ -123,6 +156,12 @@ def op7_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.mark_copies(table(spark, sf_dir, "documents"))
 
 
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op9_token_files")
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")

@@ -5,14 +5,15 @@ there to the end of its document. Suffixes are split into groups by their first
 share it, by their first 2, 4, 8 and at last ``size`` words, so a group fits the memory of a task. A group's subtree
 is kept as its suffixes in the order of a path digest: the nodes at depth ``size`` are the runs of equal digests, and
 those with several leaves are the repeats; neighbouring ones make up the maximal repeats. A suffix
-travels as its digest (64 bits, next to the bits that chose its group), its document and its start, in
-compressed blocks; words never do, since each would be sent ``size`` times.
+travels as its digest (56 bits, next to the bits that chose its group), its document and its start, in
+compressed blocks; words never do, since each would be sent ``size`` times. Among n suffixes in groups of g about
+n * g / 2**57 pairs agree by chance: 0.001 at 10**8 suffixes.
 
 A passage that a third of all documents share is one node. Each task sends only its first suffix of a node; its
 other ones are repeats whatever other tasks have, and go straight to the result.
 
 Defined results: null and empty texts have no words. Null ids come before all others. Rows that repeat an id count
-as one document: equal words at the same start are not earlier than each other. An empty table gives an empty
+as one document, equal words at the same start are not earlier than each other, and a 32-bit hash tells their texts apart. An empty table gives an empty
 result. No other column is read.
 """
 
@@ -25,15 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.frames import text_hash
-from tabforge.llm.words import SPACED_WORD, Words, batches, covered, roll, split, starts
+from tabforge.llm.words import SPACED_WORD, Words, batches, mix, roll, split, starts
 
 #: Suffixes in a group and in a block, about.
 GROUP = 1_500_000
 CHUNK = 1_500_000
 LEVELS = (1, 2, 4, 8)
 NULL_ID = np.iinfo(np.int64).min
-REPEATS = "doc_id long, text_hash long, at array<long>"
+SPANS = "doc_id long, text_hash int, begin array<long>, end array<long>"
+#: Bytes of a path digest that travel; the group stands for further bits.
+DIGEST_BYTES = 7
 
 
 def _bins(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -69,23 +71,62 @@ def _route(digests: np.ndarray, begin: np.ndarray, size: int, bits: int, heavy:
     return route
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    import zstandard
+def _planes(values: np.ndarray) -> bytes:
+    """All lowest bytes, then all second ones, and so on: small numbers compress to little."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _from_planes(data: bytes, kind: str, count: int, at: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(data, np.uint8, count * width, at).reshape(width, count)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
-    data = b"".join(c.tobytes() for c in columns)
-    return zstandard.ZstdCompressor(level=1).compress(data)
 
+def _pack(ids: np.ndarray, hashes: np.ndarray, at: np.ndarray, digest: np.ndarray | None = None) -> bytes:
+    """Suffixes in the order of their documents, as runs of one document, steps within it, and digests."""
+    import zstandard
 
-def _unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
+    begins = np.concatenate(([True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])))
+    runs = np.flatnonzero(begins)
+    step = np.diff(at, prepend=np.uint32(0))
+    step[runs] = at[runs]
+    rest = [
+        _planes(step),
+        _planes(np.diff(np.append(runs, len(ids))).astype(np.uint32)),
+        _planes(np.diff(ids[runs], prepend=np.int64(0))),
+        _planes(hashes[runs]),
+    ]
+    own = b"" if digest is None else _planes(digest)[len(digest) * (8 - DIGEST_BYTES) :]
+    head = np.array([len(ids), len(runs), len(own)], np.int64).tobytes()
+    return head + own + zstandard.ZstdCompressor(level=1).compress(b"".join(rest))
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """ids, hashes, starts, digests of a block."""
     import zstandard
 
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    sizes = [np.dtype(k).itemsize for k in kinds.split()]
-    count, at, out = len(data) // sum(sizes), 0, []
-    for kind, width in zip(kinds.split(), sizes, strict=True):
-        out.append(np.frombuffer(data, kind, count, at))
-        at += count * width
-    return out
+    count, runs, size = (int(n) for n in np.frombuffer(blob, np.int64, 3))
+    digest = None
+    if size:
+        digest = _from_planes(bytes((8 - DIGEST_BYTES) * count) + blob[24 : 24 + size], "<u8", count, 0)
+    rest = zstandard.ZstdDecompressor().decompress(blob[24 + size :])
+    step = _from_planes(rest, "<u4", count, 0)
+    many = _from_planes(rest, "<u4", runs, 4 * count)
+    ids = np.cumsum(_from_planes(rest, "<i8", runs, 4 * (count + runs)))
+    hashes = _from_planes(rest, "<i4", runs, 4 * (count + 3 * runs))
+    total = np.cumsum(step, dtype=np.int64)
+    first = np.cumsum(many, dtype=np.int64) - many
+    at = total - np.repeat(total[first] - step[first], many)
+    return np.repeat(ids, many), np.repeat(hashes, many), at.astype(np.uint32), digest
+
+
+def _dealt(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Every group with the rows that belong to it, in their order."""
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True]))) if len(group) else []
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        yield int(group[low]), order[low:high]
 
 
 class _Chunk:
@@ -114,7 +155,7 @@ class _Chunk:
         )
         self.size += len(begin)
 
-    def blocks(self, groups: int) -> Iterator[tuple[int, bool, bytes]]:
+    def blocks(self, groups: int) -> Iterator[tuple[int, bytes]]:
         digest, route, ids, hashes, at = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         self.parts, self.size = [], 0
         if (ids[1:] < ids[:-1]).any():
@@ -126,16 +167,11 @@ class _Chunk:
         repeated[order[again]] = True
         known = np.flatnonzero(repeated)
         if len(known):
-            yield int(route[0] % np.uint64(groups)), True, _pack(ids[known], hashes[known], at[known])
+            yield int(route[0] % np.uint64(groups)), _pack(ids[known], hashes[known], at[known])
         rest = np.flatnonzero(~repeated)
-        group = (route[rest] % np.uint64(groups)).astype(np.int32)
-        order = np.argsort(group, kind="stable")
-        rest, group = rest[order], group[order]
-        edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
-        for low, high in zip(edges[:-1], edges[1:], strict=True):
-            some = rest[low:high]
-            columns = (digest[some], ids[some], hashes[some], np.diff(at[some], prepend=np.uint32(0)))
-            yield int(group[low]), False, _pack(*columns)
+        for group, some in _dealt((route[rest] % np.uint64(groups)).astype(np.int32)):
+            some = rest[some]
+            yield group, _pack(ids[some], hashes[some], at[some], digest[some])
 
 
 def _later(digest: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -152,11 +188,8 @@ def _deal(size: int, bits: int, heavy: list[np.ndarray], groups: int):
         chunk = _Chunk()
 
         def out():
-            group, known, blobs = zip(*chunk.blocks(groups), strict=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(group, pa.int32()), pa.array(known, pa.bool_()), pa.array(blobs, pa.binary())],
-                ["group", "known", "block"],
-            )
+            group, blobs = zip(*chunk.blocks(groups), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(blobs, pa.binary())], ["group", "block"])
 
         for batch in batches(rows):
             chunk.add(batch, split(batch.column("text"), SPACED_WORD), size, bits, heavy)
@@ -168,60 +201,89 @@ def _deal(size: int, bits: int, heavy: list[np.ndarray], groups: int):
     return run
 
 
-def _repeats(table: pa.Table) -> pa.Table:
-    """The suffixes of a group whose node at full depth has an earlier leaf, per document."""
-    parts, known = [], []
-    for is_known, blob in zip(table.column("known").to_pylist(), table.column("block").to_pylist(), strict=True):
-        if is_known:
-            known.append(_unpack(blob, "<i8 <i8 <u4"))
-        else:
-            digest, ids, hashes, step = _unpack(blob, "<u8 <i8 <i8 <u4")
-            parts.append((digest, ids, hashes, np.cumsum(step, dtype=np.uint32)))
-    if parts:
-        digest, ids, hashes, at = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.argsort(digest, kind="stable")
-        run = digest[order]
-        same = np.zeros(len(run) + 1, bool)
-        same[1:-1] = run[1:] == run[:-1]
-        order = order[same[1:] | same[:-1]]
-        order = order[np.lexsort((at[order], ids[order], digest[order]))]
-        order = order[_later(digest[order], ids[order], at[order])]
-        known.append((ids[order], hashes[order], at[order]))
-    ids, hashes, at = (np.concatenate(c) for c in zip(*known, strict=True))
-    order = np.lexsort((at, hashes, ids))
-    ids, hashes, at = ids[order], hashes[order], at[order]
-    change = (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])
-    edges = np.flatnonzero(np.concatenate((np.ones(min(len(ids), 1), bool), change)))
-    ends = np.append(edges, len(ids)).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int64)))
-    own = pa.array(ids[edges], mask=ids[edges] == NULL_ID)
-    return pa.Table.from_arrays([own, pa.array(hashes[edges]), lists], ["doc_id", "text_hash", "at"])
-
-
-def _cutter(size: int):
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
-            made = split(batch.column("text"), SPACED_WORD)
-            lists = batch.column("at")
-            counts = np.asarray(lists.value_lengths().fill_null(0))
-            at = np.asarray(lists.flatten()) + np.repeat(made.first[:-1], counts)
-            kept = ~covered(at.astype(np.int64), size, len(made.begin))
-            kept_so_far = np.concatenate(([0], np.cumsum(kept)))
-            n_kept = kept_so_far[made.first[1:]] - kept_so_far[made.first[:-1]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("text_hash"),
-                    pa.array(made.counts),
-                    pa.array(made.counts - n_kept),
-                    _joined(made, kept, n_kept),
-                ],
-                ["doc_id", "text_hash", "n_words", "n_removed", "kept"],
-            )
+def _repeats(groups: int):
+    """The suffixes of a group whose node at full depth has an earlier leaf, dealt by document."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts, known = [], []
+        for blob in table.column("block").to_pylist():
+            made = _unpack(blob)
+            (known if made[3] is None else parts).append(made)
+        known = [k[:3] for k in known]
+        if parts:
+            ids, hashes, at, digest = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.argsort(digest, kind="stable")
+            run = digest[order]
+            same = np.zeros(len(run) + 1, bool)
+            same[1:-1] = run[1:] == run[:-1]
+            order = order[same[1:] | same[:-1]]
+            order = order[np.lexsort((at[order], ids[order], digest[order]))]
+            order = order[_later(digest[order], ids[order], at[order])]
+            known.append((ids[order], hashes[order], at[order]))
+        ids, hashes, at = (np.concatenate(c) for c in zip(*known, strict=True))
+        order = np.lexsort((at, hashes, ids))
+        ids, hashes, at = ids[order], hashes[order], at[order]
+        bucket = (mix(ids.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
+        made = [(b, _pack(ids[some], hashes[some], at[some])) for b, some in _dealt(bucket)]
+        return pa.table(
+            {"bucket": pa.array([b for b, _ in made], pa.int32()), "block": pa.array([b for _, b in made], pa.binary())}
+        )
 
     return run
 
 
+def _merged(size: int):
+    """Spans of repeated words, from all suffixes of the documents of a bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [_unpack(b)[:3] for b in table.column("block").to_pylist()]
+        ids, hashes, at = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((at, hashes, ids))
+        ids, hashes, at = ids[order], hashes[order], at[order].astype(np.int64)
+        own = np.concatenate(([True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])))
+        begins = own.copy()
+        begins[1:] |= at[1:] > at[:-1] + size
+        spans = np.flatnonzero(begins)
+        last = np.append(spans[1:], len(ids)) - 1
+        documents = np.flatnonzero(own[spans])
+        offsets = pa.array(np.append(documents, len(spans)).astype(np.int32))
+        ids, hashes = ids[spans[documents]], hashes[spans[documents]]
+        return pa.table(
+            {
+                "doc_id": pa.array(ids, mask=ids == NULL_ID),
+                "text_hash": pa.array(hashes),
+                "begin": pa.ListArray.from_arrays(offsets, pa.array(at[spans])),
+                "end": pa.ListArray.from_arrays(offsets, pa.array(at[last] + size)),
+            }
+        )
+
+    return run
+
+
+def _cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leaves the spans out of the texts."""
+    for batch in batches(rows):
+        made = split(batch.column("text"), SPACED_WORD)
+        counts = np.asarray(batch.column("begin").value_lengths().fill_null(0))
+        shift = np.repeat(made.first[:-1], counts)
+        change = np.zeros(len(made.begin) + 1, np.int64)
+        np.add.at(change, np.asarray(batch.column("begin").flatten()) + shift, 1)
+        np.add.at(change, np.asarray(batch.column("end").flatten()) + shift, -1)
+        kept = np.cumsum(change[:-1]) == 0
+        kept_so_far = np.concatenate(([0], np.cumsum(kept)))
+        n_kept = kept_so_far[made.first[1:]] - kept_so_far[made.first[:-1]]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                batch.column("text_hash"),
+                pa.array(made.counts),
+                pa.array(made.counts - n_kept),
+                _joined(made, kept, n_kept),
+            ],
+            ["doc_id", "text_hash", "n_words", "n_removed", "kept"],
+        )
+
+
 def _joined(made: Words, kept: np.ndarray, n_kept: np.ndarray) -> pa.Array:
     """The kept words of every text with one space between them."""
     begin, end = made.begin[kept], made.end[kept].copy()
@@ -246,7 +308,11 @@ def remove_repeats(
     A word goes if a run of ``size`` words around it also starts earlier. One scan counts prefixes, one sends the
     suffixes to their groups, and one joins the repeats, a list per document, with the texts.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), text_hash(text_column).alias("text_hash"))
+    rows = docs.select(
+        F.col(id_column).cast("long").alias("doc_id"),
+        F.col(text_column).alias("text"),
+        F.hash(F.coalesce(F.col(text_column), F.lit(""))).alias("text_hash"),
+    )
     session = docs.sparkSession
     letters = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-letters // (5 * group)))
@@ -257,15 +323,13 @@ def remove_repeats(
     heavy = [np.zeros(1 << bits, bool) for _ in LEVELS]
     for r in crowded.where(F.col("n") > limit).collect():
         heavy[r["level"]][r["bin"]] = True
-    dealt = rows.mapInArrow(_deal(size, bits, heavy, groups), "group int, known boolean, block binary")
-    repeats = dealt.groupBy("group").applyInArrow(_repeats, REPEATS)
-    repeats = repeats.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("at")).alias("at"))
-    repeats = repeats.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "at")
-    on = rows["doc_id"].eqNullSafe(repeats["_id"]) & (rows["text_hash"] == repeats["_hash"])
-    joined = rows.join(repeats, on, "left").select("doc_id", "text", "text_hash", "at")
-    return joined.mapInArrow(
-        _cutter(size), "doc_id long, text_hash long, n_words long, n_removed long, kept string"
-    )
+    dealt = rows.mapInArrow(_deal(size, bits, heavy, groups), "group int, block binary")
+    repeats = dealt.groupBy("group").applyInArrow(_repeats(groups), "bucket int, block binary")
+    spans = repeats.groupBy("bucket").applyInArrow(_merged(size), SPANS)
+    spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "begin", "end")
+    on = rows["doc_id"].eqNullSafe(spans["_id"]) & (rows["text_hash"] == spans["_hash"])
+    joined = rows.join(spans, on, "left").select("doc_id", "text", "text_hash", "begin", "end")
+    return joined.mapInArrow(_cut, "doc_id long, text_hash int, n_words long, n_removed long, kept string")
 
 
 def sha256(column: str = "kept") -> Column:
