@@ -66,8 +66,9 @@ def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = personal.find(docs, personal.fit(docs))
+    kinds = F.transform("base", lambda s: s["kind"])
     counts = [
-        F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}")
+        F.size(F.array_remove(F.transform(kinds, lambda k: k != F.lit(kind)), True)).cast("long").alias(f"n_{kind}")
         for kind in personal.KINDS
     ]
     return found.select(
