@@ -4,8 +4,8 @@ Two zstandard dictionaries are trained on separate texts: one on the words of or
 of toxic documents that ordinary ones lack and that stand behind several different words (copies of a document
 repeat a word behind the same one). Each document is cut into windows of ``WINDOW`` words. A window is compressed with the
 ordinary dictionary alone and with the toxic one after it; the bytes saved measure how much of it only toxic text
-explains. A logistic regression on labelled documents that the dictionaries have not seen calibrates the
-savings of a document's windows to a score.
+explains. A logistic regression on labelled documents, each seen through dictionaries of the sample's other half,
+calibrates the savings of a document's windows to a score.
 
 The fit sees a bounded sample: of each class the ``SAMPLE`` labelled rows with the smallest hash of their id, without
 texts beyond ``LONGEST`` bytes. Labels are read only where crc32 of the id as text is no multiple of ``FOLDS``.
@@ -35,8 +35,8 @@ LONGEST = 20_000
 FOLDS = 5
 LEVEL = 3
 TOXIC_BYTES, ORDINARY_BYTES = 2048, 16384
-#: Different words before a word that make it more than a copied one.
-SUPPORT = 4
+#: A toxic word stands behind this many different words at least, or this share of the toxic documents.
+SUPPORT, SUPPORT_SHARE = 4, 0.003
 
 
 def held_out(id_column: str) -> Column:
@@ -136,7 +136,8 @@ def _samples(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[lis
         for last, word in zip([b"", *own], own, strict=False):
             if word not in usual:
                 before[word].add(last)
-    telling = {w for w, seen in before.items() if len(seen) >= SUPPORT}
+    least = max(SUPPORT, SUPPORT_SHARE * len(toxic))
+    telling = {w for w, seen in before.items() if len(seen) >= least}
     marked = [[w for w in own if w in telling] for own in toxic]
     lines = [b" " + b" ".join(own) + b" " for own in marked if own]
     return lines, [b" " + b" ".join(own) + b" " for own in ordinary if own]
@@ -169,21 +170,28 @@ def sample(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_c
     return joined.select("text", "toxic", (F.xxhash64("_id", F.lit(1)) % 2 == 0).alias("half"))
 
 
+def _model(toxic: list[str], ordinary: list[str]) -> Model:
+    marked, usual = _samples(_words(toxic), _words(ordinary))
+    made = (_dictionary(marked, TOXIC_BYTES), _dictionary(usual, ORDINARY_BYTES))
+    return Model(*made, np.zeros(8), np.ones(8), np.zeros(9))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> Model:
-    """Dictionaries from one half of the sample, calibration on the other."""
+    """Dictionaries from the sample; the calibration sees each half with dictionaries from the other one."""
     rows = sorted(map(tuple, sample(docs, labels, id_column, text_column).collect()))
     texts = {(t, h): [r[0] for r in rows if r[1] == t and r[2] == h] for t in (0, 1) for h in (False, True)}
     if not all(texts.values()):
         share = float(np.mean([r[1] for r in rows])) if rows else 0.0
         return Model(b"", b"", np.zeros(8), np.ones(8), np.zeros(9), share)
-    marked, usual = _samples(_words(texts[1, True]), _words(texts[0, True]))
-    if not marked:
-        return Model(b"", b"", np.zeros(8), np.ones(8), np.zeros(9), float(np.mean([r[1] for r in rows])))
-    model = Model(_dictionary(marked, TOXIC_BYTES), _dictionary(usual, ORDINARY_BYTES), np.zeros(8), np.ones(8), np.zeros(9))
-    compressors = model.compressors()
-    given = texts[0, False] + texts[1, False]
-    x = model.features(split(pa.array(given, pa.string()), PLAIN_WORD, lower=True), compressors)
-    y = np.repeat([0.0, 1.0], [len(texts[0, False]), len(texts[1, False])])
+    x, y = [], []
+    for half in (False, True):
+        model = _model(texts[1, half], texts[0, half])
+        for label in (0, 1):
+            given = split(pa.array(texts[label, not half], pa.string()), PLAIN_WORD, lower=True)
+            x.append(model.features(given, model.compressors()))
+            y.append(np.full(len(x[-1]), float(label)))
+    x, y = np.concatenate(x), np.concatenate(y)
+    model = _model(texts[1, False] + texts[1, True], texts[0, False] + texts[0, True])
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     model.weights = _logistic((x - model.mean) / model.scale, y)
     return model
