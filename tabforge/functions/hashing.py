@@ -34,18 +34,22 @@ def rank_hash(key: Column, tag: str = "") -> Column:
 
 
 def row_text(df: DataFrame) -> Column:
-    """All columns of a row as one string; NULL and NaN are written as an empty mark."""
+    """All columns of a row as one string: each value behind its length, NULL and NaN as a mark without one.
+
+    No text can look like the border between two values, so different rows have different strings.
+    """
     parts = []
     for name, kind in df.dtypes:
         column = F.col(f"`{name}`")
         if kind in ("float", "double"):
             column = F.when(~F.isnan(column), column)
-        parts.append(F.coalesce(column.cast("string"), F.lit("~")))
-    return F.concat_ws("|", *parts)
+        text = column.cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("~")))
+    return F.concat(*parts)
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """One row with 12 hex characters that change with any value, row count or column order.
+    """One row with 12 hex characters that change with any value, row count, column order or type.
 
     Row hashes are added up, so row order and partitioning do not matter and the
     only thing shuffled is one partial sum per task.
@@ -60,6 +64,6 @@ def fingerprint(df: DataFrame) -> DataFrame:
         F.coalesce(F.sum("right"), F.lit(0).cast("decimal(38,0)")).alias("right"),
     )
     whole = F.concat_ws(
-        "|", F.lit(",".join(df.columns)), *[F.col(c).cast("string") for c in ("n", "left", "right")]
+        "|", F.lit(",".join(f"{name} {kind}" for name, kind in df.dtypes)), *[F.col(c).cast("string") for c in ("n", "left", "right")]
     )
     return sums.select(F.substring(F.md5(whole), 1, 12).alias("fingerprint"), "n")

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from tabforge.spec import CURRENCY, PRICE_MULTIPLIER
 
 
+def number(value: Column | str) -> Column:
+    """A double with one mark for missing and one zero: NaN becomes NULL, -0.0 becomes 0.0."""
+    value = (F.col(value) if isinstance(value, str) else value).cast("double")
+    return F.when(~F.isnan(value), value + F.lit(0.0))
+
+
 def short_id(column: Column) -> Column:
     """First eight characters of an identifier."""
     return F.substring(column, 1, 8)

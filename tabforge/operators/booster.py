@@ -35,7 +35,8 @@ def walk(x: np.ndarray, tree: dict, levels: int) -> np.ndarray:
     rows = np.arange(len(x))
     for _ in range(levels):
         inner = feature[node] >= 0
-        right = x[rows, np.maximum(feature[node], 0)] > cut[node]
+        # NaN goes right, as in the last bin.
+        right = ~(x[rows, np.maximum(feature[node], 0)] <= cut[node])
         node = np.where(inner, 2 * node + 1 + right, node)
     return node
 
@@ -147,7 +148,7 @@ def fit(df: DataFrame, key: str, features: Sequence[str], target: str, config: d
         ),
         "boost",
     )
-    edges = bin_edges(rows, features, config.get("max_bins", 64))
+    edges = bin_edges(rows, features, config.get("max_bins", 256))
     random = np.random.RandomState(config["random_state"])
     depth, trees, pending = config["max_depth"], [], []
     for number in range(config["n_estimators"]):

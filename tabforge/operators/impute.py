@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.functions.scalars import number
 from tabforge.operators.order_stats import OrderStatistics, interpolation_ranks, order_statistics
 
 _ZERO = 10 * 2.220446049250313e-16
@@ -80,7 +81,7 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
 
     Values are counted by a shuffle; no task holds all values of a column.
     """
-    pairs = [F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns]
+    pairs = [F.struct(F.lit(c).alias("c"), number(c).alias("v")) for c in columns]
     counts = (
         df.select(F.inline(F.array(*pairs))).where("v is not null").groupBy("c", "v").agg(F.count("v").alias("n"))
     )
@@ -92,14 +93,14 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
 
 
 def filled(column: str, value: float) -> Column:
-    return F.coalesce(F.col(column).cast("double"), F.lit(float(value)))
+    return F.coalesce(number(column), F.lit(float(value)))
 
 
 def standard_scale(df: DataFrame, columns: Sequence[str]) -> tuple[dict, dict]:
     """Mean and population std of each column."""
     row = df.agg(
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)],
+        *[F.avg(number(c)).alias(f"m{i}") for i, c in enumerate(columns)],
+        *[F.stddev_pop(number(c)).alias(f"s{i}") for i, c in enumerate(columns)],
     ).first()
     return (
         {c: row[f"m{i}"] for i, c in enumerate(columns)},

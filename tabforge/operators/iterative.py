@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.functions.scalars import number as as_number
 from tabforge.session import materialise
 
 PATTERN_LIMIT = 4096
@@ -77,7 +78,7 @@ def _pattern_moments(pdf: pd.DataFrame, p: int, steps: Sequence[dict], target: i
     """Augmented cross products of the current values over rows that have ``target``."""
     total = np.zeros((p + 1, p + 1))
     for row in pdf.to_dict("records"):
-        observed = [(row["pattern"] >> i) & 1 == 0 for i in range(p)]
+        observed = [mark == "0" for mark in row["pattern"]]
         if not observed[target]:
             continue
         moments = np.zeros((p + 1, p + 1))
@@ -150,7 +151,7 @@ def _total(patterns, p: int, steps: list[dict], target: int) -> np.ndarray:
 def fit(train: DataFrame, features: Sequence[str], max_iter: int = 10, tol: float = 1e-3) -> IterativeState:
     """Fits every step of every round and keeps the rounds up to convergence."""
     features, p = list(features), len(features)
-    numeric = train.select(*[F.col(f).cast("double").alias(f) for f in features])
+    numeric = train.select(*[as_number(f).alias(f) for f in features])
     first = numeric.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count(f).alias(f"n{i}") for i, f in enumerate(features)],
@@ -162,15 +163,14 @@ def fit(train: DataFrame, features: Sequence[str], max_iter: int = 10, tol: floa
         raise ValueError(f"no values in {empty}")
     state = IterativeState(features, [first[f"mean{i}"] for i in range(p)])
     gaps = [first["n"] - first[f"n{i}"] for i in range(p)]
-    order = sorted((i for i in range(p) if gaps[i]), key=lambda i: (gaps[i], i))
-    if not order or p < 2:
+    # Features complete in training get their regression too: they may have gaps later.
+    order = sorted(range(p), key=lambda i: (gaps[i], i))
+    if p < 2:
         return state
 
     centred = _centred(numeric, features, state.means)
-    pattern = sum(
-        (F.col(f).isNull().cast("bigint") * F.lit(1 << i) for i, f in enumerate(features)), F.lit(0)
-    )
-    patterns = centred.groupBy(pattern.cast("bigint").alias("pattern")).agg(
+    pattern = F.concat(*[F.when(F.col(f).isNull(), "1").otherwise("0") for f in features])
+    patterns = centred.groupBy(pattern.alias("pattern")).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.coalesce(F.sum(f), F.lit(0.0)).alias(f"s{i}") for i, f in enumerate(features)],
         *[
@@ -193,7 +193,7 @@ def fit(train: DataFrame, features: Sequence[str], max_iter: int = 10, tol: floa
 
 
 def _movement(centred: DataFrame, features: list[str], steps: list[dict], rounds: int) -> list[float]:
-    """Largest change of any value in each round, in one pass over the incomplete rows."""
+    """Largest sum of absolute changes in any row in each round, in one pass over the incomplete rows."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         top = np.zeros(rounds)
@@ -209,7 +209,7 @@ def _movement(centred: DataFrame, features: list[str], steps: list[dict], rounds
                         x[rows][:, step["others"]] @ np.array(step["weights"]) + step["offset"]
                     )
                 if len(x):
-                    top[number] = max(top[number], np.abs(x - before).max())
+                    top[number] = max(top[number], np.abs(x - before).sum(axis=1).max())
         yield pd.DataFrame({"round": np.arange(rounds), "moved": top})
 
     gaps = " OR ".join(f"`{f}` IS NULL" for f in features)
@@ -229,7 +229,7 @@ def _movement(centred: DataFrame, features: list[str], steps: list[dict], rounds
 def impute(df: DataFrame, state: IterativeState) -> DataFrame:
     """Fills gaps by replaying the fitted steps; only incomplete rows go through Python."""
     features = state.features
-    typed = df.withColumns({f: F.col(f).cast("double") for f in features})
+    typed = df.withColumns({f: as_number(f) for f in features})
     means, steps = np.array(state.means), state.steps
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

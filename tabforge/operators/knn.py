@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabforge.functions.scalars import number
 from tabforge.session import materialise
 
 CELL_LIMIT = 2048
@@ -101,7 +102,7 @@ def _targets(features: Sequence[str]) -> Column:
 def fit(train: DataFrame, features: Sequence[str], k: int = 5) -> KnnState:
     """Folds the training rows into weighted donors and describes the cells they fall into."""
     features = list(features)
-    rows = train.select(*[F.col(f).cast("double").alias(f) for f in features])
+    rows = train.select(*[number(f).alias(f) for f in features])
     shares = [i / _MARKS for i in range(1, _MARKS)]
     profile = rows.agg(
         F.count(F.lit(1)).alias("n"),
@@ -326,7 +327,7 @@ def _running_weight() -> Column:
 def imputed_cells(incomplete: DataFrame, state: KnnState) -> DataFrame:
     """One row per distinct incomplete vector with the value of each missing feature."""
     names, k = state.features, state.k
-    vectors = [F.col(f).cast("double").alias(f) for f in names]
+    vectors = [number(f).alias(f) for f in names]
     receivers = incomplete.select(*vectors).distinct().withColumn(_KEY, _vector_key(names))
     if state.known is not None:
         receivers = receivers.join(state.known, _KEY, "left_anti")
@@ -358,13 +359,14 @@ def imputed_cells(incomplete: DataFrame, state: KnnState) -> DataFrame:
 def remember(train: DataFrame, state: KnnState) -> None:
     """Keeps the answers for the training rows, so that transforming them searches only new vectors."""
     gaps = " OR ".join(f"`{f}` IS NULL" for f in state.features)
-    state.known = materialise(imputed_cells(train.where(gaps), state), "known")
+    rows = train.select(*[number(f).alias(f) for f in state.features])
+    state.known = materialise(imputed_cells(rows.where(gaps), state), "known")
 
 
 def impute(df: DataFrame, state: KnnState) -> DataFrame:
     """Fills the features of ``df``; rows without gaps never enter the search or its joins."""
     names = state.features
-    typed = df.withColumns({f: F.col(f).cast("double") for f in names})
+    typed = df.withColumns({f: number(f) for f in names})
     gaps = " OR ".join(f"`{f}` IS NULL" for f in names)
     incomplete = typed.where(gaps)
     cells = imputed_cells(incomplete, state)

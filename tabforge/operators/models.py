@@ -17,6 +17,8 @@ from tabforge.session import materialise
 from tabforge.spec import SEED, FeatureSpec
 
 ROWS_PER_PARTITION = 200_000
+#: Levels of Spark's trees; deeper ones cannot be built.
+MAX_DEPTH = 30
 _VECTOR = "__features"
 _REGISTRY: dict[str, type[Regressor]] = {}
 
@@ -113,6 +115,12 @@ class Regressor(Estimator):
         return max(params["min_samples_leaf"], math.ceil(params["min_samples_split"] / 2))
 
 
+def _depth(params: dict) -> int:
+    if params["max_depth"] > MAX_DEPTH:
+        raise ValueError(f"max_depth {params['max_depth']} is beyond the {MAX_DEPTH} levels Spark's trees can have")
+    return params["max_depth"]
+
+
 def register(cls: type[Regressor]) -> type[Regressor]:
     _REGISTRY[cls.name] = cls
     return cls
@@ -167,7 +175,7 @@ class ForestModel(Regressor):
         params = self.hyperparameters
         learner = RandomForestRegressor(
             numTrees=params["n_estimators"],
-            maxDepth=min(params["max_depth"], 30),
+            maxDepth=_depth(params),
             minInstancesPerNode=self._leaf_rows(),
             featureSubsetStrategy="all",
             seed=params["random_state"],
@@ -196,7 +204,7 @@ class BoostedModel(Regressor):
         params = self.hyperparameters
         learner = GBTRegressor(
             maxIter=params["n_estimators"],
-            maxDepth=min(params["max_depth"], 30),
+            maxDepth=_depth(params),
             stepSize=params["learning_rate"],
             subsamplingRate=params["subsample"],
             minInstancesPerNode=self._leaf_rows(),
@@ -219,6 +227,7 @@ class RegularisedBoostedModel(Regressor):
         "colsample_bytree": 0.8,
         "reg_alpha": 0.1,
         "reg_lambda": 1.0,
+        "max_bins": 256,
         "random_state": SEED,
     }
 

@@ -102,10 +102,15 @@ def sliding_rates(
 
 def window_spine(paned: DataFrame, width: str, slide: str) -> DataFrame:
     """Every window start between the first and the last event, whether or not anything happened."""
-    ends = paned.agg(F.min("pane").alias("lo"), F.max("pane").alias("hi"))
-    first = F.col("lo") - F.expr(f"INTERVAL {width}") + F.expr(f"INTERVAL {slide}")
-    starts = F.sequence(first, F.col("hi"), F.expr(f"INTERVAL {slide}"))
-    return ends.select(F.explode(starts).alias("window_start"))
+    first = F.min("pane") - F.expr(f"INTERVAL {width}") + F.expr(f"INTERVAL {slide}")
+    kind = dict(paned.dtypes)["pane"]
+    micros = [F.unix_micros(c.cast("timestamp")) for c in (first, F.max("pane"))]
+    step = F.unix_micros(F.lit("1970-01-01 00:00:00").cast("timestamp") + F.expr(f"INTERVAL {slide}"))
+    low, high, step = paned.agg(*micros, F.max(step)).first()
+    if low is None:
+        return paned.select(F.col("pane").alias("window_start")).limit(0)
+    starts = paned.sparkSession.range(low, high + 1, step)
+    return starts.select(F.timestamp_micros("id").cast(kind).alias("window_start"))
 
 
 def drifting_features(events: DataFrame, warnings: DataFrame, ts: str, width: str, slide: str) -> DataFrame:

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.functions.scalars import number
+
 MAX_SLICES = 65_536
 MAX_RESULT_ROWS = 262_144
 
@@ -86,8 +88,21 @@ def summarise(df: DataFrame, columns: Sequence[str]) -> dict[str, ColumnSummary]
     }
 
 
-def _clean(col: Column, integral: bool) -> Column:
-    return col if integral else F.when(~F.isnan(col), col)
+#: Values whose sizes differ by more are sliced by their logarithm first.
+WIDE = 4096
+
+
+def _wide(low: float, high: float) -> bool:
+    return low < 0 < high or max(abs(low), abs(high)) > WIDE * min(abs(low), abs(high))
+
+
+def _log_place(value: Column) -> Column:
+    """Grows with the value, evenly over the powers of e; 746 lies above -ln of the least double."""
+    return F.when(value == 0, 0.0).otherwise(F.signum(value) * (F.ln(F.abs(value)) + 746))
+
+
+def _log_number(value: float) -> float:
+    return math.copysign(math.log(abs(value)) + 746, value) if value else 0.0
 
 
 def _slice_index(name: str, low, high, slices: int, integral: bool) -> Column:
@@ -95,6 +110,10 @@ def _slice_index(name: str, low, high, slices: int, integral: bool) -> Column:
         # Dividing before subtracting keeps full-range integers from overflowing.
         width = (int(high) - int(low)) // slices + 1
         return F.expr(f"`{name}` div {width}L - {int(low)}L div {width}L")
+    if _wide(low, high):
+        first, last = _log_number(low), _log_number(high)
+        share = (_log_place(F.col(name)) - F.lit(first)) / F.lit(last - first)
+        return F.greatest(F.lit(0), F.least(F.floor(share * slices), F.lit(slices - 1))).cast("bigint")
     # Halving first keeps the width finite for ranges up to the largest double.
     share = (F.col(name) / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)
     return F.least(F.floor(share * slices), F.lit(slices - 1)).cast("bigint")
@@ -142,12 +161,14 @@ def _narrow(df: DataFrame, searches: list[_Search], integral: bool) -> None:
         counted = _count_slices(df, brackets, integral)
         where = {b: counted[i] for i, b in enumerate(brackets)}
         for s in open_searches:
-            below = s.below
+            below, before = s.below, (s.low, s.high, s.size)
             for n, low, high in where[_bracket(s)]:
                 if s.rank < below + n:
                     s.low, s.high, s.below, s.size = low, high, below, n
                     break
                 below += n
+            if not s.done and before == (s.low, s.high, s.size):
+                raise ArithmeticError(f"no progress in {s.column} between {s.low} and {s.high}")
 
 
 def _is_integral(df: DataFrame, columns: Sequence[str]) -> bool:
@@ -164,8 +185,10 @@ def order_statistics(
     """
     integral = _is_integral(df, columns)
     cast = "bigint" if integral else "double"
-    base = df.select(*[_clean(F.col(c).cast(cast), integral).alias(c) for c in columns])
+    base = df.select(*[(F.col(c).cast(cast) if integral else number(c)).alias(c) for c in columns])
     summaries = summarise(base, columns)
+    if endless := [c for c, s in summaries.items() if s.count and math.inf in (abs(s.low), abs(s.high))]:
+        raise ValueError(f"infinite values in {endless}")
     searches = [
         _Search(c, r, summaries[c].low, summaries[c].high, 0, summaries[c].count, False)
         for c in columns

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.functions.scalars import number
 from tabforge.operators.order_stats import quantiles
 
 
@@ -29,10 +30,10 @@ def long_form(row: DataFrame, columns: Sequence[str], fields: Sequence[str], nam
 
 
 def summary(df: DataFrame) -> DataFrame:
-    """Rows, columns, nulls of each column and nulls in all, one row per column, from one pass."""
+    """Rows, columns, gaps (NULL or NaN) of each column and gaps in all, one row per column, from one pass."""
     aggregates = [F.count(F.lit(1)).alias("n_rows")]
     for i, c in enumerate(df.columns):
-        aggregates.append(F.count_if(F.col(f"`{c}`").isNull()).alias(f"n_missing__{i}"))
+        aggregates.append(F.count_if(_known(df, c).isNull()).alias(f"n_missing__{i}"))
     row = df.agg(*aggregates)
     total = sum((F.col(f"n_missing__{i}") for i in range(len(df.columns))), F.lit(0).cast("bigint"))
     structs = [
@@ -48,9 +49,15 @@ def summary(df: DataFrame) -> DataFrame:
     return row.select(F.inline(F.array(*structs)))
 
 
+def _known(df: DataFrame, column: str) -> Column:
+    """The column with NaN as NULL."""
+    kind = dict(df.dtypes)[column]
+    return number(F.col(f"`{column}`")) if kind in ("float", "double") else F.col(f"`{column}`")
+
+
 def info(df: DataFrame) -> DataFrame:
-    """Type and number of non-null values of each column."""
-    row = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"non_null__{i}") for i, c in enumerate(df.columns)])
+    """Type and number of values of each column that are neither NULL nor NaN."""
+    row = df.agg(*[F.count(_known(df, c)).alias(f"non_null__{i}") for i, c in enumerate(df.columns)])
     structs = [
         F.struct(
             F.lit(i).alias("position"),
@@ -72,7 +79,7 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     quartiles = quantiles(df, columns, (0.25, 0.5, 0.75))
     aggregates = []
     for i, c in enumerate(columns):
-        col = F.col(c).cast("double")
+        col = number(c)
         aggregates += [
             F.count(col).alias(f"count__{i}"),
             F.avg(col).alias(f"mean__{i}"),
@@ -93,10 +100,12 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """Equal-width bins over the range of ``column``; the last bin includes its upper edge."""
-    col = F.col(column).cast("double")
+    col = number(column)
     low, high = df.agg(F.min(col), F.max(col)).first()
     if low is None:
         raise ValueError(f"{column} holds no values")
+    if float("inf") in (abs(low), abs(high)):
+        raise ValueError(f"{column} holds infinite values")
     if low == high:
         low, high = low - 0.5, high + 0.5
     width = (high - low) / bins
@@ -118,7 +127,7 @@ def feature_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Min, max, mean and sample std of each feature, one row per feature."""
     aggregates = []
     for i, c in enumerate(features):
-        col = F.col(c).cast("double")
+        col = number(c)
         aggregates += [
             F.min(col).alias(f"min__{i}"),
             F.max(col).alias(f"max__{i}"),
@@ -132,6 +141,6 @@ def feature_ranges(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Min and max of each feature, one row per feature."""
     aggregates = []
     for i, c in enumerate(features):
-        col = F.col(c).cast("double")
+        col = number(c)
         aggregates += [F.min(col).alias(f"min__{i}"), F.max(col).alias(f"max__{i}")]
     return long_form(df.agg(*aggregates), features, ("min", "max"), "feature")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.functions.scalars import version_description
+from tabforge.functions.scalars import number, version_description
 from tabforge.spec import ALIASES
 
 # Metrics where more is better.
@@ -31,21 +31,21 @@ def best_run(runs: DataFrame, metric: str = "test_rmse", higher_is_better: bool
         for prefix in ("cv_", "test_", "train_"):
             name = name.removeprefix(prefix)
         higher_is_better = name in HIGHER_IS_BETTER
-    value = metric_value(metric)
+    value = number(metric_value(metric))
     order = value.desc_nulls_last() if higher_is_better else value.asc_nulls_last()
     return runs.withColumn("metric", value).orderBy(order, "run_id").limit(1)
 
 
 def leaderboard(runs: DataFrame, rmse: Column, missing: float = 999.0) -> DataFrame:
     """Runs by test RMSE with the best one marked; a run without RMSE sorts as ``missing``."""
-    ranked = runs.withColumn("sort_rmse", F.coalesce(rmse, F.lit(missing)))
+    ranked = runs.withColumn("sort_rmse", F.coalesce(number(rmse), F.lit(missing)))
     top = ranked.agg(F.min(F.struct("sort_rmse", "run_id")).alias("top")).select("top.run_id").scalar()
     return ranked.withColumn("is_best", F.col("run_id") == top).orderBy("sort_rmse", "run_id")
 
 
 def mark_best(runs: DataFrame, r2: str) -> DataFrame:
     """Marks every run that reaches the highest R2. The maximum is one number, not a window."""
-    return runs.withColumn("is_best", F.col(r2) == runs.agg(F.max(r2)).scalar())
+    return runs.withColumn("is_best", number(r2) == runs.agg(F.max(number(r2))).scalar())
 
 
 def recent_runs(runs: DataFrame, start: str, n: int = 10) -> DataFrame:

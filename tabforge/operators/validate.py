@@ -71,8 +71,11 @@ def with_errors(df: DataFrame, rules: Sequence[Constraint], path: Column | str =
 
 
 def accepted(checked: DataFrame, rules: Sequence[Constraint]) -> DataFrame:
-    """Rows without errors, their fields cast to numbers."""
-    casts = {r.field: F.col(r.field).cast("bigint" if r.integer else "double") for r in rules}
+    """Rows without errors, their fields cast to numbers; "5.0" and "1e1" are fine as integers."""
+    casts = {}
+    for rule in rules:
+        value = F.col(rule.field).try_cast("double")
+        casts[rule.field] = value.try_cast("bigint") if rule.integer else value
     return checked.where(F.size("errors") == 0).withColumns(casts).drop("errors")
 
 

@@ -125,11 +125,14 @@ _FINGERPRINT_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "cents", "o_
 
 @query(
     "fingerprint",
-    """WITH texts AS (SELECT md5(concat_ws('|', o_orderkey, o_custkey, o_orderstatus,
-                       round(o_totalprice * 100)::bigint, o_orderpriority)) AS h FROM orders),
+    """WITH texts AS (SELECT md5(concat(length(a), ':', a, length(b), ':', b, length(c), ':', c, length(d), ':', d,
+                       length(e), ':', e)) AS h
+      FROM (SELECT o_orderkey::varchar AS a, o_custkey::varchar AS b, o_orderstatus AS c,
+                   (round(o_totalprice * 100)::bigint)::varchar AS d, o_orderpriority AS e FROM orders)),
     sums AS (SELECT count(*) AS n, sum(('0x' || substr(h, 1, 15))::bigint::hugeint) AS l,
                     sum(('0x' || substr(h, 16, 15))::bigint::hugeint) AS r FROM texts)
-    SELECT substr(md5(concat_ws('|', 'o_orderkey,o_custkey,o_orderstatus,cents,o_orderpriority', n, l, r)), 1, 12)
+    SELECT substr(md5(concat_ws('|',
+             'o_orderkey bigint,o_custkey bigint,o_orderstatus string,cents bigint,o_orderpriority string', n, l, r)), 1, 12)
            AS fingerprint, n FROM sums""",
 )
 def dataset_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
