@@ -18,6 +18,7 @@ from tabforge.plans.frames import (
     split_sql,
     table,
     u_sql,
+    with_nan,
 )
 from tabforge.plans.registry import Catalogue, rounded, union_sql
 from tabforge.session import materialise
@@ -32,15 +33,20 @@ query = catalogue.query
 _NULLS_TOTAL = " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in FRAME.columns)
 
 
-@query(
-    "profile_summary",
-    f"WITH {NULLS_CTE} "
-    + union_sql(
-        FRAME.columns,
-        "SELECT '{c}' AS column_name, count(*) AS n_rows, 7 AS n_columns,"
-        f" count(*) FILTER ({{c}} IS NULL) AS n_missing, {_NULLS_TOTAL} AS total_missing FROM frame_nulls",
-    ),
+_SUMMARY_SQL = f"WITH {NULLS_CTE} " + union_sql(
+    FRAME.columns,
+    "SELECT '{c}' AS column_name, count(*) AS n_rows, 7 AS n_columns,"
+    f" count(*) FILTER ({{c}} IS NULL) AS n_missing, {_NULLS_TOTAL} AS total_missing FROM frame_nulls",
 )
+
+
+@query("profile_nan", _SUMMARY_SQL)
+def profile_nan(spark: SparkSession, sf: str) -> DataFrame:
+    """NaN counts as a gap like NULL."""
+    return profile.summary(with_nan(frame_nulls(spark, sf), "row_key", FRAME.features).select(*FRAME.columns))
+
+
+@query("profile_summary", _SUMMARY_SQL)
 def profile_summary(spark: SparkSession, sf: str) -> DataFrame:
     return profile.summary(frame_nulls(spark, sf).select(*FRAME.columns))
 
@@ -252,6 +258,23 @@ def accepted_rows(spark: SparkSession, sf: str) -> DataFrame:
     return validate.accepted(validate.with_errors(raw_requests(spark, sf), RULES), RULES)
 
 
+INTEGER_RULES = (Constraint("user", ge=1, integer=True),)
+
+
+@query(
+    "accepted_integers",
+    """SELECT event_id, user_id::bigint AS "user" FROM events WHERE user_id >= 1 AND event_id % 4 <> 3""",
+)
+def accepted_integers(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole numbers in several spellings; those with a fraction are refused, not cut."""
+    number = F.col("user_id").cast("string")
+    spelled = F.when(F.col("event_id") % 4 == 1, F.concat(number, F.lit(".0")))
+    spelled = spelled.when(F.col("event_id") % 4 == 2, F.concat(number, F.lit("e0")))
+    spelled = spelled.when(F.col("event_id") % 4 == 3, F.concat(number, F.lit(".5"))).otherwise(number)
+    rows = table(spark, sf, "events").select("event_id", spelled.alias("user"))
+    return validate.accepted(validate.with_errors(rows, INTEGER_RULES), INTEGER_RULES)
+
+
 @query(
     "batch_all_or_nothing",
     f"""WITH {RAW_CTE}, judged AS (

@@ -99,6 +99,16 @@ frame_nulls AS (SELECT row_key, l_orderkey, y, {cols} FROM frame)""".format(
 )
 
 
+def with_nan(df: DataFrame, key: str, features) -> DataFrame:
+    """The same values written otherwise: half of the gaps as NaN, half of the zeros as -0.0."""
+
+    def otherwise(f: str) -> Column:
+        half = hash_below(F.col(key).cast("string"), f":nan:{f}", 0.5)
+        return F.when(half & F.col(f).isNull(), float("nan")).when(half & (F.col(f) == 0), -0.0).otherwise(F.col(f))
+
+    return df.withColumns({f: otherwise(f) for f in features})
+
+
 def part_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts with three whole-number features, two of them with gaps."""
     part = table(spark, sf_dir, "part")

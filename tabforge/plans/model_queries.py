@@ -204,12 +204,37 @@ def importance_topn(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(importance_table(spark, fitted, 5), "importance", digits=4)
 
 
+TWO = FeatureSpec("row_key", ("l_quantity", "l_discount"), target="y")
+# Ridge on two features in closed form: Cramer's rule on the centred cross products.
+_TWO_CTE = f"""{FRAME_CTE}, sums AS (
+  SELECT var_pop(l_quantity) * count(*) + 1.0 AS aa, var_pop(l_discount) * count(*) + 1.0 AS bb,
+    covar_pop(l_quantity, l_discount) * count(*) AS ab, covar_pop(y, l_quantity) * count(*) AS ay,
+    covar_pop(y, l_discount) * count(*) AS by_, avg(y) AS my, avg(l_quantity) AS ma, avg(l_discount) AS mb FROM frame),
+fit AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS wa, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM sums)"""
+
+
+def _ridge_two(spark: SparkSession, sf: str):
+    rows = materialise(frame(spark, sf).select("row_key", *TWO.features, "y"), "ridge")
+    return rows, create_model("linear", TWO, alpha=1.0).fit(rows)
+
+
+@query(
+    "ridge_two_features",
+    f"""WITH {_TWO_CTE} SELECT row_key,
+      round(my + wa * (l_quantity - ma) + wb * (l_discount - mb), 4) AS prediction FROM frame, fit""",
+)
+def ridge_two_features(spark: SparkSession, sf: str) -> DataFrame:
+    rows, fitted = _ridge_two(spark, sf)
+    return rounded(fitted.transform(rows).select("row_key", "prediction"), "prediction", digits=4)
+
+
 @query(
     "linear_importance",
-    f"""WITH {FRAME_CTE}, fit AS (SELECT abs({_SLOPE}) AS b FROM frame)
-    SELECT 'l_quantity' AS feature, round(b / b, 6) AS importance, 1 AS rank FROM fit""",
+    f"""WITH {_TWO_CTE}, w AS (
+      SELECT 'l_quantity' AS feature, abs(wa) AS w FROM fit UNION ALL SELECT 'l_discount', abs(wb) FROM fit)
+    SELECT feature, round(w / (SELECT sum(w) FROM w), 6) AS importance,
+      rank() OVER (ORDER BY w DESC)::int AS rank FROM w""",
 )
 def linear_importance(spark: SparkSession, sf: str) -> DataFrame:
-    rows = materialise(frame(spark, sf).select("row_key", "l_quantity", "y"), "ridge")
-    fitted = create_model("linear", ONE).fit(rows)
+    _, fitted = _ridge_two(spark, sf)
     return rounded(importance_table(spark, fitted), "importance")

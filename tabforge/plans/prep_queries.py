@@ -20,6 +20,7 @@ from tabforge.plans.frames import (
     part_nulls,
     rank_sql,
     split_sql,
+    with_nan,
 )
 from tabforge.plans.registry import Catalogue, rounded
 from tabforge.session import materialise
@@ -104,26 +105,34 @@ def scale_robust(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _run_strategy(name: str, spark: SparkSession, sf: str) -> DataFrame:
+def _run_strategy(name: str, spark: SparkSession, sf: str, nan: bool = False) -> DataFrame:
     """Fits on the training rows only, then transforms both sides of the split."""
     rows = parted(spark, sf)
+    if nan:
+        rows = with_nan(rows, "row_key", FEATURES)
     model = create_strategy(name, FRAME).fit(rows.where("split = 'train'"))
     return rounded(model.transform(rows).select("row_key", "split", *FEATURES), *FEATURES)
 
 
-@query(
-    "strategy_v1",
+_V1_SQL = (
     f"""WITH {_NULLS_SPLIT}, med AS (SELECT {_each('quantile_cont({c}, 0.5) AS med_{c}')} FROM train),
     filled AS (SELECT row_key, split, {_each('coalesce({c}, med_{c}) AS {c}')} FROM parted, med),
     s AS (SELECT {_each('avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}')} FROM filled WHERE split = 'train')
-    SELECT row_key, split, {_each('round(({c} - m_{c}) / s_{c}, 6) AS {c}')} FROM filled, s""",
+    SELECT row_key, split, {_each('round(({c} - m_{c}) / s_{c}, 6) AS {c}')} FROM filled, s"""
 )
+
+
+@query("strategy_v1_nan", _V1_SQL)
+def strategy_v1_nan(spark: SparkSession, sf: str) -> DataFrame:
+    return _run_strategy("v1_median", spark, sf, nan=True)
+
+
+@query("strategy_v1", _V1_SQL)
 def strategy_v1(spark: SparkSession, sf: str) -> DataFrame:
     return _run_strategy("v1_median", spark, sf)
 
 
-@query(
-    "strategy_v4",
+_V4_SQL = (
     f"""WITH {_NULLS_SPLIT}, med AS (SELECT {_each('quantile_cont({c}, 0.5) AS med_{c}', NUMERIC)} FROM train),
     top AS (SELECT is_open AS mode_is_open FROM train WHERE is_open IS NOT NULL GROUP BY is_open
             ORDER BY count(*) DESC, is_open LIMIT 1),
@@ -133,8 +142,16 @@ def strategy_v1(spark: SparkSession, sf: str) -> DataFrame:
         'quantile_cont({c}, 0.25) AS a_{c}, quantile_cont({c}, 0.5) AS m_{c}, quantile_cont({c}, 0.75) AS b_{c}',
         NUMERIC)} FROM filled WHERE split = 'train')
     SELECT row_key, split, is_open, {_each('round(({c} - m_{c}) / (b_{c} - a_{c}), 6) AS {c}', NUMERIC)}
-    FROM filled, s""",
+    FROM filled, s"""
 )
+
+
+@query("strategy_v4_nan", _V4_SQL)
+def strategy_v4_nan(spark: SparkSession, sf: str) -> DataFrame:
+    return _run_strategy("v4_robust_col", spark, sf, nan=True)
+
+
+@query("strategy_v4", _V4_SQL)
 def strategy_v4(spark: SparkSession, sf: str) -> DataFrame:
     return _run_strategy("v4_robust_col", spark, sf)
 
@@ -159,11 +176,17 @@ def _nearest_sql(source: str, train: str) -> str:
     return ", ".join(ctes) + f", full_rows AS (SELECT s.* EXCLUDE ({', '.join(feats)}), {', '.join(picks)} FROM {source} s)"
 
 
-@query(
-    "impute_knn",
-    f"""WITH {PARTS_CTE}, {_nearest_sql('part_nulls', 'part_nulls')}
-    SELECT p_partkey, {_each('round({c}, 6) AS {c}', PARTS.features)} FROM full_rows""",
-)
+_KNN_SQL = f"""WITH {PARTS_CTE}, {_nearest_sql('part_nulls', 'part_nulls')}
+    SELECT p_partkey, {_each('round({c}, 6) AS {c}', PARTS.features)} FROM full_rows"""
+
+
+@query("impute_knn_nan", _KNN_SQL)
+def impute_knn_nan(spark: SparkSession, sf: str) -> DataFrame:
+    parts = with_nan(part_nulls(spark, sf), "p_partkey", PARTS.features)
+    return rounded(knn.impute(parts, knn.fit(parts, PARTS.features, 5)), *PARTS.features)
+
+
+@query("impute_knn", _KNN_SQL)
 def impute_knn(spark: SparkSession, sf: str) -> DataFrame:
     parts = part_nulls(spark, sf)
     state = knn.fit(parts, PARTS.features, 5)
