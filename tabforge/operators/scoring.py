@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabforge.functions.scalars import money, number_text, short_id
 from tabforge.operators.split import route
-from tabforge.operators.validate import serve_batches
+from tabforge.operators.validate import batch_message, batch_verdicts, serve_batches
 from tabforge.spec import BATCH_MAX_ITEMS, CHAMPION_WEIGHT
 
 WARNING_TYPE = "array<struct<feature:string,value:double,bound:double,kind:string>>"
@@ -102,7 +102,7 @@ def envelope(
     """One row per batch with its items in order, numbered from 0.
 
     Batches above the size bound are turned away before items are gathered, which
-    is what keeps a gathered list at ``max_items`` entries.
+    is what keeps a gathered list at ``max_items`` entries; ``refusals`` answers them.
     """
     item = F.struct(item_order, "prediction", "prediction_formatted", "warnings")
     grouped = (
@@ -122,3 +122,9 @@ def envelope(
     return grouped.select(
         batch, *labels, F.size("items").alias("total_items"), numbered.alias("predictions")
     )
+
+
+def refusals(rows: DataFrame, batch: str, max_items: int = BATCH_MAX_ITEMS) -> DataFrame:
+    """One row per batch that ``envelope`` turns away for its size: number of items and what to tell the sender."""
+    verdicts = batch_verdicts(rows, batch, max_items).where("not size_ok")
+    return verdicts.select(batch, "total_items", batch_message(F.col("total_items"), max_items).alias("message"))

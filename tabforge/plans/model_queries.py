@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from tabforge.operators import metrics, resample
+from pyspark.sql import functions as F
+
+from tabforge.operators import experiments, metrics, resample
 from tabforge.operators.models import create_model, importance_table
 from tabforge.operators.split import train_test_split
 from tabforge.operators.strategies import create_strategy
@@ -238,3 +240,30 @@ def ridge_two_features(spark: SparkSession, sf: str) -> DataFrame:
 def linear_importance(spark: SparkSession, sf: str) -> DataFrame:
     _, fitted = _ridge_two(spark, sf)
     return rounded(importance_table(spark, fitted), "importance")
+
+
+_JOB_SIDES = " UNION ALL ".join(
+    f"SELECT '{side}_{m}' AS key, {m} AS value FROM per WHERE split = '{side}'"
+    for side in ("train", "test")
+    for m in metrics.METRICS
+)
+
+
+@query(
+    "train_job",
+    f"""WITH {NULLS_CTE}, {split_sql('frame_nulls')}, train AS (SELECT * FROM parted WHERE split = 'train'),
+    med AS (SELECT quantile_cont(l_quantity, 0.5) AS m FROM train),
+    filled AS (SELECT row_key, split, y, coalesce(l_quantity, m) AS x FROM parted, med),
+    s AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx FROM filled WHERE split = 'train'),
+    scaled AS (SELECT split, y, (x - mx) / sx AS z FROM filled, s),
+    fit AS (SELECT covar_pop(y, z) * count(*) / (var_pop(z) * count(*) + 1.0) AS b, avg(y) AS my, avg(z) AS mz
+            FROM scaled WHERE split = 'train'),
+    scored AS (SELECT split, y, my + b * (z - mz) AS prediction FROM scaled, fit),
+    per AS (SELECT split, {METRICS_SQL} FROM scored GROUP BY split) {_JOB_SIDES}""",
+)
+def train_job(spark: SparkSession, sf: str) -> DataFrame:
+    """The metric rows that a whole training run writes to its log."""
+    rows = frame_nulls(spark, sf).select("row_key", "l_quantity", "y")
+    log = experiments.train_job(rows, ONE, "linear", "v1_median", {"alpha": 1.0}, cv_splits=None)
+    sides = [f"{side}_{m}" for side in ("train", "test") for m in metrics.METRICS]
+    return log.where(F.col("key").isin(sides)).select("key", F.col("value").cast("double").alias("value"))

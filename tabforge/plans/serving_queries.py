@@ -158,6 +158,28 @@ def stream_score(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.score_to_table(spark, _score(spark, sf, stream))
 
 
+@query(
+    "stream_quarantine",
+    f"""WITH {REQUESTS_CTE} SELECT event_id, value, user_id, k FROM requests
+    WHERE NOT coalesce(k BETWEEN 0 AND 95 AND value >= 0 AND user_id >= 0, false)""",
+)
+def stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """What the scoring stream refuses ends in a table of its own; together they hold all requests."""
+    stream = requests_of(jobs.read_table(spark, sf, "events"))
+    return jobs.quarantine_to_table(spark, stream, RULES).select("event_id", "value", "user_id", "k")
+
+
+@query(
+    "refused_batches",
+    """SELECT user_id AS batch_id, count(*) AS total_items,
+      'Value error, Batch size ' || count(*) || ' exceeds maximum allowed (20)' AS message
+    FROM events GROUP BY user_id HAVING count(*) > 20""",
+)
+def refused_batches(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "events").select("event_id", F.col("user_id").alias("batch_id"))
+    return scoring.refusals(rows, "batch_id", 20)
+
+
 @query(
     "batch_envelope",
     f"""WITH numbered AS (SELECT event_id // 7 AS batch_id, value, event_id,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,7 +26,19 @@ def build_session(master: str | None = None, app: str = "tabforge", **conf) -> S
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    if not session.sparkContext.master.startswith("local"):
+        ship(session)
+    return session
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, whose Python workers import functions from it by name."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory() as folder:
+        name = os.path.basename(package)
+        archive = shutil.make_archive(f"{folder}/{name}", "zip", os.path.dirname(package), name)
+        spark.sparkContext.addPyFile(archive)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+import json
+from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +35,10 @@ class PreparedCache:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def path(self, mark: str, strategy: str, test_size: float, seed: int) -> str:
-        return f"{self.root}/{mark}-{strategy}-{test_size}-{seed}"
+    def path(self, mark: str, strategy: str, test_size: float, seed: int, spec: FeatureSpec, options: dict) -> str:
+        """Rows, strategy and split are readable; column roles and options are in the last part."""
+        roles = json.dumps([asdict(spec), options], sort_keys=True)
+        return f"{self.root}/{mark}-{strategy}-{test_size}-{seed}-{hashlib.md5(roles.encode()).hexdigest()[:12]}"
 
     def complete(self, path: str) -> bool:
         return all(files.is_complete(self.spark, f"{path}/{part}") for part in _PARTS)
@@ -47,19 +51,25 @@ class PreparedCache:
         )
 
     def get_or_create(
-        self, df: DataFrame, spec: FeatureSpec, strategy: str, test_size: float = TEST_SIZE, seed: int = SEED
+        self,
+        df: DataFrame,
+        spec: FeatureSpec,
+        strategy: str,
+        test_size: float = TEST_SIZE,
+        seed: int = SEED,
+        **options,
     ) -> Prepared:
         """The stored result for exactly these rows and parameters, computed when absent."""
         rows = df.select(spec.key, *spec.columns)
         mark = fingerprint(rows).first()["fingerprint"]
-        path = self.path(mark, strategy, test_size, seed)
+        path = self.path(mark, strategy, test_size, seed, spec, options)
         if not self.complete(path):
-            self._create(rows, spec, strategy, test_size, seed, mark, path)
+            self._create(rows, spec, strategy, test_size, seed, mark, path, options)
         return self.load(path)
 
-    def _create(self, rows, spec, strategy, test_size, seed, mark, path) -> None:
+    def _create(self, rows, spec, strategy, test_size, seed, mark, path, options) -> None:
         parted = train_test_split(rows, spec.key, test_size, seed)
-        estimator = create_strategy(strategy, spec)
+        estimator = create_strategy(strategy, spec, **options)
         train = parted.where("split = 'train'")
         fitted = estimator.fit(train)
         files.write_split(fitted.transform(parted), f"{path}/data")
@@ -77,6 +87,7 @@ class PreparedCache:
             "fingerprint": mark,
             "test_size": test_size,
             "random_state": seed,
+            "options": options,
             "train_samples": counts.get("train", 0),
             "test_samples": counts.get("test", 0),
             "feature_columns": list(spec.features),

@@ -57,20 +57,38 @@ def require(spark: SparkSession, path: str, what: str = "Path") -> str:
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str], key: str | None = None) -> DataFrame:
     """Numeric CSV with a header. Columns are checked by name; null marks become NULL.
 
-    Every column is read as text and cast, since Spark's reader knows one null mark only.
-    ``key`` adds an identifier made from the row's values.
+    Every column is read as text and cast, since Spark's reader knows one null mark only. Any other text that is no
+    number fails the job and is named; ``csv_rejects`` lists such texts. ``key`` adds an identifier made from
+    the row's values.
     """
+    raw = _csv_texts(spark, path, columns)
+    numbers = []
+    for c in columns:
+        number = F.col(c).try_cast("double")
+        refusal = F.raise_error(F.concat(F.lit(f"{c} holds no number: "), F.col(c))).cast("double")
+        numbers.append(F.when(F.col(c).isNotNull() & number.isNull(), refusal).otherwise(number).alias(c))
+    clean = raw.select(*numbers)
+    return clean.withColumn(key, F.md5(row_text(clean))) if key else clean
+
+
+def _csv_texts(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """The columns of a CSV as trimmed texts, null marks as NULL."""
     require(spark, path, "Dataset")
     raw = spark.read.csv(path, header=True, inferSchema=False, mode="FAILFAST")
     check_columns(raw.columns, columns)
-    marks = list(NULL_MARKS)
-    clean = raw.select(
-        *[
-            F.when(~F.trim(F.col(f"`{c}`")).isin(marks), F.trim(F.col(f"`{c}`"))).try_cast("double").alias(c)
-            for c in columns
-        ]
-    )
-    return clean.withColumn(key, F.md5(row_text(clean))) if key else clean
+    trimmed = {c: F.trim(F.col(f"`{c}`")) for c in columns}
+    return raw.select(*[F.when(~text.isin(list(NULL_MARKS)), text).alias(c) for c, text in trimmed.items()])
+
+
+def csv_rejects(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """Every text of the columns that is neither a number nor a null mark, with the row it stands in."""
+    raw = _csv_texts(spark, path, columns)
+    bad = [
+        F.when(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull(), F.struct(F.lit(c).alias("column"), F.col(c).alias("text")))
+        for c in columns
+    ]
+    row = F.to_json(F.struct(*columns)).alias("row")
+    return raw.select(row, F.inline(F.array_compact(F.array(*bad))))
 
 
 def write_split(df: DataFrame, path: str) -> None:

@@ -98,12 +98,26 @@ def score(
     challenger: Callable[[DataFrame], DataFrame] | None,
     weight: float = CHAMPION_WEIGHT,
 ) -> DataFrame:
-    """Validation, warnings, routing and prediction; the same columns for batch and stream."""
+    """Validation, warnings, routing and prediction; the same columns for batch and stream.
+
+    ``rejected`` gives the rows that are missing here.
+    """
     accepted = validate.accepted(validate.with_errors(requests, rules), rules)
     warned = accepted.withColumn("warnings", range_warnings([r.field for r in rules], ranges))
     return route_and_score(warned, key, champion, challenger, weight)
 
 
+def rejected(requests: DataFrame, rules: Sequence[Constraint]) -> DataFrame:
+    """The requests that ``score`` refuses, with what is wrong; the same columns for batch and stream."""
+    return validate.quarantined(validate.with_errors(requests, rules))
+
+
+def quarantine_to_table(spark: SparkSession, stream: DataFrame, rules: Sequence[Constraint]) -> DataFrame:
+    """Second sink of a scoring stream: refused requests go to a table of their own."""
+    refused = rejected(stream, rules)
+    return spark.read.schema(refused.schema).parquet(run_append(refused, scratch_path(spark, "refused")))
+
+
 def score_to_table(spark: SparkSession, stream: DataFrame, name: str = "scores") -> DataFrame:
     """Runs a scoring stream into a fresh prediction log and reads it back."""
     return spark.read.schema(stream.schema).parquet(run_append(stream, scratch_path(spark, name)))

@@ -107,3 +107,40 @@ def test_more_features_than_bits(spark):
     df = frame(spark, rows, names)
     state = iterative.fit(df, names, max_iter=1)
     assert iterative.impute(df, state).dropna().count() == 60
+
+
+def test_csv_texts_that_are_no_numbers_are_named(spark, tmp_path):
+    from tabforge.sources import files
+
+    (tmp_path / "a.csv").write_text("a,b\n1,2\nNA, x1 \n3,4e0\n,-\n")
+    path = str(tmp_path / "a.csv")
+    with pytest.raises(Exception, match="b holds no number: x1"):
+        files.read_csv(spark, path, ["a", "b"]).collect()
+    assert {(r["column"], r["text"]) for r in files.csv_rejects(spark, path, ["a", "b"]).collect()} == {("b", "x1"), ("b", "-")}
+
+
+def test_cache_entries_differ_by_roles_and_options(spark, tmp_path):
+    from tabforge.sources.cache import PreparedCache
+
+    rows = [(f"k{i}", float(i % 3), float(i), float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, a double, b double, y double")
+    cache = PreparedCache(spark, str(tmp_path / "cache"))
+    plain, marked = FeatureSpec("k", ("a", "b"), target="y"), FeatureSpec("k", ("a", "b"), ("a",), "y")
+    scaled = cache.get_or_create(df, plain, "v4_robust_col").rows.select("a").distinct().count()
+    kept = {r["a"] for r in cache.get_or_create(df, marked, "v4_robust_col").rows.collect()}
+    assert kept == {0.0, 1.0, 2.0} and scaled == 3
+    cache.get_or_create(df, plain, "v2_knn", n_neighbors=1)
+    cache.get_or_create(df, plain, "v2_knn", n_neighbors=3)
+    assert cache.status().count() == 4
+
+
+def test_accepted_and_refused_requests_are_all_requests(spark):
+    from tabforge.operators import validate
+    from tabforge.spec import Constraint
+    from tabforge.streaming import jobs
+
+    rules = (Constraint("n", ge=1, integer=True),)
+    rows = spark.createDataFrame([("5.0",), ("1e1",), ("2.5",), ("x",), (None,), ("0",), ("NaN",)], "n string")
+    fine = validate.accepted(validate.with_errors(rows, rules), rules)
+    assert {r["n"] for r in fine.collect()} == {5, 10}
+    assert fine.count() + jobs.rejected(rows, rules).count() == rows.count()
