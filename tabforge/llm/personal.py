@@ -152,13 +152,15 @@ def _keys(token: str) -> set[str]:
     return keys
 
 
-FEATURES = 16
+FEATURES = 18
 
 
 def _shape(text: str, start: int, end: int) -> np.ndarray:
     token = text[start:end]
     digits = sum(c.isdigit() for c in token)
     dots = token.count(".")
+    long_number = 16 <= digits <= 19 and not any(c.isalpha() for c in token)
+    valid = long_number and _luhn(_NO_DIGIT.sub("", token))
     before = text[start - 1] if start else " "
     return np.array(
         [
@@ -178,6 +180,8 @@ def _shape(text: str, start: int, end: int) -> np.ndarray:
             " " in token,
             any(c.isalpha() for c in token),
             before.isspace(),
+            valid,
+            long_number and not valid,
         ],
         np.float64,
     )
@@ -225,7 +229,10 @@ def _logsum(x: np.ndarray) -> np.ndarray:
 
 
 def learn(texts: list[str]) -> Field:
-    """Potentials from what the patterns find: tokens that repeat a base span are hidden, others are none."""
+    """Potentials from what the patterns find: tokens that repeat a base span are hidden, others are none.
+
+    Tokens that only repeat each other are none too, so that two doubtful ones do not make each other certain.
+    """
     graph = Graph()
     for i, text in enumerate(texts):
         graph.add(i, text, base_spans(text))
@@ -237,7 +244,7 @@ def learn(texts: list[str]) -> Field:
     hidden = np.zeros(len(label), bool)
     agree, apart = PRIOR
     for a, b in graph.skip:
-        if label[a] and label[b]:
+        if (label[a] > 0) == (label[b] > 0):
             agree, apart = agree + (label[a] == label[b]), apart + (label[a] != label[b])
         else:
             hidden[[a, b]] = True
