@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -44,7 +45,7 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    A local session without the setting gets a temporary folder; on a cluster the
+    A local session without the setting gets a temporary folder, which goes when the program ends; on a cluster the
     setting is required, since a folder of one machine is lost with that machine.
     """
     context = spark.sparkContext
@@ -53,6 +54,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the executors")
         path = tempfile.mkdtemp(prefix="tabforge-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     if not context.getCheckpointDir():
         context.setCheckpointDir(path)
     return path
