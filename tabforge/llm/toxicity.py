@@ -121,26 +121,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _words(texts: list[str]) -> list[list[bytes]]:
-    made = split(pa.array(texts, pa.string()), PLAIN_WORD, lower=True)
-    return [
-        [made.word(j) for j in range(low, high)] for low, high in zip(made.first[:-1], made.first[1:], strict=True)
-    ]
-
-
-def _samples(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[list[bytes], list[bytes]]:
-    """Training texts of the two dictionaries."""
-    usual = {w for own in ordinary for w in own}
-    before = defaultdict(set)
-    for own in toxic:
-        for last, word in zip([b"", *own], own, strict=False):
-            if word not in usual:
-                before[word].add(last)
-    least = max(SUPPORT, SUPPORT_SHARE * len(toxic))
-    telling = {w for w, seen in before.items() if len(seen) >= least}
-    marked = [[w for w in own if w in telling] for own in toxic]
-    lines = [b" " + b" ".join(own) + b" " for own in marked if own]
-    return lines, [b" " + b" ".join(own) + b" " for own in ordinary if own]
+def _split(texts: list[str]) -> Words:
+    return split(pa.array(texts, pa.string()), PLAIN_WORD, lower=True)
+
+
+def _samples(toxic: Words, ordinary: Words) -> tuple[list[bytes], list[bytes]]:
+    """Training texts of the two dictionaries; words are compared by digest, so none becomes an object of its own."""
+    word = toxic.digests()
+    fresh = ~np.isin(word, ordinary.digests())
+    before = np.concatenate((np.zeros(1, np.uint64), word[:-1]))[: len(word)]
+    before[toxic.first[:-1][toxic.counts > 0]] = 0
+    pairs = np.unique(np.column_stack((word[fresh], before[fresh])), axis=0)
+    found, many = np.unique(pairs[:, 0], return_counts=True)
+    least = max(SUPPORT, SUPPORT_SHARE * (len(toxic.first) - 1))
+    marked = np.flatnonzero(fresh & np.isin(word, found[many >= least]))
+    lines = defaultdict(list)
+    for i, document in zip(marked.tolist(), toxic.owner()[marked].tolist(), strict=True):
+        lines[document].append(toxic.word(i))
+    joined, begin, end, _ = windows(ordinary, 1 << 40)
+    usual = [joined[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
+    return [b" " + b" ".join(own) + b" " for own in lines.values()], usual
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -171,7 +171,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_c
 
 
 def _model(toxic: list[str], ordinary: list[str]) -> Model:
-    marked, usual = _samples(_words(toxic), _words(ordinary))
+    marked, usual = _samples(_split(toxic), _split(ordinary))
     made = (_dictionary(marked, TOXIC_BYTES), _dictionary(usual, ORDINARY_BYTES))
     return Model(*made, np.zeros(8), np.ones(8), np.zeros(9))
 
@@ -187,8 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     for half in (False, True):
         model = _model(texts[1, half], texts[0, half])
         for label in (0, 1):
-            given = split(pa.array(texts[label, not half], pa.string()), PLAIN_WORD, lower=True)
-            x.append(model.features(given, model.compressors()))
+            x.append(model.features(_split(texts[label, not half]), model.compressors()))
             y.append(np.full(len(x[-1]), float(label)))
     x, y = np.concatenate(x), np.concatenate(y)
     model = _model(texts[1, False] + texts[1, True], texts[0, False] + texts[0, True])
