@@ -67,7 +67,9 @@ def test_personal_data_of_awkward_rows(spark):
     docs = rows.clashing(docs.union(rows.awkward(spark))).withColumn("spans", F.lit("x")).withColumn("base", F.lit(1))
     model = personal.fit(docs)
     got = personal.find(docs, model).collect()
-    want = [[(personal.KINDS[k], s, e) for k, s, e in slow_spans(r["text"] or "")] for r in docs.collect()]
+    # The plain patterns take time in the square of a run of letters, and find nothing in one.
+    texts = [(r["text"] or "").replace("x" * 1000, "x") for r in docs.collect()]
+    want = [[(personal.KINDS[k], s, e) for k, s, e in slow_spans(t)] for t in texts]
     assert sorted(str([tuple(s) for s in r["base"]]) for r in got) == sorted(map(str, want))
     assert all(set(map(tuple, r["base"])) <= set(map(tuple, r["spans"])) for r in got)
     assert personal.find(rows.empty(spark), personal.fit(rows.empty(spark))).count() == 0
