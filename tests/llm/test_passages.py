@@ -157,6 +157,19 @@ def test_near_copies(spark):
     assert nearcopies.classes(rows.empty(spark)).count() == 0
 
 
+def test_links_do_not_depend_on_the_size_of_the_group(spark):
+    rng = random.Random(8)
+    base = [f"u{i}" for i in range(120)]
+    for group in (20, 100, 280):
+        data = [(i, " ".join(f"x{i}y{j}" for j in range(120))) for i in range(group, 300)]
+        for i in range(group):
+            at = rng.randrange(120)
+            data.append((i, " ".join([*base[:at], f"e{i}", *base[at + 1 :]])))
+        got = nearcopies.classes(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect()
+        assert {(r["class_id"], r["class_size"]) for r in got if r["doc_id"] < group} == {(0, group)}
+        assert all(r["class_size"] == 1 for r in got if r["doc_id"] >= group)
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(80)]
