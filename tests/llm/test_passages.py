@@ -170,6 +170,25 @@ def test_links_do_not_depend_on_the_size_of_the_group(spark):
         assert all(r["class_size"] == 1 for r in got if r["doc_id"] >= group)
 
 
+def test_a_group_holds_one_meeting_of_strangers(spark, monkeypatch):
+    def sizes(shared, threshold):
+        def run(table):
+            return pa.table({"a": table["meeting"][:1], "b": pa.array([table.num_rows], pa.int64())})
+
+        return run
+
+    monkeypatch.setattr(nearcopies, "_meet", sizes)
+    for name, value in (("STRANGERS", 10), ("OTHERS", 40), ("UNIT", 50)):
+        monkeypatch.setattr(nearcopies, name, value)
+    star = "struct(vertex, 1d as total, 1d as size) as star"
+    members = spark.range(1200).selectExpr("id as vertex", "if(id < 800, 1, id div 8) as key")
+    members = members.selectExpr("vertex", "1d as total", "1d as size", "key", "1 as band", star)
+    label = spark.createDataFrame([], "vertex long, class long")
+    texts = members.selectExpr("vertex", "'a b c' as text")
+    rows = [r["b"] for r in nearcopies._across(members, label, texts, None, 0.8).collect()]
+    assert sum(rows) >= 800 * 20 + 800 * 80 and max(rows) <= 200
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(80)]
