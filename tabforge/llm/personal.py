@@ -5,8 +5,9 @@ spans and what resembles them: groups of digits, addresses written with "(at)",
 an address. Neighbouring tokens share a potential (the chain), and so do tokens that repeat each other, however
 distant: equal digits, equal last nine digits, or the same name (the skips). Loopy belief propagation then
 labels each token of a document consistently; a token beside the base spans becomes one when its belief reaches
-``CERTAIN``. Repeats are linked one after the other, so a token that occurs very often needs no more links
-than it has occurrences.
+``CERTAIN``. A token that repeats a base span is linked to that span itself, and tokens that only repeat each other to one
+variable that they share, so a label travels two links at most, however often a token occurs, and a token that occurs
+very often needs no more links than it has occurrences. Messages pass until they stay.
 
 The field's weights come from the patterns' own findings in a bounded sample: the ``SAMPLE`` texts with the
 smallest hash of their text among those that have an "@" or a digit, without texts beyond ``LONGEST`` bytes.
@@ -32,7 +33,10 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 3000
 LONGEST = 20_000
 CERTAIN = 0.9
-ROUNDS = 12
+#: Messages have settled when none changes by more; rounds at most.
+SETTLED, ROUNDS = 1e-4, 1000
+#: Log potential of the label that a base span is held to.
+HELD = 1e9
 #: Pairs of repeats that agree and disagree, counted before any are seen.
 PRIOR = (10.0, 1.0)
 
@@ -86,7 +90,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 @dataclass
 class Graph:
-    """Tokens of some documents: label of base spans (0: none), features, and edges of either sort."""
+    """Tokens of some documents: label of base spans (0: none), features, and edges of either sort.
+
+    Skips link the first base span of a label with every token that repeats it; ``alone`` are the groups of tokens
+    that share a key with each other, but with no base span.
+    """
 
     document: list[int] = field(default_factory=list)
     start: list[int] = field(default_factory=list)
@@ -95,6 +103,7 @@ class Graph:
     shape: list[np.ndarray] = field(default_factory=list)
     chain: list[tuple[int, int]] = field(default_factory=list)
     skip: list[tuple[int, int]] = field(default_factory=list)
+    alone: list[tuple[int, ...]] = field(default_factory=list)
 
     def add(self, document: int, text: str, base: list[tuple[int, int, int]]) -> None:
         found = [(s, e, k + 1) for k, s, e in base]
@@ -102,7 +111,7 @@ class Graph:
         taken = sorted((s, e) for s, e, _ in found)
         found += [(s, e, 0) for s, e in _free(_candidates(text, names), taken)]
         found.sort()
-        seen: dict[str, int] = {}
+        seen: dict[str, list[int]] = {}
         for n, (start, end, label) in enumerate(found):
             at = len(self.start)
             self.document.append(document)
@@ -113,9 +122,18 @@ class Graph:
             if n:
                 self.chain.append((at - 1, at))
             for key in _keys(text[start:end]):
-                if key in seen and seen[key] != at:
-                    self.skip.append((seen[key], at))
-                seen[key] = at
+                seen.setdefault(key, []).append(at)
+        alone = set()
+        for group in seen.values():
+            heads: dict[int, int] = {}
+            for at in group:
+                if self.label[at]:
+                    heads.setdefault(self.label[at], at)
+            if heads:
+                self.skip += [(head, at) for at in group for head in heads.values() if head != at]
+            elif len(group) > 1:
+                alone.add(tuple(group))
+        self.alone += sorted(alone)
 
 
 def _candidates(text: str, names: set[str]) -> Iterator[tuple[int, int]]:
@@ -199,12 +217,17 @@ class Field:
         """Marginals by loopy message passing; base spans are held to their label."""
         label = np.array(graph.label, np.int64)
         node = np.stack(graph.shape) @ self.shape
-        node[label > 0] -= 30
-        node[label > 0, label[label > 0]] += 60
-        chain, skip = (np.array(e, np.int64).reshape(-1, 2) for e in (graph.chain, graph.skip))
-        same = np.eye(len(KINDS) + 1) * self.agree
-        pair = np.concatenate([np.broadcast_to(self.chain, (len(chain), *same.shape)), np.broadcast_to(same, (len(skip), *same.shape))])
-        one, other = np.concatenate([chain, skip]).T
+        # More than all messages of a document's repeats add up to.
+        node[label > 0] = -HELD
+        node[label > 0, label[label > 0]] = HELD
+        # The variable that a group shares is a node behind the tokens.
+        hub = [(len(label) + i, at) for i, group in enumerate(graph.alone) for at in group]
+        node = np.concatenate([node, np.zeros((len(graph.alone), node.shape[1]))])
+        chain, skip, hub = (np.array(e, np.int64).reshape(-1, 2) for e in (graph.chain, graph.skip, hub))
+        same = np.eye(len(KINDS) + 1)
+        kinds = (self.chain, chain), (same * self.agree, skip), (same * _half(self.agree), hub)
+        pair = np.concatenate([np.broadcast_to(p, (len(e), *same.shape)) for p, e in kinds])
+        one, other = np.concatenate([chain, skip, hub]).T
         # Messages along every edge in both directions; edge i backwards is edge i + len(one).
         source, target = np.concatenate([one, other]), np.concatenate([other, one])
         weights = np.concatenate([pair, pair.transpose(0, 2, 1)])
@@ -215,14 +238,27 @@ class Field:
             given = total[source] - messages[back]
             new = _logsum(given[:, :, None] + weights)
             new -= new.max(axis=1, keepdims=True)
+            settled = np.abs(new - messages).max() <= SETTLED
             messages = 0.5 * messages + 0.5 * new
             total = node.copy()
             np.add.at(total, target, messages)
+            if settled:
+                break
+        total = total[: len(label)]
         total -= total.max(axis=1, keepdims=True)
         out = np.exp(total)
         return out / out.sum(axis=1, keepdims=True)
 
 
+def _half(agree: float) -> float:
+    """The potential that two links in a row need to tie their ends like one link of ``agree``."""
+    others = len(KINDS)
+    wanted = np.exp(agree) / (np.exp(agree) + others)
+    # p * p + (1 - p) ** 2 / others = wanted
+    p = (1 + np.sqrt(max(0.0, 1 - (1 + others) * (1 - others * wanted)))) / (1 + others)
+    return float(np.log(p * others / (1 - p)))
+
+
 def _logsum(x: np.ndarray) -> np.ndarray:
     top = x.max(axis=1)
     return top + np.log(np.exp(x - top[:, None, :]).sum(axis=1))
@@ -248,6 +284,7 @@ def learn(texts: list[str]) -> Field:
             agree, apart = agree + (label[a] == label[b]), apart + (label[a] != label[b])
         else:
             hidden[[a, b]] = True
+    agree += sum(len(group) - 1 for group in graph.alone)
     made.agree = float(np.clip(np.log(agree / apart), 0, 4))
     use = ~hidden | (label > 0)
     wanted = np.eye(len(KINDS) + 1)[label[use]]

@@ -61,6 +61,30 @@ def test_repeats_take_the_label_of_what_they_repeat():
     assert len(found) == 3
 
 
+def test_many_repeats_take_the_label_of_one_span(spark):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(300):
+        phone = f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"
+        mail = f"{rng.choice('abc')}name.{rng.randrange(99)}@mail.example.com"
+        texts.append(f"call {phone} or {phone[3:]} or write {mail} to order {rng.randrange(10**6, 10**7)} on 10.0.0.{rng.randrange(255)}")
+    model = personal.learn([f"{t} and again {t}" for t in texts])
+    for many in (3, 30, 300):
+        number = "call +1 (743) 555-3824 now" + "; again (743) 555-3824, order 1234567" * many
+        name = "write bname.42@mail.example.com" + "; ask bname.42 for it" * many
+        docs = spark.createDataFrame([(1, number), (2, name), (3, "order 1234567 " * many)], "doc_id long, text string")
+        got = {r["doc_id"]: [(s["kind"], s["end"] - s["start"]) for s in r["spans"]] for r in personal.find(docs, model).collect()}
+        assert got == {1: [("phone", 17)] + [("phone", 14)] * many, 2: [("email", 25)] + [("email", 8)] * many, 3: []}
+
+
+def test_two_links_in_a_row_tie_like_one():
+    for agree in (0.0, 0.5, 2.3, 4.0):
+        link = np.exp(np.eye(5) * personal._half(agree))
+        link /= link.sum(axis=1)
+        one = np.exp(np.eye(5) * agree)
+        assert np.allclose(link @ link, one / one.sum(axis=1))
+
+
 def test_personal_data_of_awkward_rows(spark):
     texts = ["a@b.c and A@B.c", CARD_NUMBER + " x", "\U0001f600 1.2.3.4 é +123 456 789", "1" * 20_000 + "@" * 500, None, ""]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], rows.SCHEMA)
