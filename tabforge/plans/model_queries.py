@@ -164,10 +164,7 @@ def cv_ridge_all_features(spark: SparkSession, sf: str) -> DataFrame:
 @query("cv_forest")
 def cv_forest(spark: SparkSession, sf: str) -> DataFrame:
     """Strategy and forest fitted anew in every fold."""
-    params = {"n_estimators": 5, "max_depth": 5}
-    scores = resample.cross_validate(
-        frame_nulls(spark, sf), FRAME, "random_forest", params, strategy="v1_median", k=3
-    )
+    scores = resample.cross_validate(frame_nulls(spark, sf), FRAME, "random_forest", strategy="v1_median")
     return rounded(scores, "rmse", "r2", digits=4)
 
 
@@ -186,23 +183,23 @@ def train_linear(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("train_forest")
 def train_forest(spark: SparkSession, sf: str) -> DataFrame:
-    return fit_and_score(spark, sf, "v4_robust_col", "random_forest", n_estimators=20, max_depth=8)
+    return fit_and_score(spark, sf, "v4_robust_col", "random_forest")
 
 
 @query("train_gbt")
 def train_gbt(spark: SparkSession, sf: str) -> DataFrame:
-    return fit_and_score(spark, sf, "v1_median", "gradient_boost", n_estimators=10)
+    return fit_and_score(spark, sf, "v1_median", "gradient_boost")
 
 
 @query("train_regularised_gbt")
 def train_regularised_gbt(spark: SparkSession, sf: str) -> DataFrame:
-    return fit_and_score(spark, sf, "v4_robust_col", "xgboost", n_estimators=10, max_depth=4, learning_rate=0.3)
+    return fit_and_score(spark, sf, "v4_robust_col", "xgboost")
 
 
 @query("importance_topn")
 def importance_topn(spark: SparkSession, sf: str) -> DataFrame:
     rows = frame(spark, sf)
-    fitted = create_model("random_forest", FRAME, n_estimators=10, max_depth=6).fit(rows)
+    fitted = create_model("random_forest", FRAME).fit(rows)
     return rounded(importance_table(spark, fitted, 5), "importance", digits=4)
 
 

@@ -391,16 +391,19 @@ def run_names(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("grid_run")
 def grid_run(spark: SparkSession, sf: str) -> DataFrame:
-    """A small grid trained end to end on the whole frame."""
+    """Eight runs, trained and cross-validated end to end on the whole frame."""
     config = {
         "grid": {
-            "models": ["linear", "random_forest"],
-            "preprocessors": ["v1_median", "v4_robust_col"],
-            "hyperparameters": {"random_forest": {"n_estimators": [5], "max_depth": 5}},
+            "models": ["random_forest", "gradient_boost"],
+            "preprocessors": ["v1_median", "v2_knn"],
+            "hyperparameters": {
+                "random_forest": {"n_estimators": [100, 200], "max_depth": [10]},
+                "gradient_boost": {"n_estimators": [100, 150], "max_depth": [3]},
+            },
         }
     }
     configs = experiments.expand_grid(experiments.grid_frame(spark, config))
-    results = experiments.run_grid(frame_nulls(spark, sf), FRAME, configs, cv_splits=None)
+    results = experiments.run_grid(frame_nulls(spark, sf), FRAME, configs)
     return results.select(
         "model_type",
         "preprocessing",

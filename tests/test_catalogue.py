@@ -27,6 +27,34 @@ def test_runs(spark, sf, name):
             assert record["r2"] > 0.6, record
 
 
+def test_training_queries_do_the_whole_job(spark, sf, monkeypatch):
+    from tabforge.operators import experiments, resample
+    from tabforge.operators.split import CV_SPLITS
+    from tabforge.plans import model_queries
+
+    class Stop(Exception):
+        pass
+
+    def asked(*args, **options):
+        made.append((args, options))
+        raise Stop
+
+    monkeypatch.setattr(model_queries, "create_model", asked)
+    monkeypatch.setattr(resample, "cross_validate", asked)
+    monkeypatch.setattr(experiments, "run_grid", asked)
+    for name in ("train_forest", "train_gbt", "train_regularised_gbt", "importance_topn", "cv_forest", "grid_run"):
+        made = []
+        with pytest.raises(Stop):
+            QUERIES[name](spark, sf)
+        ((args, options),) = made
+        assert not set(options) & {"n_estimators", "max_depth", "learning_rate"}, name
+        assert options.get("k", CV_SPLITS) == options.get("cv_splits", CV_SPLITS) == CV_SPLITS, name
+        if name == "cv_forest":
+            assert args[3:] == ()
+        if name == "grid_run":
+            assert args[2].count() == 8
+
+
 def test_every_sql_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
