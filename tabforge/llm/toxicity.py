@@ -1,8 +1,9 @@
 """Toxicity by compression distance: how much shorter text gets with a dictionary of toxic text.
 
-Two zstandard dictionaries are trained on separate texts: one on the words of ordinary documents, one on those words
-of toxic documents that ordinary ones lack and that stand behind several different words (copies of a document
-repeat a word behind the same one). Each document is cut into windows of ``WINDOW`` words. A window is compressed with the
+Two zstandard dictionaries are trained on separate texts: one on those words of toxic documents that are clearly more
+frequent there than in ordinary ones, one on all other words of ordinary documents. A word is counted once for each
+different word that it stands behind, as copies of a document repeat a word behind the same one; no single label
+or quotation decides about a word, and words that ordinary documents use as well can be toxic ones. Each document is cut into windows of ``WINDOW`` words. A window is compressed with the
 ordinary dictionary alone and with the toxic one after it; the bytes saved measure how much of it only toxic text
 explains. A logistic regression on labelled documents, each seen through dictionaries of the sample's other half,
 calibrates the savings of a document's windows to a score.
@@ -37,6 +38,8 @@ LEVEL = 3
 TOXIC_BYTES, ORDINARY_BYTES = 2048, 16384
 #: A toxic word stands behind this many different words at least, or this share of the toxic documents.
 SUPPORT, SUPPORT_SHARE = 4, 0.003
+#: Its share among the toxic documents' words is so many times that among the ordinary ones' at least, and so many standard errors more.
+TIMES, ERRORS = 2.0, 3.0
 
 
 def held_out(id_column: str) -> Column:
@@ -125,20 +128,34 @@ def _split(texts: list[str]) -> Words:
     return split(pa.array(texts, pa.string()), PLAIN_WORD, lower=True)
 
 
+def _uses(made: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digest of every word's place, the different words, and behind how many different words each stands."""
+    word = made.digests()
+    before = np.concatenate((np.zeros(1, np.uint64), word[:-1]))[: len(word)]
+    before[made.first[:-1][made.counts > 0]] = 0
+    pairs = np.unique(np.column_stack((word, before)), axis=0)
+    return word, *np.unique(pairs[:, 0], return_counts=True)
+
+
 def _samples(toxic: Words, ordinary: Words) -> tuple[list[bytes], list[bytes]]:
     """Training texts of the two dictionaries; words are compared by digest, so none becomes an object of its own."""
-    word = toxic.digests()
-    fresh = ~np.isin(word, ordinary.digests())
-    before = np.concatenate((np.zeros(1, np.uint64), word[:-1]))[: len(word)]
-    before[toxic.first[:-1][toxic.counts > 0]] = 0
-    pairs = np.unique(np.column_stack((word[fresh], before[fresh])), axis=0)
-    found, many = np.unique(pairs[:, 0], return_counts=True)
+    word, found, many = _uses(toxic)
+    usual_word, usual_found, usual_many = _uses(ordinary)
+    among = np.zeros(len(found))
+    _, here, there = np.intersect1d(found, usual_found, assume_unique=True, return_indices=True)
+    among[here] = usual_many[there]
+    ratio = np.log((many + 0.5) / (many.sum() + 1)) - np.log((among + 0.5) / (usual_many.sum() + 1))
+    clear = (ratio >= np.log(TIMES)) & (ratio >= ERRORS * np.sqrt(1 / (many + 0.5) + 1 / (among + 0.5)))
     least = max(SUPPORT, SUPPORT_SHARE * (len(toxic.first) - 1))
-    marked = np.flatnonzero(fresh & np.isin(word, found[many >= least]))
+    chosen = found[clear & (many >= least)]
+    marked = np.flatnonzero(np.isin(word, chosen))
     lines = defaultdict(list)
     for i, document in zip(marked.tolist(), toxic.owner()[marked].tolist(), strict=True):
         lines[document].append(toxic.word(i))
-    joined, begin, end, _ = windows(ordinary, 1 << 40)
+    rest = ~np.isin(usual_word, chosen)
+    counts = np.bincount(ordinary.owner()[rest], minlength=len(ordinary.counts))
+    rest = Words(ordinary.data, ordinary.begin[rest], ordinary.end[rest], np.concatenate(([0], np.cumsum(counts))))
+    joined, begin, end, _ = windows(rest, 1 << 40)
     usual = [joined[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
     return [b" " + b" ".join(own) + b" " for own in lines.values()], usual
 

@@ -158,6 +158,25 @@ def test_toxicity_against_held_out_labels(spark):
     assert auc([r["score"] for r in held], [r["toxic"] for r in held]) > 0.9
 
 
+def test_toxicity_with_swapped_labels(spark):
+    rng = random.Random(6)
+    usual = [f"{a}{b}{c}" for a in "bdgkmp" for b in "aeiou" for c in ("lor", "nip", "tas", "rum")]
+    bad = [f"zq{i}vex" for i in range(12)]
+    docs, labels, truth = [], [], {}
+    for i in range(1500):
+        own = [rng.choice(usual) for _ in range(60)]
+        truth[i] = int(i % 5 == 0)
+        if truth[i]:
+            for _ in range(8):
+                own[rng.randrange(60)] = rng.choice(bad)
+        docs.append((i, " ".join(own)))
+        labels.append((i, 1 - truth[i] if i % 50 in (0, 1) else truth[i]))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = toxicity.score(docs, model).where("held_out").collect()
+    assert auc([r["score"] for r in got], [truth[r["doc_id"]] for r in got]) > 0.95
+
+
 def test_toxicity_of_awkward_rows(spark):
     docs = rows.clashing(rows.awkward(spark))
     for labels in ([], [(3, 1), (4, 0)], [(3, 1), (3, None), (None, 1)]):
