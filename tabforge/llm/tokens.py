@@ -3,6 +3,7 @@
 A byte-level BPE splits a text into words first and encodes each by itself, so equal pieces of text give equal
 ids. Texts are cut where both supported tokenizers always start a new word, each different piece is encoded
 once by the library, and the ids are put together by numpy. A tokenizer of another make gets whole texts.
+A text that holds a special token literally, such as <|endoftext|>, gets that token's id, as from the library; no cut falls inside one.
 """
 
 from __future__ import annotations
@@ -48,7 +49,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.splits = _splits_words(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._forget()

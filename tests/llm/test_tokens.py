@@ -35,6 +35,22 @@ def test_pieces_give_the_ids_of_whole_texts(texts):
         assert [list(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)] == [whole(path, t) for t in texts]
 
 
+SPECIAL = ["<|endoftext|>", "<|startoftext|>", "a", "Z.", " ", "\n", "<|", "|>", "<", "endoftext", "\u00e9 b", "  ", "'s"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(SPECIAL), max_size=9).map("".join), min_size=1, max_size=5))
+def test_literal_special_tokens_give_the_ids_of_the_library(texts):
+    from tokenizers import Tokenizer
+
+    for path in (BYTES, WORDS):
+        plain = Tokenizer.from_file(path)
+        texts = [*texts, "a <|endoftext|> b", "a<|startoftext|>. b"]
+        ids, at = encoder(path).encode(pa.array(texts))
+        want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [list(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)] == want
+
+
 def test_memory_that_overflows(monkeypatch):
     from tabforge.llm import tokens
 
