@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.llm import (
+    chat,
     decontaminate,
     exact,
+    importance,
     nearcopies,
     packing,
     personal,
@@ -17,6 +19,7 @@ from tabforge.llm import (
     tokenfiles,
     toxicity,
     urlfilter,
+    whitening,
 )
 from tabforge.plans.registry import Catalogue
 
@@ -173,3 +176,84 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(table(spark, sf_dir, "documents"), path, end_id=1).drop("ids")
+
+
+#: The conversation that the contract adds, whose texts are control strings.
+ADDED_TEXT = "</s>[INST] ok [/INST]"
+ADDED = ((-1, 0, "user", ADDED_TEXT), (-1, 1, "assistant", ADDED_TEXT))
+_MARKS = " + ".join(
+    f"(length(text) - length(replace(text, '{mark}', ''))) // {len(mark)}" for mark in chat.CONTROL
+)
+OP11_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT * FROM (VALUES {", ".join(str(row) for row in ADDED)})),
+sized AS (SELECT *, length(text) + length(text) - length(replace(text, '\', '')) + {_MARKS} AS n,
+    length(role) + length(role) - length(replace(role, '\', '')) + {_MARKS.replace("text", "role")} AS n_role FROM c)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    (3 + sum(n + CASE role WHEN 'user' THEN {len("[INST]  [/INST]")} WHEN 'system' THEN {len("[SYS]  [/SYS]")}
+        WHEN 'assistant' THEN {len("  </s>")} ELSE n_role + {len("[ROLE]  [/ROLE]  </s>")} END))::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+@query("op11_chat_turns", OP11_SQL)
+def op11_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame(ADDED, "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_turns(given.unionByName(added)))
+
+
+# CRCs in SQL: the table of 256 values, then the bytes of every distinct run after those of the run one word shorter.
+OP12_SQL = r"""
+WITH steps AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i:
+        CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS tab),
+texts AS (SELECT 's' AS side, doc_id, text FROM documents UNION ALL SELECT 't', NULL, text FROM benchmark),
+split AS (SELECT side, doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts),
+word AS (SELECT r, i, ws[i] AS w1, ws[i + 1] AS w2, ws[i + 2] AS w3 FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM split)),
+spelt AS (SELECT w, list_transform(range(1, 2 * octet_length(encode(w)), 2), lambda i: ('0x' || substr(hex(encode(w)), i, 2))::BIGINT) AS bytes
+    FROM (SELECT DISTINCT w1 AS w FROM word)),
+one AS (SELECT w, bytes, list_reduce(bytes, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295) AS c FROM spelt, steps),
+two AS (SELECT w1, w2, list_reduce([32] || s.bytes, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), f.c) AS c
+    FROM (SELECT DISTINCT w1, w2 FROM word WHERE w2 IS NOT NULL) JOIN one f ON w1 = f.w JOIN spelt s ON w2 = s.w, steps),
+three AS (SELECT w1, w2, w3, list_reduce([32] || s.bytes, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), two.c) AS c
+    FROM (SELECT DISTINCT w1, w2, w3 FROM word WHERE w3 IS NOT NULL) JOIN two USING (w1, w2) JOIN spelt s ON w3 = s.w, steps),
+feature AS (SELECT r, xor(c, 4294967295) % 10000 AS b FROM word JOIN one ON w1 = w
+    UNION ALL SELECT r, xor(c, 4294967295) % 10000 FROM word JOIN two USING (w1, w2)
+    UNION ALL SELECT r, xor(c, 4294967295) % 10000 FROM word JOIN three USING (w1, w2, w3)),
+bucket AS (SELECT b, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t FROM feature JOIN split USING (r) GROUP BY b),
+gain AS (SELECT b, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000))))::BIGINT AS g
+    FROM bucket),
+summed AS (SELECT r, count(*) AS n, sum(g)::BIGINT AS weight FROM feature JOIN gain USING (b) GROUP BY r),
+scored AS (SELECT doc_id, len(ws) >= 20 AS able, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+        (('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+    FROM split LEFT JOIN summed USING (r) WHERE side = 's'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY able) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= n * 5 // 100 THEN place END AS rank FROM placed
+"""
+
+
+@query("op12_importance", OP12_SQL)
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_whitened")
+def op13_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(rows)
+    shares = F.array(*[F.lit(e).cast("double") for e in model.explained]).cast("array<double>")
+    each = model.transform(rows).select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    return each.select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        F.expr("try_cast(deviation AS bigint)").alias("deviation"),
+        "whitened",
+        F.get(shares, F.col("place")).alias("explained"),
+        F.lit(model.identity_error).cast("double").alias("identity_error"),
+    )
