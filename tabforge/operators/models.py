@@ -1,45 +1,28 @@
-"""The four regressors as Spark ML estimators, their importances and their registry."""
+"""The four regressors as Spark ML estimators, their importances and their registry.
+
+The defaults of the learners and the keys they are written under are fixed values.
+"""
 
 from __future__ import annotations
 
 import json
-import math
 from dataclasses import asdict
 
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabforge.operators import booster
-from tabforge.session import materialise
+from tabforge.operators import trees
 from tabforge.spec import SEED, FeatureSpec
 
-ROWS_PER_PARTITION = 200_000
-#: Levels of Spark's trees; deeper ones cannot be built.
-MAX_DEPTH = 30
 _VECTOR = "__features"
+#: How the cuts' gains become the features' shares.
+_IMPORTANCE = {"random_forest": "tree", "gradient_boost": "sum", "xgboost": "mean"}
 _REGISTRY: dict[str, type[Regressor]] = {}
 
 
-def canonical(df: DataFrame, spec: FeatureSpec) -> DataFrame:
-    """Rows in a layout that depends on the keys alone, written once.
-
-    Tree learners read bootstrap samples and split candidates off the layout, so
-    equal data must be laid out equally. The number of partitions follows from the
-    number of rows, never from the cluster.
-    """
-    rows = df.select(
-        F.col(spec.key).cast("string").alias("__key"),
-        *[F.col(f).cast("double").alias(f) for f in spec.features],
-        F.col(spec.target).cast("double").alias(spec.target),
-    )
-    written = materialise(rows, "train")
-    parts = max(4, math.ceil(written.count() / ROWS_PER_PARTITION))
-    return written.repartition(parts, "__key").sortWithinPartitions("__key")
-
-
 class RegressorModel(Model):
     """Fitted regressor: adds ``prediction`` to rows holding the features."""
 
@@ -48,27 +31,26 @@ class RegressorModel(Model):
         self.name, self.spec, self.hyperparameters, self.inner = name, spec, params, inner
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        if isinstance(self.inner, dict):
-            return dataset.withColumn("prediction", booster.prediction(self.inner))
+        if isinstance(self.inner, trees.TreeModel):
+            return dataset.withColumn("prediction", self.inner.prediction())
         return self.inner.transform(dataset).drop(_VECTOR)
 
     def importance(self) -> list[tuple[str, float]]:
         """Share of each feature, largest first."""
-        if isinstance(self.inner, dict):
-            values = booster.importance(self.inner)
-        elif self.name == "linear":
+        if isinstance(self.inner, trees.TreeModel):
+            values = self.inner.importance(_IMPORTANCE[self.name])
+        else:
             sizes = [abs(c) for c in self.inner.stages[-1].coefficients.toArray()]
             values = [s / sum(sizes) if sum(sizes) else 0.0 for s in sizes]
-        else:
-            values = self.inner.stages[-1].featureImportances.toArray().tolist()
         pairs = zip(self.spec.features, map(float, values), strict=True)
         return sorted(pairs, key=lambda pair: -pair[1])
 
     def save(self, path: str) -> None:
         spark = SparkSession.active()
         body = {"name": self.name, "spec": asdict(self.spec), "params": self.hyperparameters}
-        if isinstance(self.inner, dict):
-            body["inner"] = self.inner
+        if isinstance(self.inner, trees.TreeModel):
+            body["kind"] = "trees"
+            self.inner.save(f"{path}/inner")
         else:
             self.inner.write().overwrite().save(f"{path}/inner")
         text = spark.createDataFrame([(json.dumps(body),)], "value string")
@@ -79,7 +61,8 @@ class RegressorModel(Model):
         body = json.loads(SparkSession.active().read.text(f"{path}/state").first()["value"])
         spec = body["spec"]
         spec = FeatureSpec(spec["key"], tuple(spec["features"]), tuple(spec["categorical"]), spec["target"])
-        inner = body["inner"] if "inner" in body else PipelineModel.load(f"{path}/inner")
+        kind = trees.TreeModel if body.get("kind") == "trees" else PipelineModel
+        inner = kind.load(f"{path}/inner")
         return cls(body["name"], spec, body["params"], inner)
 
 
@@ -109,16 +92,12 @@ class Regressor(Estimator):
     def _columns(self) -> dict:
         return {"featuresCol": _VECTOR, "labelCol": self.spec.target, "predictionCol": "prediction"}
 
-    def _leaf_rows(self) -> int:
-        """Rows a child must keep: Spark bounds children, so half of a minimum split bounds the parent."""
-        params = self.hyperparameters
-        return max(params["min_samples_leaf"], math.ceil(params["min_samples_split"] / 2))
-
+    def _table(self, dataset: DataFrame) -> trees.Binned:
+        spec = self.spec
+        return trees.binned(dataset, spec.key, spec.features, spec.target, self.hyperparameters.get("max_bins", 256))
 
-def _depth(params: dict) -> int:
-    if params["max_depth"] > MAX_DEPTH:
-        raise ValueError(f"max_depth {params['max_depth']} is beyond the {MAX_DEPTH} levels Spark's trees can have")
-    return params["max_depth"]
+    def _model(self, inner: trees.TreeModel) -> RegressorModel:
+        return RegressorModel(self.name, self.spec, self.hyperparameters, inner)
 
 
 def register(cls: type[Regressor]) -> type[Regressor]:
@@ -160,7 +139,7 @@ class RidgeModel(Regressor):
 
 @register
 class ForestModel(Regressor):
-    """Bagged trees over all features."""
+    """Bagged trees over all features; ``bootstrap=False`` gives every tree all rows."""
 
     name = "random_forest"
     defaults = {
@@ -173,21 +152,19 @@ class ForestModel(Regressor):
 
     def _fit(self, dataset: DataFrame) -> RegressorModel:
         params = self.hyperparameters
-        learner = RandomForestRegressor(
-            numTrees=params["n_estimators"],
-            maxDepth=_depth(params),
-            minInstancesPerNode=self._leaf_rows(),
-            featureSubsetStrategy="all",
+        rules = trees.Rules(
+            depth=params["max_depth"],
+            split_rows=params["min_samples_split"],
+            leaf_rows=params["min_samples_leaf"],
+            sampling="bag" if params.get("bootstrap", True) else "all",
             seed=params["random_state"],
-            maxMemoryInMB=64,
-            **self._columns(),
         )
-        return self._fit_learner(canonical(dataset, self.spec), learner)
+        return self._model(trees.forest(self._table(dataset), params["n_estimators"], rules))
 
 
 @register
 class BoostedModel(Regressor):
-    """Trees fitted one after the other to what is left of the error."""
+    """The mean, then trees fitted one after the other to what is left of the error, all of them shrunk."""
 
     name = "gradient_boost"
     defaults = {
@@ -202,16 +179,16 @@ class BoostedModel(Regressor):
 
     def _fit(self, dataset: DataFrame) -> RegressorModel:
         params = self.hyperparameters
-        learner = GBTRegressor(
-            maxIter=params["n_estimators"],
-            maxDepth=_depth(params),
-            stepSize=params["learning_rate"],
-            subsamplingRate=params["subsample"],
-            minInstancesPerNode=self._leaf_rows(),
+        rules = trees.Rules(
+            depth=params["max_depth"],
+            split_rows=params["min_samples_split"],
+            leaf_rows=params["min_samples_leaf"],
+            shrink=params["learning_rate"],
+            sampling="share",
+            share=params["subsample"],
             seed=params["random_state"],
-            **self._columns(),
         )
-        return self._fit_learner(canonical(dataset, self.spec), learner)
+        return self._model(trees.boosted(self._table(dataset), params["n_estimators"], rules))
 
 
 @register
@@ -232,11 +209,19 @@ class RegularisedBoostedModel(Regressor):
     }
 
     def _fit(self, dataset: DataFrame) -> RegressorModel:
-        rows = dataset.select(
-            F.col(self.spec.key).cast("string").alias("__key"), *self.spec.features, self.spec.target
+        params = self.hyperparameters
+        rules = trees.Rules(
+            depth=params["max_depth"],
+            l1=params["reg_alpha"],
+            l2=params["reg_lambda"],
+            least_gain=1e-6,
+            shrink=params["learning_rate"],
+            sampling="share",
+            share=params["subsample"],
+            seed=params["random_state"],
         )
-        inner = booster.fit(rows, "__key", self.spec.features, self.spec.target, self.hyperparameters)
-        return RegressorModel(self.name, self.spec, self.hyperparameters, inner)
+        inner = trees.boosted(self._table(dataset), params["n_estimators"], rules, params["colsample_bytree"])
+        return self._model(inner)
 
 
 def importance_table(spark: SparkSession, model: RegressorModel, top: int | None = None) -> DataFrame:

@@ -264,3 +264,60 @@ def train_job(spark: SparkSession, sf: str) -> DataFrame:
     log = experiments.train_job(rows, ONE, "linear", "v1_median", {"alpha": 1.0}, cv_splits=None)
     sides = [f"{side}_{m}" for side in ("train", "test") for m in metrics.METRICS]
     return log.where(F.col("key").isin(sides)).select("key", F.col("value").cast("double").alias("value"))
+
+
+# --- trees of depth 1, whose whole training SQL can follow ------------------------------------
+
+_SIDES = " UNION ALL ".join(
+    f"SELECT '{f}' AS f, {f} AS v, sum(r) AS g, count(*) AS n FROM {{before}} GROUP BY {f}" for f in TWO.features
+)
+_LEFT = "(CASE WHEN f = 'l_quantity' THEN l_quantity ELSE l_discount END) <= v"
+
+
+def _stump_sql(stage: int, leaf: str, score: str, shrink: float, leaf_rows: int) -> str:
+    """CTEs of one more tree: ``leaf`` and ``score`` are formulas of {g} and {n}, the sums of a side."""
+    before, left, right = f"s{stage - 1}", {"g": "gl", "n": "nl"}, {"g": "(gt - gl)", "n": "(nt - nl)"}
+    gain = f"{score.format(**left)} + {score.format(**right)}"
+    step = f"{shrink} * CASE WHEN {_LEFT} THEN {leaf.format(**left)} ELSE {leaf.format(**right)} END"
+    return f"""c{stage} AS (SELECT f, v, sum(g) OVER w AS gl, sum(n) OVER w AS nl, gt, nt FROM ({_SIDES.format(before=before)}),
+      (SELECT sum(r) AS gt, count(*) AS nt FROM {before}) WINDOW w AS (PARTITION BY f ORDER BY v)),
+    b{stage} AS (SELECT * FROM c{stage} WHERE nl >= {leaf_rows} AND nt - nl >= {leaf_rows} ORDER BY {gain} DESC LIMIT 1),
+    s{stage} AS (SELECT row_key, l_quantity, l_discount, r - {step} AS r, p + {step} AS p FROM {before}, b{stage})"""
+
+
+_START = f"""{FRAME_CTE}, s0 AS (SELECT row_key, l_quantity, l_discount, y - m AS r, m AS p
+  FROM frame, (SELECT avg(y) AS m FROM frame))"""
+_MEAN, _SQUARE = "({g} / {n})", "({g} * {g} / {n})"
+_SOFT = "(sign({g}) * greatest(abs({g}) - 0.1, 0))"
+_PREDICTED = "SELECT row_key, round(p, 4) AS prediction FROM s{}"
+
+
+def _stumps(spark: SparkSession, sf: str, model: str, **params) -> DataFrame:
+    rows = materialise(frame(spark, sf).select("row_key", *TWO.features, "y"), "stump")
+    fitted = create_model(model, TWO, max_depth=1, **params).fit(rows)
+    return rounded(fitted.transform(rows).select("row_key", "prediction"), "prediction", digits=4)
+
+
+@query("forest_stump", f"WITH {_START}, {_stump_sql(1, _MEAN, _SQUARE, 1, 3)} {_PREDICTED.format(1)}")
+def forest_stump(spark: SparkSession, sf: str) -> DataFrame:
+    return _stumps(spark, sf, "random_forest", n_estimators=1, bootstrap=False)
+
+
+@query(
+    "gbt_stump",
+    f"WITH {_START}, {_stump_sql(1, _MEAN, _SQUARE, 0.1, 3)}, {_stump_sql(2, _MEAN, _SQUARE, 0.1, 3)} {_PREDICTED.format(2)}",
+)
+def gbt_stump(spark: SparkSession, sf: str) -> DataFrame:
+    """The mean and two shrunk trees."""
+    return _stumps(spark, sf, "gradient_boost", n_estimators=2, subsample=1.0)
+
+
+_PENALISED = (f"({_SOFT} / ({{n}} + 1.0))", f"({_SOFT} * {_SOFT} / ({{n}} + 1.0))", 0.1, 1)
+
+
+@query(
+    "regularised_gbt_stump",
+    f"WITH {_START}, {_stump_sql(1, *_PENALISED)}, {_stump_sql(2, *_PENALISED)} {_PREDICTED.format(2)}",
+)
+def regularised_gbt_stump(spark: SparkSession, sf: str) -> DataFrame:
+    return _stumps(spark, sf, "xgboost", n_estimators=2, subsample=1.0, colsample_bytree=1.0)

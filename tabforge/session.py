@@ -27,6 +27,11 @@ def build_session(master: str | None = None, app: str = "tabforge", **conf) -> S
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
+    # Workers of a local session are started by its JVM, which inherits this.
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     session = builder.getOrCreate()
     if not session.sparkContext.master.startswith("local"):
         ship(session)
