@@ -6,6 +6,7 @@ The defaults of the learners and the keys they are written under are fixed value
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import asdict
 
 from pyspark.ml import Estimator, Model, PipelineModel
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.operators import trees
+from tabforge.operators.parallel import in_parallel
 from tabforge.spec import SEED, FeatureSpec
 
 _VECTOR = "__features"
@@ -92,12 +94,34 @@ class Regressor(Estimator):
     def _columns(self) -> dict:
         return {"featuresCol": _VECTOR, "labelCol": self.spec.target, "predictionCol": "prediction"}
 
-    def _table(self, dataset: DataFrame) -> trees.Binned:
+    def fit_each(self, datasets: Sequence[DataFrame]) -> list[RegressorModel]:
+        """A model for every dataset."""
+        return in_parallel(datasets[0].sparkSession, self.fit, datasets)
+
+
+class TreeRegressor(Regressor):
+    """Learners on binned bytes: several datasets are trained in the same passes."""
+
+    def rules(self) -> trees.Rules:
+        raise NotImplementedError
+
+    def _train(self, table: trees.Binned) -> list[trees.TreeModel]:
+        return trees.boosted(table, self.hyperparameters["n_estimators"], self.rules())
+
+    def layout(self, dataset: DataFrame) -> trees.Binned:
+        """The written training table; learners with the same ``max_bins`` can share it."""
         spec = self.spec
         return trees.binned(dataset, spec.key, spec.features, spec.target, self.hyperparameters.get("max_bins", 256))
 
-    def _model(self, inner: trees.TreeModel) -> RegressorModel:
-        return RegressorModel(self.name, self.spec, self.hyperparameters, inner)
+    def fit_layout(self, table: trees.Binned) -> list[RegressorModel]:
+        return [RegressorModel(self.name, self.spec, self.hyperparameters, inner) for inner in self._train(table)]
+
+    def _fit(self, dataset: DataFrame) -> RegressorModel:
+        return self.fit_layout(self.layout(dataset))[0]
+
+    def fit_each(self, datasets: Sequence[DataFrame]) -> list[RegressorModel]:
+        layouts = in_parallel(datasets[0].sparkSession, self.layout, datasets)
+        return self.fit_layout(trees.together(layouts))
 
 
 def register(cls: type[Regressor]) -> type[Regressor]:
@@ -138,7 +162,7 @@ class RidgeModel(Regressor):
 
 
 @register
-class ForestModel(Regressor):
+class ForestModel(TreeRegressor):
     """Bagged trees over all features; ``bootstrap=False`` gives every tree all rows."""
 
     name = "random_forest"
@@ -150,20 +174,22 @@ class ForestModel(Regressor):
         "random_state": SEED,
     }
 
-    def _fit(self, dataset: DataFrame) -> RegressorModel:
+    def rules(self) -> trees.Rules:
         params = self.hyperparameters
-        rules = trees.Rules(
+        return trees.Rules(
             depth=params["max_depth"],
             split_rows=params["min_samples_split"],
             leaf_rows=params["min_samples_leaf"],
             sampling="bag" if params.get("bootstrap", True) else "all",
             seed=params["random_state"],
         )
-        return self._model(trees.forest(self._table(dataset), params["n_estimators"], rules))
+
+    def _train(self, table: trees.Binned) -> list[trees.TreeModel]:
+        return trees.forest(table, self.hyperparameters["n_estimators"], self.rules())
 
 
 @register
-class BoostedModel(Regressor):
+class BoostedModel(TreeRegressor):
     """The mean, then trees fitted one after the other to what is left of the error, all of them shrunk."""
 
     name = "gradient_boost"
@@ -177,9 +203,9 @@ class BoostedModel(Regressor):
         "random_state": SEED,
     }
 
-    def _fit(self, dataset: DataFrame) -> RegressorModel:
+    def rules(self) -> trees.Rules:
         params = self.hyperparameters
-        rules = trees.Rules(
+        return trees.Rules(
             depth=params["max_depth"],
             split_rows=params["min_samples_split"],
             leaf_rows=params["min_samples_leaf"],
@@ -188,11 +214,10 @@ class BoostedModel(Regressor):
             share=params["subsample"],
             seed=params["random_state"],
         )
-        return self._model(trees.boosted(self._table(dataset), params["n_estimators"], rules))
 
 
 @register
-class RegularisedBoostedModel(Regressor):
+class RegularisedBoostedModel(TreeRegressor):
     """Boosted trees with penalised leaves and sampled rows and columns."""
 
     name = "xgboost"
@@ -208,9 +233,9 @@ class RegularisedBoostedModel(Regressor):
         "random_state": SEED,
     }
 
-    def _fit(self, dataset: DataFrame) -> RegressorModel:
+    def rules(self) -> trees.Rules:
         params = self.hyperparameters
-        rules = trees.Rules(
+        return trees.Rules(
             depth=params["max_depth"],
             l1=params["reg_alpha"],
             l2=params["reg_lambda"],
@@ -220,8 +245,42 @@ class RegularisedBoostedModel(Regressor):
             share=params["subsample"],
             seed=params["random_state"],
         )
-        inner = trees.boosted(self._table(dataset), params["n_estimators"], rules, params["colsample_bytree"])
-        return self._model(inner)
+
+    def _train(self, table: trees.Binned) -> list[trees.TreeModel]:
+        params = self.hyperparameters
+        return trees.boosted(table, params["n_estimators"], self.rules(), params["colsample_bytree"])
+
+
+def fit_all(
+    spec: FeatureSpec, wanted: Sequence[tuple[str, dict]], datasets: Sequence[DataFrame]
+) -> list[list[RegressorModel]]:
+    """For every (model, parameters) a model for every dataset.
+
+    A dataset is laid out once for all tree learners of the same bins. Learners that differ in the number of
+    trees alone are trained once, with the most: the first trees are those that fewer would have given.
+    """
+    learners = [create_model(name, spec, **params) for name, params in wanted]
+    layouts: dict[int, trees.Binned] = {}
+    trained: dict[str, list[RegressorModel]] = {}
+    found = []
+    for learner in learners:
+        if not isinstance(learner, TreeRegressor):
+            found.append(learner.fit_each(datasets))
+            continue
+        rest = {k: v for k, v in learner.hyperparameters.items() if k != "n_estimators"}
+        same = [x for x in learners if x.name == learner.name and {**x.hyperparameters, **rest} == x.hyperparameters]
+        most = max(same, key=lambda x: x.hyperparameters["n_estimators"])
+        key = json.dumps([most.name, most.hyperparameters], sort_keys=True, default=str)
+        if key not in trained:
+            bins = learner.hyperparameters.get("max_bins", 256)
+            if bins not in layouts:
+                layouts[bins] = trees.together(in_parallel(datasets[0].sparkSession, learner.layout, datasets))
+            trained[key] = most.fit_layout(layouts[bins])
+        n = learner.hyperparameters["n_estimators"]
+        found.append(
+            [RegressorModel(m.name, spec, learner.hyperparameters, m.inner.first(n)) for m in trained[key]]
+        )
+    return found
 
 
 def importance_table(spark: SparkSession, model: RegressorModel, top: int | None = None) -> DataFrame:

@@ -6,7 +6,8 @@ trees grown so far, adds up weight and residual per (node, feature, bin) in ever
 node is read off the sums. Sums of whole numbers do not depend on the order of rows, so a model follows from the
 data alone, whatever the layout, the cluster or a retry.
 
-All trees of a forest grow in the same pass, level by level. A node with at most LOCAL_ROWS rows leaves the
+Several fits (folds, prepared tables) and all trees of a forest grow in the same passes, level by level, so five
+folds cost as many jobs as one. A node with at most LOCAL_ROWS rows leaves the
 passes: its rows go to one task, once, which grows the whole subtree below it by the same rule. So the number of
 passes follows from the table's size and not from the depth, and no task ever holds more than LOCAL_ROWS rows of
 a node. Boosted trees see the running prediction, which is rewritten to the shared folder every few trees.
@@ -24,7 +25,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -47,7 +48,7 @@ SUM_BYTES = 64 << 20
 DRIVER_BYTES = 64 << 20
 #: Boosted trees between two rewrites of the running prediction.
 REWRITE_EVERY = 10
-_BLOCKS = "n int, bins binary, hashes binary, target binary, margin binary"
+_BLOCKS = "fit int, n int, bins binary, hashes binary, target binary, margin binary"
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
 
 
@@ -72,32 +73,50 @@ class Rules:
 
 
 @dataclass
-class Binned:
-    """Blocks of a training table with what is needed to read them."""
+class Member:
+    """What it takes to read the bins and whole numbers of one fit's rows."""
 
-    blocks: DataFrame
-    parts: int
     n: int
     features: list[str]
     edges: list[np.ndarray]
     base: int
     unit: float
 
+
+@dataclass
+class Binned:
+    """Blocks of the training tables of one or more fits over the same features."""
+
+    blocks: DataFrame
+    parts: int
+    members: list[Member]
+
     def rows(self):
-        """Blocks (bins, hashes, what the running prediction leaves) as arrays, kept by the executors; those that
-        are lost are read again from the written table."""
-        p = len(self.features)
+        """Blocks (fit, bins, hashes, what the running prediction leaves) as arrays, kept by the executors; those
+        that are lost are read again from the written table."""
+        p = len(self.members[0].features)
 
         def read(row):
             bins, hashes, target, margin = _read(row, p)
-            return bins, hashes, target - margin
+            return row["fit"], bins, hashes, target - margin
 
         return self.blocks.rdd.map(read).persist(StorageLevel.MEMORY_AND_DISK)
 
     @property
     def offsets(self) -> np.ndarray:
-        """First slot of each feature's bins in a row of sums."""
-        return np.cumsum([0, *(len(e) + 1 for e in self.edges)])
+        """First slot of each feature's bins in a row of sums, wide enough for every fit."""
+        widths = [[len(e) + 1 for e in m.edges] for m in self.members]
+        return np.cumsum([0, *map(max, zip(*widths, strict=True))])
+
+
+def together(tables: Sequence[Binned]) -> Binned:
+    """The tables of several fits as one, to be trained in the same passes."""
+    blocks, members, parts = None, [], 0
+    for table in tables:
+        own = table.blocks.withColumn("fit", F.col("fit") + len(members))
+        blocks = own if blocks is None else blocks.unionByName(own)
+        members, parts = members + table.members, parts + table.parts
+    return Binned(blocks, parts, members)
 
 
 def to_bins(x: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
@@ -139,8 +158,9 @@ def _pack(edges: list[np.ndarray], base: int):
                 margin = np.full(part.num_rows, base, np.int64)
                 packed = [bins, np.asarray(part.column(0)), np.asarray(part.column(1)), margin]
                 values = [pa.array([a.tobytes()], pa.binary()) for a in packed]
-                names = ["n", "bins", "hashes", "target", "margin"]
-                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int32()), *values], names)
+                names = ["fit", "n", "bins", "hashes", "target", "margin"]
+                sizes = [pa.array([0], pa.int32()), pa.array([part.num_rows], pa.int32())]
+                yield pa.RecordBatch.from_arrays([*sizes, *values], names)
 
     return run
 
@@ -168,7 +188,7 @@ def binned(df: DataFrame, key: str, features: Sequence[str], target: str, max_bi
     cores = df.sparkSession.sparkContext.defaultParallelism
     parts = max(1, min(math.ceil(n / PART_ROWS), cores), math.ceil(n / MOST_ROWS))
     blocks = materialise(rows.repartition(parts).mapInArrow(_pack(edges, base), _BLOCKS), "blocks")
-    return Binned(blocks, parts, n, features, edges, base, unit)
+    return Binned(blocks, parts, [Member(n, features, edges, base, unit)])
 
 
 def _read(row, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -278,7 +298,7 @@ class Cuts:
         self.left[:, nodes] = left[:, won]
 
 
-def _score(g: np.ndarray, h: np.ndarray, rules: Rules, unit: float) -> np.ndarray:
+def _score(g: np.ndarray, h: np.ndarray, rules: Rules, unit) -> np.ndarray:
     g = g * unit
     if rules.l1:
         g = np.sign(g) * np.maximum(np.abs(g) - rules.l1, 0.0)
@@ -286,7 +306,7 @@ def _score(g: np.ndarray, h: np.ndarray, rules: Rules, unit: float) -> np.ndarra
     return np.divide(g * g, weight, out=np.zeros(g.shape), where=weight > 0)
 
 
-def _gain(left: np.ndarray, total: np.ndarray, rules: Rules, unit: float) -> np.ndarray:
+def _gain(left: np.ndarray, total: np.ndarray, rules: Rules, unit) -> np.ndarray:
     """Gain of cuts from sums (residual, weight, rows) left of the cut and of the whole node; -inf if not allowed."""
     right = total - left
     sides = _score(left[0], left[1], rules, unit) + _score(right[0], right[1], rules, unit)
@@ -296,8 +316,8 @@ def _gain(left: np.ndarray, total: np.ndarray, rules: Rules, unit: float) -> np.
     return np.where(allowed & (gain > np.maximum(rules.least_gain, 1e-12 * sides)), gain, -np.inf)
 
 
-def cuts_from_sums(sums: np.ndarray, offsets: np.ndarray, rules: Rules, unit: float, allowed: np.ndarray) -> Cuts:
-    """Best cuts from sums [3, nodes, bins of all features]; ``allowed`` [nodes, features]."""
+def cuts_from_sums(sums: np.ndarray, offsets: np.ndarray, rules: Rules, unit: np.ndarray, allowed: np.ndarray) -> Cuts:
+    """Best cuts from sums [3, nodes, bins of all features]; ``unit`` [nodes], ``allowed`` [nodes, features]."""
     first = sums[:, :, offsets[0] : offsets[1]].sum(axis=2)
     found = Cuts.none(first)
     for f in range(len(offsets) - 1):
@@ -306,7 +326,7 @@ def cuts_from_sums(sums: np.ndarray, offsets: np.ndarray, rules: Rules, unit: fl
         if high - low < 2 or not len(nodes):
             continue
         left = np.cumsum(sums[:, nodes, low:high], axis=2)[:, :, :-1]
-        gain = _gain(left, first[:, nodes, None], rules, unit)
+        gain = _gain(left, first[:, nodes, None], rules, unit[nodes, None])
         at = gain.argmax(axis=1)
         pick = np.arange(len(nodes))
         found.better(nodes, f, at, gain[pick, at], left[:, pick, at])
@@ -376,7 +396,8 @@ def subtree(bins, residual, weight, level: int, rules: Rules, unit: float, offse
         k = len(frontier)
         if k * offsets[-1] <= 2 * len(rows):
             sums = _sums(bins, rows, node, values[:, rows], k, offsets)
-            found = cuts_from_sums(sums, offsets, rules, unit, np.broadcast_to(allowed, (k, len(allowed))))
+            masks = np.broadcast_to(allowed, (k, len(allowed)))
+            found = cuts_from_sums(sums, offsets, rules, np.full(k, unit), masks)
         else:
             found = cuts_from_rows(bins[:, rows], node, values[:, rows], k, rules, unit, allowed)
         split = np.flatnonzero(found.feature >= 0)
@@ -401,40 +422,54 @@ def subtree(bins, residual, weight, level: int, rules: Rules, unit: float, offse
 # --- passes ----------------------------------------------------------------------------------
 
 
-def _after(tree: tuple):
-    """What a tree leaves of the residuals of a block."""
+Job = tuple[int, int]
+
+
+def _after(trees: dict[int, tuple]):
+    """What the trees of each fit leave of the residuals of its blocks."""
 
     def run(block):
-        bins, hashes, residual = block
-        return bins, hashes, residual - tree[3][walk(bins, tree, np.arange(len(residual)))]
+        fit, bins, hashes, residual = block
+        tree = trees[fit]
+        return fit, bins, hashes, residual - tree[3][walk(bins, tree, np.arange(len(residual)))]
 
     return run
 
 
-def _pass(table: Binned, rdd: RDD, numbers, trees, wanted, rules, allowed) -> list[Cuts]:
+def _by_fit(jobs: Sequence[Job], used: Sequence) -> dict[int, list[int]]:
+    """Places of the jobs of every fit, of those that have nodes to work on."""
+    found: dict[int, list[int]] = {}
+    for i, (fit, _) in enumerate(jobs):
+        if len(used[i]):
+            found.setdefault(fit, []).append(i)
+    return found
+
+
+def _pass(table: Binned, rdd: RDD, jobs: Sequence[Job], trees, wanted, rules: Rules, allowed) -> list[Cuts]:
     """Best cuts of the wanted nodes (lists of nodes per tree), from sums over all blocks."""
-    p, offsets, unit = len(table.features), table.offsets, table.unit
+    p, offsets = len(table.members[0].features), table.offsets
     slots = [np.full(len(t[0]), -1, np.int32) for t in trees]
     first = np.cumsum([0, *map(len, wanted)])
     for slot, nodes in zip(slots, wanted, strict=True):
         slot[nodes] = np.arange(len(nodes))
+    by_fit = _by_fit(jobs, wanted)
 
     def partial(blocks):
         sums = np.zeros((3, first[-1], offsets[-1]), np.int64)
-        for bins, hashes, residual in blocks:
-            for i, number in enumerate(numbers):
-                if len(wanted[i]):
-                    rows, weight = _sample(hashes, number, rules)
-                    own = slots[i][walk(bins, trees[i], rows)]
-                    rows, weight, own = rows[own >= 0], weight[own >= 0], own[own >= 0]
-                    values = np.stack([residual[rows] * weight, weight, np.ones_like(weight)])
-                    sums[:, first[i] : first[i + 1]] += _sums(bins, rows, own, values, len(wanted[i]), offsets)
+        for fit, bins, hashes, residual in blocks:
+            for i in by_fit.get(fit, ()):
+                rows, weight = _sample(hashes, jobs[i][1], rules)
+                own = slots[i][walk(bins, trees[i], rows)]
+                rows, weight, own = rows[own >= 0], weight[own >= 0], own[own >= 0]
+                values = np.stack([residual[rows] * weight, weight, np.ones_like(weight)])
+                sums[:, first[i] : first[i + 1]] += _sums(bins, rows, own, values, len(wanted[i]), offsets)
         return sums
 
     masks = np.concatenate([np.broadcast_to(a, (len(w), p)) for a, w in zip(allowed, wanted, strict=True)])
+    units = np.repeat([table.members[fit].unit for fit, _ in jobs], np.diff(first))
     if table.parts * 24 * first[-1] * offsets[-1] <= DRIVER_BYTES:
         parts = rdd.mapPartitions(lambda blocks: [partial(blocks)]).collect()
-        found = cuts_from_sums(sum(parts), offsets, rules, unit, masks)
+        found = cuts_from_sums(sum(parts), offsets, rules, units, masks)
         return [_part(found, a, b) for a, b in zip(first[:-1], first[1:], strict=True)]
 
     def by_node(blocks):
@@ -442,7 +477,8 @@ def _pass(table: Binned, rdd: RDD, numbers, trees, wanted, rules, allowed) -> li
         return ((n, sums[:, n : n + 1]) for n in range(first[-1]))
 
     def choose(pair):
-        return pair[0], cuts_from_sums(pair[1], offsets, rules, unit, masks[pair[0]][None])
+        n, sums = pair
+        return n, cuts_from_sums(sums, offsets, rules, units[n : n + 1], masks[n : n + 1])
 
     reduced = rdd.mapPartitions(by_node).reduceByKey(np.add, max(1, min(int(first[-1]), table.parts)))
     got = dict(reduced.map(choose).collect())
@@ -460,22 +496,21 @@ def _joined(cuts: list[Cuts]) -> Cuts:
     return Cuts(*flat, *(np.concatenate([getattr(c, name) for c in cuts], axis=1) for name in ("total", "left")))
 
 
-def _finish(table: Binned, rdd: RDD, numbers, trees, wanted, rules, allowed) -> list[tuple[int, int, tuple]]:
-    """Subtrees below the wanted (node, level, rows) of every tree: their rows go to one task a node."""
-    offsets, unit = table.offsets, table.unit
+def _finish(table: Binned, rdd: RDD, jobs: Sequence[Job], trees, wanted, rules: Rules, allowed) -> list[tuple]:
+    """Subtrees (job, node, arrays) below the wanted (node, level, rows): their rows go to one task a node."""
+    offsets, units = table.offsets, [m.unit for m in table.members]
     keys = [(i, node, level) for i, nodes in enumerate(wanted) for node, level, _ in nodes]
     total = sum(rows for nodes in wanted for _, _, rows in nodes)
     slots, at = [np.full(len(t[0]), -1, np.int64) for t in trees], 0
     for slot, nodes in zip(slots, wanted, strict=True):
         slot[[n for n, _, _ in nodes]] = np.arange(at, at + len(nodes))
         at += len(nodes)
+    by_fit = _by_fit(jobs, wanted)
 
     def deal(blocks):
-        for bins, hashes, residual in blocks:
-            for i, number in enumerate(numbers):
-                if not len(wanted[i]):
-                    continue
-                rows, weight = _sample(hashes, number, rules)
+        for fit, bins, hashes, residual in blocks:
+            for i in by_fit.get(fit, ()):
+                rows, weight = _sample(hashes, jobs[i][1], rules)
                 own = slots[i][walk(bins, trees[i], rows)]
                 order = np.argsort(own, kind="stable")
                 order = order[np.searchsorted(own[order], 0) :]
@@ -485,42 +520,47 @@ def _finish(table: Binned, rdd: RDD, numbers, trees, wanted, rules, allowed) ->
                     some = rows[low:high]
                     yield int(own[low]), (bins[:, some], residual[some], weight[low:high].astype(np.uint8))
 
-    def grow(pair):
+    def grow_below(pair):
         key, parts = pair
         i, _, level = keys[key]
         bins, residual, weight = (np.concatenate(x, axis=-1) for x in zip(*parts, strict=True))
+        unit = units[jobs[i][0]]
         return key, subtree(bins, residual, weight.astype(np.int64), level, rules, unit, offsets, allowed[i])
 
     cores = rdd.context.defaultParallelism
     parts = max(1, min(len(keys), max(cores, math.ceil(total / (2 * LOCAL_ROWS)))))
-    made = rdd.mapPartitions(deal).groupByKey(parts).map(grow).collect()
+    made = rdd.mapPartitions(deal).groupByKey(parts).map(grow_below).collect()
     return [(keys[key][0], keys[key][1], arrays) for key, arrays in made]
 
 
 def grow(
-    table: Binned, rdd: RDD, numbers: Sequence[int], rules: Rules, allowed: list[np.ndarray] | None = None
+    table: Binned, rdd: RDD, jobs: Sequence[Job], rules: Rules, allowed: Sequence[np.ndarray] | None = None
 ) -> list[Tree]:
-    """Grows the trees with these numbers, all at the same time, on the residuals of the table's blocks."""
-    p = len(table.features)
-    allowed = allowed or [np.ones(p, bool)] * len(numbers)
-    trees = [Tree() for _ in numbers]
-    small: list[list[tuple]] = [[] for _ in numbers]
-    level, large = 0, [[0] for _ in numbers]
-    if table.n <= LOCAL_ROWS:
-        small, large = [[(0, 0, table.n)] for _ in numbers], [[] for _ in numbers]
+    """Grows a tree for every job (fit, number of the tree), all at the same time, on the residuals of the blocks."""
+    p, jobs = len(table.members[0].features), list(jobs)
+    allowed = allowed or [np.ones(p, bool)] * len(jobs)
+    trees = [Tree() for _ in jobs]
+    small: list[list[tuple]] = [[] for _ in jobs]
+    level, large = 0, [[] for _ in jobs]
+    for i, (fit, _) in enumerate(jobs):
+        if table.members[fit].n <= LOCAL_ROWS:
+            small[i].append((0, 0, table.members[fit].n))
+        else:
+            large[i].append(0)
     most = max(1, int(SUM_BYTES // (24 * table.offsets[-1])))
     while any(large) and level < rules.depth:
-        following: list[list[int]] = [[] for _ in numbers]
+        following: list[list[int]] = [[] for _ in jobs]
         queue = [(i, n) for i, nodes in enumerate(large) for n in nodes]
         for low in range(0, len(queue), most):
-            wanted = [[] for _ in numbers]
+            wanted = [[] for _ in jobs]
             for i, n in queue[low : low + most]:
                 wanted[i].append(n)
             arrays = [t.arrays() for t in trees]
-            found = _pass(table, rdd, numbers, arrays, [np.array(w, int) for w in wanted], rules, allowed)
+            found = _pass(table, rdd, jobs, arrays, [np.array(w, int) for w in wanted], rules, allowed)
             for i, (tree, cuts) in enumerate(zip(trees, found, strict=True)):
                 right = cuts.total - cuts.left
-                values = [_value(s, rules, table.unit) for s in (cuts.total, cuts.left, right)]
+                unit = table.members[jobs[i][0]].unit
+                values = [_value(s, rules, unit) for s in (cuts.total, cuts.left, right)]
                 for j, node in enumerate(wanted[i]):
                     tree.value[node] = int(values[0][j])
                     if cuts.feature[j] < 0:
@@ -536,22 +576,26 @@ def grow(
         large, level = following, level + 1
     if any(small):
         arrays = [t.arrays() for t in trees]
-        for i, node, made in _finish(table, rdd, numbers, arrays, small, rules, allowed):
+        for i, node, made in _finish(table, rdd, jobs, arrays, small, rules, allowed):
             trees[i].graft(node, made)
     return trees
 
 
-def _moved(trees: list[tuple], p: int):
+def _moved(trees: list[dict[int, tuple]], p: int):
+    """Adds the trees to the running prediction of the written blocks."""
+
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in given:
             margins = []
-            for row in batch.select(["n", "bins", "hashes", "target", "margin"]).to_pylist():
+            for row in batch.to_pylist():
                 bins, _, _, margin = _read(row, p)
                 everyone = np.arange(row["n"])
                 for tree in trees:
-                    margin = margin + tree[3][walk(bins, tree, everyone)]
+                    own = tree[row["fit"]]
+                    margin = margin + own[3][walk(bins, own, everyone)]
                 margins.append(margin.tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(margins, pa.binary())], batch.schema.names)
+            columns = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != "margin"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(margins, pa.binary())], batch.schema.names)
 
     return run
 
@@ -572,9 +616,13 @@ class TreeModel:
     gains: list[np.ndarray]
 
     @classmethod
-    def of(cls, table: Binned, trees: list[Tree], mean: bool) -> TreeModel:
-        gains = [np.array(t.gain) for t in trees]
-        return cls(table.features, table.edges, table.base * table.unit, table.unit, mean, [t.arrays() for t in trees], gains)
+    def of(cls, member: Member, trees: list[Tree], mean: bool) -> TreeModel:
+        gains, base = [np.array(t.gain) for t in trees], member.base * member.unit
+        return cls(member.features, member.edges, base, member.unit, mean, [t.arrays() for t in trees], gains)
+
+    def first(self, n: int) -> TreeModel:
+        """The model that ``n`` trees would have given: a tree depends on its number and those before it only."""
+        return replace(self, trees=self.trees[:n], gains=self.gains[:n])
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         bins, total, rows = to_bins(x, self.edges), np.zeros(len(x), np.int64), np.arange(len(x))
@@ -630,43 +678,44 @@ class TreeModel:
         return cls(body["features"], edges, body["base"], body["unit"], body["mean"], trees, gains)
 
 
-def forest(table: Binned, n_trees: int, rules: Rules) -> TreeModel:
-    """Independent trees, grown together."""
-    rdd = table.rows()
-    trees = grow(table, rdd, range(n_trees), rules)
+def forest(table: Binned, n_trees: int, rules: Rules) -> list[TreeModel]:
+    """Independent trees, grown together; a model for every fit."""
+    rdd, fits = table.rows(), range(len(table.members))
+    trees = grow(table, rdd, [(fit, n) for fit in fits for n in range(n_trees)], rules)
     rdd.unpersist()
-    return TreeModel.of(table, trees, mean=True)
+    return [TreeModel.of(m, trees[i * n_trees : (i + 1) * n_trees], mean=True) for i, m in enumerate(table.members)]
 
 
-def boosted(table: Binned, n_trees: int, rules: Rules, columns: float = 1.0) -> TreeModel:
-    """Trees one after the other, the first stage being the mean; each sees a share of the columns.
+def boosted(table: Binned, n_trees: int, rules: Rules, columns: float = 1.0) -> list[TreeModel]:
+    """Trees one after the other, the first stage being the mean; each sees a share of the columns. A model for every fit.
 
     Residuals are kept by the executors from tree to tree; every REWRITE_EVERY trees the running prediction is
     written to the shared folder, so that what is lost is made anew from there.
     """
-    p = len(table.features)
+    members, p = table.members, len(table.members[0].features)
     random = np.random.RandomState(rules.seed)
-    trees: list[Tree] = []
-    pending: list[tuple] = []
+    trees: list[list[Tree]] = [[] for _ in members]
+    pending: list[dict[int, tuple]] = []
     rdd, before = table.rows(), None
     for number in range(n_trees):
         allowed = np.ones(p, bool)
         if columns < 1.0:
             allowed[:] = False
             allowed[random.choice(p, max(1, int(round(p * columns))), replace=False)] = True
-        (tree,) = grow(table, rdd, [number], rules, [allowed])
+        made = grow(table, rdd, [(fit, number) for fit in range(len(members))], rules, [allowed] * len(members))
         if before is not None:
             before.unpersist()
-        trees.append(tree)
-        pending.append(tree.arrays())
+        for own, tree in zip(trees, made, strict=True):
+            own.append(tree)
+        pending.append({fit: tree.arrays() for fit, tree in enumerate(made)})
         if number + 1 == n_trees:
             break
         before = rdd
         if len(pending) < REWRITE_EVERY:
             rdd = rdd.map(_after(pending[-1])).persist(StorageLevel.MEMORY_AND_DISK)
         else:
-            moved = materialise(table.blocks.mapInArrow(_moved(pending, p), _BLOCKS), "blocks")
-            table = Binned(moved, table.parts, table.n, table.features, table.edges, table.base, table.unit)
+            columns_in_order = table.blocks.select("fit", "n", "bins", "hashes", "target", "margin")
+            table = Binned(materialise(columns_in_order.mapInArrow(_moved(pending, p), _BLOCKS), "blocks"), table.parts, members)
             rdd, pending = table.rows(), []
     rdd.unpersist()
-    return TreeModel.of(table, trees, mean=False)
+    return [TreeModel.of(member, own, mean=False) for member, own in zip(members, trees, strict=True)]

@@ -112,7 +112,7 @@ def test_cuts_from_rows_are_those_from_sums():
         values = np.stack([random.randint(-50, 50, n) * weight, weight, np.ones(n, int)])
         allowed = np.array([trial % 3 != 0, True, trial % 2 == 0])
         sums = trees._sums(bins, np.arange(n), node, values, k, offsets)
-        a = trees.cuts_from_sums(sums, offsets, rules, 0.25, np.broadcast_to(allowed, (k, 3)))
+        a = trees.cuts_from_sums(sums, offsets, rules, np.full(k, 0.25), np.broadcast_to(allowed, (k, 3)))
         b = trees.cuts_from_rows(bins, node, values, k, rules, 0.25, allowed)
         for part in ("feature", "gain", "total", "left"):
             assert (getattr(a, part) == getattr(b, part)).all()
@@ -171,11 +171,39 @@ def test_sums_on_the_driver_stay_small(spark, monkeypatch):
     monkeypatch.setattr(trees, "LOCAL_ROWS", 500)
     kept, most = trees._pass, []
 
-    def watched(table, rdd, numbers, arrays, wanted, rules, allowed):
+    def watched(table, rdd, jobs, arrays, wanted, rules, allowed):
         most.append(24 * sum(map(len, wanted)) * int(table.offsets[-1]))
-        return kept(table, rdd, numbers, arrays, wanted, rules, allowed)
+        return kept(table, rdd, jobs, arrays, wanted, rules, allowed)
 
     monkeypatch.setattr(trees, "_pass", watched)
     spec = FeatureSpec("id", names, target="y")
     create_model("xgboost", spec, n_estimators=1, max_depth=20).fit(df)
     assert most and max(most) < 100 << 20
+
+
+def test_fits_in_the_same_passes_are_those_of_each_alone(spark, monkeypatch):
+    from tabforge.operators.models import fit_all
+
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 150)
+    tables = [frame(spark, *table(300, seed, kinds)) for seed, kinds in ((1, (20, 7, 9)), (2, (50, 3, 400)))]
+    tables.append(tables[0].selectExpr("id", "a", "b", "c", "1000 * y AS y"))
+    wanted = [
+        ("random_forest", {"n_estimators": 3, "max_depth": 5}),
+        ("gradient_boost", {"n_estimators": 4, "max_depth": 3}),
+        ("random_forest", {"n_estimators": 2, "max_depth": 5}),
+        ("linear", {"alpha": 1.0}),
+    ]
+    laid, kept = [], trees.binned
+
+    def counted(*args):
+        laid.append(args)
+        return kept(*args)
+
+    monkeypatch.setattr(trees, "binned", counted)
+    found = fit_all(SPEC, wanted, tables)
+    assert len(laid) == len(tables)  # one layout a table, whatever the number of learners
+    for (name, params), models in zip(wanted, found, strict=True):
+        for model, df in zip(models, tables, strict=True):
+            alone = create_model(name, SPEC, **params).fit(df)
+            assert model.hyperparameters == alone.hyperparameters
+            assert (predictions(model, df) == predictions(alone, df)).all()
