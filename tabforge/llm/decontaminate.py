@@ -10,7 +10,7 @@ suffice (length bound); what is left is compared word by word.
 The benchmark is dealt by hash into blocks of at most about ``BLOCK`` windows. A block is the broadcast side of
 the join, so its size has a bound; a larger benchmark means more blocks, each against all documents.
 
-Defined results: null and empty texts have no words. Rows that repeat an id are judged by their own text. Items
+Defined results: ids keep their type; null and empty texts have no words. Rows that repeat an id are judged by their own text. Items
 that repeat an id count once; an item without id marks words but is not listed. Empty tables on either
 side are fine. No other column is read, whatever its name.
 """
@@ -169,7 +169,7 @@ def _matches(block: Block, lookups: dict, made: Words) -> tuple[np.ndarray, np.n
     return start[exact], window[exact]
 
 
-def _finder(block: Block, kind: pa.DataType):
+def _finder(block: Block):
     lookups = {int(w): block.lookup(w) for w in set(block.width)}
     span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
 
@@ -191,7 +191,7 @@ def _finder(block: Block, kind: pa.DataType):
                     items[d].add(block.items[w])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").cast(kind),
+                    batch.column("doc_id"),
                     batch.column("text_hash"),
                     pa.array(made.counts),
                     pa.array(spans, pa.list_(span)),
@@ -238,12 +238,11 @@ def find(
     blocks = max(1, -(-windows.count() // block))
     number = F.pmod(F.xxhash64("item", "words"), F.lit(blocks))
     session, schema = docs.sparkSession, FOUND.format(kind=kind.simpleString())
-    kind = pa.int64() if kind.simpleString() == "bigint" else pa.string() if kind.simpleString() == "string" else pa.int32()
     found = []
     for n in range(blocks):
         own = _block(rows, windows.where(number == n).collect())
         shared = session.sparkContext.broadcast(own)
-        found.append(rows.mapInArrow(lambda it, b=shared, k=kind: _finder(b.value, k)(it), schema))
+        found.append(rows.mapInArrow(lambda it, b=shared: _finder(b.value)(it), schema))
     if blocks == 1:
         return found[0]
     result = found[0]

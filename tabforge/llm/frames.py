@@ -14,6 +14,11 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def kind_of(df: DataFrame, column: str = "doc_id") -> str:
+    """Type of an id column, as it is written in a schema."""
+    return df.schema[column].dataType.simpleString()
+
+
 def text_hash(column: str = "text") -> Column:
     """64-bit hash that tells apart rows which share an id."""
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))

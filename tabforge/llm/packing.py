@@ -6,7 +6,7 @@ the gap has at least ``least_piece`` ids, else it stays as padding. Documents lo
 give off full sequences. What is open at the end of the partitions is merged in groups, level by level, and cut to
 fill sequences; the very last window is cut into powers of two, which need no padding.
 
-Defined results: a null or empty text is the end id alone. Repeated rows and null ids are packed like any other row.
+Defined results: ids are whole numbers of 64 bits, or text that spells one (other ids end the job, by Spark's cast); a null or empty text is the end id alone. Repeated rows and null ids are packed like any other row.
 An empty table gives an empty result. No other column is read.
 """
 

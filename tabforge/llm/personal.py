@@ -9,10 +9,10 @@ labels each token of a document consistently; a token beside the base spans beco
 variable that they share, so a label travels two links at most, however often a token occurs, and a token that occurs
 very often needs no more links than it has occurrences. Messages pass until they stay.
 
-The field's weights come from the patterns' own findings in a bounded sample: the ``SAMPLE`` texts with the
-smallest hash of their text among those that have an "@" or a digit, without texts beyond ``LONGEST`` bytes.
+The field's weights come from the patterns' own findings in a bounded sample: about ``SAMPLE`` different texts, those
+with the smallest hashes among texts that have an "@" or a digit, without texts beyond ``LONGEST`` bytes.
 
-Defined results: null and empty texts have no spans. Null and repeated ids do not matter; rows are judged one by one
+Defined results: ids keep their type; null and empty texts have no spans. Null and repeated ids do not matter; rows are judged one by one
 by their own text. An empty table gives an empty result. No other column is read.
 """
 
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.llm.frames import kind_of
 from tabforge.llm.words import batches
 
 KINDS = ("email", "ip", "card", "phone")
@@ -304,10 +305,16 @@ def learn(texts: list[str]) -> Field:
 
 
 def fit(docs: DataFrame, text_column: str = "text") -> Field:
-    """Learns the field from the sample."""
-    texts = docs.select(F.col(text_column).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    texts = texts.where(F.octet_length("text") <= LONGEST).withColumn("h", F.xxhash64("text"))
-    return learn(sorted(r["text"] for r in texts.orderBy("h").limit(SAMPLE).collect()))
+    """Learns the field from the sample: hashes below the share that about SAMPLE texts have, so the driver
+    receives that many texts whatever the number of partitions."""
+    texts = docs.select(F.col(text_column).alias("text")).where(F.octet_length(text_column) <= LONGEST)
+    texts = texts.withColumn("h", F.xxhash64("text")).where(F.col("text").rlike("[0-9@]"))
+    n = texts.count()
+    if n > SAMPLE:
+        texts = texts.where(F.col("h") < -(2**63) + int(2**64 * (SAMPLE / n)))
+    # Copies count once, so no text can fill the sample.
+    rows = texts.groupBy("h").agg(F.min("text").alias("text")).collect()
+    return learn(sorted(r["text"] for r in sorted(rows, key=lambda r: r["h"])[:SAMPLE]))
 
 
 SPAN = "array<struct<kind:string,start:long,end:long>>"
@@ -347,8 +354,8 @@ def _found(model: Field):
 
 def find(docs: DataFrame, model: Field, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: doc_id, base (spans of the patterns) and spans (those and the field's), by kind and start."""
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(_found(model), f"doc_id long, base {SPAN}, spans {SPAN}")
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    return rows.mapInArrow(_found(model), f"doc_id {kind_of(rows)}, base {SPAN}, spans {SPAN}")
 
 
 def written(spans: str) -> Column:

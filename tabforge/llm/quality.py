@@ -7,7 +7,7 @@ its texts. The scorer is a logistic regression on hashed shapes of the words and
 "Aa," or "A!!", fitted to the posteriors of a bounded sample: the ``SAMPLE`` rows with the smallest hash of their text,
 without texts beyond ``LONGEST`` bytes. No labels are read.
 
-Defined results: a null or empty text has no words, on which most heuristics do not vote. Null and repeated ids do not
+Defined results: ids keep their type; a null or empty text has no words, on which most heuristics do not vote. Null and repeated ids do not
 matter. An empty table gives an empty result. Only id and text are read, whatever other columns are called.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tabforge.llm.frames import unused
+from tabforge.llm.frames import kind_of, unused
 from tabforge.llm.words import SPACED_WORD, Words, batches, byte_class, raw, roll, split
 
 SAMPLE = 12_000
@@ -266,8 +266,8 @@ def _scored(scorer: Scorer):
 
 def score(docs: DataFrame, scorer: Scorer, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: doc_id, score (1: good), posterior of the weak-label model, rejected."""
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    scored = rows.mapInArrow(_scored(scorer), "doc_id long, score double, posterior double")
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    scored = rows.mapInArrow(_scored(scorer), f"doc_id {kind_of(rows)}, score double, posterior double")
     return scored.withColumn("rejected", F.col("score") < REJECT_BELOW)
 
 

@@ -12,7 +12,7 @@ n * g / 2**57 pairs agree by chance: 0.001 at 10**8 suffixes.
 A passage that a third of all documents share is one node. Each task sends only its first suffix of a node; its
 other ones are repeats whatever other tasks have, and go straight to the result.
 
-Defined results: null and empty texts have no words. Null ids come before all others. Rows that repeat an id count
+Defined results: ids are whole numbers of 64 bits, or text that spells one (other ids end the job, by Spark's cast); null and empty texts have no words. Null ids come before all others. Rows that repeat an id count
 as one document, equal words at the same start are not earlier than each other, and a 32-bit hash tells their texts apart. An empty table gives an empty
 result. No other column is read.
 """

@@ -8,7 +8,7 @@ A set of files is a folder with ``blocks`` (Parquet: documents in ascending id o
 the control and data bytes of their ids) and ``ranks`` (Parquet: rank -> id). Spark's writer commits them, so a
 lost executor leaves no half file.
 
-Defined results: a null or empty text is the end id alone; null ids come first; rows that repeat an id lie in
+Defined results: ids are whole numbers of 64 bits, or text that spells one (other ids end the job, by Spark's cast); a null or empty text is the end id alone; null ids come first; rows that repeat an id lie in
 the order of their ids' bytes. Empty tables give empty files. No other column is read.
 """
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,29 @@ def _splits_words(path: str) -> bool:
     )
 
 
+def _folds_words(path: str) -> bool:
+    """True if white space before a word and the case of plain letters change no id: the normaliser lower-cases, and
+    the pre-tokenizer keeps what its pattern finds, which is never white space."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    kinds = [n.get("type") for n in (made.get("normalizer") or {}).get("normalizers", [])]
+    steps = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    pattern = str(steps[0].get("pattern")) if steps else ""
+    removed = bool(steps) and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True
+    return kinds == ["NFC", "Replace", "Lowercase"] and removed and "[^\\\\s" in pattern
+
+
+def folded(words: pa.Array) -> pa.Array:
+    """Words that give the same ids, in one spelling: no white space in front, plain ASCII in lower case.
+
+    Letters beyond ASCII stay: a capital may compose with a following mark otherwise than its small letter. So
+    does what holds "<", which could otherwise become a special token.
+    """
+    bare = pc.ascii_ltrim_whitespace(words)
+    bare = pc.if_else(pc.string_is_ascii(bare), pc.ascii_lower(bare), bare)
+    return pc.if_else(pc.match_substring(words, "<"), words, bare)
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,6 +74,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.splits = _splits_words(path)
+        self.folds = self.splits and _folds_words(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._forget()
 
@@ -59,12 +84,14 @@ class Encoder:
         self.first = np.zeros(1, np.int64)
 
     def _learn(self, pieces: pa.Array) -> None:
+        ids, sizes = [self.ids], []
         for low in range(0, len(pieces), 20_000):
             some = pieces.slice(low, 20_000).to_pylist()
             made = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            ends = self.first[-1] + np.cumsum([len(i) for i in made])
-            self.ids = np.concatenate([self.ids, *(np.array(i, self.dtype) for i in made)])
-            self.first = np.concatenate([self.first, ends])
+            sizes += map(len, made)
+            ids.append(np.fromiter(chain.from_iterable(made), self.dtype))
+        self.ids = np.concatenate(ids)
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
         self.known = pa.concat_arrays([self.known, pieces])
 
     def _cuts(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -83,7 +110,10 @@ class Encoder:
         cuts = self._cuts(data, ends)
         buffers = [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)]
         pieces = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, buffers).dictionary_encode()
-        words = pieces.dictionary
+        words, spelt = pieces.dictionary, None
+        if self.folds:
+            folds = folded(words).dictionary_encode()
+            words, spelt = folds.dictionary, np.asarray(folds.indices)
         where = pc.index_in(words, self.known)
         if where.null_count:
             if len(self.known) + where.null_count > REMEMBERED:
@@ -93,7 +123,8 @@ class Encoder:
             order = np.cumsum(np.asarray(fresh)) - 1 + len(self.known)
             self._learn(words.filter(fresh))
             where = pc.if_else(fresh, pa.array(order, pa.int32()), where)
-        use = np.asarray(where)[np.asarray(pieces.indices)]
+        use = np.asarray(where)
+        use = use[spelt if spelt is not None else slice(None)][np.asarray(pieces.indices)]
         sizes = self.first[use + 1] - self.first[use]
         stops = np.cumsum(sizes)
         total = int(stops[-1])

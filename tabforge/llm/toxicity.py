@@ -11,7 +11,7 @@ calibrates the savings of a document's windows to a score.
 The fit sees a bounded sample: of each class the ``SAMPLE`` labelled rows with the smallest hash of their id, without
 texts beyond ``LONGEST`` bytes. Labels are read only where crc32 of the id as text is no multiple of ``FOLDS``.
 
-Defined results: null, empty and wordless texts score like a text without savings. Rows with a null id are scored and not
+Defined results: ids keep their type; null, empty and wordless texts score like a text without savings. Rows with a null id are scored and not
 held out; rows that repeat an id are scored by their own text. Labels that are null are left out, those that
 repeat an id count as toxic if one does. Without labels of both classes every score is the share of the class
 there is, or 0. An empty table gives an empty result. No other column is read.
@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.llm.frames import kind_of
 from tabforge.llm.words import PLAIN_WORD, Words, batches, split
 
 WINDOW = 10
@@ -230,9 +231,9 @@ def _scorer(model: Model):
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, score (0 to 1), predicted (0 or 1). Rows stay where they are read."""
     rows = docs.select(
-        F.col(id_column).cast("long").alias("doc_id"),
+        F.col(id_column).alias("doc_id"),
         held_out(id_column).alias("held_out"),
         F.col(text_column).alias("text"),
     )
-    scored = rows.mapInArrow(_scorer(model), "doc_id long, held_out boolean, score double")
+    scored = rows.mapInArrow(_scorer(model), f"doc_id {kind_of(rows)}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
