@@ -166,7 +166,8 @@ def stream_score(spark: SparkSession, sf: str) -> DataFrame:
 def stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     """What the scoring stream refuses ends in a table of its own; together they hold all requests."""
     stream = requests_of(jobs.read_table(spark, sf, "events"))
-    return jobs.quarantine_to_table(spark, stream, RULES).select("event_id", "value", "user_id", "k")
+    refused = jobs.quarantine_to_table(spark, stream, RULES)
+    return refused.select("event_id", "value", "user_id", F.expr("try_cast(k AS double)").alias("k"))
 
 
 @query(

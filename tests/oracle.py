@@ -27,9 +27,11 @@ def plain(value):
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return "~"
     if isinstance(value, bool):
-        return str(value)
+        return f"bool {value}"
     if isinstance(value, (int, float)) or type(value).__name__ == "Decimal":
         return f"{float(value):.9g}"
+    if isinstance(value, str):
+        return f"'{value}'"
     if hasattr(value, "tzinfo"):
         return value.replace(tzinfo=None).isoformat()
     if isinstance(value, (list, tuple)):
