@@ -218,4 +218,4 @@ def test_pipeline_stages(spark, sf):
 
 def test_every_number_has_one_query():
     names = [n for n in catalogue.queries if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
