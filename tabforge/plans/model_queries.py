@@ -245,6 +245,18 @@ _JOB_SIDES = " UNION ALL ".join(
     for m in metrics.METRICS
 )
 
+# Median, scaler and regression of every fold from the rows of the other four.
+_JOB_FOLDS = f"""dealt AS (SELECT *, ntile(5) OVER (ORDER BY {rank_sql('row_key', ':fold:42')}) - 1 AS fold FROM train),
+    fold_med AS (SELECT k, quantile_cont(l_quantity, 0.5) AS m FROM dealt, (SELECT unnest(range(5)) AS k) WHERE fold <> k GROUP BY k),
+    fold_filled AS (SELECT k, fold, y, coalesce(l_quantity, m) AS x FROM dealt, fold_med),
+    fold_s AS (SELECT k, avg(x) AS mx, stddev_pop(x) AS sx FROM fold_filled WHERE fold <> k GROUP BY k),
+    fold_z AS (SELECT k, fold, y, (x - mx) / sx AS z FROM fold_filled JOIN fold_s USING (k)),
+    fold_fit AS (SELECT k, covar_pop(y, z) * count(*) / (var_pop(z) * count(*) + 1.0) AS b, avg(y) AS my, avg(z) AS mz
+      FROM fold_z WHERE fold <> k GROUP BY k),
+    fold_scores AS (SELECT k, sqrt(avg((y - my - b * (z - mz)) ** 2)) AS rmse,
+      1 - sum((y - my - b * (z - mz)) ** 2) / (count(*) * var_pop(y)) AS r2
+      FROM fold_z JOIN fold_fit USING (k) WHERE fold = k GROUP BY k)"""
+
 
 @query(
     "train_job",
@@ -256,13 +268,16 @@ _JOB_SIDES = " UNION ALL ".join(
     fit AS (SELECT covar_pop(y, z) * count(*) / (var_pop(z) * count(*) + 1.0) AS b, avg(y) AS my, avg(z) AS mz
             FROM scaled WHERE split = 'train'),
     scored AS (SELECT split, y, my + b * (z - mz) AS prediction FROM scaled, fit),
-    per AS (SELECT split, {METRICS_SQL} FROM scored GROUP BY split) {_JOB_SIDES}""",
+    per AS (SELECT split, {METRICS_SQL} FROM scored GROUP BY split), {_JOB_FOLDS}
+    {_JOB_SIDES} UNION ALL SELECT unnest(['cv_rmse_mean', 'cv_rmse_std', 'cv_r2_mean', 'cv_r2_std']),
+      unnest([round(avg(rmse), 4), round(stddev_pop(rmse), 4), round(avg(r2), 4), round(stddev_pop(r2), 4)]) FROM fold_scores""",
 )
 def train_job(spark: SparkSession, sf: str) -> DataFrame:
-    """The metric rows that a whole training run writes to its log."""
+    """The metric rows that a whole training run, with its five folds, writes to its log."""
     rows = frame_nulls(spark, sf).select("row_key", "l_quantity", "y")
-    log = experiments.train_job(rows, ONE, "linear", "v1_median", {"alpha": 1.0}, cv_splits=None)
+    log = experiments.train_job(rows, ONE, "linear", "v1_median", {"alpha": 1.0})
     sides = [f"{side}_{m}" for side in ("train", "test") for m in metrics.METRICS]
+    sides += [f"cv_{m}_{how}" for m in ("rmse", "r2") for how in ("mean", "std")]
     return log.where(F.col("key").isin(sides)).select("key", F.col("value").cast("double").alias("value"))
 
 

@@ -207,3 +207,20 @@ def test_fits_in_the_same_passes_are_those_of_each_alone(spark, monkeypatch):
             alone = create_model(name, SPEC, **params).fit(df)
             assert model.hyperparameters == alone.hyperparameters
             assert (predictions(model, df) == predictions(alone, df)).all()
+
+
+def test_training_job_leaves_a_bundle_that_predicts(spark, tmp_path):
+    from tabforge.operators import experiments
+    from tabforge.sources.bundle import Bundle
+
+    df = frame(spark, *table(200))
+    log = experiments.train_job(df, SPEC, "gradient_boost", "v1_median", {"n_estimators": 3}, str(tmp_path / "b"), cv_splits=2)
+    found = {r["key"]: r["value"] for r in log.where("kind = 'metric'").collect()}
+    bundle = Bundle.load(str(tmp_path / "b"))
+    scored = bundle.predict(df)
+    error = np.array([r["prediction"] - r["y"] for r in scored.collect()])
+    low, high = sorted(float(found[f"{side}_rmse"]) for side in ("train", "test"))
+    assert low - 1e-3 <= np.sqrt((error**2).mean()) <= high + 1e-3
+    assert bundle.metadata["training_samples"] == 160 and bundle.metadata["test_samples"] == 40
+    assert bundle.metadata["cv_metrics"]["cv_rmse_mean"] == float(found["cv_rmse_mean"])
+    assert set(bundle.metadata["feature_stats"]) == set(SPEC.features)
