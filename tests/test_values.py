@@ -88,9 +88,9 @@ def test_trees_of_the_greatest_allowed_depth(spark, name):
     spec = FeatureSpec("k", ("a",), target="y")
     df = spark.createDataFrame([(i, float(i), 2.0**i) for i in range(60)], "k long, a double, y double")
     model = create_model(name, spec, max_depth=50, n_estimators=1, min_samples_split=2, min_samples_leaf=1).fit(df)
-    # A target that doubles from row to row is split off from the top, one row a level.
+    # A target that doubles from row to row is split off from the top, one row a level; each tree sees some of the rows.
     levels = sum(1 for f in model.inner.trees[0][0] if f >= 0)
-    assert levels > 20
+    assert levels > 15
 
 
 def test_gaps_that_appear_only_when_scoring(spark):
