@@ -10,10 +10,13 @@ which makes the result independent of how the data is laid out.
 * For each target feature the donors are put into grid cells of about equal sides
   along the other features. The table of cells has a fixed maximum size and holds
   the box around each cell's donors.
-* A receiver first searches its home cells, which gives a bound on its k-th
-  distance, and then only those other cells whose box comes closer than that.
-* Cells are searched in units of bounded size. A crowded cell is cut into chunks of
-  donors and blocks of receivers; small cells share a unit.
+* A cell with more than ``LEAF_ROWS`` donors is the root of a partition tree: level by
+  level a crowded node is cut at medians of its widest features into up to 256
+  children, until leaves are small. The tree is a table, so it grows with the donors.
+* A receiver first searches its home leaves, which gives a bound on its k-th
+  distance, and then only those leaves whose box, and the boxes above it, come closer.
+* Leaves are searched in units of bounded size, small ones together. A leaf of donors
+  that cannot be told apart is cut into chunks, many receivers into blocks.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, fields
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,27 +35,44 @@ from tabforge.functions.scalars import number
 from tabforge.session import materialise
 
 CELL_LIMIT = 2048
+LEAF_ROWS = 2_000
 UNIT_ROWS = 20_000
 PACK_ROWS = 4_000
+_LEVELS, _DEPTH, _SAMPLE = 4, 8, 4_096
+_PATH = 1 << 58  # a node's id: its level times this, plus the path from its cell
 _MARKS = 256
 _KEY, _WEIGHT = "__vector", "__weight"
 
 
 @dataclass
 class KnnState:
-    """What a fitted imputer remembers; ``donors`` is a table of distinct weighted vectors."""
+    """What a fitted imputer remembers.
+
+    ``donors`` is a table of distinct weighted vectors, ``tree`` one of the nodes below crowded
+    cells and ``placed`` one of the donors in them. ``compared`` counts pairs compared so far.
+    """
 
     features: list[str]
     k: int
     means: list[float | None]
     grids: list[list[tuple[int, list[float]]]]
     cells: list[dict]
+    levels: int = 0
     donors: DataFrame | None = None
+    tree: DataFrame | None = None
+    placed: DataFrame | None = None
     known: DataFrame | None = None
+    compared: int = 0
 
     def plain(self) -> dict:
         """Everything but the tables, ready for JSON."""
-        return {f.name: getattr(self, f.name) for f in fields(self) if f.name not in ("donors", "known")}
+        left_out = ("donors", "tree", "placed", "known", "compared")
+        return {f.name: getattr(self, f.name) for f in fields(self) if f.name not in left_out}
+
+    def tables(self) -> dict[str, DataFrame]:
+        """The tables to keep next to ``plain``; ``known`` can be found again."""
+        kept = ("donors", "tree", "placed")
+        return {name: getattr(self, name) for name in kept if getattr(self, name) is not None}
 
 
 def _vector_key(features: Sequence[str]) -> Column:
@@ -65,7 +86,7 @@ def _cell_code(features: Sequence[str], grid: Sequence[tuple[int, list[float]]])
         for cut in cuts:
             place = place + (F.col(features[dim]) > F.lit(cut)).cast("int")
         code = code * F.lit(len(cuts) + 2) + F.coalesce(place, F.lit(0))
-    return code.cast("int")
+    return code.cast("bigint")
 
 
 def _grid(target: int, marks: list[list[float]], limit: int) -> list[tuple[int, list[float]]]:
@@ -99,8 +120,29 @@ def _targets(features: Sequence[str]) -> Column:
     return F.array_compact(F.array(*entries))
 
 
-def fit(train: DataFrame, features: Sequence[str], k: int = 5) -> KnnState:
-    """Folds the training rows into weighted donors and describes the cells they fall into."""
+def _boxes(donors: DataFrame, features: Sequence[str], *by: str) -> DataFrame:
+    """Box, donors and weight of each cell."""
+    return donors.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(_WEIGHT).alias("weight"),
+        *[F.min(f).alias(f"lo{i}") for i, f in enumerate(features)],
+        *[F.max(f).alias(f"hi{i}") for i, f in enumerate(features)],
+        *[F.count(f).alias(f"have{i}") for i, f in enumerate(features)],
+    )
+
+
+def fit(
+    train: DataFrame,
+    features: Sequence[str],
+    k: int = 5,
+    cell_limit: int = CELL_LIMIT,
+    leaf_rows: int = LEAF_ROWS,
+) -> KnnState:
+    """Folds the training rows into weighted donors and describes the cells they fall into.
+
+    ``cell_limit`` bounds the table of cells per feature, ``leaf_rows`` the donors of a leaf below
+    them; both change the work, never the answer.
+    """
     features = list(features)
     rows = train.select(*[number(f).alias(f) for f in features])
     shares = [i / _MARKS for i in range(1, _MARKS)]
@@ -110,24 +152,114 @@ def fit(train: DataFrame, features: Sequence[str], k: int = 5) -> KnnState:
         *[F.percentile_approx(f, shares, 2000).alias(f"marks{i}") for i, f in enumerate(features)],
     ).first()
     marks = [profile[f"marks{i}"] or [] for i in range(len(features))]
-    limit = min(CELL_LIMIT, max(1, profile["n"] // 64))
+    limit = min(cell_limit, max(1, profile["n"] // 64))
     grids = [_grid(i, marks, limit) for i in range(len(features))]
     weighted = rows.groupBy(*features).agg(F.least(F.count(F.lit(1)), F.lit(k)).alias(_WEIGHT))
     codes = {f"__cell{i}": _cell_code(features, grid) for i, grid in enumerate(grids)}
     donors = materialise(weighted.withColumns(codes), "donors")
-    described = (
-        donors.select(*features, _WEIGHT, F.inline(_targets(features)))
-        .groupBy("target", "cell")
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.sum(_WEIGHT).alias("weight"),
-            *[F.min(f).alias(f"lo{i}") for i, f in enumerate(features)],
-            *[F.max(f).alias(f"hi{i}") for i, f in enumerate(features)],
-            *[F.count(f).alias(f"have{i}") for i, f in enumerate(features)],
+    described = _boxes(donors.select(*features, _WEIGHT, F.inline(_targets(features))), features, "target", "cell")
+    inner = described.withColumn("inner", F.col("rows") > leaf_rows)
+    cells = [r.asDict() for r in inner.orderBy("target", "cell").collect()]
+    means = [profile[f"mean{i}"] for i in range(len(features))]
+    state = KnnState(features, k, means, grids, cells, donors=donors)
+    _grow(state, leaf_rows)
+    return state
+
+
+def _halves(x: np.ndarray, usable: list[int]) -> tuple[int, float]:
+    """Feature and value that halve the sample ``x``; an infinite value where nothing tells rows apart."""
+    widest, feature = 0.0, -1
+    for i in usable:
+        known = x[~np.isnan(x[:, i]), i]
+        if len(known) and known.max() - known.min() > widest:
+            widest, feature = known.max() - known.min(), i
+    if feature >= 0:
+        known = x[~np.isnan(x[:, feature]), feature]
+        middle = np.partition(known, (len(known) - 1) // 2)[(len(known) - 1) // 2]
+        return feature, float(middle if middle < known.max() else known[known < middle].max())
+    for i in usable:
+        if 0 < np.isnan(x[:, i]).sum() < len(x):
+            return i, -math.inf
+    return 0, math.inf
+
+
+def _cutter(names: list[str], leaf_rows: int):
+    """applyInPandas function: a sample of one node's donors -> its cuts, in heap order."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, target = pdf[names].to_numpy(dtype=float), int(pdf["target"].iloc[0])
+        depth = min(_DEPTH, max(1, math.ceil(math.log2(2 * pdf["rows"].iloc[0] / leaf_rows))))
+        usable = [i for i in range(len(names)) if i != target]
+        dims, cuts, parts = [], [], [x]
+        for _ in range(depth):
+            below = []
+            for part in parts:
+                feature, cut = _halves(part, usable)
+                right = part[:, feature] > cut
+                below += [part[~right], part[right]]
+                dims.append(feature)
+                cuts.append(cut)
+            parts = below
+        return pd.DataFrame(
+            {"target": [target], "cell": [pdf["cell"].iloc[0]], "depth": [depth], "dims": [dims], "cuts": [cuts]}
         )
+
+    return run
+
+
+def _deal(rows: DataFrame, names: list[str], leaf_rows: int, level: int) -> DataFrame:
+    """Donors of crowded nodes with the child they belong to; ``parent`` is the node itself.
+
+    Where to cut is learned from about ``_SAMPLE`` donors of each node, chosen by hash; every donor
+    is dealt. A missing value goes to the left.
+    """
+    sample = rows.where(F.pmod(F.xxhash64(*names), "rows") < _SAMPLE).select(*names, "target", "cell", "rows")
+    schema = "target int, cell bigint, depth int, dims array<int>, cuts array<double>"
+    cuts = sample.groupBy("target", "cell").applyInPandas(_cutter(names, leaf_rows), schema)
+    values = F.array(*names)
+    place = F.aggregate(
+        F.sequence(F.lit(1), F.col("depth")),
+        F.lit(0),
+        lambda at, _: at * 2
+        + 1
+        + F.coalesce((F.get(values, F.get("dims", at)) > F.get("cuts", at)).cast("int"), F.lit(0)),
+    )
+    child = F.coalesce(place + 1 - F.size("dims"), F.lit(1))
+    return rows.join(cuts, ["target", "cell"], "left").select(
+        *names,
+        _WEIGHT,
+        "target",
+        F.col("cell").alias("parent"),
+        F.col("rows").alias("parent_rows"),
+        (F.pmod("cell", F.lit(_PATH)) * (2 << _DEPTH) + child + F.lit(level * _PATH)).alias("cell"),
     )
-    cells = [r.asDict() for r in described.orderBy("target", "cell").collect()]
-    return KnnState(features, k, [profile[f"mean{i}"] for i in range(len(features))], grids, cells, donors)
+
+
+def _grow(state: KnnState, leaf_rows: int) -> None:
+    """Cuts crowded cells level by level until their leaves are small or their donors cannot be told apart."""
+    crowded = [(c["target"], c["cell"], c["rows"]) for c in state.cells if c["inner"]]
+    if not crowded:
+        return
+    names = state.features
+    nodes = state.donors.sparkSession.createDataFrame(crowded, "target int, cell bigint, rows bigint")
+    # At most one row per cell of the bounded table.
+    rows = state.donors.select(*names, _WEIGHT, F.inline(_targets(names))).join(F.broadcast(nodes), ["target", "cell"])
+    tree, leaves = [], []
+    for level in range(1, _LEVELS + 1):
+        dealt = materialise(_deal(rows, names, leaf_rows, level), "dealt")
+        boxes = _boxes(dealt, names, "target", "parent", "parent_rows", "cell")
+        crowd = (F.col("rows") > leaf_rows) & (F.col("rows") < F.col("parent_rows")) & F.lit(level < _LEVELS)
+        described = boxes.withColumns({"inner": crowd, "level": F.lit(level)}).drop("parent_rows")
+        described = materialise(described, "nodes")
+        marked = dealt.join(described.select("target", "cell", "rows", "inner"), ["target", "cell"])
+        tree.append(described)
+        leaves.append(marked.where("NOT inner").select(*names, _WEIGHT, "target", "cell"))
+        state.levels = level
+        if not described.agg(F.max("inner")).first()[0]:
+            break
+        rows = marked.where("inner").select(*names, _WEIGHT, "target", "cell", "rows")
+    state.tree = materialise(reduce(DataFrame.unionByName, tree), "tree")
+    state.placed = materialise(reduce(DataFrame.unionByName, leaves), "placed")
 
 
 class _Boxes:
@@ -139,6 +271,7 @@ class _Boxes:
             return np.array(rows, dtype=float).reshape(len(cells), p)
 
         self.ids = np.array([c["cell"] for c in cells])
+        self.inner = np.array([c["inner"] for c in cells], dtype=bool)
         self.weight = np.array([c["weight"] for c in cells], dtype=float)
         rows = np.array([[c["rows"]] for c in cells], dtype=float).reshape(-1, 1)
         self.low, self.high, have = column("lo"), column("hi"), column("have")
@@ -180,15 +313,40 @@ class _Boxes:
         return chosen
 
 
-def _visits(state: KnnState, rest: bool):
-    """mapInPandas function: receivers -> (vector, target, cell) to search.
+    def visits(self, x: np.ndarray, limit: np.ndarray, home: np.ndarray, k: int, rest: bool) -> Iterator[tuple]:
+        """Receivers, cells to go to, whether they are home cells, whether they are inner nodes.
 
-    First the home cells; with ``rest`` the other cells that may hold something at
-    least as close as the ``limit`` found at home for that target.
-    """
+        First the home cells of receivers that are at ``home`` here; with ``rest`` every other leaf, and every
+        inner node, that may hold something at least as close as ``limit``.
+        """
+        for start in range(0, len(x) if len(self.ids) else 0, 256):
+            part = slice(start, start + 256)
+            lower, upper = self.bounds(x[part])
+            homes = self.homes(lower, upper, k) & home[part, None]
+            chosen = homes
+            if rest:
+                reach = limit[part] * (1 + 1e-9) + 1e-12
+                chosen = (self.inner | ~homes) & (lower <= reach[:, None]) & np.isfinite(lower)
+            who, where = np.nonzero(chosen)
+            if len(who):
+                yield start + who, self.ids[where], homes[who, where], self.inner[where]
+
+
+def _visit_schema(names: Sequence[str]) -> str:
+    features = ", ".join(f"`{f}` double" for f in names)
+    return f"{features}, {_KEY} string, limit double, target int, cell bigint, home boolean, inner boolean"
+
+
+def _visit_rows(pdf: pd.DataFrame, names: list[str], target: int, found: tuple) -> pd.DataFrame:
+    who, cell, home, inner = found
+    out = pdf.iloc[who][[*names, _KEY, "limit"]].reset_index(drop=True)
+    return out.assign(target=np.int32(target), cell=cell.astype("int64"), home=home, inner=inner)
+
+
+def _visits(state: KnnState, rest: bool):
+    """mapInPandas function: receivers -> visits of cells of the bounded table."""
     cells, names, k = state.cells, state.features, state.k
     p = len(names)
-    columns = [*names, _KEY, "limit", "target", "cell"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         boxes = [_Boxes([c for c in cells if c["target"] == i], p) for i in range(p)]
@@ -196,24 +354,61 @@ def _visits(state: KnnState, rest: bool):
             x = pdf[names].to_numpy(dtype=float)
             wanted = pdf["target"].to_numpy() if rest else None
             for i, box in enumerate(boxes):
-                rows = np.flatnonzero(wanted == i if rest else np.isnan(x[:, i]))
-                for start in range(0, len(rows) if len(box.ids) else 0, 256):
-                    part = rows[start : start + 256]
-                    lower, upper = box.bounds(x[part])
-                    chosen = box.homes(lower, upper, k)
-                    if rest:
-                        limit = pdf["limit"].to_numpy()[part] * (1 + 1e-9) + 1e-12
-                        chosen = ~chosen & (lower <= limit[:, None]) & np.isfinite(lower)
-                    who, where = np.nonzero(chosen)
-                    if len(who):
-                        out = pdf.iloc[part[who]].reset_index(drop=True)
-                        yield out.assign(target=np.int32(i), cell=box.ids[where].astype("int32"))[columns]
+                asking = pdf.iloc[np.flatnonzero(wanted == i if rest else np.isnan(x[:, i]))]
+                at_home = np.ones(len(asking), dtype=bool)
+                y, limit = asking[names].to_numpy(dtype=float), asking["limit"].to_numpy(dtype=float)
+                for found in box.visits(y, limit, at_home, k, rest):
+                    yield _visit_rows(asking, names, i, found)
+
+    return run
+
+
+def _open(names: list[str], k: int, rest: bool):
+    """cogroup function: receivers at an inner node and the boxes of its children -> visits of children."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        empty = _visit_rows(left.iloc[:0], names, 0, (np.array([], int), *[np.array([])] * 3))
+        if not len(left) or not len(right):
+            return empty.astype({"home": bool, "inner": bool})
+        children = right.drop(columns="cell").rename(columns={"child": "cell"}).sort_values("cell")
+        box = _Boxes(children.to_dict("records"), len(names))
+        x, limit = left[names].to_numpy(dtype=float), left["limit"].to_numpy(dtype=float)
+        found = box.visits(x, limit, left["home"].to_numpy(dtype=bool), k, rest)
+        target = int(left["target"].iloc[0])
+        parts = [_visit_rows(left, names, target, part) for part in found]
+        return pd.concat(parts) if parts else empty.astype({"home": bool, "inner": bool})
 
     return run
 
 
+def _descend(state: KnnState, visits: DataFrame, rest: bool) -> DataFrame:
+    """Leaves to visit: at inner nodes the receivers go on to the children, level by level."""
+    names = state.features
+    visits = materialise(visits, "visits")
+    done = [visits.where("NOT inner")]
+    for level in range(1, state.levels + 1):
+        going = visits.where("inner")
+        blocks = F.ceil(F.count(F.lit(1)) / UNIT_ROWS).alias("blocks")
+        crowd = materialise(going.groupBy("target", "cell").agg(blocks), "crowd")
+        asking = going.join(crowd, ["target", "cell"]).withColumn("block", F.pmod(F.xxhash64(_KEY), "blocks"))
+        children = state.tree.where(F.col("level") == level).withColumnsRenamed({"cell": "child", "parent": "cell"})
+        boxes = children.join(crowd, ["target", "cell"]).withColumn(
+            "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+        )
+        by = ["target", "cell", "block"]
+        # Both sides took their blocks from one table.
+        boxes = boxes.drop("blocks").select(*[F.col(c).alias(c) for c in boxes.columns if c != "blocks"])
+        asking = asking.drop("blocks").select(*[F.col(c).alias(c) for c in asking.columns if c != "blocks"])
+        opened = asking.groupBy(*by).cogroup(boxes.groupBy(*by)).applyInPandas(
+            _open(names, state.k, rest), _visit_schema(names)
+        )
+        visits = materialise(opened, "visits")
+        done.append(visits.where("NOT inner"))
+    return reduce(DataFrame.unionByName, done)
+
+
 def nearest(x, limit, target: int, donors, weights, k: int) -> Iterator[tuple]:
-    """Closest donors of receivers ``x`` within ``limit``: (receiver, squared distance, value, weight).
+    """Closest donors of receivers ``x`` within ``limit``: arrays of receiver, squared distance, value, weight.
 
     ``donors`` come sorted by the value they give, which settles equal distances.
     """
@@ -230,21 +425,22 @@ def nearest(x, limit, target: int, donors, weights, k: int) -> Iterator[tuple]:
                 common += known
         with np.errstate(divide="ignore", invalid="ignore"):
             distance = np.where(common > 0, total * p / common, np.inf)
-        within = (distance <= limit[start : start + 64, None]) & np.isfinite(distance)
-        for row in np.flatnonzero(within.any(axis=1)):
-            farthest = np.partition(distance[row], kth)[kth]
-            close = np.flatnonzero(within[row] & (distance[row] <= farthest))
-            close = close[np.argsort(distance[row, close], kind="stable")]
-            before = np.cumsum(weights[close]) - weights[close]
-            for j in close[before < k]:
-                yield start + row, distance[row, j], donors[j, target], int(weights[j])
+        farthest = np.minimum(np.partition(distance, kth, axis=1)[:, kth], limit[start : start + 64])
+        rows, places = np.nonzero((distance <= farthest[:, None]) & np.isfinite(distance))
+        order = np.lexsort((places, distance[rows, places], rows))
+        rows, places = rows[order], places[order]
+        weight = weights[places]
+        before = np.cumsum(weight) - weight
+        taken = before - before[np.searchsorted(rows, rows)] < k if len(rows) else np.zeros(0, dtype=bool)
+        rows, places = rows[taken], places[taken]
+        yield start + rows, distance[rows, places], donors[places, target], weight[taken]
 
 
 _FOUND = f"{_KEY} string, target int, distance double, value double, weight long"
 
 
 def _search_unit(names: list[str], k: int):
-    """cogroup function: receivers and donors of the cells of one unit."""
+    """cogroup function: receivers and donors of the leaves of one unit."""
     columns = [_KEY, "target", "distance", "value", "weight"]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -264,46 +460,58 @@ def _search_unit(names: list[str], k: int):
                 pool[_WEIGHT].to_numpy(),
                 k,
             )
-            found.extend((keys[i], target, d, v, w) for i, d, v, w in hits)
-        return pd.DataFrame(found, columns=columns)
+            for who, distance, value, weight in hits:
+                found.append(pd.DataFrame(dict(zip(columns, (keys[who], target, distance, value, weight), strict=True))))
+        return pd.concat(found) if found else pd.DataFrame(columns=columns)
 
     return run
 
 
 def _units(state: KnnState, visits: DataFrame) -> tuple[DataFrame, int]:
-    """(target, cell) -> unit, donor chunks, receiver blocks, and how many units there are.
+    """(target, cell) of visited leaves -> unit, donor chunks, receiver blocks; and how many units there are.
 
-    At most one row per cell, and the number of cells is bounded, so it is broadcast.
+    Leaves that need several chunks or blocks are units of their own, the others share units by hash.
     """
-    rows = {(c["target"], c["cell"]): c["rows"] for c in state.cells}
-    crowd = visits.groupBy("target", "cell").count().orderBy("target", "cell").collect()
-    table, unit, filled = [], 0, 0
-    for r in crowd:
-        donors, askers = rows[r["target"], r["cell"]], r["count"]
-        chunks, blocks = -(-donors // UNIT_ROWS), -(-askers // UNIT_ROWS)
-        if chunks > 1 or blocks > 1 or filled + donors + askers > PACK_ROWS:
-            unit, filled = unit + 1, 0
-        table.append((r["target"], r["cell"], unit, chunks, blocks))
-        filled += donors + askers
-    schema = "target int, cell int, unit int, chunks int, blocks bigint"
-    return F.broadcast(visits.sparkSession.createDataFrame(table, schema)), unit + 1
+    spark = visits.sparkSession
+    top = [(c["target"], c["cell"], c["rows"]) for c in state.cells if not c["inner"]]
+    sizes = spark.createDataFrame(top, "target int, cell bigint, rows bigint")
+    if state.tree is not None:
+        sizes = sizes.unionByName(state.tree.where("NOT inner").select("target", "cell", "rows"))
+    asked = visits.groupBy("target", "cell").agg(F.count(F.lit(1)).alias("askers"))
+    crowd = materialise(sizes.join(asked, ["target", "cell"]), "crowd")
+    total = crowd.agg(F.sum(F.col("rows") + F.col("askers")), F.sum(F.col("rows") * F.col("askers"))).first()
+    count = max(1, (total[0] or 0) // PACK_ROWS)
+    state.compared += total[1] or 0
+    parts = crowd.select(
+        "target",
+        "cell",
+        F.ceil(F.col("rows") / UNIT_ROWS).alias("chunks"),
+        F.ceil(F.col("askers") / UNIT_ROWS).alias("blocks"),
+    )
+    shared = F.pmod(F.xxhash64("target", "cell"), F.lit(count))
+    alone = -1 - F.pmod(F.xxhash64("target", "cell"), F.lit(1 << 62))
+    return parts.withColumn("unit", F.when((F.col("chunks") > 1) | (F.col("blocks") > 1), alone).otherwise(shared)), count
 
 
 def _search(state: KnnState, visits: DataFrame) -> DataFrame:
-    """Up to ``k`` closest donors per visit."""
+    """Up to ``k`` closest donors per visited leaf."""
     names = state.features
-    visits = materialise(visits, "visits")
+    visits = visits.drop("home", "inner")
     units, count = _units(state, visits)
+    zero = F.lit(0).cast("bigint")
     left = (
         visits.join(units, ["target", "cell"])
         .withColumn("block", F.pmod(F.xxhash64(_KEY), F.col("blocks")))
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .withColumn("chunk", F.explode(F.sequence(zero, F.col("chunks") - 1)))
     )
+    donors = state.donors.select(*names, _WEIGHT, F.inline(_targets(names)))
+    if state.placed is not None:
+        # Crowded cells are no leaves, so the join with the units drops their donors from the first table.
+        donors = donors.unionByName(state.placed.select(*donors.columns))
     right = (
-        state.donors.select(*names, _WEIGHT, F.inline(_targets(names)))
-        .join(units, ["target", "cell"])
-        .withColumn("chunk", F.pmod(F.xxhash64(*names), F.col("chunks")).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        donors.join(units, ["target", "cell"])
+        .withColumn("chunk", F.pmod(F.xxhash64(*names), F.col("chunks")))
+        .withColumn("block", F.explode(F.sequence(zero, F.col("blocks") - 1)))
     )
     # A fixed number of tasks: small inputs would be merged into few, but the work is in the search.
     tasks = max(visits.sparkSession.sparkContext.defaultParallelism, min(count // 4, 4096))
@@ -334,14 +542,19 @@ def imputed_cells(incomplete: DataFrame, state: KnnState) -> DataFrame:
     receivers = materialise(receivers.withColumn("limit", F.lit(float("inf"))), "receivers")
     # Bounding is heavy per row, so tasks are sized by rows, not by bytes.
     tasks = max(receivers.sparkSession.sparkContext.defaultParallelism, receivers.count() // UNIT_ROWS)
-    visit = ", ".join(f"`{f}` double" for f in names) + f", {_KEY} string, limit double, target int, cell int"
+    visit = _visit_schema(names)
     asking = receivers.repartition(tasks, _KEY)
-    home = materialise(_search(state, asking.mapInPandas(_visits(state, False), visit)), "home")
+
+    def search(rows: DataFrame, rest: bool) -> DataFrame:
+        leaves = _descend(state, rows.mapInPandas(_visits(state, rest), visit), rest)
+        return materialise(_search(state, leaves), "rest" if rest else "home")
+
+    home = search(asking, False)
     reached = home.withColumn("reached", _running_weight()).groupBy(_KEY, "target").agg(
         F.coalesce(F.min(F.when(F.col("reached") >= k, F.col("distance"))), F.lit(float("inf"))).alias("limit")
     )
     bounded = asking.drop("limit").join(reached.repartition(tasks, _KEY), _KEY)
-    rest = materialise(_search(state, bounded.mapInPandas(_visits(state, True), visit)), "rest")
+    rest = search(bounded, True)
     counted = home.unionByName(rest).withColumn("reached", _running_weight())
     taken = F.least(F.col("weight"), F.lit(k) - (F.col("reached") - F.col("weight")))
     means = (

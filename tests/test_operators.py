@@ -1,6 +1,7 @@
 """Operators against closed forms and known answers on small tables."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -184,6 +185,50 @@ def test_knn_with_small_chunks(spark, monkeypatch):
     test_knn_matches_brute_force(spark, 400, 0.1, 0)
 
 
+def test_knn_with_deep_trees(spark, monkeypatch):
+    """Two children a node and leaves of 6 donors: several levels, nodes that cannot be cut, the same answers."""
+    monkeypatch.setattr(knn, "UNIT_ROWS", 25)
+    monkeypatch.setattr(knn, "_DEPTH", 1)
+    fit = knn.fit
+    states = []
+
+    def deep(df, features, k):
+        states.append(fit(df, features, k, cell_limit=4, leaf_rows=6))
+        return states[-1]
+
+    monkeypatch.setattr(knn, "fit", deep)
+    test_knn_matches_brute_force(spark, 900, 0.15, 300)
+    state = states[0]
+    assert state.levels == knn._LEVELS
+    assert state.placed.count() == sum(c["rows"] for c in state.cells if c["inner"])
+
+
+def test_knn_tree_is_saved(spark, monkeypatch, tmp_path):
+    """A loaded strategy walks the same tree."""
+    monkeypatch.setattr(knn.fit, "__defaults__", (5, 4, 20))
+    df, _, _ = numbers(spark, 300, 3, gaps=0.1)
+    model = create_strategy("v2_knn", SPEC).fit(df)
+    assert model.knn_state.levels
+    model.save(str(tmp_path / "s"))
+    loaded = PreprocessorModel.load(str(tmp_path / "s"))
+    new = df.withColumn("a", F.when(F.col("b").isNull(), F.col("a")))
+    assert sorted(map(str, loaded.transform(new).collect())) == sorted(map(str, model.transform(new).collect()))
+
+
+def test_knn_work_follows_the_donors(spark):
+    """Four times the donors in the same space: the pairs per receiver must not grow by as much."""
+    pairs = []
+    for n in (4_000, 16_000):
+        random = np.random.RandomState(3)
+        x = pd.DataFrame(random.uniform(size=(n, 3)), columns=["a", "b", "c"])
+        df = spark.createDataFrame(x)
+        state = knn.fit(df, ["a", "b", "c"], 5, cell_limit=8, leaf_rows=100)
+        asking = df.limit(200).withColumn("c", F.lit(None).cast("double"))
+        knn.imputed_cells(asking, state).count()
+        pairs.append(state.compared)
+    assert pairs[1] < 2 * pairs[0]
+
+
 def slow_iterative(x, max_iter=10, tol=1e-3):
     """Round-robin imputation row by row on whole arrays."""
     missing = np.isnan(x)
