@@ -11,11 +11,15 @@ from tabforge.operators import monitor, scoring
 from tabforge.operators.models import create_model
 from tabforge.operators.profile import feature_ranges
 from tabforge.operators.split import route
+from tabforge.operators.strategies import create_strategy
 from tabforge.plans.frames import table, u_sql
 from tabforge.plans.registry import Catalogue, rounded
-from tabforge.session import scratch_path
+from tabforge.session import materialise, scratch_path
+from tabforge.sources.bundle import Bundle
+from tabforge.sources.requests import parse_batches, parse_records
 from tabforge.spec import PREDICTION_SECONDS_BUCKETS, PREDICTION_VALUE_BUCKETS, Constraint, FeatureSpec
-from tabforge.streaming import jobs
+from tabforge.streaming import jobs, serve
+from tabforge.streaming.reload import ModelSlots
 
 catalogue = Catalogue()
 query = catalogue.query
@@ -170,6 +174,102 @@ def stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     return refused.select("event_id", "value", "user_id", F.expr("try_cast(k AS double)").alias("k"))
 
 
+def _bundle_sql(name: str, x: str) -> str:
+    """Ridge on the filled and scaled feature, written for the raw one."""
+    return f"""{name} AS (SELECT covar_pop(value, {x}) / var_pop({x}) * count(*) / (count(*) + 1.0) AS b,
+      avg(value) AS my, avg({x}) AS mx FROM filled)"""
+
+
+@query(
+    "stream_bundle",
+    f"""WITH {REQUESTS_CTE}, filled AS (SELECT value, coalesce(k, (SELECT quantile_cont(k, 0.5) FROM training)) AS k,
+      coalesce(user_id, (SELECT quantile_cont(user_id, 0.5) FROM training)) AS user_id FROM training),
+    {_bundle_sql('champ', 'k')}, {_bundle_sql('chall', 'user_id')},
+    routed AS (SELECT *, coalesce(k BETWEEN 0 AND 95 AND value >= 0 AND user_id >= 0, false) AS fine,
+      {u_sql('event_id', ':route')} < 0.7 AS first FROM requests)
+    SELECT event_id, fine AS scored,
+      CASE WHEN fine THEN CASE WHEN first THEN 'champion' ELSE 'challenger' END END AS served_by,
+      CASE WHEN fine THEN round(CASE WHEN first THEN champ.my + champ.b * (k - champ.mx)
+                                     ELSE chall.my + chall.b * (user_id - chall.mx) END, 4) END AS prediction,
+      CASE WHEN fine THEN concat_ws('; ', CASE WHEN first THEN {_warn_sql('k')} ELSE {_warn_sql('user_id')} END) END AS warnings
+    FROM routed, champ, chall, ranges""",
+)
+def stream_bundle(spark: SparkSession, sf: str) -> DataFrame:
+    """Two saved bundles serve a stream: strategy and model of each, a prediction log and a quarantine."""
+    rows = materialise(training(spark, sf).select("event_id", "k", "user_id", "value"), "week")
+    folder = scratch_path(spark, "service")
+    paths = []
+    for alias, spec in (("champion", CHAMPION), ("challenger", CHALLENGER)):
+        prepared = create_strategy("v1_median", spec).fit(rows)
+        model = create_model("linear", spec).fit(prepared.transform(rows))
+        ranges = scoring.ranges_dict(feature_ranges(rows, spec.features))
+        made = Bundle.create(model, prepared, rows.count(), ranges=ranges)
+        paths.append((alias, made.save(f"{folder}/bundles/{alias}")))
+    slots = ModelSlots(lambda: spark.createDataFrame(paths, "alias string, path string"), Bundle.load)
+    stream = requests_of(jobs.read_table(spark, sf, "events"))
+    serve.run_service(stream, slots, "event_id", RULES, folder, 0.7)
+    scores = serve.read_log(spark, folder, "scores").select(
+        "event_id",
+        F.lit(True).alias("scored"),
+        "served_by",
+        F.round("prediction", 4).alias("prediction"),
+        F.concat_ws("; ", scoring.warning_texts(F.col("warnings"))).alias("warnings"),
+    )
+    refused = serve.read_log(spark, folder, "refused").select("event_id", F.lit(False).alias("scored"))
+    return scores.unionByName(refused, allowMissingColumns=True)
+
+
+_JSON_FIELDS = ("event_id", *FEATURES)
+_JSON_SQL = f"""WITH {REQUESTS_CTE}, sent AS (SELECT *, event_id % 50 = 7 AS broken FROM requests)
+SELECT CASE WHEN NOT broken THEN event_id::double END AS event_id, {', '.join(f'CASE WHEN NOT broken THEN {f} END AS {f}' for f in FEATURES)},
+  CASE WHEN broken THEN 'no json' WHEN coalesce(k BETWEEN 0 AND 95 AND value >= 0 AND user_id >= 0, false) THEN 'accepted'
+       ELSE 'refused' END AS verdict FROM sent"""
+
+
+def _inbox(spark: SparkSession, sf: str) -> str:
+    """The events as lines of JSON, those with ``event_id % 50 = 7`` cut short."""
+    text = F.to_json(F.struct(*_JSON_FIELDS))
+    line = F.when(F.col("event_id") % 50 == 7, F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    folder = scratch_path(spark, "inbox")
+    requests(spark, sf).select(line.alias("value")).write.text(folder)
+    return folder
+
+
+def _judged(lines: DataFrame) -> DataFrame:
+    parsed = parse_records(lines.withColumnRenamed("value", "payload"), "payload", _JSON_FIELDS)
+    broken = F.col(serve.CORRUPT).isNotNull()
+    verdict = F.when(broken, "no json").when(F.size("errors") > 0, "refused").otherwise("accepted")
+    fields = [F.when(~broken, F.col(f).try_cast("double")).alias(f) for f in _JSON_FIELDS]
+    return serve.checked(parsed, RULES).select(*fields, verdict.alias("verdict"))
+
+
+@query("requests_json", _JSON_SQL)
+def requests_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests as lines of JSON: parsed, checked, and told apart from text that is no JSON."""
+    return _judged(spark.read.text(_inbox(spark, sf)))
+
+
+@query("stream_requests_json", _JSON_SQL)
+def stream_requests_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The same lines read as a stream."""
+    return jobs.score_to_table(spark, _judged(spark.readStream.text(_inbox(spark, sf))), "judged")
+
+
+@query(
+    "request_lists",
+    """SELECT event_id // 7 AS batch_id, row_number() OVER (PARTITION BY event_id // 7 ORDER BY event_id) - 1 AS item_index,
+      event_id::double AS event_id, value FROM events""",
+)
+def request_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches sent as one JSON list each, seven items at most, taken apart again."""
+    items = F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("items")
+    sent = requests(spark, sf).groupBy("batch_id").agg(items)
+    payloads = sent.select("batch_id", F.to_json(F.struct("items")).alias("payload"))
+    rows = parse_batches(payloads, "payload", ("event_id", "value"))
+    numbers = [F.col(f).try_cast("double").alias(f) for f in ("event_id", "value")]
+    return rows.select("batch_id", F.col("item_index").cast("bigint").alias("item_index"), *numbers)
+
+
 @query(
     "refused_batches",
     """SELECT user_id AS batch_id, count(*) AS total_items,

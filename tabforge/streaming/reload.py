@@ -36,6 +36,10 @@ class ModelSlots:
             except Exception:  # noqa: BLE001 - serving goes on with what is loaded
                 self.loads.append((alias, path, "failure"))
 
+    def at(self, paths: dict[str, str]) -> dict[str, object]:
+        """The models at given paths, whatever the aliases name now."""
+        return {a: self.models[a] if self.paths.get(a) == path else self.load(path) for a, path in paths.items()}
+
     def score_batches(self, score: Callable[[DataFrame, dict], DataFrame], path: str):
         """Function for ``foreachBatch``: refresh, score, write this batch's own folder."""
 

@@ -1,9 +1,12 @@
 """CSV, cache, bundle, run log, requests and streams: round trips and failures."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabforge.operators.metrics import evaluation_report
 from tabforge.operators.models import create_model
 from tabforge.operators.profile import feature_ranges
 from tabforge.operators.scoring import ranges_dict
@@ -12,8 +15,9 @@ from tabforge.session import scratch_path
 from tabforge.sources import files, requests, runlog
 from tabforge.sources.bundle import Bundle, load_first
 from tabforge.sources.cache import PreparedCache
-from tabforge.spec import HOUSING, FeatureSpec
-from tabforge.streaming import jobs
+from tabforge.sources.requests import parse_records
+from tabforge.spec import HOUSING, Constraint, FeatureSpec
+from tabforge.streaming import jobs, serve
 from tabforge.streaming.reload import ModelSlots
 from test_operators import SPEC, numbers
 
@@ -46,9 +50,18 @@ def test_split_write_prunes_to_one_side(spark, tmp_path):
 
 
 def test_report_document(spark, tmp_path):
-    report = files.evaluation_report({"r2": 0.99}, {"r2": 0.70}, params={"n": np.int64(3)})
-    assert report["overfitting_warning"] is True and "feature_importance" not in report
-    assert files.evaluation_report({"r2": 0.92}, {"r2": 0.90})["overfitting_warning"] is False
+    def report(error, **parts):
+        rows = [(s, float(i), i + (error if s == "test" else 0.0) * (-1) ** i) for s in ("train", "test") for i in range(10)]
+        scored = spark.createDataFrame(rows, "split string, y double, p double")
+        return evaluation_report(scored, "y", "p", **parts)
+
+    files.write_json(report(2.0, params={"n": np.int64(3)}), str(tmp_path / "er.json"))
+    report_row = json.loads(spark.read.text(str(tmp_path / "er.json")).first()["value"])
+    assert report_row["overfitting_warning"] is True and "feature_importance" not in report_row
+    assert report_row["model_params"] == {"n": "3"} and report_row["test_metrics"]["rmse"] == 2.0
+    small = report(0.1, importance={"a": 1}).first()
+    assert small["overfitting_warning"] is False and small["feature_importance"] == {"a": 1.0}
+    report = report_row
     path = str(tmp_path / "deep" / "er" / "report")
     files.write_document(spark, {**report, "values": np.array([1.5, 2.0])}, path)
     assert files.read_document(spark, path)["values"] == [1.5, 2.0]
@@ -157,6 +170,45 @@ def test_late_rows_are_dropped(spark):
     assert [(r["window_start"].hour, r["n"]) for r in rows] == [(0, 1), (2, 1)]
 
 
+def test_service_scores_refuses_and_survives_a_replay(spark, bundle, tmp_path):
+    """Accepted and refused add up, broken JSON is kept, and an epoch run again gives the same answers."""
+    made, df = bundle
+    paths = {"champion": made.save(str(tmp_path / "m1"))}
+    slots = ModelSlots(lambda: spark.createDataFrame(list(paths.items()), "alias string, path string"), Bundle.load)
+    rules = [Constraint(f, ge=-1000) for f in made.model.spec.features]
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "id bigint, " + ", ".join(f"`{f}` double" for f in made.model.spec.features)
+    lines = [json.dumps({"id": r["id"], **{f: r[f] for f in made.model.spec.features}}) for r in df.limit(20).collect()]
+
+    def stream():
+        text = spark.readStream.text(inbox).withColumnRenamed("value", "payload")
+        names = ["id", *made.model.spec.features]
+        return parse_records(text, "payload", names).withColumn("id", F.col("id").try_cast("bigint"))
+
+    spark.createDataFrame([(x,) for x in [*lines, "{broken"]], "value string").coalesce(1).write.mode("append").text(inbox)
+    serve.run_service(stream(), slots, "id", rules, out)
+    paths["champion"] = made.save(str(tmp_path / "m2"))
+    spark.createDataFrame([(x,) for x in lines[:5]], "value string").coalesce(1).write.mode("append").text(inbox)
+    serve.run_service(stream(), slots, "id", rules, out)
+    logs = {part: serve.read_log(spark, out, part) for part in ("scores", "refused", "batches")}
+    read, accepted, refused = logs["batches"].selectExpr("sum(read)", "sum(accepted)", "sum(refused)").first()
+    assert (read, accepted, refused) == (26, logs["scores"].count(), logs["refused"].count())
+    assert logs["batches"].where("seconds > 0").count() == 2
+    broken = [r["errors"][0]["message"] for r in logs["refused"].where("_corrupt_record is not null").collect()]
+    assert broken == ["Input should be valid JSON"]
+    whole = {r["id"]: r["prediction"] for r in made.predict(df.limit(20)).collect()}
+    scores = logs["scores"].collect()
+    assert scores and all(np.isclose(whole[r["id"]], r["prediction"]) for r in scores)
+    # The first epoch again, after the alias moved: its own bundle is loaded, nothing is doubled.
+    loaded = []
+    slots.load = lambda path: loaded.append(path) or Bundle.load(path)
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(f"{inbox}-again")
+    again = spark.read.schema(schema).json(f"{inbox}-again")
+    serve.scorer(slots, "id", rules, out)(again, 0)
+    assert loaded == [str(tmp_path / "m1")]
+    assert serve.read_log(spark, out, "scores").count() == len(scores)
+
+
 def test_reload_keeps_the_old_model_on_failure(spark):
     state = {"champion": "v1"}
 
