@@ -1,5 +1,6 @@
 """Personal data, quality, toxicity and the pipeline."""
 
+import itertools
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tabforge.llm import decontaminate, exact, nearcopies, personal, quality, toxicity
 from tabforge.llm.queries import catalogue, op2_personal_data
+from tabforge.session import materialise
 
 from . import rows
 
@@ -85,6 +87,57 @@ def test_two_links_in_a_row_tie_like_one():
         assert np.allclose(link @ link, one / one.sum(axis=1))
 
 
+def all_labellings(graph, field):
+    """Marginals of every token by summing over all labellings of tokens and shared variables."""
+    label, kinds = graph.label, len(personal.KINDS) + 1
+    total = np.zeros((len(label), kinds))
+    for tokens in itertools.product(range(kinds), repeat=len(label)):
+        if any(own and own != t for own, t in zip(label, tokens, strict=True)):
+            continue
+        log = sum(graph.shape[i] @ field.shape[:, t] for i, t in enumerate(tokens) if not label[i])
+        log += sum(field.chain[tokens[a], tokens[b]] for a, b in graph.chain)
+        log += field.agree * sum(tokens[a] == tokens[b] for a, b in graph.skip)
+        weight = np.exp(log)
+        for group in graph.alone:
+            tie = personal._half(field.agree)
+            weight *= sum(np.exp(tie * sum(tokens[i] == shared for i in group)) for shared in range(kinds))
+        for i, t in enumerate(tokens):
+            total[i, t] += weight
+    return total / total.sum(axis=1, keepdims=True)
+
+
+def some_graph(rng, n, labels, chain, skip, alone):
+    shape = [rng.normal(size=personal.FEATURES) * 0.3 for _ in range(n)]
+    return personal.Graph([0] * n, list(range(n)), list(range(n)), labels, shape, chain, skip, alone)
+
+
+def some_field(rng):
+    kinds = len(personal.KINDS) + 1
+    return personal.Field(rng.normal(size=(personal.FEATURES, kinds)), rng.normal(size=(kinds, kinds)) * 0.5, 2.0)
+
+
+def test_beliefs_are_the_marginals_where_links_close_no_ring():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 4, 6):
+        chain = [(i, i + 1) for i in range(n - 1)]
+        star = [(0, i) for i in range(1, n)]
+        group = [tuple(range(n))] if n > 1 else []
+        for chain_, skip, alone in ((chain, [], []), ([], star, []), ([], [], group), (chain[:1], star[1:], [])):
+            for labels in ([0] * n, [2] + [0] * (n - 1)):
+                graph, field = some_graph(rng, n, labels, chain_, skip, alone), some_field(rng)
+                assert np.abs(field.beliefs(graph) - all_labellings(graph, field)).max() < 2e-3
+
+
+def test_beliefs_are_near_the_marginals_with_rings():
+    rng = np.random.default_rng(6)
+    gaps = []
+    for _ in range(12):
+        chain = [(i, i + 1) for i in range(4)]
+        graph, field = some_graph(rng, 5, [1, 0, 0, 0, 0], chain, [(0, 2), (0, 4)], [(1, 3)]), some_field(rng)
+        gaps.append(np.abs(field.beliefs(graph) - all_labellings(graph, field)).max())
+    assert np.mean(gaps) < 0.05 and max(gaps) < 0.15
+
+
 def test_personal_data_of_awkward_rows(spark):
     texts = ["a@b.c and A@B.c", CARD_NUMBER + " x", "\U0001f600 1.2.3.4 é +123 456 789", "1" * 20_000 + "@" * 500, None, ""]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], rows.SCHEMA)
@@ -130,6 +183,34 @@ def test_expectation_maximisation_recovers_accuracies():
     assert np.abs(model.given - [[0.5, 0.4, 0.6, 0.5, 0.3], [0.99, 0.98, 0.99, 0.97, 0.99]]).max() < 0.05
 
 
+def test_estimate_next_to_row_by_row():
+    """The same rounds over single texts, one heuristic at a time, in plain Python."""
+    rng = np.random.default_rng(3)
+    found = rng.choice([-1, 0, 1], p=[0.2, 0.2, 0.6], size=(400, 4))
+    patterns, counts = np.unique(found, axis=0, return_counts=True)
+    belief = [0.1 if -1 in row else 0.9 for row in found.tolist()]
+    for _ in range(7):
+        good = sum(belief) / len(belief)
+        given = []
+        for side in (lambda b: 1 - b, lambda b: b):
+            line = []
+            for j in range(4):
+                up = sum(side(b) for b, row in zip(belief, found, strict=True) if row[j] == 1)
+                down = sum(side(b) for b, row in zip(belief, found, strict=True) if row[j] == -1)
+                line.append((up + 0.5) / (up + down + 1))
+            given.append(line)
+        belief = []
+        for row in found:
+            both = [1 - good, good]
+            for j, vote in enumerate(row):
+                for s in (0, 1):
+                    both[s] *= {1: given[s][j], -1: 1 - given[s][j], 0: 1}[int(vote)]
+            belief.append(both[1] / sum(both))
+    model = quality.estimate(patterns, counts.astype(float), rounds=7)
+    assert np.isclose(model.good, good) and np.allclose(model.given, given)
+    assert np.allclose(model.posterior(found), belief)
+
+
 def test_quality_against_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -216,6 +297,28 @@ def test_pipeline_stages(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() == made[-1].count()
 
 
+def test_pipeline_of_awkward_tables(spark, sf):
+    """Nulls, repeated rows, long texts, clashing columns and no rows at all go through every stage."""
+    import corpus_pipeline
+
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    strange = rows.awkward(spark).withColumn("doc_id", F.col("doc_id") + 10**9)
+    kept = []
+    for docs in (rows.clashing(table.unionByName(strange)), rows.clashing(rows.empty(spark))):
+        after, columns = materialise(docs, "docs"), docs.columns
+        ids = {r["doc_id"] for r in after.collect()}
+        for name, stage in corpus_pipeline.STAGES:
+            after = materialise(stage(spark, after, sf), "stage")
+            assert name == "packing" or after.columns == columns
+            now = {r["doc_id"] for r in after.collect()}
+            assert now <= ids
+            ids = now
+        kept.append(ids)
+    assert kept[0] and not kept[1]
+    # Of the prose that stands there three times one row stays.
+    assert len(kept[0] & {10**9 + 4, 10**9 + 5}) == 1
+
+
 def test_every_number_has_one_query():
     names = [n for n in catalogue.queries if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))

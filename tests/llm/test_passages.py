@@ -152,11 +152,24 @@ def test_near_copies(spark):
     for common in (0.01, 0.2):
         got = nearcopies.classes(rows.clashing(docs), bands=60, common=common).collect()
         assert sorted(str((r["doc_id"], r["class_id"], r["class_size"])) for r in got) == slow_classes(data, 0.8, common)
+    # The registered bands find the same classes.
+    got = nearcopies.classes(rows.clashing(docs)).collect()
+    assert sorted(str((r["doc_id"], r["class_id"], r["class_size"])) for r in got) == slow_classes(data, 0.8, nearcopies.COMMON)
     stay = nearcopies.deduplicate(rows.clashing(docs), bands=60)
     assert stay.count() == len({r["class_id"] for r in nearcopies.classes(docs, bands=60).collect()})
     assert nearcopies.classes(rows.empty(spark)).count() == 0
 
 
+def test_registered_bands_find_what_many_bands_find(spark):
+    """Share of pairs (document, class) at 12 bands of 3 that 60 bands give too, on a whole table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    few, many = (
+        {(r["doc_id"], r["class_id"]) for r in nearcopies.classes(docs, bands=bands).collect()}
+        for bands in (nearcopies.BANDS, 60)
+    )
+    assert len(few & many) >= 0.999 * len(many)
+
+
 def test_links_do_not_depend_on_the_size_of_the_group(spark):
     rng = random.Random(8)
     base = [f"u{i}" for i in range(120)]
