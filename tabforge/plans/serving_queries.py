@@ -528,6 +528,25 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     return _text(jobs.score_to_table(spark, counted, "windows"))
 
 
+@query(
+    "stream_quantiles",
+    f"""WITH {TRAFFIC_CTE}, wide AS (SELECT w, {_buckets_sql('prediction', PREDICTION_VALUE_BUCKETS)}, count(*) AS count
+      FROM {_windows_sql('traffic', '5 minutes', '1 minute', '4 minutes')}
+      WHERE w + INTERVAL '5 minutes' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes' GROUP BY w)
+    SELECT {_START}, count AS n, round({_quantile_sql(0.5, PREDICTION_VALUE_BUCKETS)}, 9) AS p50,
+           round({_quantile_sql(0.9, PREDICTION_VALUE_BUCKETS)}, 9) AS p90 FROM wide""",
+)
+def stream_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The quantiles of ``histogram_quantiles`` for every window that the watermark has closed."""
+    stream = jobs.read_table(spark, sf, "events").select("ts", F.col("value").alias("prediction"))
+    found = jobs.windowed_quantiles(
+        stream, "ts", F.col("prediction"), PREDICTION_VALUE_BUCKETS, {"p50": 0.5, "p90": 0.9}, "5 minutes", "1 minute"
+    )
+    return _text(
+        rounded(jobs.score_to_table(spark, found, "quantiles"), "p50", "p90", digits=9).withColumnRenamed("count", "n")
+    )
+
+
 @query(
     "stream_drift",
     f"""WITH {_HITS_CTE} SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start,

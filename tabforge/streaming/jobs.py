@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabforge.operators import validate
+from tabforge.operators import monitor, validate
 from tabforge.operators.scoring import range_warnings, route_and_score
 from tabforge.session import scratch_path
 from tabforge.sources.files import children
@@ -70,6 +70,25 @@ def windowed_counts(
     return grouped.agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), *labels, "n")
 
 
+def windowed_quantiles(
+    stream: DataFrame,
+    ts: str,
+    value: Column,
+    buckets: Sequence[float],
+    quantiles: dict[str, float],
+    width: str,
+    slide: str,
+    labels: Sequence[str] = (),
+    delay: str = "10 minutes",
+) -> DataFrame:
+    """Quantiles per window from its buckets; state is one count per bucket, window and label set, never a value."""
+    grouped = stream.withWatermark(ts, delay).groupBy(F.window(ts, width, slide).alias("w"), *labels)
+    counted = grouped.agg(*monitor.bucket_aggregates(value, buckets))
+    return monitor.with_quantiles(counted, buckets, quantiles).select(
+        F.col("w.start").alias("window_start"), *labels, "count", *quantiles
+    )
+
+
 def windowed_drift(warned: DataFrame, ts: str, width: str, delay: str = "10 minutes") -> DataFrame:
     """Distinct drifting features per window, without a distinct aggregate, which streams refuse.
 
