@@ -1,10 +1,12 @@
 """Round-robin imputation: each gap is regressed on the other features, round after round.
 
-Run naively, every (round, feature) step is a pass over the data. Three passes are
-enough. Within one pattern of gaps an imputed value is a linear function of the
-observed ones, so counts and cross products per pattern contain all that the
-regressions of every round need. One more pass over the incomplete rows measures
-how far the values moved in each round, which tells where to stop.
+Run naively, every (round, feature) step is a pass over the data. But within one pattern of gaps an imputed value is a
+linear function of the observed ones, so the regressions see the rows of a pattern through their cross products alone.
+A pattern with more rows than observed columns is therefore replaced by the triangular factor of its rows: as many
+rows as observed columns and the constant, with the same cross products, and imputed like any other row. Two scans
+give means and factors. A step is one aggregate over the table of factors, whatever the number of patterns. Rounds
+are fitted two, four, eight at a time; after each lot one scan of the incomplete rows measures how far the values moved
+in every round, which tells where to stop.
 """
 
 from __future__ import annotations
@@ -14,13 +16,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.functions.scalars import number as as_number
 from tabforge.session import materialise
 
-PATTERN_LIMIT = 4096
+#: Rows a task holds before it replaces them by factors.
+HELD_ROWS = 65_536
+#: Rounds in the first lot; every further lot has twice as many.
+FIRST_LOT = 2
+FACTORS = "pattern binary, row array<double>"
 
 
 @dataclass
@@ -59,46 +66,123 @@ def bayesian_ridge(n: float, mean_x, mean_y, xtx, xty, yty, max_iter: int = 300,
     return weights, float(mean_y - mean_x @ weights)
 
 
-def replay(x: np.ndarray, steps: Sequence[dict]) -> np.ndarray:
-    """Applies fitted steps to centred rows; gaps are NaN on entry."""
-    missing = np.isnan(x)
-    x = np.where(missing, 0.0, x)
+def advance(rows: np.ndarray, missing: np.ndarray, steps: Sequence[dict]) -> np.ndarray:
+    """Applies fitted steps in place to centred rows, whose last column is the constant."""
     for step in steps:
-        rows = missing[:, step["feature"]]
-        if rows.any():
-            x[rows, step["feature"]] = x[rows][:, step["others"]] @ np.array(step["weights"]) + step["offset"]
-    return x
-
-
-def _moment_names(p: int) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(p) for j in range(i, p)]
+        gaps = np.flatnonzero(missing[:, step["feature"]])
+        if len(gaps):
+            linear = np.zeros(rows.shape[1])
+            linear[step["others"]], linear[-1] = step["weights"], step["offset"]
+            rows[gaps, step["feature"]] = rows[gaps] @ linear
+    return rows
 
 
-def _pattern_moments(pdf: pd.DataFrame, p: int, steps: Sequence[dict], target: int) -> np.ndarray:
-    """Augmented cross products of the current values over rows that have ``target``."""
+def _with_constant(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with 0 in their gaps and 1 in a further column, and where the gaps are."""
+    missing = np.isnan(x)
+    return np.column_stack([np.where(missing, 0.0, x), np.ones(len(x))]), missing
+
+
+def condense(rows: np.ndarray, missing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The factor of every pattern with more rows than columns, and the other rows as they are."""
+    width = rows.shape[1]
+    marks = np.packbits(missing, axis=1)
+    _, pattern, counts = np.unique(marks, axis=0, return_inverse=True, return_counts=True)
+    pattern = pattern.reshape(-1)
+    order, ends = np.argsort(pattern, kind="stable"), np.cumsum(counts)
+    few = counts[pattern] <= width
+    out, gaps = [rows[few]], [missing[few]]
+    for n in np.flatnonzero(counts > width):
+        own = order[ends[n] - counts[n] : ends[n]]
+        seen = np.append(~missing[own[0]], True)
+        factor = np.zeros((int(seen.sum()), width))
+        factor[:, seen] = np.linalg.qr(rows[np.ix_(own, seen)], mode="r")
+        out.append(factor)
+        gaps.append(np.tile(missing[own[0]], (len(factor), 1)))
+    return np.concatenate(out), np.concatenate(gaps)
+
+
+def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    rows = batch.column("row").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).copy()
+    marks = np.frombuffer(b"".join(batch.column("pattern").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+    return rows, np.unpackbits(marks, axis=1, count=rows.shape[1] - 1).astype(bool)
+
+
+def _batch(rows: np.ndarray, missing: np.ndarray) -> pa.RecordBatch:
+    marks = [m.tobytes() for m in np.packbits(missing, axis=1)]
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), lists], ["pattern", "row"])
+
+
+def _condensed(read, held: int):
+    """Factors of a partition; what does not shrink goes on as it is, so memory stays bounded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts.append(read(batch))
+            size += batch.num_rows
+            if size >= held:
+                parts = [condense(*(np.concatenate(c) for c in zip(*parts, strict=True)))]
+                size = len(parts[0][0])
+                if size > held // 2:
+                    yield _batch(*parts[0])
+                    parts, size = [], 0
+        if parts:
+            yield _batch(*condense(*(np.concatenate(c) for c in zip(*parts, strict=True))))
+
+    return run
+
+
+def factors(centred: DataFrame, features: Sequence[str], held: int = HELD_ROWS) -> DataFrame:
+    """Rows (pattern, row) with the cross products of all rows of each pattern, condensed before and after the shuffle."""
+
+    def raw(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return _with_constant(
+            np.column_stack([batch.column(f).to_numpy(zero_copy_only=False).astype(float) for f in features])
+        )
+
+    first = centred.mapInArrow(_condensed(raw, held), FACTORS)
+    return first.repartition("pattern").mapInArrow(_condensed(_read, held), FACTORS)
+
+
+def _advanced(steps: Sequence[dict]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows, missing = _read(batch)
+                yield _batch(advance(rows, missing, steps), missing)
+
+    return run
+
+
+def _total(table: DataFrame, p: int, steps: Sequence[dict], target: int | None) -> np.ndarray:
+    """Cross products after ``steps`` over the rows that have ``target`` (all rows without one)."""
+    above = np.triu_indices(p + 1)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((p + 1, p + 1))
+        for batch in batches:
+            if batch.num_rows:
+                rows, missing = _read(batch)
+                if target is not None:
+                    own = ~missing[:, target]
+                    rows, missing = rows[own], missing[own]
+                advance(rows, missing, steps)
+                total += rows.T @ rows
+        cells = total[above]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells), dtype=np.int32)), pa.array(cells)], ["cell", "v"])
+
+    sums = table.mapInArrow(partial, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v"))
+    cells = np.zeros(len(above[0]))
+    for row in sums.collect():
+        cells[row["cell"]] = row["v"]
     total = np.zeros((p + 1, p + 1))
-    for row in pdf.to_dict("records"):
-        observed = [mark == "0" for mark in row["pattern"]]
-        if not observed[target]:
-            continue
-        moments = np.zeros((p + 1, p + 1))
-        moments[p, p] = row["n"]
-        for i in range(p):
-            moments[i, p] = moments[p, i] = row[f"s{i}"]
-        for i, j in _moment_names(p):
-            moments[i, j] = moments[j, i] = row[f"m{i}_{j}"]
-        # Rows of ``linear`` express the current features in terms of observed ones and 1.
-        linear = np.zeros((p + 1, p + 1))
-        linear[p, p] = 1.0
-        for i in range(p):
-            linear[i, i] = 1.0 if observed[i] else 0.0
-        for step in steps:
-            f = step["feature"]
-            if not observed[f]:
-                linear[f] = np.array(step["weights"]) @ linear[step["others"]]
-                linear[f, p] += step["offset"]
-        total += linear @ moments @ linear.T
-    return total
+    total[above] = cells
+    return total + np.triu(total, 1).T
 
 
 def _fit_step(total: np.ndarray, feature: int, p: int, number: int) -> dict:
@@ -123,33 +207,27 @@ def _fit_step(total: np.ndarray, feature: int, p: int, number: int) -> dict:
     }
 
 
+def _fit_round(table: DataFrame, order: Sequence[int], gaps: Sequence[int], done: list[dict], number: int) -> list[dict]:
+    """The steps of a round. Features without gaps change no row, so they share one aggregate."""
+    p, steps = len(gaps), []
+    whole = [f for f in order if not gaps[f]]
+    if whole:
+        total = _total(table, p, done, None)
+        steps += [_fit_step(total, f, p, number) for f in whole]
+    for feature in order:
+        if gaps[feature]:
+            steps.append(_fit_step(_total(table, p, [*done, *steps], feature), feature, p, number))
+    return steps
+
+
 def _centred(df: DataFrame, features: Sequence[str], means: Sequence[float]) -> DataFrame:
     return df.select(
         *[(F.col(f).cast("double") - F.lit(m)).alias(f) for f, m in zip(features, means, strict=True)]
     )
 
 
-def _total(patterns, p: int, steps: list[dict], target: int) -> np.ndarray:
-    """Sum over the pattern table: on the driver when it is small, else as a job over it."""
-    if isinstance(patterns, pd.DataFrame):
-        return _pattern_moments(patterns, p, steps, target)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            flat = _pattern_moments(pdf, p, steps, target).ravel()
-            yield pd.DataFrame({"cell": np.arange(len(flat)), "value": flat})
-
-    sums = (
-        patterns.mapInPandas(partial, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("v"))
-    )
-    total = np.zeros((p + 1) ** 2)
-    for row in sums.collect():
-        total[row["cell"]] = row["v"]
-    return total.reshape(p + 1, p + 1)
-
-
 def fit(train: DataFrame, features: Sequence[str], max_iter: int = 10, tol: float = 1e-3) -> IterativeState:
-    """Fits every step of every round and keeps the rounds up to convergence."""
+    """Fits the steps of every round up to convergence."""
     features, p = list(features), len(features)
     numeric = train.select(*[as_number(f).alias(f) for f in features])
     first = numeric.agg(
@@ -165,29 +243,25 @@ def fit(train: DataFrame, features: Sequence[str], max_iter: int = 10, tol: floa
     gaps = [first["n"] - first[f"n{i}"] for i in range(p)]
     # Features complete in training get their regression too: they may have gaps later.
     order = sorted(range(p), key=lambda i: (gaps[i], i))
-    if p < 2:
+    if p < 2 or max_iter < 1:
         return state
 
     centred = _centred(numeric, features, state.means)
-    pattern = F.concat(*[F.when(F.col(f).isNull(), "1").otherwise("0") for f in features])
-    patterns = centred.groupBy(pattern.alias("pattern")).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.coalesce(F.sum(f), F.lit(0.0)).alias(f"s{i}") for i, f in enumerate(features)],
-        *[
-            F.coalesce(F.sum(F.col(features[i]) * F.col(features[j])), F.lit(0.0)).alias(f"m{i}_{j}")
-            for i, j in _moment_names(p)
-        ],
-    )
-    patterns = materialise(patterns, "patterns")
-    table = patterns.toPandas() if patterns.count() <= PATTERN_LIMIT else patterns
-    steps: list[dict] = []
-    for number in range(max_iter):
-        for feature in order:
-            steps.append(_fit_step(_total(table, p, steps, feature), feature, p, number))
-
-    moved = _movement(centred, features, steps, max_iter)
+    table = materialise(factors(centred, features), "factors")
     limit = tol * max(first[f"top{i}"] for i in range(p))
-    state.rounds = next((r + 1 for r in range(max_iter) if moved[r] < limit), max_iter)
+    steps, lot = [], FIRST_LOT
+    while True:
+        fresh: list[dict] = []
+        stop = min(max_iter, state.rounds + lot)
+        for number in range(state.rounds, stop):
+            fresh += _fit_round(table, order, gaps, fresh, number)
+        steps += fresh
+        moved = _movement(centred, features, steps, stop)
+        settled = [r + 1 for r in range(state.rounds, stop) if moved[r] < limit]
+        state.rounds = settled[0] if settled else stop
+        if settled or stop == max_iter:
+            break
+        table, lot = materialise(table.mapInArrow(_advanced(fresh), FACTORS), "factors"), 2 * lot
     state.steps = [s for s in steps if s["round"] < state.rounds]
     return state
 
@@ -198,18 +272,12 @@ def _movement(centred: DataFrame, features: list[str], steps: list[dict], rounds
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         top = np.zeros(rounds)
         for pdf in batches:
-            raw = pdf[features].to_numpy(dtype=float)
-            missing = np.isnan(raw)
-            x = np.where(missing, 0.0, raw)
+            rows, missing = _with_constant(pdf[features].to_numpy(dtype=float))
             for number in range(rounds):
-                before = x.copy()
-                for step in (s for s in steps if s["round"] == number):
-                    rows = missing[:, step["feature"]]
-                    x[rows, step["feature"]] = (
-                        x[rows][:, step["others"]] @ np.array(step["weights"]) + step["offset"]
-                    )
-                if len(x):
-                    top[number] = max(top[number], np.abs(x - before).sum(axis=1).max())
+                before = rows.copy()
+                advance(rows, missing, [s for s in steps if s["round"] == number])
+                if len(rows):
+                    top[number] = max(top[number], np.abs(rows - before).sum(axis=1).max())
         yield pd.DataFrame({"round": np.arange(rounds), "moved": top})
 
     gaps = " OR ".join(f"`{f}` IS NULL" for f in features)
@@ -235,7 +303,8 @@ def impute(df: DataFrame, state: IterativeState) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             raw = pdf[features].to_numpy(dtype=float)
-            new = np.where(np.isnan(raw), replay(raw - means, steps) + means, raw)
+            rows, missing = _with_constant(raw - means)
+            new = np.where(missing, advance(rows, missing, steps)[:, :-1] + means, raw)
             yield pdf.assign(**{f: new[:, i] for i, f in enumerate(features)})
 
     gaps = " OR ".join(f"`{f}` IS NULL" for f in features)

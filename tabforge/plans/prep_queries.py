@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabforge.operators import impute, knn
+from tabforge.operators import impute, iterative, knn
 from tabforge.operators.order_stats import quantiles
 from tabforge.operators.split import train_test_split
 from tabforge.operators.strategies import create_strategy
@@ -221,3 +221,34 @@ def strategy_v2_frame(spark: SparkSession, sf: str) -> DataFrame:
 @query("strategy_v3")
 def strategy_v3(spark: SparkSession, sf: str) -> DataFrame:
     return _run_strategy("v3_iterative", spark, sf)
+
+
+def _evidence_sql(source: str, x: str, y: str) -> str:
+    """CTEs up to ``line (slope, mx, my)``: ridge with one feature whose penalty follows from the evidence."""
+    return f"""known AS (SELECT {x}::double AS x, {y}::double AS y FROM {source} WHERE {y} IS NOT NULL),
+    mid AS (SELECT count(*)::double AS n, avg(x) AS mx, avg(y) AS my FROM known),
+    sums AS (SELECT n, mx, my, sum((x - mx) * (x - mx)) AS xx, sum((x - mx) * (y - my)) AS xy,
+                    sum((y - my) * (y - my)) AS yy FROM known, mid GROUP BY n, mx, my),
+    ev(i, noise, prior, w, last) AS (
+      SELECT 0, 1 / (yy / n + 2.220446049250313e-16), 1::double, NULL::double, false FROM sums
+      UNION ALL
+      SELECT i + 1, (n - used + 2e-6) / (err + 2e-6), (used + 2e-6) / (slope * slope + 2e-6), slope,
+             i > 0 AND abs(w - slope) < 1e-3
+      FROM (SELECT *, greatest(yy - 2 * slope * xy + slope * slope * xx, 0) AS err,
+                   noise * xx / (prior + noise * xx) AS used
+            FROM (SELECT *, xy / (xx + prior / noise) AS slope FROM ev, sums WHERE NOT last AND i < 300))),
+    line AS (SELECT xy / (xx + prior / noise) AS slope, mx, my FROM ev, sums ORDER BY i DESC LIMIT 1)"""
+
+
+@query(
+    "iterative_two_features",
+    f"""WITH RECURSIVE {PARTS_CTE}, sized AS (SELECT p_partkey, p_size, p_price FROM part_nulls WHERE p_size IS NOT NULL),
+    {_evidence_sql('sized', 'p_size', 'p_price')}
+    SELECT p_partkey, round(p_size::double, 6) AS p_size,
+           round(coalesce(p_price, my + slope * (p_size - mx)), 6) AS p_price FROM sized, line""",
+)
+def iterative_two_features(spark: SparkSession, sf: str) -> DataFrame:
+    """One feature has gaps and the other has none, so that one regression decides."""
+    sized = part_nulls(spark, sf).where("p_size IS NOT NULL").select("p_partkey", "p_size", "p_price")
+    state = iterative.fit(sized, ["p_size", "p_price"])
+    return rounded(iterative.impute(sized, state), "p_size", "p_price")

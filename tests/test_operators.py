@@ -257,14 +257,43 @@ def test_iterative_matches_whole_array_version(spark):
     assert np.allclose(got, slow_iterative(x), atol=1e-6)
 
 
-def test_iterative_with_many_patterns(spark, monkeypatch):
+def test_iterative_does_not_depend_on_condensing(spark):
     df, x, _ = numbers(spark, 200, 4, gaps=0.2)
-    expected = iterative.fit(df, ["a", "b", "c"])
-    monkeypatch.setattr(iterative, "PATTERN_LIMIT", 1)
-    monkeypatch.setattr(iterative, "materialise", lambda d, *_: d.repartition(3).persist())
-    got = iterative.fit(df, ["a", "b", "c"], max_iter=2)
-    for a, b in zip(got.steps, expected.steps, strict=False):
+    names = ["a", "b", "c"]
+    moments = {}
+    patterns = len(np.unique(np.isnan(x), axis=0))
+    for held in (1, 7, 65_536):
+        table = iterative.factors(df.select(*names).repartition(5), names, held).toPandas()
+        for pattern, rows in table.groupby("pattern")["row"]:
+            z = np.array(rows.tolist())
+            moments.setdefault(bytes(pattern), []).append(z.T @ z)
+    assert len(moments) == patterns and all(len(m) == 3 for m in moments.values())
+    assert all(np.allclose(m[0], other) for m in moments.values() for other in m[1:])
+    assert len(table) < 60
+
+
+def test_iterative_in_lots_of_rounds(spark, monkeypatch):
+    df, _, _ = numbers(spark, 300, 6, gaps=0.3)
+    names = ["a", "b", "c"]
+    whole = iterative.fit(df, names, max_iter=5, tol=0.0)
+    monkeypatch.setattr(iterative, "FIRST_LOT", 5)
+    at_once = iterative.fit(df, names, max_iter=5, tol=0.0)
+    assert whole.rounds == at_once.rounds == 5 and len(whole.steps) == len(at_once.steps) == 15
+    for a, b in zip(whole.steps, at_once.steps, strict=True):
         assert np.allclose(a["weights"], b["weights"]) and np.isclose(a["offset"], b["offset"])
+    assert iterative.fit(df, names, max_iter=0).steps == []
+
+
+def test_iterative_with_20_000_patterns_of_70_features(spark):
+    random = np.random.RandomState(8)
+    x = random.normal(size=(20_000, 4)) @ random.normal(size=(4, 70)) + random.normal(size=(20_000, 70))
+    x[random.uniform(size=x.shape) < 0.2] = np.nan
+    assert len(np.unique(np.packbits(np.isnan(x), axis=1), axis=0)) == 20_000
+    names = [f"f{i}" for i in range(70)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(id=range(20_000)))
+    state = iterative.fit(df, names, max_iter=1)
+    got = iterative.impute(df, state).orderBy("id").select(*names).toPandas().to_numpy()
+    assert np.allclose(got, slow_iterative(x, max_iter=1), atol=1e-6)
 
 
 def test_bayesian_ridge_recovers_a_line():
