@@ -96,27 +96,76 @@ def _wide(low: float, high: float) -> bool:
     return low < 0 < high or max(abs(low), abs(high)) > WIDE * min(abs(low), abs(high))
 
 
-def _log_place(value: Column) -> Column:
+def _log_number(value: float) -> float:
     """Grows with the value, evenly over the powers of e; 746 lies above -ln of the least double."""
-    return F.when(value == 0, 0.0).otherwise(F.signum(value) * (F.ln(F.abs(value)) + 746))
+    return math.copysign(math.log(abs(value)) + 746, value) if value else 0.0
 
 
-def _log_number(value: float) -> float:
-    return math.copysign(math.log(abs(value)) + 746, value) if value else 0.0
+def _log_text(column: str) -> str:
+    return f"CASE WHEN {column} = 0 THEN 0D ELSE signum({column}) * (ln(abs({column})) + 746D) END"
+
+
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def _literal(value) -> str:
+    """SQL text of a number that reads back as the same number."""
+    if isinstance(value, float):
+        return f"double('{value!r}')"
+    return f"{value}L" if isinstance(value, int) else f"{value}BD"
 
 
-def _slice_index(name: str, low, high, slices: int, integral: bool) -> Column:
+def _up_to(within: tuple, column: str, value) -> str:
+    """SQL text for the rows up to ``value`` in lexicographic order."""
+    predicate = f"{_name(column)} <= {_literal(value)}"
+    for name, tied in reversed(within):
+        predicate = f"({_name(name)} < {_literal(tied)} OR ({_name(name)} = {_literal(tied)} AND {predicate}))"
+    return predicate
+
+
+def _halving(conditions: Sequence[str], first: int = 0) -> str:
+    """SQL text for the place of the first condition that holds, where each implies the next.
+
+    A row compares itself with as many of them as the logarithm of their number, and the expression is as deep.
+    """
+    if not conditions:
+        return str(first)
+    mid = len(conditions) // 2
+    return (
+        f"CASE WHEN {conditions[mid]} THEN {_halving(conditions[:mid], first)} "
+        f"ELSE {_halving(conditions[mid + 1 :], first + mid + 1)} END"
+    )
+
+
+def _pick(values: Iterable, place: str) -> str:
+    """SQL text for the value at a place of a constant array."""
+    return f"get(array({', '.join(_literal(v) for v in values)}), {place})"
+
+
+def _slice_text(column: str, place: str, ranges: list[tuple], slices: int, integral: bool) -> str:
+    """SQL text for the slice of a value inside the range at ``place``."""
     if integral:
         # Dividing before subtracting keeps full-range integers from overflowing.
-        width = (int(high) - int(low)) // slices + 1
-        return F.expr(f"`{name}` div {width}L - {int(low)}L div {width}L")
-    if _wide(low, high):
-        first, last = _log_number(low), _log_number(high)
-        share = (_log_place(F.col(name)) - F.lit(first)) / F.lit(last - first)
-        return F.greatest(F.lit(0), F.least(F.floor(share * slices), F.lit(slices - 1))).cast("bigint")
+        widths = [(int(high) - int(low)) // slices + 1 for low, high in ranges]
+        # Truncated towards zero, as SQL divides.
+        starts = [int(low) // w if low >= 0 else -(-int(low) // w) for (low, _), w in zip(ranges, widths, strict=True)]
+        return f"{column} div {_pick(widths, place)} - {_pick(starts, place)}"
     # Halving first keeps the width finite for ranges up to the largest double.
-    share = (F.col(name) / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)
-    return F.least(F.floor(share * slices), F.lit(slices - 1)).cast("bigint")
+    scales = [
+        (True, _log_number(low), _log_number(high)) if _wide(low, high) else (False, low / 2, high / 2)
+        for low, high in ranges
+    ]
+    texts = []
+    for wide, value in ((False, f"{column} / 2"), (True, _log_text(column))):
+        if any(s[0] == wide for s in scales):
+            start = _pick((s[1] if s[0] == wide else 0.0 for s in scales), place)
+            width = _pick((s[2] - s[1] if s[0] == wide else 1.0 for s in scales), place)
+            share = f"floor(({value} - {start}) / {width} * {slices})"
+            texts.append(f"greatest(0L, least({share}, {slices - 1}L))")
+    if len(texts) == 1:
+        return texts[0]
+    return f"CASE WHEN {_pick((int(s[0]) for s in scales), place)} = 1L THEN {texts[1]} ELSE {texts[0]} END"
 
 
 def _bracket(search: _Search) -> tuple:
@@ -126,21 +175,30 @@ def _bracket(search: _Search) -> tuple:
 def _count_slices(df: DataFrame, brackets: list[tuple], integral: bool) -> dict[int, list[tuple]]:
     """Rows, min and max per slice of every bracket, in one job.
 
-    Brackets of one column never overlap, so a row enters at most one per column.
+    Brackets of one column never overlap, so a row enters at most one per column, found by halving.
     """
     slices = max(64, min(MAX_SLICES if integral else 4096, MAX_RESULT_ROWS // len(brackets)))
-    chains: dict[str, Column] = {}
+    own: dict[str, list[tuple]] = {}
     for i, (name, low, high, within) in enumerate(brackets):
-        inside = F.col(name).between(F.lit(low), F.lit(high))
-        for other, value in within:
-            inside = inside & (F.col(other) == F.lit(value))
-        index = _slice_index(name, low, high, slices, integral)
-        entry = F.struct(F.lit(i).alias("b"), index.alias("s"), F.col(name).alias("v"))
-        chains[name] = chains[name].when(inside, entry) if name in chains else F.when(inside, entry)
-    if len(chains) == 1:
-        flat = df.select(next(iter(chains.values())).alias("e"))
+        own.setdefault(name, []).append((tuple(v for _, v in within), low, high, i, within))
+    places, entries = [], []
+    for n, (name, found) in enumerate(own.items()):
+        found.sort(key=lambda f: f[:2])
+        column, place = _name(name), f"__place{n}"
+        places.append(F.expr(_halving([_up_to(w, name, high) for _, _, high, _, w in found])).alias(place))
+        inside = [f"{column} >= {_pick((f[1] for f in found), place)}", f"{column} <= {_pick((f[2] for f in found), place)}"]
+        for k, (other, _) in enumerate(found[0][4]):
+            inside.append(f"{_name(other)} = {_pick((f[0][k] for f in found), place)}")
+        index = _slice_text(column, place, [f[1:3] for f in found], slices, integral)
+        entries.append(
+            f"CASE WHEN {' AND '.join(inside)} THEN "
+            f"named_struct('b', {_pick((f[3] for f in found), place)}, 's', {index}, 'v', {column}) END"
+        )
+    flat = df.select("*", *places)
+    if len(entries) == 1:
+        flat = flat.select(F.expr(entries[0]).alias("e"))
     else:
-        flat = df.select(F.explode(F.array(*chains.values())).alias("e"))
+        flat = flat.select(F.explode(F.array(*[F.expr(e) for e in entries])).alias("e"))
     rows = (
         flat.where("e is not null")
         .select("e.*")
@@ -229,24 +287,13 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
     return result
 
 
-def rank_cuts(
-    df: DataFrame,
-    order: Sequence[str],
-    sizes: Sequence[int],
-    total: int,
-    bounds: dict[str, tuple[int, int]] | None = None,
-) -> list[Column]:
-    """One predicate per size ``m`` that holds for exactly the first ``m`` rows in ``order``.
-
-    The order columns are numbers, and unique taken together. Where a cut falls
-    among rows sharing the first column, those rows are cut by the next one; all
-    cuts go through one column together. ``bounds`` are known limits of columns
-    and save the pass that finds them.
-    """
+def _cut_texts(
+    df: DataFrame, order: Sequence[str], sizes: Sequence[int], total: int, bounds: dict[str, tuple[int, int]] | None
+) -> list[str]:
     limits = dict(bounds or {})
     if unknown := [c for c in order if c not in limits]:
         limits.update({c: (s.low, s.high) for c, s in summarise(df, unknown).items()})
-    predicates: dict[int, Column] = {m: F.lit(m > 0) for m in sizes if m <= 0 or m >= total}
+    predicates = {m: "true" if m > 0 else "false" for m in sizes if m <= 0 or m >= total}
     # Size of a cut -> rows wanted among those equal in ``within``, and how many there are.
     pending = {m: (m, total, ()) for m in sizes if m not in predicates}
     for column in order:
@@ -258,7 +305,7 @@ def rank_cuts(
         for m, search in searches.items():
             wanted, _, within = pending.pop(m)
             if search.below + search.size == wanted:
-                predicates[m] = _first_rows(within, column, search.value)
+                predicates[m] = _up_to(within, column, search.value)
             else:
                 pending[m] = (wanted - search.below, search.size, (*within, (column, search.value)))
         if not pending:
@@ -268,9 +315,31 @@ def rank_cuts(
     return [predicates[m] for m in sizes]
 
 
-def _first_rows(within: tuple, column: str, value) -> Column:
-    """Rows up to ``value`` in lexicographic order."""
-    predicate = F.col(column) <= F.lit(value)
-    for name, tied in reversed(within):
-        predicate = (F.col(name) < F.lit(tied)) | ((F.col(name) == F.lit(tied)) & predicate)
-    return predicate
+def rank_cuts(
+    df: DataFrame,
+    order: Sequence[str],
+    sizes: Sequence[int],
+    total: int,
+    bounds: dict[str, tuple[int, int]] | None = None,
+) -> list[Column]:
+    """One predicate per size ``m`` that holds for exactly the first ``m`` rows in ``order``.
+
+    The order columns are numbers, and unique taken together. Where a cut falls
+    among rows sharing the first column, those rows are cut by the next one; all
+    cuts go through one column together. ``bounds`` are known limits of columns
+    and save the pass that finds them.
+    """
+    return [F.expr(text) for text in _cut_texts(df, order, sizes, total, bounds)]
+
+
+def rank_bands(
+    df: DataFrame,
+    order: Sequence[str],
+    sizes: Sequence[int],
+    total: int,
+    bounds: dict[str, tuple[int, int]] | None = None,
+) -> Column:
+    """Number of the cuts at the rising ``sizes`` that a row lies behind: 0 for the first ``sizes[0]`` rows, and so on."""
+    if list(sizes) != sorted(sizes):
+        raise ValueError("sizes must rise")
+    return F.expr(_halving(_cut_texts(df, order, sizes, total, bounds)))

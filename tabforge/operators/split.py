@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.functions.hashing import RANK_BITS, hash_below, rank_hash, uniform
-from tabforge.operators.order_stats import rank_cuts
+from tabforge.operators.order_stats import rank_bands, rank_cuts
 from tabforge.session import materialise
 from tabforge.spec import CHAMPION_WEIGHT, CV_SPLITS, SEED, TEST_SIZE
 
@@ -49,14 +49,6 @@ def fold_sizes(total: int, k: int) -> list[int]:
     return [total // k + (1 if i < total % k else 0) for i in range(k)]
 
 
-def _bands(cuts: Sequence[Column]) -> Column:
-    """Index of the first cut that holds, or the number of cuts."""
-    index = F.lit(len(cuts))
-    for i in reversed(range(len(cuts))):
-        index = F.when(cuts[i], i).otherwise(index)
-    return index
-
-
 def kfold(
     df: DataFrame,
     key: str,
@@ -73,9 +65,9 @@ def kfold(
     columns = [] if shuffle else list(order or ())
     ranked, total = _ordered(df, key, tag, columns)
     ends = np.cumsum(fold_sizes(total, k))[:-1].tolist()
-    cuts = rank_cuts(ranked, [*columns, _RANK], ends, total, _RANK_BOUNDS)
+    band = rank_bands(ranked, [*columns, _RANK], ends, total, _RANK_BOUNDS)
     labelled = df.withColumn(_RANK, rank_hash(F.col(key), tag))
-    return labelled.withColumn("fold", _bands(cuts)).drop(_RANK)
+    return labelled.withColumn("fold", band).drop(_RANK)
 
 
 def prefix_sizes(total: int, k: int, fractions: Sequence[float]) -> list[int]:
@@ -101,7 +93,7 @@ def prefix_segments(
         for size in sizes:
             train_ends[fold, size] = size if size <= start else size + stop - start
     ends = sorted({*stops[1:-1], *train_ends.values()} - {0, total})
-    cuts = rank_cuts(ranked, [*order, _RANK], ends, total, _RANK_BOUNDS)
+    band = rank_bands(ranked, [*order, _RANK], ends, total, _RANK_BOUNDS)
     bounds = [0, *ends, total]
     plan = []
     for (fold, size), end in train_ends.items():
@@ -116,7 +108,7 @@ def prefix_segments(
             }
         )
     labelled = df.withColumn(_RANK, rank_hash(F.col(key), ":order"))
-    return labelled.withColumn("segment", _bands(cuts)).drop(_RANK), plan
+    return labelled.withColumn("segment", band).drop(_RANK), plan
 
 
 def route(

@@ -1,6 +1,7 @@
 """Quantiles, cuts, splits and folds against numpy, on any layout."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -8,8 +9,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tabforge.operators import impute, split
-from tabforge.operators.order_stats import quantiles, rank_cuts
+from tabforge.operators import impute, order_stats, split
+from tabforge.operators.order_stats import order_statistics, quantiles, rank_bands, rank_cuts
 
 PROBABILITIES = (0.0, 0.25, 0.5, 0.9, 1.0)
 
@@ -50,6 +51,52 @@ def test_cuts_through_ties_have_exact_sizes(spark):
         assert rows.where(predicate).count() == size
 
 
+def test_bands_are_runs_of_exact_sizes(spark):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 10).alias("a"), F.xxhash64("id").alias("k")
+    )
+    sizes = [1, 2, 2, 700, 1500, 2999]
+    band = rank_bands(rows, ["a", "k"], sizes, 3000)
+    got = rows.withColumn("band", band).groupBy("band").agg(
+        F.count("*"), F.min(F.struct("a", "k")).alias("lo"), F.max(F.struct("a", "k")).alias("hi")
+    ).orderBy("band").collect()
+    assert [(r[0], r[1]) for r in got] == [(0, 1), (1, 1), (3, 698), (4, 800), (5, 1499), (6, 1)]
+    assert all(a["hi"] < b["lo"] for a, b in zip(got[:-1], got[1:], strict=True))
+    with pytest.raises(ValueError, match="rise"):
+        rank_bands(rows, ["k"], [2, 1], 3000)
+
+
+def test_five_hundred_cuts(spark):
+    x = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(10**9)) / 7
+    rows = spark.range(20_040).select(F.xxhash64("id").alias("k"), x.alias("x"))
+    sizes = list(range(40, 20_001, 40))
+    for order in (["k"], ["x", "k"]):
+        labelled = rows.withColumn("band", rank_bands(rows, order, sizes, 20_040))
+        began = time.monotonic()
+        labelled._jdf.queryExecution().executedPlan()
+        assert time.monotonic() - began < 1
+        counts = [r["count"] for r in labelled.groupBy("band").count().orderBy("band").collect()]
+        assert len(sizes) == 500 and counts == [40] * 501
+
+
+def test_rounds_over_600_decades(spark, monkeypatch):
+    random = np.random.RandomState(5)
+    values = random.choice([-1.0, 1.0], 20_000) * 10 ** random.uniform(-300, 300, 20_000) * random.uniform(1, 10, 20_000)
+    rounds, counted = [], order_stats._count_slices
+    monkeypatch.setattr(order_stats, "_count_slices", lambda *a: rounds.append(1) or counted(*a))
+    got = quantiles(frame_of(spark, values.tolist()), ["x"], (0.25, 0.5, 0.75))["x"]
+    assert np.allclose(got, np.quantile(values, (0.25, 0.5, 0.75)), rtol=1e-9) and len(rounds) <= 6
+
+
+def test_full_range_of_whole_numbers(spark):
+    ends = [-(2**63), -(2**63) + 1, -1, 0, 1, 2**63 - 2, 2**63 - 1]
+    rows = spark.createDataFrame([(v,) for v in ends], "x bigint")
+    got = order_statistics(rows, lambda *_: range(7), ["x"]).values
+    assert [got["x", r] for r in range(7)] == ends
+    for size, predicate in enumerate(rank_cuts(rows, ["x"], list(range(8)), 7)):
+        assert rows.where(predicate).count() == size
+
+
 def test_cut_through_identical_rows_is_refused(spark):
     rows = spark.range(10).select(F.lit(1).cast("bigint").alias("a"))
     with pytest.raises(ValueError, match="unique key"):
