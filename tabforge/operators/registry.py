@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.functions.scalars import number, version_description
+from tabforge.sources import runlog
 from tabforge.spec import ALIASES
 
 # Metrics where more is better.
@@ -154,3 +155,79 @@ def backfill(aliases: DataFrame, seeds: DataFrame) -> DataFrame:
         added.select("model", "alias"), ["model", "alias"], "left_anti"
     )
     return kept.unionByName(added)
+
+
+def seeded(
+    versions: DataFrame, aliases: DataFrame, seeds: DataFrame, source: str = "seed", environment: str = "demo"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Run rows and versions to add and the new aliases, for models of ``seeds`` that have no champion.
+
+    ``seeds`` holds model, bundle, model_type, preprocessing, training_samples, test_samples, train_metrics, test_metrics
+    and ts; of several seeds of a model the one with the greatest bundle name counts. A seed becomes a run, whose id
+    follows from model and bundle, the next version of its model, and that version's champion and challenger. Applied
+    again, nothing is added, since the models have a champion then. Metrics and sizes that are not known are 0.
+    """
+    owned = aliases.where(F.col("alias") == "champion").select("model")
+    fields = [c for c in seeds.columns if c != "model"]
+    fresh = (
+        seeds.groupBy("model")
+        .agg(F.max_by(F.struct(*fields), "bundle").alias("seed"))
+        .select("model", "seed.*")
+        .join(owned, "model", "left_anti")
+    )
+    # Names of tags, parameters and metrics.
+    known = {
+        side: F.create_map(
+            *[x for m in ("rmse", "mae", "r2") for x in (F.lit(m), F.coalesce(F.col(side)[m], F.lit(0.0)))]
+        )
+        for side in ("train_metrics", "test_metrics")
+    }
+    model_type, preprocessing = F.col("model_type"), F.col("preprocessing")
+    sizes = [F.coalesce(F.col(c).cast("bigint"), F.lit(0)).cast("string") for c in ("training_samples", "test_samples")]
+    fresh = fresh.withColumns(known).withColumns(
+        {
+            "run_id": F.md5(F.concat_ws(":", F.lit(source), "model", "bundle")),
+            "tags": F.create_map(
+                F.lit("model_type"), model_type,
+                F.lit("preprocessing"), preprocessing,
+                F.lit("source"), F.lit(source),
+                F.lit("environment"), F.lit(environment),
+            ),
+            "params": F.create_map(
+                F.lit("model_type"), model_type,
+                F.lit("preprocessing_strategy"), preprocessing,
+                F.lit("source"), F.lit(source),
+                F.lit("training_samples"), sizes[0],
+                F.lit("test_samples"), sizes[1],
+            ),
+        }
+    )
+    at = fresh.select("run_id", F.timestamp_millis("ts").alias("ts"))
+    log = runlog.long_form(fresh.select("run_id", "tags", "params", "train_metrics", "test_metrics")).join(at, "run_id")
+    last = versions.groupBy("model").agg(F.max(F.col("version").cast("bigint")).alias("last"))
+    numbered = fresh.join(last, "model", "left").withColumn(
+        "version", (F.coalesce("last", F.lit(0)) + 1).cast("string")
+    )
+    results = numbered.select(
+        "run_id", "model_type", "preprocessing",
+        F.col("test_metrics")["r2"].alias("test_r2"),
+        F.col("test_metrics")["rmse"].alias("test_rmse"),
+    )
+    notes = version_tags(numbered.select("model", "version", "run_id"), results, source)
+    added = numbered.select("model", "version", "run_id", "ts").join(notes, ["model", "version"])
+    return log, added, backfill(aliases, numbered.select("model", "version", "ts"))
+
+
+def seed_registry(seeds: DataFrame, source: str = "seed"):
+    """Function for ``TableStore.update``: runs, versions and aliases of new models in one commit.
+
+    The store's tables are ``log``, ``versions`` (model, version, run_id, ts, description, tags) and ``aliases``.
+    """
+    from tabforge.sources.store import Change
+
+    def run(store, base) -> Change:
+        log, added, aliases = seeded(store.read("versions", base), store.read("aliases", base), seeds, source)
+        columns = store.read("versions", base).columns
+        return Change({"log": log, "versions": added.select(*columns)}, {"aliases": aliases})
+
+    return run

@@ -10,7 +10,9 @@ from tabforge.functions.hashing import uniform
 from tabforge.operators import experiments, registry, validate
 from tabforge.plans.frames import FRAME, frame_nulls, table, u_sql
 from tabforge.plans.registry import Catalogue
+from tabforge.session import scratch_path
 from tabforge.sources import runlog
+from tabforge.sources.store import Change, Snapshot, TableStore
 
 catalogue = Catalogue()
 query = catalogue.query
@@ -373,6 +375,81 @@ def backfill_aliases(spark: SparkSession, sf: str) -> DataFrame:
     return registry.backfill(owned, seeds)
 
 
+@query(
+    "backfill_registry",
+    f"""WITH {VERSIONS_CTE}, owned AS (SELECT * FROM aliases WHERE version::bigint % 2 = 0),
+    picked AS (SELECT model, max(run_id) AS base FROM runs WHERE rmse IS NOT NULL GROUP BY model),
+    fresh AS (SELECT p.model, md5('seed:' || p.model || ':bundle-' || base) AS run_id, r.model_type, r.preprocessing,
+                     r.o_orderkey * 8 AS samples, round(r.rmse, 2) AS rmse, round(r.r2, 2) AS r2,
+                     (SELECT max(version::bigint) + 1 FROM versions v WHERE v.model = p.model)::varchar AS version
+              FROM picked p JOIN runs r ON r.run_id = p.base
+              WHERE p.model NOT IN (SELECT model FROM owned WHERE alias = 'champion'))
+    SELECT 'alias' AS part, model AS id, alias AS name, version AS value, NULL::double AS number
+    FROM owned o WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.model = o.model)
+    UNION ALL SELECT 'alias', model, a, version, NULL FROM fresh, (VALUES ('champion'), ('challenger')) t(a)
+    UNION ALL SELECT 'version', model, version, run_id, NULL FROM versions
+    UNION ALL SELECT 'version', model, version, run_id, NULL FROM fresh
+    UNION ALL SELECT 'description', model, version, model_type || ' with ' || preprocessing
+      || ' preprocessing. Test R²: ' || printf('%.4f', r2) || ', RMSE: ' || printf('%.4f', rmse), NULL FROM fresh
+    UNION ALL SELECT 'tag', run_id, k, v, NULL FROM fresh,
+      LATERAL (VALUES ('model_type', model_type), ('preprocessing', preprocessing), ('source', 'seed'), ('environment', 'demo')) t(k, v)
+    UNION ALL SELECT 'param', run_id, k, v, NULL FROM fresh,
+      LATERAL (VALUES ('model_type', model_type), ('preprocessing_strategy', preprocessing), ('source', 'seed'),
+                      ('training_samples', samples::varchar), ('test_samples', '0')) t(k, v)
+    UNION ALL SELECT 'metric', run_id, k, NULL, v FROM fresh,
+      LATERAL (VALUES ('train_rmse', 0), ('train_mae', 0), ('train_r2', 0),
+                      ('test_rmse', rmse), ('test_mae', 0), ('test_r2', r2)) t(k, v)""",
+)
+def backfill_registry(spark: SparkSession, sf: str) -> DataFrame:
+    """Models without a champion get a run, a version and both aliases in one commit; a second time adds nothing."""
+    tested = F.transform_values("test_metrics", lambda _, v: F.round(v, 2))
+    seeds = (
+        runs(spark, sf).where("test_metrics is not null").groupBy("model")
+        .agg(F.max_by(F.struct("run_id", "model_type", "preprocessing", "o_orderkey", tested.alias("test_metrics")), "run_id").alias("r"))
+        .select(
+            "model",
+            F.concat(F.lit("bundle-"), "r.run_id").alias("bundle"),
+            "r.model_type",
+            "r.preprocessing",
+            (F.col("r.o_orderkey") * 8).alias("training_samples"),
+            F.lit(None).cast("bigint").alias("test_samples"),
+            F.lit(None).cast("map<string,double>").alias("train_metrics"),
+            "r.test_metrics",
+            F.lit(1).cast("bigint").alias("ts"),
+        )
+    )
+    known = versions(spark, sf).select(
+        "model", "version", "run_id", F.col("created_ms").cast("bigint").alias("ts"),
+        F.lit(None).cast("string").alias("description"), F.lit(None).cast("map<string,string>").alias("tags"),
+    )
+    store = TableStore(spark, scratch_path(spark, "registry"))
+    store.commit(
+        Snapshot(),
+        Change(
+            replace={
+                "log": spark.createDataFrame([], runlog.LOG),
+                "versions": known,
+                "aliases": aliases(spark, sf).where(F.col("version").cast("bigint") % 2 == 0),
+            }
+        ),
+    )
+    for _ in range(2):
+        store.update(registry.seed_registry(seeds))
+    log, every, owned = (store.read(t) for t in ("log", "versions", "aliases"))
+    none = F.lit(None).cast("double").alias("number")
+    metric = F.col("kind") == "metric"
+    return (
+        owned.select(F.lit("alias").alias("part"), F.col("model").alias("id"), F.col("alias").alias("name"), F.col("version").alias("value"), none)
+        .unionAll(every.select(F.lit("version"), "model", "version", "run_id", none))
+        .unionAll(every.where("description is not null").select(F.lit("description"), "model", "version", "description", none))
+        .unionAll(
+            log.select(
+                "kind", "run_id", "key", F.when(~metric, F.col("value")), F.when(metric, F.col("value").cast("double"))
+            )
+        )
+    )
+
+
 @query(
     "run_names",
     f"""WITH {RUNS_CTE} SELECT run_id,

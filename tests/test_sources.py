@@ -260,3 +260,56 @@ def test_end_to_end_on_housing_columns(spark, tmp_path):
 
     assert regression_metrics(model.transform(prepared.side("test")), "MEDV", "prediction").first()["rmse"] < 10
     assert isinstance(model.spec, FeatureSpec)
+
+
+def test_store_keeps_tables_together(spark, tmp_path):
+    from tabforge.sources.store import Change, LostRace, Snapshot, TableStore
+
+    def rows(*values):
+        return spark.createDataFrame([(v,) for v in values], "a bigint")
+
+    def seen(name, snapshot=None):
+        return sorted(r["a"] for r in store.read(name, snapshot).collect())
+
+    store = TableStore(spark, str(tmp_path / "store"))
+    assert store.snapshot() == Snapshot() and store.numbers() == []
+    with pytest.raises(ValueError, match="no table"):
+        store.read("x")
+    first = store.commit(Snapshot(), Change(append={"x": rows(1, 2)}, replace={"y": rows()}))
+    second = store.commit(first, Change(append={"x": rows(2, 3)}, replace={"y": rows(9)}))
+    assert (seen("x"), seen("y"), store.numbers()) == ([1, 2, 2, 3], [9], [1, 2])
+    assert (seen("x", first), seen("y", store.snapshot(1))) == ([1, 2], [])
+    with pytest.raises(LostRace):
+        store.commit(first, Change(append={"x": rows(7)}, replace={"y": rows(7)}))
+    with pytest.raises(ValueError, match="other types"):
+        store.commit(second, Change(append={"x": spark.createDataFrame([("t",)], "a string")}))
+    with pytest.raises(ValueError, match="both"):
+        store.commit(second, Change(append={"x": rows()}, replace={"x": rows()}))
+    with pytest.raises(ValueError, match="no snapshot 9"):
+        store.snapshot(9)
+    # Neither refused writer changed anything or left files.
+    assert (seen("x"), seen("y"), store.numbers()) == ([1, 2, 2, 3], [9], [1, 2])
+    assert len(list((tmp_path / "store" / "data").iterdir())) == 4
+    assert [p.name for p in (tmp_path / "store" / "log").iterdir() if "draft" in p.name] == []
+
+
+def test_store_update_after_a_lost_race(spark, tmp_path):
+    from tabforge.sources.store import Change, LostRace, Snapshot, TableStore
+
+    store = TableStore(spark, str(tmp_path / "store"))
+    one = spark.range(1)
+    store.commit(Snapshot(), Change(replace={"x": one}))
+    calls = []
+
+    def overtaken(own, base):
+        calls.append(base.number)
+        if len(calls) == 1:
+            TableStore(spark, own.path).commit(base, Change(append={"x": one}))
+        return Change(append={"x": one})
+
+    assert store.update(overtaken, tries=2).number == 3
+    assert calls == [1, 2] and store.read("x").count() == 3
+    calls.clear()
+    with pytest.raises(LostRace):
+        store.update(overtaken)
+    assert store.read("x").count() == 4
