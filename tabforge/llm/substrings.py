@@ -1,10 +1,11 @@
-"""Removes repeated passages, by suffix trees over prefix-partitioned groups of suffixes.
+"""Removes repeated passages, by prefix-partitioned groups of suffixes.
 
 Words are runs of anything but ASCII white space. A suffix starts at each word with at least ``size`` words from
 there to the end of its document. Suffixes are split into groups by their first word; where too many
-share it, by their first 2, 4, 8 and at last ``size`` words, so a group fits the memory of a task. A group's subtree
-is kept as its suffixes in the order of a path digest: the nodes at depth ``size`` are the runs of equal digests, and
-those with several leaves are the repeats; neighbouring ones make up the maximal repeats. A suffix
+share it, by their first 2, 4, 8 and at last ``size`` words, so a group fits the memory of a task. No tree is built
+(its edges do not fit the disk, see README): a group is put in the order of digests of ``size`` words, and a run of
+equal digests stands for the node that a subtree would have at that depth. Runs with several
+suffixes are the repeats; neighbouring ones make up the maximal repeats. A suffix
 travels as its digest (56 bits, next to the bits that chose its group), its document and its start, in
 compressed blocks; words never do, since each would be sent ``size`` times. Among n suffixes in groups of g about
 n * g / 2**57 pairs agree by chance: 0.001 at 10**8 suffixes.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.llm.words import SPACED_WORD, Words, batches, mix, roll, split, starts
@@ -330,7 +331,3 @@ def remove_repeats(
     on = rows["doc_id"].eqNullSafe(spans["_id"]) & (rows["text_hash"] == spans["_hash"])
     joined = rows.join(spans, on, "left").select("doc_id", "text", "text_hash", "begin", "end")
     return joined.mapInArrow(_cut, "doc_id long, text_hash int, n_words long, n_removed long, kept string")
-
-
-def sha256(column: str = "kept") -> Column:
-    return F.sha2(column, 256)
