@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.functions.hashing import fingerprint, hash_below
+from tabforge.functions.scalars import half_away
 from tabforge.operators import profile, split, validate
 from tabforge.plans.frames import (
     FRAME,
@@ -423,7 +424,7 @@ def route_share(spark: SparkSession, sf: str) -> DataFrame:
     n = F.count(F.lit(1))
     return routed.groupBy("event_type").agg(
         n.alias("n"),
-        *[F.round(F.count_if(F.col("served_by") == a) / n, 6).alias(a) for a in configured],
+        *[half_away(F.count_if(F.col("served_by") == a) / n, 6).alias(a) for a in configured],
         *[F.lit(w).alias(f"configured_{a}") for a, w in configured.items()],
     )
 

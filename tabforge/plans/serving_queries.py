@@ -212,7 +212,7 @@ def stream_bundle(spark: SparkSession, sf: str) -> DataFrame:
         "event_id",
         F.lit(True).alias("scored"),
         "served_by",
-        F.round("prediction", 4).alias("prediction"),
+        scalars.half_away("prediction", 4).alias("prediction"),
         F.concat_ws("; ", scoring.warning_texts(F.col("warnings"))).alias("warnings"),
     )
     refused = serve.read_log(spark, folder, "refused").select("event_id", F.lit(False).alias("scored"))

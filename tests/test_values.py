@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabforge.functions.hashing import fingerprint
+from tabforge.functions.scalars import half_away
 from tabforge.operators import impute, iterative, knn, order_stats, profile, registry
 from tabforge.operators.models import create_model
 from tabforge.operators.order_stats import quantiles
@@ -146,3 +147,26 @@ def test_accepted_and_refused_requests_are_all_requests(spark):
     fine = validate.accepted(validate.with_errors(rows, rules), rules)
     assert {r["n"] for r in fine.collect()} == {5, 10}
     assert fine.count() + jobs.rejected(rows, rules).count() == rows.count()
+
+
+def test_rounding_agrees_with_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    values = [s * n / 1000 for n in range(5, 2000, 5) for s in (1, -1)] + [1 - n / 200 for n in range(300)] + [0.0, 4e15]
+    got = frame(spark, [(v,) for v in values], ["a"]).select(
+        "a", half_away("a", 2).alias("r"), F.format_string("%.4f", half_away("a", 2)).alias("t")
+    )
+    want = duckdb.sql(f"SELECT a, round(a, 2), printf('%.4f', round(a, 2)) FROM (SELECT unnest({values}::double[]) AS a)")
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_version_tags_on_decimal_halves(spark, tmp_path):
+    import oracle
+    from tabforge.plans import run_queries
+
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    priced = orders.withColumn("o_totalprice", (F.col("o_orderkey") % 900).cast("double") * 500)
+    priced.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    con = oracle.duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    sql = run_queries.catalogue.oracles["version_tags"]
+    assert oracle.compare(spark, con, run_queries.version_tags, sql, str(tmp_path)) is None
