@@ -7,12 +7,13 @@ moves the system text to the last question) is caught at the turn where that hap
 single unused character in place of the turn's text shows where the text lies inside its span, whatever the
 template writes around it; that is the loss mask of the turns to learn.
 
-A rendering holds the first FIRST turns of the conversation and the LAST ones before the new turn. Up to
-FIRST + LAST turns that is the whole conversation; beyond it the span is the difference of two renderings that
-leave out the same turns in the middle, so memory and time for a turn stay bounded however long one
-conversation is. A template that depends on turns further back needs larger bounds.
+Every rendering holds all turns up to the new one, so a template may depend on any of them and no change of an
+earlier turn goes unseen. A black box has to be asked anew for each prefix, so the characters rendered grow with
+the square of one conversation; its turns and two renderings are in memory at a time. A template that is known to look at no more
+than some turns can be given bounds (``first`` and ``last``): then beyond first + last turns the span is the difference of two
+renderings that leave out the same turns in the middle.
 
-Rows of a conversation go to one task in order and are streamed through it: one shuffle, no group in memory.
+Rows of a conversation go to one task in order and are streamed through it: one shuffle.
 
 Defined results: null texts and roles count as empty; turns come in the order of the turn column (nulls first),
 then role, then text; repeated rows are turns of their own; null is a conversation id like any other and ids
@@ -36,8 +37,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 Turn = tuple[str, str]
 Template = Callable[[Sequence[Turn]], str]
-#: Turns of a rendering: from the beginning of the conversation, and before the new turn.
-FIRST, LAST = 2, 254
+#: Turns of a rendering: from the beginning of the conversation, and before the new turn; None is all of them.
+FIRST, LAST = 0, None
+#: Characters of texts whose escaped form a worker remembers, about; beyond it the memory starts anew.
+REMEMBERED = 1 << 25
 #: Characters of a row of formatted text at least, unless the conversation ends; longer ones take several rows.
 PART = 1 << 20
 LOSS_ROLES = ("assistant",)
@@ -56,10 +59,24 @@ _TURN = re.compile(
     re.DOTALL,
 )
 
+#: Escaped texts, which every longer prefix of a conversation asks for again, and their size.
+_KNOWN: dict[str, str] = {}
+_SIZE = [0]
+
 
 def escape(text: str) -> str:
     """Text without control strings: backslashes are doubled, a control string gets one after its first character."""
-    return _CONTROL.sub(lambda m: m[0] + "\\", text.replace("\\", "\\\\"))
+    made = _KNOWN.get(text)
+    if made is None:
+        made = text.replace("\\", "\\\\")
+        if "<" in made or "[" in made:
+            made = _CONTROL.sub(lambda m: m[0] + "\\", made)
+        if _SIZE[0] + len(text) + 100 > REMEMBERED:
+            _KNOWN.clear()
+            _SIZE[0] = 0
+        _KNOWN[text] = made
+        _SIZE[0] += len(text) + 100
+    return made
 
 
 def unescape(text: str) -> str:
@@ -121,7 +138,7 @@ def _same(a, b) -> bool:
 class Renderer:
     """Adds the turns of one conversation to a template and locates each of them."""
 
-    def __init__(self, template: Template, first: int = FIRST, last: int = LAST):
+    def __init__(self, template: Template, first: int = FIRST, last: int | None = LAST):
         self.template, self.first = template, first
         self.head: list[Turn] = []
         self.tail: deque[Turn] = deque(maxlen=last)
@@ -149,7 +166,7 @@ class Renderer:
         return Span(whole[len(done) :], place)
 
 
-def _run(template: Template, loss_roles: Sequence[str], first: int, last: int, part: int, schema: pa.Schema):
+def _run(template: Template, loss_roles: Sequence[str], first: int, last: int | None, part: int, schema: pa.Schema):
     def rows(conv, number, pieces, spans):
         values = [[conv], [number], ["".join(pieces)], [spans]]
         return pa.RecordBatch.from_arrays(
@@ -198,7 +215,7 @@ def format_turns(
     text_column: str = "text",
     loss_roles: Sequence[str] = LOSS_ROLES,
     first: int = FIRST,
-    last: int = LAST,
+    last: int | None = LAST,
     part: int = PART,
 ) -> DataFrame:
     """Rows (conv_id, part, formatted, spans) of every conversation; its parts lie together, in order.

@@ -128,3 +128,24 @@ def test_rewriting_conversations_are_listed(spark):
     assert [r["conv_id"] for r in chat.rewriting(formatted).collect()] == [2]
     last = formatted.where("conv_id = 2").first()["spans"][2]
     assert last["rewrites"] and not last["loss"] and last["text_start"] is None
+
+
+def test_long_conversations_are_rendered_whole(spark):
+    def drops(turns):  # from turn 700 on, an answer in the middle is gone
+        return "".join(f"<{r}>{t if len(turns) <= 700 or i != 300 else ''}" for i, (r, t) in enumerate(turns))
+
+    def counts(turns):  # a turn says how many of its role there are
+        seen, out = {}, []
+        for role, text in turns:
+            seen[role] = seen.get(role, 0) + 1
+            out.append(f"<{role} {seen[role]}>{text}")
+        return "".join(out)
+
+    rows = [(1, i, ("user", "assistant")[i % 2], f"turn {i}") for i in range(900)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    (row,) = chat.format_turns(table, drops).collect()
+    assert [s["rewrites"] for s in row["spans"]] == [i == 700 for i in range(900)]
+    (row,) = chat.format_turns(table, counts).collect()
+    assert row["formatted"] == counts([r[2:] for r in rows])
+    (row,) = chat.format_turns(table, counts, first=2, last=254).collect()
+    assert row["formatted"] != counts([r[2:] for r in rows])
