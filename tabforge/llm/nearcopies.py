@@ -1,16 +1,15 @@
 """Near copies: consistent weighted samples of TF-IDF shingles, banded, and verified by weighted Jaccard.
 
 A document is the bag of its shingles (five words; a shorter text with words is one shingle). A shingle weighs
-its count times log2(1 + N / max(df, ``common`` * N)): shingles in fewer than ``common`` of the N documents count
-as equally rare, so the table of document frequencies that tasks need has at most 2 * L / ``common`` rows for documents of L
-shingles on average, however large the corpus. Frequencies are exact, over all documents.
+its count times log2(1 + N / df), df being the number of the N documents that hold it. Frequencies are those of all
+documents, counted by the shingle's hash in 2 ** 22 buckets (the hashing trick of HashingTF and IDF), so the table that tasks need
+has one size whatever the corpus; shingles that share a bucket add up, so a weight can be too small, never too large.
 
 Improved consistent weighted sampling draws ``bands`` * ``rows`` samples; documents that agree on all samples
 of a band become candidates. A candidate pair is a link if the sums of the smaller and the larger weights of all shingles
 have a ratio of at least ``threshold``, or the sums of their plain counts have. The weighted ratio falls with the size of
 a group of near copies, whose shared shingles become common; the plain one does not, so links do not depend on how large
-the group is. A document with common shingles is sampled by its counts too, with the same draws; weights are
-relative to a rare shingle's, so for all others both samples are one. Texts that are equal word for word collapse
+the group is. So every document is sampled by its weights and by its counts, with the same draws. Texts that are equal word for word collapse
 before anything is compared.
 
 In a band bucket, all members are first compared with one of them (a star), links are joined to components, and
@@ -37,10 +36,11 @@ from tabforge.llm.words import PLAIN_WORD, SLICE_BYTES, batches, mix, roll, spli
 from tabforge.session import materialise
 
 SHINGLE = 5
-COMMON = 0.05
+#: Share of the documents below which shingles count as equally rare: none, each has its own frequency.
+COMMON = 0.0
 BANDS, ROWS, THRESHOLD = 12, 3, 0.8
-#: Shingles that are counted together in a task, about.
-CHUNK = 1_000_000
+#: Buckets of document frequencies as a power of two, buckets of a segment, and shingles counted together in a task, about.
+_BITS, SEGMENT, CHUNK = 22, 1 << 16, 4_000_000
 #: Members of a bucket that meet in a task: those outside the largest component, and all. Rows of a task, about.
 STRANGERS, OTHERS, UNIT = 256, 1024, 1000
 _TABLE = 1 << 16
@@ -74,92 +74,73 @@ def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return shingles[begin], np.diff(np.append(begin, total)), first
 
 
-def _local(common: float):
-    """Shingles that are frequent in a part of the documents; a globally frequent one is so in some part."""
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - _BITS)).astype(np.int64)
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size, documents = [], 0, 0
-
-        def out():
-            shingles, counts = np.unique(np.concatenate(parts), return_counts=True)
-            some = counts >= common * documents / 2
-            return pa.RecordBatch.from_arrays(
-                [pa.array(shingles[some].view(np.int64)), pa.array(counts[some])], ["shingle", "n"]
-            )
 
-        for batch in batches(rows):
-            shingles, _, _ = bags(batch.column("text"))
-            parts.append(shingles)
-            size, documents = size + len(shingles), documents + batch.num_rows
-            if size >= CHUNK:
-                yield out()
-                parts, size, documents = [], 0, 0
-        if documents:
-            yield out()
+def _frequencies(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents per bucket of a part of the documents, packed, a row per segment of buckets."""
+    import zstandard
 
-    return run
+    total, parts, size = None, [], 0
+    for batch in batches(rows):
+        shingles, _, _ = bags(batch.column("text"))
+        parts.append(_bucket(shingles))
+        size += len(shingles)
+        if size >= CHUNK:
+            own = np.bincount(np.concatenate(parts), minlength=1 << _BITS)
+            total, parts, size = own if total is None else total + own, [], 0
+    if size:
+        own = np.bincount(np.concatenate(parts), minlength=1 << _BITS)
+        total = own if total is None else total + own
+    if total is not None:
+        pack = zstandard.ZstdCompressor(level=1)
+        small = total.astype(np.uint16) if total.max() < 1 << 16 else total
+        blobs = [pack.compress(part.tobytes()) for part in small.reshape(-1, SEGMENT)]
+        values = [pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())]
+        yield pa.RecordBatch.from_arrays(values, ["segment", "n"])
 
 
-def _exact_counts(candidates: np.ndarray):
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(candidates), np.int64)
-        for batch in batches(rows):
-            shingles, _, _ = bags(batch.column("text"))
-            at = _find(candidates, shingles)
-            total += np.bincount(at[at >= 0], minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(candidates[seen].view(np.int64)), pa.array(total[seen])], ["shingle", "n"]
-        )
+def _added(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the segments of a partition, one blob at a time."""
+    import zstandard
 
-    return run
-
-
-def _find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Place of every value in a sorted table, or -1."""
-    if not len(table):
-        return np.full(len(values), -1)
-    bits = np.zeros(1 << 18, bool)
-    bits[(table >> np.uint64(46)).astype(np.int64)] = True
-    out = np.full(len(values), -1)
-    maybe = np.flatnonzero(bits[(values >> np.uint64(46)).astype(np.int64)])
-    at = np.minimum(np.searchsorted(table, values[maybe]), len(table) - 1)
-    same = table[at] == values[maybe]
-    out[maybe[same]] = at[same]
-    return out
+    pack, total = zstandard.ZstdDecompressor(), {}
+    for batch in rows:
+        for segment, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            raw = pack.decompress(blob.as_py())
+            own = np.frombuffer(raw, np.uint16 if len(raw) == 2 * SEGMENT else np.int64)
+            total[segment] = total.get(segment, 0) + own.astype(np.int64)
+    values = [pa.array(total, pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())]
+    yield pa.RecordBatch.from_arrays(values, ["segment", "n"])
 
 
 class Weights:
-    """Inverse document frequency relative to a rare shingle's: 1 for all that are not in the table of common ones."""
+    """Inverse document frequency of every shingle, relative to that of a shingle in one document."""
 
-    def __init__(self, shingles: np.ndarray, frequency: np.ndarray, documents: int, common: float):
-        order = np.argsort(shingles)
-        self.shingles = shingles[order]
-        self.values = np.log2(1 + documents / np.maximum(frequency[order], 1)) / np.log2(1 + 1 / common)
+    def __init__(self, frequency: np.ndarray, documents: int, common: float):
+        least = max(1.0, common * documents)
+        idf = np.log2(1 + documents / np.maximum(frequency, least)) / np.log2(1 + documents / least)
+        self.values = idf.astype(np.float32)
 
     def of(self, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        at = _find(self.shingles, shingles)
-        idf = np.ones(len(shingles))
-        idf[at >= 0] = self.values[at[at >= 0]]
-        return counts * idf
+        return counts * self.values[_bucket(shingles)].astype(np.float64)
 
 
 def weights(docs: DataFrame, text_column: str = "text", common: float = COMMON) -> Weights:
-    """Counts over all documents, in two scans: candidates from parts, then exact counts of the candidates.
+    """Document frequencies of all shingles over all documents, in one scan.
 
-    What reaches the driver is the candidates whose upper bound reaches half the limit, at most 2 * L / ``common``.
+    Tasks count into ``2 ** _BITS`` buckets of the shingles' hash and send packed segments, which are added up on
+    the executors; a number per bucket reaches the driver, whatever the size of the corpus.
     """
     texts = docs.select(F.col(text_column).alias("text"))
     documents = texts.count()
-    if not documents:
-        return Weights(np.zeros(0, np.uint64), np.zeros(0), 1, common)
-    local = texts.mapInArrow(_local(common), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    likely = local.where(F.col("n") >= common * documents / 2).select("shingle").collect()
-    candidates = np.sort(np.array([r[0] for r in likely], np.int64).view(np.uint64))
-    counted = texts.mapInArrow(_exact_counts(candidates), "shingle long, n long").groupBy("shingle")
-    found = counted.agg(F.sum("n").alias("n")).where(F.col("n") >= common * documents).collect()
-    shingles = np.array([r[0] for r in found], np.int64).view(np.uint64)
-    return Weights(shingles, np.array([r[1] for r in found], np.float64), documents, common)
+    parts = texts.mapInArrow(_frequencies, "segment int, n binary")
+    found = parts.repartition((1 << _BITS) // SEGMENT, "segment").mapInArrow(_added, "segment int, n binary").collect()
+    frequency = np.zeros((1 << _BITS) // SEGMENT * SEGMENT, np.int64).reshape(-1, SEGMENT)
+    for r in found:
+        frequency[r["segment"]] = np.frombuffer(r["n"], np.int64)
+    return Weights(frequency.reshape(-1), max(documents, 1), common)
 
 
 def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,20 +156,27 @@ _R, _LOG_C, _BETA = _draws()
 
 def samples(shingles: np.ndarray, weight: np.ndarray, first: np.ndarray, count: int) -> np.ndarray:
     """Improved consistent weighted samples: a digest per text (with shingles) and draw."""
+    return _drawn(shingles, [weight], first, count)[0]
+
+
+def _drawn(shingles: np.ndarray, sides: list[np.ndarray], first: np.ndarray, count: int) -> list[np.ndarray]:
+    """The samples by several weights, with the same draws."""
     full = np.flatnonzero(np.diff(first) > 0)
     begin, sizes = first[:-1][full], np.diff(first)[full]
-    log_weight = np.log(weight).astype(np.float32)
-    out = np.zeros((len(full), count), np.uint64)
+    logs = [np.log(weight).astype(np.float32) for weight in sides]
+    out = [np.zeros((len(full), count), np.uint64) for _ in sides]
     for k in range(count if len(full) else 0):
         h = mix(shingles + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64))
         r = _R[(h & np.uint64(0xFFFF)).astype(np.int32)]
         beta = _BETA[(h >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int32)]
-        t = np.floor(log_weight / r + beta)
-        rank = _LOG_C[(h >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.int32)] - r * (t - beta) - r
-        least = np.repeat(np.minimum.reduceat(rank, begin), sizes)
-        at = np.flatnonzero(rank == least)
-        at = at[np.searchsorted(at, begin)]
-        out[:, k] = mix(h[at] ^ mix(t[at].astype(np.int64).view(np.uint64)))
+        log_c = _LOG_C[(h >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.int32)]
+        for log_weight, own in zip(logs, out, strict=True):
+            t = np.floor(log_weight / r + beta)
+            rank = log_c - r * (t - beta) - r
+            least = np.repeat(np.minimum.reduceat(rank, begin), sizes)
+            at = np.flatnonzero(rank == least)
+            at = at[np.searchsorted(at, begin)]
+            own[:, k] = mix(h[at] ^ mix(t[at].astype(np.int64).view(np.uint64)))
     return out
 
 
@@ -209,14 +197,9 @@ def _sketch(shared: Broadcast, bands: int, rows_per_band: int):
             many = np.diff(first)
             total, size = _sums(weight, first), _sums(counts, first)
             keys = np.zeros((len(many), 2 * bands), np.uint64)
-            keys[many > 0, :bands] = _keys(samples(shingles, weight, first, bands * rows_per_band), bands, rows_per_band)
-            keys[:, bands:] = keys[:, :bands]
-            common = _sums(weight != counts, first) > 0
-            if common.any():
-                own = np.repeat(common, many)
-                begin = np.concatenate(([0], np.cumsum(many[common])))
-                drawn = samples(shingles[own], counts[own].astype(np.float64), begin, bands * rows_per_band)
-                keys[common, bands:] = _keys(drawn, bands, rows_per_band)
+            drawn = _drawn(shingles, [weight, counts.astype(np.float64)], first, bands * rows_per_band)
+            for side, own in enumerate(drawn):
+                keys[many > 0, side * bands : (side + 1) * bands] = _keys(own, bands, rows_per_band)
             use = np.repeat((many > 0)[:, None], 2 * bands, axis=1)
             use[:, bands:] &= keys[:, bands:] != keys[:, :bands]
             ends = np.concatenate(([0], np.cumsum(use.sum(axis=1)))).astype(np.int32)

@@ -239,3 +239,14 @@ def test_kept_texts_join_words(spark):
     got = {r["doc_id"]: r["kept"] for r in substrings.remove_repeats(docs).collect()}
     assert got == {1: "a b c", 2: "", 3: "  d"}
     assert hashlib.sha256(got[1].encode()).hexdigest()
+
+
+def test_every_shingle_has_its_own_document_frequency(spark):
+    texts = [(i, f"one two three four five q{i}a q{i}b") for i in range(64)]
+    texts += [(100 + i, "six seven eight nine ten") for i in range(2)] + [(200, "alone we are here now")]
+    docs = spark.createDataFrame(texts * 1, "doc_id long, text string").repartition(5)
+    made = nearcopies.weights(docs)
+    shingles, counts, first = nearcopies.bags(pa.array(["one two three four five", "six seven eight nine ten", "alone we are here now"]))
+    got = made.of(shingles, counts)
+    want = [np.log2(1 + 67 / n) / np.log2(1 + 67) for n in (64, 2, 1)]
+    assert np.allclose(got, want, rtol=1e-6)
