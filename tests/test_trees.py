@@ -224,3 +224,41 @@ def test_training_job_leaves_a_bundle_that_predicts(spark, tmp_path):
     assert bundle.metadata["training_samples"] == 160 and bundle.metadata["test_samples"] == 40
     assert bundle.metadata["cv_metrics"]["cv_rmse_mean"] == float(found["cv_rmse_mean"])
     assert set(bundle.metadata["feature_stats"]) == set(SPEC.features)
+
+
+def test_histograms_hold_no_empty_columns():
+    """The arrays that a pass fills per feature have the width of that feature's bins, not that of all features."""
+    rng = np.random.default_rng(3)
+    offsets, n, k = np.array([0, 200, 400, 656, 660]), 500, 64
+    bins = np.stack([rng.integers(0, w, n) for w in np.diff(offsets)]).astype(np.uint8)
+    node, values = rng.integers(0, k, n), np.stack([rng.integers(-9, 9, n), rng.integers(1, 4, n), np.ones(n, np.int64)])
+    asked, count = [], np.bincount
+
+    def counted(slot, *rest, minlength=0):
+        asked.append(max(minlength, *[r for r in rest if isinstance(r, int)], 0))
+        return count(slot, *rest[:1], minlength=max([minlength, *rest[1:]]))
+
+    old, np.bincount = np.bincount, counted
+    try:
+        sums = trees._sums(bins, np.arange(n), node, values, k, offsets)
+    finally:
+        np.bincount = old
+    assert max(asked) <= k * 256
+    for f, (low, high) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+        for b in range(high - low):
+            for c in range(3):
+                assert sums[c, :, low + b].sum() == values[c][bins[f] == b].sum()
+
+
+def test_slots_and_sorted_slots_give_the_same_cuts(monkeypatch):
+    rng = np.random.default_rng(4)
+    n, k = 3000, 700
+    bins = rng.integers(0, 256, (3, n)).astype(np.uint8)
+    node = rng.integers(0, k, n).astype(np.uint16)
+    values = np.stack([rng.integers(-(2**40), 2**40, n), rng.integers(1, 4, n), np.ones(n, np.int64)])
+    rules, made = trees.Rules(depth=3, leaf_rows=2), []
+    for slots in (0, 10**9):
+        monkeypatch.setattr(trees, "SLOTS_A_ROW", slots)
+        made.append(trees.cuts_from_rows(bins, node, values, k, rules, 0.5, np.ones(3, bool)))
+    for name in ("feature", "cut", "gain", "total", "left"):
+        assert np.array_equal(getattr(made[0], name), getattr(made[1], name))
