@@ -148,3 +148,29 @@ def test_digests_follow_the_words():
         assert list(words.starts(made.first, size)) == [
             i for a, b in zip(made.first[:-1], made.first[1:], strict=True) for i in range(a, b - size + 1)
         ]
+
+
+def test_lines_of_pieces_give_the_library_s_ids():
+    """New pieces reach the library many to a line; ids are those of whole texts, bars and special tokens included."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tabforge.llm import tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = ["a|b", "|", " || ", "x | y", "<|endoftext|>", "don't", "3.5%", "é", "́x", "ΑΣ", "Straße,", " ", " ", "\x00|", "‍"]
+    texts = [f"{w} plain{i}, {v}{i % 7}" for i, w in enumerate(words) for v in words] + words + ["", " "]
+    made = tokens.Encoder(path)
+    lines, encode = [], made.tokenizer.encode_batch_fast
+
+    class Counted:
+        def encode_batch_fast(self, some, **rest):
+            lines.append(len(some))
+            return encode(some, **rest)
+
+    made.tokenizer = Counted()
+    ids, ends = made.encode(pa.array(texts))
+    plain = Tokenizer.from_file(path)
+    for text, low, high in zip(texts, ends[:-1], ends[1:], strict=True):
+        assert ids[low:high].tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    assert sum(lines) < len(made.known) / 2
