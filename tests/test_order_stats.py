@@ -184,3 +184,40 @@ def test_routing_edges(spark):
     assert split.effective_split(True, True, 0.7) == {"champion": 0.7, "challenger": 0.3}
     assert split.effective_split(False, True) == {"champion": 0.0, "challenger": 1.0}
     assert split.effective_split(False, False) == {"champion": 0.0, "challenger": 0.0}
+
+
+def test_written_split_computes_rows_once(spark):
+    """The same split as that of the predicate, from rows that are computed a single time."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(500).withColumn("v", F.col("id") * 2).mapInArrow(counted, "id long, v long")
+    parted = split.written_split(rows, "id", 0.3, 7)
+    found = {tuple(r) for r in parted.select("id", "v", "split").collect()}
+    assert parted.columns == ["id", "v", "split"] and seen.value == 500
+    assert found == {tuple(r) for r in split.train_test_split(rows, "id", 0.3, 7).collect()}
+
+
+def test_quantiles_of_written_columns(spark):
+    """Columns read one by one give what one scan gives: ties, gaps, an empty column and huge ranges included."""
+    rows = [(float(i % 7), None if i % 3 else i * 1e12, None, -(2.0**i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    shares = (0.0, 0.25, 0.5, 0.9, 1.0)
+    assert quantiles(df, df.columns, shares, written=True) == quantiles(df, df.columns, shares)
+
+
+def test_written_folds_compute_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(503).mapInArrow(counted, "id long")
+    found = {tuple(r) for r in split.written_folds(rows, "id", 5, 7).collect()}
+    assert seen.value == 503 and found == {tuple(r) for r in split.kfold(rows, "id", 5, seed=7).collect()}
