@@ -476,3 +476,25 @@ def test_schema_of_responses(spark):
     row = whole.first()
     assert row["model_version"] == "01234567" and row["predictions"][0]["index"] == 0
     assert isinstance(whole.schema["predictions"].dataType, T.ArrayType)
+
+
+def test_knn_places_and_rough_distances(spark):
+    """A value finds its cell by halving, so the plan is shallow; pairs picked by rough distances are the closest ones."""
+    cuts = [float(i) for i in range(200)]
+    place = knn._place(F.col("x"), cuts, 1)
+    rows = spark.createDataFrame([(v,) for v in (-1.0, 0.0, 0.5, 77.0, 77.5, 199.0, 500.0)], "x double")
+    assert [r[0] for r in rows.select(place).collect()] == [1 + sum(v > c for c in cuts) for (v,) in rows.collect()]
+    random = np.random.default_rng(5)
+    donors = random.integers(0, 9, (700, 4)) * np.array([1.0, 1e-3, 1e6, 1.0])
+    donors[random.random(donors.shape) < 0.2] = np.nan
+    donors[:, 0] = np.arange(700.0)
+    x = donors[::20].copy()
+    x[:, 0] = np.nan
+    limit = np.where(np.arange(len(x)) % 2, np.inf, 4.0)
+    found = [list(zip(*(c.tolist() for c in part))) for part in knn.nearest(x, limit, 0, donors, np.ones(700, int), 3)]
+    for i, row in enumerate(x):
+        both = ~np.isnan(donors[:, 1:] - row[1:])
+        with np.errstate(invalid="ignore"):
+            far = np.nansum((donors[:, 1:] - row[1:]) ** 2, axis=1) * 4 / both.sum(axis=1)
+        best = [j for j in np.lexsort((donors[:, 0], far)) if both[j].any() and far[j] <= limit[i]][:3]
+        assert [(w, v) for w, _, v, _ in sum(found, []) if w == i] == [(i, donors[j, 0]) for j in best]
