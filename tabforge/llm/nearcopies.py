@@ -101,27 +101,36 @@ def _frequencies(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(values, ["segment", "n"])
 
 
-def _added(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the segments of a partition, one blob at a time."""
-    import zstandard
+def _weighed(documents: int, common: float):
+    """mapInArrow function: packed counts -> the weights of the segments of a partition, one blob at a time."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack, total = zstandard.ZstdDecompressor(), {}
+        for batch in rows:
+            for segment, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = pack.decompress(blob.as_py())
+                own = np.frombuffer(raw, np.uint16 if len(raw) == 2 * SEGMENT else np.int64)
+                total[segment] = total.get(segment, 0) + own.astype(np.int64)
+        values = [relative_idf(t, documents, common).tobytes() for t in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array(values, pa.binary())], ["segment", "n"])
+
+    return run
+
 
-    pack, total = zstandard.ZstdDecompressor(), {}
-    for batch in rows:
-        for segment, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            raw = pack.decompress(blob.as_py())
-            own = np.frombuffer(raw, np.uint16 if len(raw) == 2 * SEGMENT else np.int64)
-            total[segment] = total.get(segment, 0) + own.astype(np.int64)
-    values = [pa.array(total, pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())]
-    yield pa.RecordBatch.from_arrays(values, ["segment", "n"])
+def relative_idf(frequency: np.ndarray, documents: int, common: float) -> np.ndarray:
+    """Inverse document frequency, relative to that of a shingle in one document."""
+    least = max(1.0, common * documents)
+    idf = np.log2(1 + documents / np.maximum(frequency, least)) / np.log2(1 + documents / least)
+    return idf.astype(np.float32)
 
 
 class Weights:
-    """Inverse document frequency of every shingle, relative to that of a shingle in one document."""
+    """Weight of every shingle by the relative idf of its bucket."""
 
-    def __init__(self, frequency: np.ndarray, documents: int, common: float):
-        least = max(1.0, common * documents)
-        idf = np.log2(1 + documents / np.maximum(frequency, least)) / np.log2(1 + documents / least)
-        self.values = idf.astype(np.float32)
+    def __init__(self, values: np.ndarray):
+        self.values = values
 
     def of(self, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return counts * self.values[_bucket(shingles)].astype(np.float64)
@@ -130,17 +139,18 @@ class Weights:
 def weights(docs: DataFrame, text_column: str = "text", common: float = COMMON) -> Weights:
     """Document frequencies of all shingles over all documents, in one scan.
 
-    Tasks count into ``2 ** _BITS`` buckets of the shingles' hash and send packed segments, which are added up on
-    the executors; a number per bucket reaches the driver, whatever the size of the corpus.
+    Tasks count into ``2 ** _BITS`` buckets of the shingles' hash and send packed segments, which are added up and
+    weighed on the executors; a 32-bit number per bucket reaches the driver, whatever the size of the corpus.
     """
     texts = docs.select(F.col(text_column).alias("text"))
-    documents = texts.count()
-    parts = texts.mapInArrow(_frequencies, "segment int, n binary")
-    found = parts.repartition((1 << _BITS) // SEGMENT, "segment").mapInArrow(_added, "segment int, n binary").collect()
-    frequency = np.zeros((1 << _BITS) // SEGMENT * SEGMENT, np.int64).reshape(-1, SEGMENT)
+    documents = max(texts.count(), 1)
+    parts = texts.mapInArrow(_frequencies, "segment int, n binary").repartition((1 << _BITS) // SEGMENT, "segment")
+    found = parts.mapInArrow(_weighed(documents, common), "segment int, n binary").collect()
+    # A segment without shingles weighs as one document would.
+    values = np.ones(((1 << _BITS) // SEGMENT, SEGMENT), np.float32)
     for r in found:
-        frequency[r["segment"]] = np.frombuffer(r["n"], np.int64)
-    return Weights(frequency.reshape(-1), max(documents, 1), common)
+        values[r["segment"]] = np.frombuffer(r["n"], np.float32)
+    return Weights(values.reshape(-1))
 
 
 def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:

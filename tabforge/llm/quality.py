@@ -188,18 +188,20 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key % BUCKETS, np.sqrt(count / total[text]), first
 
 
+def _packed(values: np.ndarray, kind: str, first: np.ndarray) -> pa.Array:
+    """Numbers of every text as bytes, which sort as the lists of numbers from 0 do."""
+    data = pa.py_buffer(values.astype(kind).tobytes())
+    ends = pa.py_buffer((first * np.dtype(kind).itemsize).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, ends, data])
+
+
 def _sampled(labels: Labels):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
             bucket, share, first = features(batch.column("text"))
-            offsets = pa.array(first.astype(np.int32))
+            posterior = pa.array(labels.posterior(votes(batch.column("text"))))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(labels.posterior(votes(batch.column("text")))),
-                    pa.ListArray.from_arrays(offsets, pa.array(bucket.astype(np.int32))),
-                    pa.ListArray.from_arrays(offsets, pa.array(share)),
-                ],
-                ["posterior", "bucket", "share"],
+                [posterior, _packed(bucket, ">i4", first), _packed(share, ">f8", first)], ["posterior", "bucket", "share"]
             )
 
     return run
@@ -221,9 +223,9 @@ class Scorer:
 def _train(labels: Labels, rows: list, rounds: int = 300, rate: float = 0.5, ridge: float = 1e-4) -> Scorer:
     """Logistic regression on soft labels by adaptive gradient steps over the whole sample."""
     y = np.array([r["posterior"] for r in rows])
-    text = np.repeat(np.arange(len(rows)), [len(r["bucket"]) for r in rows])
-    bucket = np.concatenate([np.array(r["bucket"], np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
-    share = np.concatenate([np.array(r["share"]) for r in rows]) if rows else np.zeros(0)
+    text = np.repeat(np.arange(len(rows)), [len(r["bucket"]) // 4 for r in rows])
+    bucket = np.frombuffer(b"".join(r["bucket"] for r in rows), ">i4").astype(np.int64)
+    share = np.frombuffer(b"".join(r["share"] for r in rows), ">f8").astype(np.float64)
     weights, bias, seen, seen_bias = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-8), 1e-8
     for _ in range(rounds if rows else 0):
         z = np.bincount(text, weights[bucket] * share, len(rows)) + bias
@@ -249,7 +251,8 @@ def fit(docs: DataFrame, text_column: str = "text") -> Scorer:
     chosen = texts.select(order.alias("h"), "text").where(F.octet_length("text") <= LONGEST)
     limit = chosen.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
     some = chosen.where(F.col("h") <= limit).dropDuplicates(["h"]) if limit is not None else chosen.limit(0)
-    rows = some.select("text").mapInArrow(_sampled(labels), "posterior double, bucket array<int>, share array<double>")
+    rows = some.select("text").mapInArrow(_sampled(labels), "posterior double, bucket binary, share binary")
+    # Bytes, as the driver would need some 60 bytes a number for lists.
     rows = sorted(rows.collect(), key=lambda r: (r["posterior"], r["bucket"], r["share"]))
     return _train(labels, rows)
 
