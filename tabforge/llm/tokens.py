@@ -23,8 +23,12 @@ from tabforge.llm.words import byte_class, raw
 REMEMBERED = 1_500_000
 #: Pieces of a line that the library encodes at once.
 TO_A_LINE = 60
+#: New pieces that the library encodes in one call.
+AT_ONCE = 5_000
 #: Bytes of text that are encoded together.
 TOGETHER = 16 << 20
+#: Bytes whose cuts, and pieces whose ids, are found at once, so that temporary arrays do not follow the texts.
+BLOCK, GATHERED = 1 << 20, 1 << 16
 _SPACE = byte_class((0x09, 0x0D), (0x20, 0x20))
 _GRAPHIC = byte_class((0x21, 0x7E))
 _LETTER = byte_class((0x41, 0x5A), (0x61, 0x7A))
@@ -106,8 +110,8 @@ class Encoder:
             bars = np.flatnonzero(flat == self.bar)
             sizes.append(np.diff(bars, prepend=-1) - 1)
             ids.append(np.delete(flat, bars))
-        for low in range(joined, len(pieces), 20_000):
-            some = pieces.slice(low, 20_000).to_pylist()
+        for low in range(joined, len(pieces), AT_ONCE):
+            some = pieces.slice(low, AT_ONCE).to_pylist()
             made = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
             sizes.append(np.fromiter(map(len, made), np.int64))
             ids.append(np.fromiter(chain.from_iterable(made), self.dtype))
@@ -120,12 +124,22 @@ class Encoder:
 
     def _cuts(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         at = np.zeros(len(data) + 1, bool)
-        if self.splits and len(data) > 1:
-            before, here = data[:-1], data[1:]
-            at[1:-1] = (_SPACE[here] & _GRAPHIC[before]) | (_LETTER[before] & _MARK[here])
+        for low in range(0, len(data) - 1 if self.splits else 0, BLOCK):
+            here = data[low + 1 : low + 1 + BLOCK]
+            before = data[low : low + len(here)]
+            at[low + 1 : low + 1 + len(here)] = (_SPACE[here] & _GRAPHIC[before]) | (_LETTER[before] & _MARK[here])
         at[ends] = True
         return np.flatnonzero(at)
 
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where each of different words is kept, -1 for new ones. The known words are looked up among these, not the other way
+        round, so that the table that Arrow builds has the size of the batch and not of the memory."""
+        place = np.full(len(words), -1, np.int64)
+        found = pc.index_in(self.known, words)
+        kept = np.flatnonzero(np.asarray(found.is_valid()))
+        place[np.asarray(found.drop_null())] = kept
+        return place
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids begin (one offset more than texts)."""
         data, ends = raw(texts)
@@ -138,24 +152,24 @@ class Encoder:
         if self.folds:
             folds = folded(words).dictionary_encode()
             words, spelt = folds.dictionary, np.asarray(folds.indices)
-        where = pc.index_in(words, self.known)
-        if where.null_count:
-            if len(self.known) + where.null_count > REMEMBERED:
+        use = self._places(words)
+        if (use < 0).any():
+            if len(self.known) + int((use < 0).sum()) > REMEMBERED:
                 self._forget()
-                where = pc.index_in(words, self.known)
-            fresh = pc.is_null(where)
-            use = np.asarray(pc.fill_null(where, 0)).astype(np.int64)
-            use[np.asarray(fresh)] = self._learn(words.filter(fresh))
-            where = use
-        use = np.asarray(where)
-        use = use[spelt if spelt is not None else slice(None)][np.asarray(pieces.indices)]
-        sizes = self.first[use + 1] - self.first[use]
-        stops = np.cumsum(sizes)
-        total = int(stops[-1])
-        take = np.arange(total) + np.repeat(self.first[use] - (stops - sizes), sizes)
-        piece_of_end = np.searchsorted(cuts, ends)
-        offsets = np.concatenate([[0], stops])[piece_of_end]
-        return self.ids[take], offsets
+                use[:] = -1
+            use[use < 0] = self._learn(words.filter(pa.array(use < 0)))
+        use = use[spelt if spelt is not None else slice(None)]
+        begin, size, spots = self.first[use], self.first[use + 1] - self.first[use], np.asarray(pieces.indices)
+        stops = np.zeros(len(spots) + 1, np.int64)
+        np.cumsum(size[spots], out=stops[1:])
+        ids = np.empty(stops[-1], self.dtype)
+        for low in range(0, len(spots), GATHERED):
+            high = min(low + GATHERED, len(spots))
+            some = spots[low:high]
+            take = np.repeat(begin[some] - stops[low:high], size[some])
+            take += np.arange(stops[low], stops[high])
+            ids[stops[low] : stops[high]] = self.ids[take]
+        return ids, stops[np.searchsorted(cuts, ends)]
 
 
 @functools.lru_cache(maxsize=2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -17,6 +19,8 @@ _BYTES = np.random.Generator(np.random.PCG64(20240601)).integers(
     0, 2**64, 256, dtype=np.uint64, endpoint=False
 )
 _POWERS: list[np.ndarray] = []
+#: The C library's call that returns free pages, where there is one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -183,6 +187,16 @@ def covered(positions: np.ndarray, size: int, total: int) -> np.ndarray:
 def batches(
     rows: Iterable[pa.RecordBatch], column: str = "text", limit: int = 4 * SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
-    """The slices of all batches of a partition."""
+    """The slices of all batches of a partition; after each batch, memory that is free goes back to the system."""
     for batch in rows:
         yield from slices(batch, column, limit)
+        del batch
+        release()
+
+
+def release() -> None:
+    """Gives free memory back to the system. Arrow's pool and the C library keep it otherwise, and a worker, which lives
+    through the tasks of all stages, would hold what its largest batches once needed."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)

@@ -1,5 +1,6 @@
 """Token files, packing and the word helpers against plain Python."""
 
+import platform
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tabforge.llm import packing, tokenfiles, words
+from tabforge.llm import packing, tokenfiles, tokens, words
 from tabforge.llm.tokens import encoder
 
 from . import rows
@@ -61,6 +62,51 @@ def test_memory_that_overflows(monkeypatch):
         assert list(ids) == whole(BYTES, text)
 
 
+def test_temporary_arrays_stay_small():
+    import tracemalloc
+
+    made = tokens.Encoder(BYTES)
+    texts = pa.array([" ".join(f"{i % 5000} w{i % 700}." for i in range(500_000))])
+    made.encode(texts)
+    tracemalloc.start()
+    try:
+        ids, _ = made.encode(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    pieces = 1_500_000
+    assert peak < 30 * pieces + ids.nbytes
+
+
+def test_known_pieces_are_not_hashed_anew():
+    made = tokens.Encoder(BYTES)
+    made.known = pa.array([*(f"piece {i}" for i in range(500_000)), "a", " b"], pa.large_string())
+    made.ids, made.first = np.arange(500_002).astype(made.dtype), np.arange(500_003)
+    pool, before = pa.proxy_memory_pool(pa.default_memory_pool()), pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    try:
+        ids, _ = made.encode(pa.array(["a b"]))
+    finally:
+        pa.set_memory_pool(before)
+    assert list(ids) == list(made.ids[-2:])
+    assert pool.max_memory() < 8_000_000
+
+
+@pytest.mark.skipif(platform.libc_ver()[0] != "glibc", reason="the C library cannot return memory")
+def test_memory_of_a_batch_goes_back():
+    def held():
+        with open("/proc/self/smaps_rollup") as file:
+            return sum(int(n) for n in re.findall(r"\nPss_Anon:\s+(\d+)", file.read())) / 1024
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b"])], ["text"])
+    before, last = held(), None
+    for _ in words.batches(iter([batch])):
+        many = [np.ones(1000, np.uint8) for _ in range(100_000)]
+        last = many[-1]  # keeps the heap from shrinking by itself
+        del many
+    assert last is not None and held() < before + 40
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1)))
 def test_code_round_trip(values):
