@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -23,16 +24,29 @@ from tabforge.llm.words import byte_class, raw
 REMEMBERED = 1_500_000
 #: Pieces of a line that the library encodes at once.
 TO_A_LINE = 60
+#: New pieces that go to the library in lines in one call.
+IN_LINES = 20_000
 #: New pieces that the library encodes in one call.
 AT_ONCE = 5_000
 #: Bytes of text that are encoded together.
 TOGETHER = 16 << 20
 #: Bytes whose cuts, and pieces whose ids, are found at once, so that temporary arrays do not follow the texts.
 BLOCK, GATHERED = 1 << 20, 1 << 16
-_SPACE = byte_class((0x09, 0x0D), (0x20, 0x20))
-_GRAPHIC = byte_class((0x21, 0x7E))
-_LETTER = byte_class((0x41, 0x5A), (0x61, 0x7A))
-_MARK = byte_class((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x3B), (0x3F, 0x40), (0x5B, 0x60))
+#: What a byte is, as bits: ASCII white space, visible ASCII, an ASCII letter, a mark, the first of two bytes of a character that
+#: is no white space, that of one that is a letter, and the second byte of the signs among these letters.
+_SPACE, _GRAPHIC, _LETTER, _MARK, _WIDE, _LATIN, _SIGN = (np.uint8(1 << bit) for bit in range(7))
+_KINDS = (
+    byte_class((0x09, 0x0D), (0x20, 0x20)) * _SPACE
+    | byte_class((0x21, 0x7E)) * _GRAPHIC
+    | byte_class((0x41, 0x5A), (0x61, 0x7A)) * _LETTER
+    | byte_class((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x3B), (0x3F, 0x40), (0x5B, 0x60)) * _MARK
+    | byte_class((0xC3, 0xDF)) * _WIDE
+    | byte_class((0xC3, 0xC3), (0xC5, 0xC5)) * _LATIN
+    | byte_class((0x97, 0x97), (0xB7, 0xB7)) * _SIGN
+)
+#: Words that no normaliser changes and that are one word to the pre-tokenizer with the pattern below.
+_BARE = "^[a-zß-öø-ÿœ]+$"
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 def _splits_words(path: str) -> bool:
@@ -62,6 +76,24 @@ def _folds_words(path: str) -> bool:
     return kinds == ["NFC", "Replace", "Lowercase"] and removed and "[^\\\\s" in pattern
 
 
+def _last_ids(path: str) -> np.ndarray | None:
+    """Flags the ids that end a word, if the model marks them so and small Latin letters pass the other steps unchanged."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    model, steps = made["model"], (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    suffix, vocab = model.get("end_of_word_suffix"), model["vocab"]
+    known = len(steps) == 2 and steps[0].get("pattern") == {"Regex": _PATTERN} and steps[1].get("use_regex") is False
+    if not (known and suffix and _folds_words(path)) or model.get("continuing_subword_prefix") or model.get("ignore_merges"):
+        return None
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    if not all(byte in vocab and byte + suffix in vocab for byte in ByteLevel.alphabet()):
+        return None
+    last = np.zeros(max(vocab.values()) + 1, bool)
+    last[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+    return last
+
+
 def folded(words: pa.Array) -> pa.Array:
     """Words that give the same ids, in one spelling: no white space in front, plain ASCII in lower case.
 
@@ -77,6 +109,7 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.splits = _splits_words(path)
@@ -84,6 +117,10 @@ class Encoder:
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         bar = self.tokenizer.encode(" | ", add_special_tokens=False).ids if self.folds else []
         self.bar = bar[0] if len(bar) == 1 else None
+        self.last = _last_ids(path) if self.bar is not None else None
+        if self.last is not None:
+            self.bare = Tokenizer(self.tokenizer.model)
+            self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self._forget()
 
     def _forget(self) -> None:
@@ -91,22 +128,30 @@ class Encoder:
         self.ids = np.zeros(0, self.dtype)
         self.first = np.zeros(1, np.int64)
 
+    def _lines(self, tokenizer, pieces: pa.Array, between: str) -> Iterator[np.ndarray]:
+        """Ids of pieces in lines, with ``between`` after each piece."""
+        for low in range(0, len(pieces), IN_LINES):
+            some = pieces.slice(low, IN_LINES).to_pylist()
+            lines = [between.join([*some[i : i + TO_A_LINE], ""]) for i in range(0, len(some), TO_A_LINE)]
+            made = [e.ids for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+            yield np.fromiter(chain.from_iterable(made), self.dtype)
+
     def _learn(self, pieces: pa.Array) -> np.ndarray:
-        """Ids of new pieces. Where white space changes no id, pieces go to the library in lines with a bar between them, which
-        is an id of its own and stands in none of them; that saves a call's cost for each. Returns where each piece is kept."""
+        """Ids of new pieces. Where white space changes no id, pieces go to the library in lines, which saves a call's cost for
+        each: words of small Latin letters to the model alone, whose ids show where a word ends; others with a bar between them,
+        which is an id of its own and stands in none of them. Returns where each piece is kept."""
         ids, sizes = [self.ids], []
+        way = np.full(len(pieces), 2, np.uint8)
         if self.bar is not None:
-            alone = pc.match_substring_regex(pieces, "[<|]")
-            last = np.asarray(alone)
-            order = np.argsort(last, kind="stable")
-            pieces, joined = pieces.take(pa.array(order)), len(pieces) - int(last.sum())
-        else:
-            order, joined = np.arange(len(pieces)), 0
-        for low in range(0, joined, 20_000):
-            some = pieces.slice(low, min(20_000, joined - low)).to_pylist()
-            lines = [" | ".join([*some[i : i + TO_A_LINE], ""]) for i in range(0, len(some), TO_A_LINE)]
-            made = [e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
-            flat = np.fromiter(chain.from_iterable(made), self.dtype)
+            way = np.asarray(pc.match_substring_regex(pieces, "[<|]")) + np.uint8(1)
+        if self.last is not None:
+            way[np.asarray(pc.match_substring_regex(pieces, _BARE))] = 0
+        order = np.argsort(way, kind="stable")
+        pieces, (bare, joined) = pieces.take(pa.array(order)), np.searchsorted(way[order], [1, 2])
+        for flat in self._lines(self.bare, pieces.slice(0, bare), " ") if bare else ():
+            sizes.append(np.diff(np.flatnonzero(self.last[flat]), prepend=-1))
+            ids.append(flat)
+        for flat in self._lines(self.tokenizer, pieces.slice(bare, joined - bare), " | "):
             bars = np.flatnonzero(flat == self.bar)
             sizes.append(np.diff(bars, prepend=-1) - 1)
             ids.append(np.delete(flat, bars))
@@ -123,11 +168,17 @@ class Encoder:
         return place
 
     def _cuts(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where pieces begin: before white space that follows a word, and before a mark that follows a letter. White space is
+        known to follow a word if a visible ASCII or a two-byte character is before it; where the pre-tokenizer drops it, any."""
         at = np.zeros(len(data) + 1, bool)
         for low in range(0, len(data) - 1 if self.splits else 0, BLOCK):
-            here = data[low + 1 : low + 1 + BLOCK]
-            before = data[low : low + len(here)]
-            at[low + 1 : low + 1 + len(here)] = (_SPACE[here] & _GRAPHIC[before]) | (_LETTER[before] & _MARK[here])
+            kinds = _KINDS[data[max(low - 1, 0) : low + 1 + BLOCK]]
+            if not low:
+                kinds = np.concatenate((np.zeros(1, np.uint8), kinds))
+            lead, before, here = kinds[:-2], kinds[1:-1], kinds[2:]
+            word = before & _SPACE == 0 if self.folds else (before & _GRAPHIC | lead & _WIDE) != 0
+            letter = before & _LETTER | (lead & _LATIN) * (before & _SIGN == 0)
+            at[low + 1 : low + 1 + len(here)] = (here & _SPACE != 0) & word | (here & _MARK != 0) & (letter != 0)
         at[ends] = True
         return np.flatnonzero(at)
 

@@ -220,3 +220,57 @@ def test_lines_of_pieces_give_the_library_s_ids():
     for text, low, high in zip(texts, ends[:-1], ends[1:], strict=True):
         assert ids[low:high].tolist() == plain.encode(text, add_special_tokens=False).ids, text
     assert sum(lines) < len(made.known) / 2
+
+
+def test_words_that_end_beyond_ascii_are_pieces_of_their_own():
+    words = [f"{a}{b}{c}" for a in "abcdefghij" for b in ("ti", "eau") for c in "éñü"]
+    texts = [f"{v} {w}, {w}." for v in words for w in words]
+    for path in (BYTES, WORDS):
+        made = tokens.Encoder(path)
+        ids, at = made.encode(pa.array(texts))
+        assert len(made.known) <= 2 * len(words) + 2
+        for text, low, high in list(zip(texts, at[:-1], at[1:], strict=True))[::37]:
+            assert list(ids[low:high]) == whole(path, text)
+
+
+def test_cuts_beyond_ascii_change_no_id():
+    frames = ("a{} b", "A{}.b", "{}{}, x", "a{}\u0301. b", "{}", " {}\n\t{}", "{}'s", "×{}-", "1{} 2", "{}< |{}")
+    letters = [chr(i) for i in range(0x80, 0x800)] + list("\u1680\u2003\u2028\u202f\u205f\u3000\u212a\u1e9e\ufeff\U0001f600")
+    texts = [frame.format(c, c) for c in letters for frame in frames]
+    for path in (BYTES, WORDS):
+        want = [e.ids for e in encoder(path).tokenizer.encode_batch(texts, add_special_tokens=False)]
+        ids, at = tokens.Encoder(path).encode(pa.array(texts))
+        assert [list(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)] == want
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abZéÉßœŒŸ÷×İıŉſ\u0301\u0307\u0085\u00a0 \n.,'1|<", max_size=25), min_size=1, max_size=5))
+def test_latin_texts_give_the_ids_of_whole_texts(texts):
+    for path in (BYTES, WORDS):
+        ids, at = tokens_once(path).encode(pa.array(texts))
+        assert [list(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)] == [whole(path, t) for t in texts]
+
+
+def tokens_once(path, made={}):
+    if path not in made:
+        made[path] = tokens.Encoder(path)
+    made[path]._forget()
+    return made[path]
+
+
+def test_words_of_small_letters_go_to_the_model_alone():
+    made = tokens.Encoder(WORDS)
+    bare = ["".join(w) for w in zip("abcdefghij" * 20, "xyzéßœñüïa" * 20, map(chr, range(97, 97 + 20)), strict=False)]
+    bare += [a + b * 40 for a in "qéz" for b in ("ab", "eau", "ÿ")]
+    texts = [f"{w} {w.upper() if w.isascii() else w}, {w}s." for w in bare]
+    seen, encode = [], made.tokenizer.encode_batch_fast
+
+    class Seen:
+        def encode_batch_fast(self, some, **rest):
+            seen.extend(some)
+            return encode(some, **rest)
+
+    made.tokenizer = Seen()
+    ids, at = made.encode(pa.array(texts))
+    assert [list(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)] == [whole(WORDS, t) for t in texts]
+    assert set("".join(seen)) <= set(" |,.")
