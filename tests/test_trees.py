@@ -262,3 +262,63 @@ def test_slots_and_sorted_slots_give_the_same_cuts(monkeypatch):
         made.append(trees.cuts_from_rows(bins, node, values, k, rules, 0.5, np.ones(3, bool)))
     for name in ("feature", "cut", "gain", "total", "left"):
         assert np.array_equal(getattr(made[0], name), getattr(made[1], name))
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+
+def test_rows_dealt_to_subtrees_give_their_disk_back(spark, monkeypatch):
+    x, y = table()
+    df = frame(spark, x, y)
+
+    def fit():
+        return predictions(create_model("random_forest", SPEC, n_estimators=5, max_depth=6).fit(df), df)
+
+    whole, kept, seen = fit(), trees._finish, []
+
+    def watched(table, rdd, jobs, arrays, wanted, *rest):
+        before = shuffle_files(spark)
+        made = kept(table, rdd, jobs, arrays, wanted, *rest)
+        seen.append((sum(rows for nodes in wanted for _, _, rows in nodes), shuffle_files(spark) - before))
+        return made
+
+    monkeypatch.setattr(trees, "_finish", watched)
+    monkeypatch.setattr(trees, "LOT_ROWS", 0, raising=False)
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 150)
+    assert (fit() == whole).all()
+    assert len(seen) > 1 and all(rows <= 2 * len(y) and not left for rows, left in seen)
+
+
+def test_subtrees_by_parts_and_joint_counts_are_the_same(monkeypatch):
+    rng = np.random.default_rng(5)
+    n, offsets = 4000, np.array([0, 50, 61, 63, 319])
+    bins = np.stack([rng.integers(0, w, n) for w in np.diff(offsets)]).astype(np.uint8)
+    residual, weight = rng.integers(-(2**33), 2**33, n), rng.integers(1, 4, n)
+    rules, made = trees.Rules(depth=11, split_rows=4, leaf_rows=2), []
+    ways = ((1 << 16, 4, 1, 3), (50, 4, 1, 2), (300, 10**9, 0, 1), (1 << 16, 0.1, 50, 30))
+    for near, joint, full, order in ways:
+        for name, value in (("NEAR_ROWS", near), ("ROWS_A_SLOT", joint), ("FULL_A_ROW", full), ("ORDER_EVERY", order)):
+            monkeypatch.setattr(trees, name, value)
+        tree = trees.subtree(bins, residual, weight, 0, rules, 0.5, offsets, np.ones(4, bool))
+        made.append((tree.values(bins, np.arange(n)), np.sort(tree.gain)))
+    for values, gains in made[1:]:
+        assert (values == made[0][0]).all() and (gains == made[0][1]).all()
+
+
+def test_sums_beyond_the_exact_range_of_doubles():
+    values = np.array([[2**52 + 1, 2**52 + 1, -(2**52), 3], [1, 2, 3, 4], [1, 1, 1, 1]])
+    add = trees._Adder(values)
+    assert add.residuals(np.array([0, 0, 1, 0]), 2).tolist() == [2**53 + 5, -(2**52)]
+    assert [x.tolist() for x in add.weights(np.array([0, 0, 1, 0]), 2)] == [[7, 3], [3, 1]]
+
+
+def test_samples_follow_from_the_hash_as_a_fraction():
+    hashes = np.random.RandomState(1).randint(-(2**63), 2**63 - 1, 100_000)
+    share = (trees._mixed(hashes, 7, 42) >> np.uint64(11)) / float(2**53)
+    want = np.searchsorted(trees._POISSON, share, side="right")
+    rows, times = trees._sample(hashes, 7, trees.Rules(1, sampling="bag", seed=42))
+    assert (np.flatnonzero(want) == rows).all() and (want[rows] == times).all()
+    rows, _ = trees._sample(hashes, 7, trees.Rules(1, sampling="share", share=0.8, seed=42))
+    assert (np.flatnonzero(share < 0.8) == rows).all()
